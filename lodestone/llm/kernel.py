@@ -135,11 +135,11 @@ def window_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
-    """Which of n items lie in one of the windows that begin at ``starts``."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + width, n), -1)
-    return np.cumsum(edge[:-1]) > 0
+    """Which of n items lie in one of the windows that begin at ``starts`` (distinct, all windows inside)."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[starts] += 1
+    edge[starts + width] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:

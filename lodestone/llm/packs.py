@@ -76,13 +76,13 @@ def bucket_bits(packs: DataFrame, per_bucket: int, each: float) -> int:
 
 
 def by_pack(packs: DataFrame, answers: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """fn(block, blocks of answers) -> Iterator of record batches, for each pack; answers: (pack, kind = 1, block)."""
+    """fn(pack, block, blocks of answers) -> Iterator of record batches, for each pack; answers: (pack, kind = 1, block)."""
 
     def both(rows: pa.Table) -> pa.Table:
-        kinds, blocks = rows["kind"].to_pylist(), rows["block"]
+        kinds, blocks, name = rows["kind"].to_pylist(), rows["block"], rows["pack"][0].as_py()
         own = [blocks[i].as_py() for i, k in enumerate(kinds) if k == 0]
         extra = [blocks[i].as_py() for i, k in enumerate(kinds) if k == 1]
-        out = [b for block in own for b in fn(block, extra)]
+        out = [b for block in own for b in fn(name, block, extra)]
         return pa.Table.from_batches(out) if out else empty
 
     from pyspark.sql.pandas.types import to_arrow_schema

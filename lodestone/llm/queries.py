@@ -7,15 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from .simhash_dedup import simhash_near_dedup
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_array_dedup
+
+
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), distance=4, shingle=4)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), width=20, with_text=False)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), width=50, with_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_substring_dedup,)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op5_substring_dedup, op6_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

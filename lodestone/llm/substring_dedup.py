@@ -140,7 +140,7 @@ RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
 def _remove(width: int, with_text: bool):
-    def run(block: bytes, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def run(_: str, block: bytes, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
         ids, known, data, offsets = documents_in(block)
         keys, docs, ats, first = _all_keys(data, offsets, width)
         flagged = np.sort(np.concatenate([from_planes(K.unpack(a)[0]) for a in answers])) if answers else np.empty(0, np.uint64)
