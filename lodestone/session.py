@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once for each context, wherever they run."""
+    context = spark.sparkContext
+    if not getattr(context, "_lodestone_shipped", False):
+        context._lodestone_shipped = True
+        root = Path(__file__).resolve().parent
+        if root.is_dir():  # a package that was itself shipped as a zip is already there
+            context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{root.name}", "zip", root.parent, root.name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder, on any file system Spark reads."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there."""
+    ship(df.sparkSession)
     path = shared_dir(df.sparkSession)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
