@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from . import sentencepieces
 from .simhash_dedup import simhash_near_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_array_dedup
+from .token_counts import token_counts
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +27,16 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), width=50, with_text=False)
 
 
+def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), digests=True, with_ids=False)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op5_substring_dedup, op6_suffix_array_dedup)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op5_substring_dedup, op6_suffix_array_dedup, op7_sentencepiece_codec, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
