@@ -9,16 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from . import sentencepieces
+from .language_id import language_id
 from .simhash_dedup import simhash_near_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_array_dedup
 from .token_counts import token_counts
+from .token_store import token_store
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), distance=4, shingle=4)
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), width=20, with_text=False)
 
@@ -35,8 +41,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op5_substring_dedup, op6_suffix_array_dedup, op7_sentencepiece_codec, op9_token_counts)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op3_token_store, op5_substring_dedup, op6_suffix_array_dedup, op7_sentencepiece_codec, op9_token_counts, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
