@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 from . import sentencepieces
 from .language_id import language_id
+from . import quality_rules
 from .simhash_dedup import simhash_near_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_array_dedup
@@ -37,6 +38,11 @@ def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), digests=True, with_ids=False)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry_text=False)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -46,7 +52,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op3_token_store, op5_substring_dedup, op6_suffix_array_dedup, op7_sentencepiece_codec, op9_token_counts, op10_language_id)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op3_token_store, op5_substring_dedup, op6_suffix_array_dedup, op7_sentencepiece_codec, op8_quality_rules, op9_token_counts, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
