@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from . import sentencepieces
+from .license_scan import license_scan
 from .language_id import language_id
 from . import quality_rules
 from .simhash_dedup import simhash_near_dedup
@@ -18,6 +19,10 @@ from .token_counts import token_counts
 from .token_store import token_store
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8)
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), distance=4, shingle=4)
 
@@ -52,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_dedup, op3_token_store, op5_substring_dedup, op6_suffix_array_dedup, op7_sentencepiece_codec, op8_quality_rules, op9_token_counts, op10_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_simhash_dedup, op3_token_store, op5_substring_dedup, op6_suffix_array_dedup, op7_sentencepiece_codec, op8_quality_rules, op9_token_counts, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
