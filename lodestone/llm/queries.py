@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from . import sentencepieces
+from .decontaminate import decontaminate
 from .license_scan import license_scan
 from .language_id import language_id
 from . import quality_rules
@@ -31,6 +32,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), width=20, with_text=False)
 
@@ -57,7 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_simhash_dedup, op3_token_store, op5_substring_dedup, op6_suffix_array_dedup, op7_sentencepiece_codec, op8_quality_rules, op9_token_counts, op10_language_id)}
+    return {f.__name__: f for f in (op1_license_scan, op2_simhash_dedup, op3_token_store, op4_decontamination, op5_substring_dedup, op6_suffix_array_dedup, op7_sentencepiece_codec, op8_quality_rules, op9_token_counts, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
