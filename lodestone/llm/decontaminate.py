@@ -1,13 +1,15 @@
 """Benchmark decontamination: latent semantic retrieval, then common subsequences and answer checks.
 
 1. Fit. Passages of 64 words become term vectors over 2**14 hashed words. One pass over all
-   passages of the corpus sums the document frequencies and Y = A'A W for a random test matrix W; Y
-   gives the leading right singular vectors of the TF-IDF matrix (a randomised SVD of its Gram
-   matrix, single view). What a task sends has a fixed size.
+   passages of the corpus counts the document frequencies, and for a sample drawn by a hash of their words (``SAMPLE``
+   passages are expected; the index basis is fitted on them) sums Y = A'A W for a random test
+   matrix W; Y gives the leading right singular vectors of the TF-IDF matrix (a randomised SVD of
+   its Gram matrix, single view). What a task sends has a fixed size.
 2. Search. Every window of 16, 32, 64 words, one at every eighth word, is projected on the
-   singular vectors, divided by the singular values, and compared by cosine with the items (in blocks of at
-   most ``BLOCK`` items): each item with windows of the size that fits it, longer items in parts.
-3. Verification. A candidate passage, with room on both sides, is compared with the whole item: the
+   singular vectors but the first few (common words), divided by the singular values, and compared by cosine with the
+   items (in blocks of at most ``BLOCK`` items): each item with windows of the size that fits it, longer
+   items in parts. Windows above the threshold that no neighbour exceeds are candidates.
+3. Verification. A candidate passage, with room on both sides, must hold enough words of the item in any order; then the
    longest common subsequence of words must reach ``lcs`` of the item. If it does not reach
    ``sure``, the passage must also hold ``answer`` of the words of the item's answer, its last sentence, in order.
 
@@ -31,7 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import ship
 from . import kernel as K
 
-TERMS, RANK, TEST = 1 << 14, 64, 80
+TERMS, SKIP, RANK, TEST = 1 << 14, 8, 72, 80
+SAMPLE = 100_000
 PASSAGE, STEP, SIZES = 64, 8, (16, 32, 64)
 SLICES, BLOCK, LEAST_WORDS = 16, 2048, 4
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -61,30 +64,36 @@ def test_matrix() -> np.ndarray:
     return np.random.default_rng(11).standard_normal((TERMS, TEST)).astype(np.float32)
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the passages of a task: Y and the document frequencies, in slices, and the number of passages."""
-    w, y, df, passages = test_matrix(), np.zeros((TERMS, TEST), np.float32), np.zeros(TERMS), 0
-    for batch in batches:
-        data, offsets = K.utf8(batch.column(0))
-        for i, j in K.cuts(offsets, 1 << 19):
-            words, first = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            if not len(words):
-                continue
-            starts, _ = _runs(first, PASSAGE)
-            terms = _terms(words)
-            z = np.add.reduceat(w[terms], starts, axis=0)
-            passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words))))
-            order = np.argsort(terms, kind="stable")
-            terms, passage = terms[order], passage[order]
-            begin = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
-            y[terms[begin]] += np.add.reduceat(z[passage], begin, axis=0)
-            new = np.concatenate([[True], (terms[1:] != terms[:-1]) | (passage[1:] != passage[:-1])])
-            df += np.bincount(terms[new], minlength=TERMS)
-            passages += len(starts)
-    size = TERMS // SLICES
-    for s in range(SLICES):
-        part = slice(s * size, (s + 1) * size)
-        yield pa.record_batch([pa.array([s], pa.int32()), pa.array([y[part].astype(np.float32).tobytes()], pa.binary()), pa.array([df[part].tobytes()], pa.binary()), pa.array([passages if s == 0 else 0], pa.int64())], names=["slice", "y", "df", "passages"])
+def _sums(share: float):
+    limit = np.uint64(min(2**64 - 1, int(share * 2**64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the passages of a task: Y of those drawn and the document frequencies of all, in slices, and their number."""
+        w, y, df, passages = test_matrix(), np.zeros((TERMS, TEST), np.float32), np.zeros(TERMS), 0
+        for batch in batches:
+            data, offsets = K.utf8(batch.column(0))
+            for i, j in K.cuts(offsets, 1 << 18):
+                words, first = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                if not len(words):
+                    continue
+                starts, _ = _runs(first, PASSAGE)
+                terms, size = _terms(words), np.diff(np.append(starts, len(words)))
+                passage = np.repeat(np.arange(len(starts), dtype=np.uint32), size)
+                pairs = passage << np.uint32(14) | terms
+                pairs.sort()
+                new = np.concatenate([[True], pairs[1:] != pairs[:-1]])
+                df += np.bincount(pairs[new] & np.uint32(TERMS - 1), minlength=TERMS)
+                passages += len(starts)
+                drawn = np.flatnonzero(K.mix(np.add.reduceat(words, starts)) <= limit)
+                for p in drawn.tolist():
+                    own = terms[starts[p] : starts[p] + size[p]]
+                    np.add.at(y, own, w[own].sum(axis=0))
+        size = TERMS // SLICES
+        for s in range(SLICES):
+            part = slice(s * size, (s + 1) * size)
+            yield pa.record_batch([pa.array([s], pa.int32()), pa.array([y[part].tobytes()], pa.binary()), pa.array([df[part].tobytes()], pa.binary()), pa.array([passages if s == 0 else 0], pa.int64())], names=["slice", "y", "df", "passages"])
+
+    return run
 
 
 def _add(rows: pa.Table) -> pa.Table:
@@ -99,6 +108,16 @@ class Latent:
 
     rows: np.ndarray
 
+    def run_sums(self, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Vectors of runs of up to STEP words."""
+        rows = np.concatenate([self.rows, np.zeros((1, self.rows.shape[1]), np.float32)])
+        size = np.diff(np.append(starts, len(terms)))
+        padded = np.append(terms.astype(np.int64), TERMS)
+        out = rows[padded[starts]]
+        for i in range(1, STEP):
+            out += rows[padded[np.where(i < size, starts + i, len(terms))]]
+        return out
+
     def units(self, sums: np.ndarray) -> np.ndarray:
         norm = np.sqrt(np.einsum("ij,ij->i", sums, sums))
         return sums / np.maximum(norm, 1e-9)[:, None].astype(sums.dtype)
@@ -107,7 +126,9 @@ class Latent:
 def fit(docs: DataFrame) -> Latent:
     """The latent space of all passages of (text)."""
     ship(docs.sparkSession)
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sums, "slice int, y binary, df binary, passages bigint")
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = min(1.0, SAMPLE / max(1.0, size / 6 / PASSAGE))
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sums(share), "slice int, y binary, df binary, passages bigint")
     summed = parts.groupBy("slice").applyInArrow(_add, "slice int, y binary, df binary, passages bigint").collect()  # 16 rows, 10 MB
     y, df, passages = np.zeros((TERMS, TEST)), np.zeros(TERMS), 0
     size = TERMS // SLICES
@@ -125,8 +146,11 @@ def fit(docs: DataFrame) -> Latent:
         return Latent(np.zeros((TERMS, RANK), np.float32))
     factor = (idf[:, None] * y) @ (vectors[:, good] / np.sqrt(values[good]))
     u, s, _ = np.linalg.svd(factor, full_matrices=False)
-    k = min(RANK, int((s > s[0] * 1e-6).sum()))
-    return Latent((idf[:, None] * u[:, :k] / s[:k] * s[0]).astype(np.float32))
+    k = int((s > s[0] * 1e-6).sum())
+    skip = SKIP if k > 2 * SKIP else 0
+    rows = np.zeros((TERMS, RANK), np.float32)
+    rows[:, : min(RANK, k - skip)] = (idf[:, None] * u[:, skip:k] / s[skip:k] * s[0])[:, :RANK]
+    return Latent(rows)
 
 
 @dataclass
@@ -173,47 +197,68 @@ def _targets(items: list[Item], latent: Latent) -> dict[int, tuple[np.ndarray, n
     return {s: (latent.units(np.array(v, np.float32)), np.array(n)) for s, (v, n) in out.items() if n}
 
 
+def _peaks(scores: np.ndarray, text: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, item part) arrays, some thousands at a time, where the score reaches the threshold and no neighbouring window of the text exceeds it."""
+    at, part = np.nonzero(scores >= cosine)
+    here = scores[at, part]
+    last, following = np.maximum(at - 1, 0), np.minimum(at + 1, len(text) - 1)
+    top = ((text[last] != text[at]) | (scores[last, part] <= here)) & ((text[following] != text[at]) | (scores[following, part] <= here))
+    at, part = at[top], part[top]
+    for i in range(0, len(at), 1 << 13):
+        yield at[i : i + (1 << 13)], part[i : i + (1 << 13)]
+
+
+def _verify(found: dict, d: int, n: int, passage: np.ndarray, known: np.ndarray, lists: list, answers: list, score: float, at: int, lcs: float, sure: float, answer: float) -> None:
+    """Keeps the best verified passage of document d for item n."""
+    some = passage[known].tolist()
+    share = common_subsequence(lists[n], some) / len(lists[n])
+    if share < lcs:
+        return
+    held = common_subsequence(answers[n], some) / max(1, len(answers[n]))
+    if share < sure and held < answer:
+        return
+    row = (share, held, score, at)
+    if row[:3] > found.get((d, n), (0,))[:3]:
+        found[d, n] = row
+
+
 def _search(latent: Latent, items: list[Item], cosine: float, lcs: float, sure: float, answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         targets = _targets(items, latent)
         lists, answers = [i.words.tolist() for i in items], [i.answer.tolist() for i in items]
-        sets = [np.unique(i.words) for i in items]
+        length = np.array([len(x) for x in lists])
+        vocabulary = np.unique(np.concatenate([i.words for i in items])) if items else np.empty(0, np.uint64)
+        holds = np.zeros((len(items), len(vocabulary) + 1), bool)
+        for n, item in enumerate(items):
+            holds[n, np.searchsorted(vocabulary, item.words)] = True
         for batch in batches:
             ids = batch.column(0).to_pylist()
             data, offsets = K.utf8(batch.column(1))
             found: dict[tuple[int, int], tuple] = {}
             for i, j in K.cuts(offsets, 1 << 18):
                 words, first = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if not len(words):
+                if not len(words) or not items:
                     continue
                 starts, begin = _runs(first, STEP)
                 total = np.zeros((len(starts) + 1, latent.rows.shape[1]), np.float32)
-                np.cumsum(np.add.reduceat(latent.rows[_terms(words)], starts, axis=0), axis=0, out=total[1:])
+                np.cumsum(latent.run_sums(_terms(words), starts), axis=0, out=total[1:])
                 text = np.repeat(np.arange(j - i), np.diff(begin))
                 stop = begin[1:][text]
+                place = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+                place = np.where(vocabulary[place] == words, place, len(vocabulary))
                 for size, (vectors, of) in targets.items():
                     ends = np.minimum(np.arange(len(starts)) + size // STEP, stop)
                     scores = latent.units(total[ends] - total[:-1]) @ vectors.T
-                    at, part = np.nonzero(scores >= cosine)
-                    for w, p in zip(at.tolist(), part.tolist(), strict=True):
-                        n = int(of[p])
-                        m, d = len(lists[n]), int(text[w])
-                        lo = max(int(first[d]), int(starts[w]) - m)
-                        hi = min(int(first[d + 1]), int(starts[w]) + size + m)
-                        passage = words[lo:hi]
-                        known = np.isin(passage, sets[n])
-                        if known.sum() < lcs * m:
-                            continue
-                        passage = passage[known].tolist()
-                        share = common_subsequence(lists[n], passage) / m
-                        if share < lcs:
-                            continue
-                        held = common_subsequence(answers[n], passage) / max(1, len(answers[n]))
-                        if share < sure and held < answer:
-                            continue
-                        row = (share, held, float(scores[w, p]), int(starts[w]) - int(first[d]))
-                        if row[:3] > found.get((i + d, n), (0,))[:3]:
-                            found[i + d, n] = row
+                    for w, p in _peaks(scores, text, cosine):
+                        n, d = of[p], text[w]
+                        room = np.maximum(STEP, length[n] // 4)
+                        lo = np.maximum(first[d], starts[w] - room)
+                        hi = np.minimum(first[d + 1], starts[w] + size + room)
+                        at = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(int((hi - lo).sum()))
+                        known = holds[np.repeat(n, hi - lo), place[at]]
+                        have = np.add.reduceat(known.astype(np.int64), np.cumsum(hi - lo) - (hi - lo))
+                        for c in np.flatnonzero(have >= lcs * length[n]).tolist():
+                            _verify(found, i + int(d[c]), int(n[c]), words[lo[c] : hi[c]], holds[n[c], place[lo[c] : hi[c]]], lists, answers, float(scores[w[c], p[c]]), int(starts[w[c]] - first[d[c]]), lcs, sure, answer)
             cols = list(zip(*[(ids[d], items[n].item_id, *row) for (d, n), row in sorted(found.items())], strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "lcs_share", "answer_share", "cosine", "at_word"])
@@ -224,7 +269,7 @@ def _search(latent: Latent, items: list[Item], cosine: float, lcs: float, sure:
 RESULT = "doc_id bigint, item_id bigint, lcs_share double, answer_share double, cosine double, at_word bigint"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, lcs: float = 0.7, sure: float = 0.9, answer: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, lcs: float = 0.7, sure: float = 0.9, answer: float = 0.5) -> DataFrame:
     """doc_id, item_id, lcs_share, answer_share, cosine, at_word of each document and item whose text it holds."""
     latent = fit(docs)
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

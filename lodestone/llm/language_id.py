@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import ship
 from . import kernel as K
 
-BUCKETS, DIM, GRAMS = 1 << 15, 16, (3, 4)
+BUCKETS, DIM, GRAMS, LEAST_STEPS = 1 << 15, 16, (3, 4), 300
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
@@ -119,7 +119,9 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, lan
             x[i, at] = count / max(1, count.sum())
         return x
 
-    steps, done = max(1, epochs * (len(order) // batch + 1)), 0
+    rounds = -(-len(order) // batch)
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, rounds)))  # a small sample is read more often
+    steps, done = max(1, epochs * rounds), 0
     for _ in range(epochs):
         rng.shuffle(order)
         for i in range(0, len(order), batch):

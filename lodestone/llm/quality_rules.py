@@ -17,7 +17,7 @@ tables join by the size Spark measures at run time (broadcast below its threshol
 
 Defined cases: a null text has no words and fails; a null language or source forms a group
 of its own; a group of fewer than 40 passing texts rejects none as outliers; repeated rows count each;
-an empty table gives no rows. Other columns are carried by ``judge`` and not read.
+an empty table gives no rows. Other columns, whatever their names, are carried in a struct and not read.
 """
 
 from __future__ import annotations
@@ -39,9 +39,10 @@ RIDGE = 0.02
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and base_failed added."""
-    names = docs.columns
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    """Each row of ``docs`` as the struct ``row`` (its names cannot clash), with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and base_failed."""
+    names = ["row"]
+    docs = docs.select(F.struct(*docs.columns).alias("row"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     words = F.filter(F.split(text, SPACES), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.select(
@@ -187,14 +188,17 @@ def shapes(vectors: DataFrame) -> DataFrame:
     return shape.join(best, KEY, "left_semi")
 
 
-def judge(docs: DataFrame, carry_text: bool = True) -> DataFrame:
-    """The rows of ``docs`` (text, lang, source and others) with the base counts, base_failed, distance and kept added."""
-    columns = [c for c in docs.columns if carry_text or c != "text"]
-    counted = base_counts(docs).withColumns({"g_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), "g_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))})
-    counted = counted.select(*columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "g_lang", "g_source", *[v.alias(x) for v, x in zip(_vector(), X, strict=True)])
-    held = materialize(counted)
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def judge(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """row (a struct of the columns named in ``carry``, or of all), the base counts, base_failed, distance and kept of each row of ``docs`` (text, lang, source and others)."""
+    label = lambda name: F.coalesce(F.concat(F.lit("="), F.col(f"row.{name}").cast("string")), F.lit(""))
+    counted = base_counts(docs).withColumns({"g_lang": label("lang"), "g_source": label("source")})
+    row = F.struct(*[F.col(f"row.{c}").alias(c) for c in carry]).alias("row") if carry else F.col("row")
+    held = materialize(counted.select(row, *COUNTS, "g_lang", "g_source", *[v.alias(x) for v, x in zip(_vector(), X, strict=True)]))
     found = shapes(held.where("not base_failed").select("g_lang", "g_source", *X)).drop("log_det").withColumn("start", F.lit(0))
     judged = _distance(held.withColumn("start", F.lit(0)), found)
     cutoff = chi2_quantile(1 - TAIL, FEATURES)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
-    return judged.select(*columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance"), kept.alias("kept"))
+    return judged.select("row", *COUNTS, F.col("d2").alias("distance"), kept.alias("kept"))

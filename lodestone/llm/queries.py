@@ -49,8 +49,8 @@ def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry_text=False)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry=("doc_id",))
+    return judged.select("row.doc_id", *quality_rules.COUNTS, "kept", "distance")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
