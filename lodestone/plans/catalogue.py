@@ -4,20 +4,644 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import table
+from ..functions import arith, codec, geometry, integrity, parse
+from ..operators import index, joins, policy, query, store
+from ..session import shared_dir, ship, table
+from ..sources import objects
+from ..streaming import feeds
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of one segment with a positive balance: count and average."""
-    rows = table(spark, sf_dir, "customer").where((F.col("c_acctbal") > 0) & (F.lower("c_mktsegment") == "building"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("avg_acctbal"))
+
+def entry(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if there is one."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _cents(column: str):
+    return F.round(F.col(column) * 100).cast("bigint")
+
+
+# Filters and aggregates.
+
+
+@entry("select count(*) as count, avg(c_acctbal) as avg_c_acctbal from customer where c_acctbal > 0 and lower(c_mktsegment) = 'building'")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query.aggregate(table(spark, sf_dir, "customer"), ["c_acctbal:gt:0", "c_mktsegment:eq:building"], ["avg:c_acctbal"])
+
+
+def _filter_query(name: str, table_name: str, filters: list[str], columns: list[str], sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query.where(table(spark, sf_dir, table_name), filters).select(*columns)
+
+    run.__name__ = name
+    entry(f"select {', '.join(columns)} from {table_name} where {sql}")(run)
+
+
+_filter_query("filter_eq", "lineitem", ["l_linenumber:eq:3"], ["l_orderkey", "l_partkey"], "l_linenumber = 3")
+_filter_query("filter_gt", "customer", ["c_acctbal:gt:5000"], ["c_custkey", "c_acctbal"], "c_acctbal > 5000")
+_filter_query("filter_gte", "customer", ["c_nationkey:gte:20"], ["c_custkey", "c_nationkey"], "c_nationkey >= 20")
+_filter_query("filter_lt", "customer", ["c_acctbal:lt:-500.5"], ["c_custkey", "c_acctbal"], "c_acctbal < -500.5")
+_filter_query("filter_lte", "customer", ["c_nationkey:lte:3"], ["c_custkey", "c_nationkey"], "c_nationkey <= 3")
+_filter_query("filter_str_eq", "customer", ["c_mktsegment:BuIlDiNg"], ["c_custkey"], "lower(c_mktsegment) = 'building'")
+_filter_query("filter_str_contains", "part", ["p_name:contains:A"], ["p_partkey", "p_name"], "contains(lower(p_name), 'a')")
+_filter_query("filter_str_starts", "part", ["p_brand:startsWith:brand#1"], ["p_partkey", "p_brand"], "starts_with(lower(p_brand), 'brand#1')")
+_filter_query("filter_conj", "customer", ["c_acctbal:gt:0", "c_nationkey:lt:10", "c_mktsegment:contains:o"], ["c_custkey"], "c_acctbal > 0 and c_nationkey < 10 and contains(lower(c_mktsegment), 'o')")
+_filter_query("filter_missing_field", "customer", ["nowhere:gt:0"], ["c_custkey"], "false")
+_filter_query("filter_bad_number", "customer", ["c_acctbal:gt:abc"], ["c_custkey"], "false")
+_filter_query("filter_unknown_op", "customer", ["c_mktsegment:gt:a"], ["c_custkey"], "false")
+_filter_query("index_range_filter", "orders", ["o_custkey:gte:10", "o_custkey:lt:50"], ["o_orderkey", "o_custkey"], "o_custkey >= 10 and o_custkey < 50")
+
+
+@entry("select p_partkey, p_name from part where contains(lower(concat(p_name, p_brand, p_type)), 'brand#1') order by p_partkey limit 20")
+def search_limit(spark, sf_dir):
+    return query.search(table(spark, sf_dir, "part"), "p_partkey", "p_name", "Brand#1").select("p_partkey", "p_name")
+
+
+@entry("select p_partkey from part where cast(p_size as varchar) = '7' order by p_partkey limit 20")
+def search_number(spark, sf_dir):
+    return query.search(table(spark, sf_dir, "part"), "p_partkey", "p_size", "7").select("p_partkey")
+
+
+@entry("select o_orderkey from orders order by o_orderkey limit 100")
+def list_first(spark, sf_dir):
+    return query.first_rows(table(spark, sf_dir, "orders"), "o_orderkey", 100).select("o_orderkey")
+
+
+@entry("select o_orderkey, o_custkey from orders where substr(sha256(cast(o_orderkey as varchar)), 1, 16) = substr(sha256('42'), 1, 16)")
+def by_hash(spark, sf_dir):
+    return table(spark, sf_dir, "orders").where(integrity.text_hash(F.col("o_orderkey").cast("string")) == integrity.text_hash(F.lit("42"))).select("o_orderkey", "o_custkey")
+
+
+@entry("select o_orderkey from orders where substr(sha256(cast(o_orderkey as varchar)), 1, 16) <> substr(sha256('42'), 1, 16)")
+def conditional_get(spark, sf_dir):
+    return table(spark, sf_dir, "orders").where(integrity.text_hash(F.col("o_orderkey").cast("string")) != integrity.text_hash(F.lit("42"))).select("o_orderkey")
+
+
+@entry("select count(*) as count from lineitem where l_quantity > 25")
+def agg_count(spark, sf_dir):
+    return query.Table(table(spark, sf_dir, "lineitem"), "l_orderkey").where("l_quantity:gt:25").count()
+
+
+@entry("select sum(l_quantity) as sum_l_quantity, count(*) as count from lineitem")
+def agg_sum(spark, sf_dir):
+    return query.Table(table(spark, sf_dir, "lineitem"), "l_orderkey").sum("l_quantity")
+
+
+@entry("select avg(l_quantity) as avg_l_quantity, count(*) as count from lineitem")
+def agg_avg(spark, sf_dir):
+    return query.Table(table(spark, sf_dir, "lineitem"), "l_orderkey").avg("l_quantity")
+
+
+@entry("select min(l_extendedprice) as min_l_extendedprice, count(*) as count from lineitem")
+def agg_min(spark, sf_dir):
+    return query.Table(table(spark, sf_dir, "lineitem"), "l_orderkey").min("l_extendedprice")
+
+
+@entry("select max(l_extendedprice) as max_l_extendedprice, count(*) as count from lineitem")
+def agg_max(spark, sf_dir):
+    return query.Table(table(spark, sf_dir, "lineitem"), "l_orderkey").max("l_extendedprice")
+
+
+@entry("select count(*) as count, sum(l_quantity) as sum_l_quantity, avg(l_quantity) as avg_l_quantity, min(l_discount) as min_l_discount, max(l_tax) as max_l_tax from lineitem where l_quantity >= 10 and lower(l_returnflag) = 'r'")
+def agg_multi(spark, sf_dir):
+    return query.aggregate(table(spark, sf_dir, "lineitem"), ["l_quantity:gte:10", "l_returnflag:eq:R"], ["sum:l_quantity", "avg:l_quantity", "min:l_discount", "max:l_tax"])
+
+
+@entry("select user_id, cast(coalesce(sum(case when event_type = 'purchase' then cast(round(value * 100) as bigint) when event_type = 'error' then -cast(round(value * 100) as bigint) end), 0) as bigint) as balance from events group by user_id")
+def ledger_balance(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("cents", _cents("value"))
+    return query.ledger_balance(events, ["user_id"], "event_type", "cents", "PURCHASE", "ERROR")
+
+
+@entry("select event_id, user_id from events where user_id = 7 order by event_id limit 10")
+def recent_txs(spark, sf_dir):
+    return query.first_rows(table(spark, sf_dir, "events").where("user_id = 7"), "event_id", 10).select("event_id", "user_id")
+
+
+@entry("select sum(cast(round(c_acctbal * 100) as bigint))::bigint as total from customer")
+def conservation(spark, sf_dir):
+    return table(spark, sf_dir, "customer").agg(F.sum(_cents("c_acctbal")).alias("total"))
+
+
+@entry("select c_custkey, count(o_orderkey) as n, cast(coalesce(sum(cast(round(o_totalprice * 100) as bigint)), 0) as bigint) as total, count(o_orderkey) > 0 as has_any from customer left join orders on c_custkey = o_custkey group by c_custkey")
+def counts_with_zero(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_custkey", _cents("o_totalprice").alias("cents"))
+    return query.counts_with_zero(table(spark, sf_dir, "customer"), orders, "c_custkey", "o_custkey", "cents")
+
+
+@entry("select user_id, arg_max(event_type, event_id) as last_type from events group by user_id")
+def last_value(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"))
+
+
+@entry(
+    """select tp, fp, fn, tn, (tp + tn) / (tp + fp + fn + tn) as accuracy, case when tp + fp > 0 then tp / (tp + fp) end as precision, case when tp + fn > 0 then tp / (tp + fn) end as recall
+    from (select count(*) filter (quality = 1 and toxic = 0) as tp, count(*) filter (quality = 0 and toxic = 0) as fp, count(*) filter (quality = 1 and toxic = 1) as fn, count(*) filter (quality = 0 and toxic = 1) as tn from labels)"""
+)
+def match_metrics(spark, sf_dir):
+    return query.match_metrics(table(spark, sf_dir, "labels"), F.col("quality") == 1, F.col("toxic") == 0)
+
+
+@entry("select max(event_id) + 1 as next_id from events")
+def next_free_id(spark, sf_dir):
+    return table(spark, sf_dir, "events").agg((F.max("event_id") + 1).alias("next_id"))
+
+
+# Records: versions, transactions, logs.
+
+
+def _versions(spark, sf_dir) -> DataFrame:
+    """Events as versions of their user's record; every error event deletes it."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("record_id"), F.col("event_id").alias("version"), (F.col("event_type") == "error").alias("is_deleted"), "event_type", _cents("value").alias("cents"))
+
+
+VERSIONS = "(select user_id as record_id, event_id as version, event_type = 'error' as is_deleted, event_type, cast(round(value * 100) as bigint) as cents from events)"
+LATEST = f"(select * from {VERSIONS} qualify row_number() over (partition by record_id order by version desc) = 1)"
+
+
+@entry("select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey = 42")
+def point_read(spark, sf_dir):
+    return query.Table(table(spark, sf_dir, "orders"), "o_orderkey").get(42).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@entry(f"select * from {LATEST} where record_id = 7 and not is_deleted")
+def point_read_version(spark, sf_dir):
+    return store.read(_versions(spark, sf_dir), 7)
+
+
+@entry("select o_orderkey, o_custkey from orders where o_orderkey >= 100 and o_orderkey < 200 order by o_orderkey")
+def scan_range(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey as record_id", "o_custkey", "1L as version", "false as is_deleted")
+    return store.scan(rows, 100, 200).selectExpr("record_id as o_orderkey", "o_custkey")
+
+
+@entry("select o_orderkey as record_id, o_custkey from orders where o_orderkey % 7 <> 0")
+def scan_after_delete(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey as record_id", "o_custkey", "1L as version", "false as is_deleted")
+    gone = store.delete(rows, rows.where("record_id % 7 = 0"), 2)
+    return store.live(gone).select("record_id", "o_custkey")
+
+
+@entry(f"select * from {LATEST}")
+def latest_version(spark, sf_dir):
+    return store.latest(_versions(spark, sf_dir))
+
+
+@entry(f"select record_id, cents from {LATEST} where not is_deleted and record_id not in (select user_id from events where event_type = 'signup') union all select distinct user_id as record_id, cast(0 as bigint) as cents from events where event_type = 'signup'")
+def upsert(spark, sf_dir):
+    versions = _versions(spark, sf_dir)
+    resets = versions.where("event_type = 'signup'").select("record_id").distinct().selectExpr("record_id", "9000000000L as version", "'reset' as event_type", "0L as cents")
+    return store.live(store.upsert(versions, resets)).select("record_id", "cents")
+
+
+@entry(
+    f"""select w.record_id, w.seq, w.expected_version, w.expected_version = l.version as accepted from (select record_id, seq, case when seq = 1 then version else version - 1 end as expected_version from {LATEST} cross join (values (1), (2)) t(seq)) w join {LATEST} l using (record_id)"""
+)
+def cas_batch(spark, sf_dir):
+    versions = _versions(spark, sf_dir)
+    current = store.latest(versions).select("record_id", "version")
+    writes = current.select("record_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), "version").select("record_id", "seq", F.when(F.col("seq") == 1, F.col("version")).otherwise(F.col("version") - 1).alias("expected_version"))
+    return store.compare_and_swap(versions, writes)
+
+
+@entry("select event_id, user_id from events where user_id in (select user_id from events where event_type = 'purchase')")
+def txn_visible(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumnRenamed("user_id", "txn_id")
+    return store.committed(events, events.where("event_type = 'purchase'")).selectExpr("event_id", "txn_id as user_id")
+
+
+@entry(f"select * from {LATEST} where not is_deleted order by record_id")
+def compact(spark, sf_dir):
+    return store.compact(_versions(spark, sf_dir), shared_dir(spark)).orderBy("record_id")
+
+
+@entry("select distinct user_id as record_id from events")
+def occupied_rows(spark, sf_dir):
+    return store.occupied(_versions(spark, sf_dir))
+
+
+@entry(f"select count(*) as total, count(*) filter (not is_deleted) as allocated, count(*) filter (is_deleted) as tombstones from {LATEST}")
+def store_stats(spark, sf_dir):
+    return store.stats(_versions(spark, sf_dir)).drop("data_bits")
+
+
+@entry("select o_orderkey, o_totalprice from orders where o_totalprice > 100000 order by o_orderkey limit 1")
+def find_first(spark, sf_dir):
+    return query.find_first(table(spark, sf_dir, "orders"), "o_orderkey", F.col("o_totalprice") > 100000).select("o_orderkey", "o_totalprice")
+
+
+@entry("select event_id, sha256(concat(event_id, '|', user_id, '|', event_type)) as sha256, lag(sha256(concat(event_id, '|', user_id, '|', event_type))) over (order by event_id) as prev_hash, true as intact from events")
+def chain_verify(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    content = F.concat_ws("|", "event_id", "user_id", "event_type")
+    return store.verify_chain(store.chain(events, "event_id", content), "event_id", content).select("event_id", "sha256", "prev_hash", "intact")
+
+
+@entry("select event_id, user_id from events where event_id > 900 order by event_id")
+def replay_after_checkpoint(spark, sf_dir):
+    return store.truncate(table(spark, sf_dir, "events"), 900, "event_id").select("event_id", "user_id").orderBy("event_id")
+
+
+@entry("select max(event_id) as checkpoint_seq from events")
+def checkpoint_seq(spark, sf_dir):
+    return store.checkpoint(_versions(spark, sf_dir))[1]
+
+
+@entry("select event_id from events order by event_id desc limit 10")
+def log_recent(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id").orderBy(F.desc("event_id")).limit(10)
+
+
+@entry("select event_type as table_name, event_id, (dense_rank() over (order by f, event_type) - 1) * 10000000 + event_id as record_id from (select *, min(event_id) over (partition by event_type) as f from events)")
+def table_namespaces(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr("event_type as table_name", "event_id", "event_id as first_use", "event_id as local_id")
+    return store.resolve_table(rows).select("table_name", "event_id", "record_id")
+
+
+# Joins.
+
+
+@entry("select c_custkey, c_name, o_orderkey from customer join orders on c_custkey = o_custkey")
+def merge_join(spark, sf_dir):
+    customer, orders = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return joins.merge_join(customer, orders, "c_custkey", "o_custkey").select("left.c_custkey", "left.c_name", "right.o_orderkey")
+
+
+@entry("select n_name, count(*) as n from nation join customer on n_nationkey = c_nationkey group by n_name")
+def broadcast_join(spark, sf_dir):
+    both = joins.lookup_join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), table(spark, sf_dir, "customer").select("c_nationkey"), "n_nationkey", "c_nationkey")
+    return both.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@entry("select c_custkey, o_orderkey from customer join orders on c_custkey = o_custkey")
+def partitioned_join(spark, sf_dir):
+    return joins.partitioned_join(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "c_custkey", "o_custkey").select("c_custkey", "o_orderkey")
+
+
+@entry("select e.event_id, c.c_name from events e left join customer c on e.user_id = c.c_custkey")
+def mapping_lookup(spark, sf_dir):
+    events, customer = table(spark, sf_dir, "events").select("event_id", "user_id"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return events.join(customer, events["user_id"] == customer["c_custkey"], "left").select("event_id", "c_name")
+
+
+@entry("with v as (select c_custkey as k, cast(round(c_acctbal * 100) as bigint) as x from customer), p as (select lag(k) over (order by x, k) as ka, lag(x) over (order by x, k) as xa, k as kb, x as xb from v) select xb - xa as distance, least(ka, kb) as a, greatest(ka, kb) as b from p where ka is not null order by 1, 2, 3 limit 1")
+def nearest_pair(spark, sf_dir):
+    return joins.nearest_pair(table(spark, sf_dir, "customer").select("c_custkey", _cents("c_acctbal").alias("x")), "c_custkey", "x")
+
+
+@entry("select distance, a, b from (select abs(x.p_size - y.p_size) + abs(cast(round(x.p_retailprice) as bigint) - cast(round(y.p_retailprice) as bigint)) as distance, x.p_partkey as a, y.p_partkey as b from part x join part y on x.p_partkey < y.p_partkey where y.p_partkey <= 500) order by 1, 2, 3 limit 1")
+def nearest_pair_vectors(spark, sf_dir):
+    part = table(spark, sf_dir, "part").where("p_partkey <= 500").select("p_partkey", F.col("p_size").cast("bigint").alias("s"), F.round("p_retailprice").cast("bigint").alias("r"))
+    return joins.nearest_pair_of_vectors(part, "p_partkey", ["s", "r"])
+
+
+@entry("select s_suppkey, arg_min(i, bit_count(xor(s_suppkey, a)) * 10 + i) as shard from supplier cross join (values (0, 0::bigint), (1, 31::bigint), (2, 10::bigint), (3, 21::bigint)) t(i, a) group by s_suppkey")
+def nearest_shard(spark, sf_dir):
+    return joins.nearest_shard(table(spark, sf_dir, "supplier").select("s_suppkey"), F.col("s_suppkey"), [0, 31, 10, 21])
+
+
+# Distances.
+
+VECTOR = "abs(cast(l_quantity as bigint) - 20) + abs(l_linenumber - 3)"
+
+
+@entry(f"select l_orderkey, l_linenumber, {VECTOR} as distance from lineitem where {VECTOR} < 4")
+def manhattan_radius(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q"))
+    return rows.where(geometry.within(["q", "l_linenumber"], [20, 3], 4)).select("l_orderkey", "l_linenumber", geometry.manhattan_columns(["q", "l_linenumber"], [20, 3]).cast("bigint").alias("distance"))
+
+
+EMBEDDED = "(select vec_id, list_sum(list_transform(list_slice(embedding, 1, 8), lambda x: abs(cast(round(x * 1000) as bigint) - 100)))::bigint as distance from embeddings)"
+
+
+def _embedded(spark, sf_dir) -> DataFrame:
+    vec = F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("double") * 1000).cast("bigint"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", vec.alias("vec"))
+
+
+@entry(f"select vec_id, distance from {EMBEDDED} order by distance, vec_id")
+def manhattan_rank(spark, sf_dir):
+    return query.nearest(_embedded(spark, sf_dir), geometry.manhattan(F.col("vec"), geometry.vector([100] * 8)), "vec_id").select("vec_id", "distance")
+
+
+@entry(f"select vec_id, distance from {EMBEDDED} order by distance, vec_id limit 5")
+def manhattan_topk(spark, sf_dir):
+    return query.nearest(_embedded(spark, sf_dir), geometry.manhattan(F.col("vec"), geometry.vector([100] * 8)), "vec_id", 5).select("vec_id", "distance")
+
+
+# Indexes.
+
+
+@entry("select c_custkey, cast(cast('0x' || substr(sha256(c_name), 1, 16) as ubigint) % 64 as bigint) as bucket from customer")
+def hash_bucket(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", integrity.hash_bucket(F.col("c_name"), 64).alias("bucket"))
+
+
+@entry("select c_custkey, cast(cast('0x' || substr(sha256(c_name), 1, 8) as bigint) % 999999 + 1 as bigint) as tenant_id from customer")
+def tenant_hash(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", (integrity.hash_id(F.col("c_name"), 999_999) + 1).alias("tenant_id"))
+
+
+@entry("select o_custkey, o_orderkey from orders where o_custkey >= 20 and o_custkey < 35 order by o_custkey, o_orderkey")
+def btree_range(spark, sf_dir):
+    return index.range_scan(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 20, 35)
+
+
+@entry("select o_custkey, arg_max(o_orderkey, o_orderkey) as o_orderkey from orders group by o_custkey")
+def btree_last_wins(spark, sf_dir):
+    return index.last_wins(table(spark, sf_dir, "orders").withColumn("seq", F.col("o_orderkey")), "o_custkey", "o_orderkey", "seq")
+
+
+@entry("select o_custkey, arg_min(o_orderkey, o_orderkey) as o_orderkey from orders group by o_custkey")
+def hash_first_wins(spark, sf_dir):
+    return index.first_wins(table(spark, sf_dir, "orders").withColumn("seq", F.col("o_orderkey")), "o_custkey", "o_orderkey", "seq")
+
+
+@entry("select o_orderkey from orders where o_custkey < 50 intersect select o_orderkey from orders where o_totalprice > 100000")
+def id_set_intersection(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return index.intersect(orders.where("o_custkey < 50"), orders.where("o_totalprice > 100000"), "o_orderkey")
+
+
+# Codec.
+
+DIGITS_SQL = "list_concat(list_transform(string_split(cast(abs({0}) as varchar), ''), lambda c: cast(c as integer) + case when {0} < 0 and c <> '0' then 16 else 0 end), [30])"
+
+
+@entry(f"select c_custkey, array_to_string(list_transform({DIGITS_SQL.format('cast(round(c_acctbal * 100) as bigint)')}, lambda t: lpad(bin(t), 5, '0')), ' ') as bits from customer")
+def encode_int_bits(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", codec.bits(codec.encode_integer(_cents("c_acctbal")), " ").alias("bits"))
+
+
+@entry(f"select o_orderkey, cast(list_sum({DIGITS_SQL.format('o_orderkey')}) % 32 as integer) as checksum from orders")
+def checksum(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", integrity.checksum(codec.encode_integer(F.col("o_orderkey"))).alias("checksum"))
+
+
+@entry(
+    f"""select o_orderkey, lower(array_to_string(list_transform(range(0, cast(length(b) / 4 as bigint)), lambda i: substr('0123456789abcdef', instr('0000 0001 0010 0011 0100 0101 0110 0111 1000 1001 1010 1011 1100 1101 1110 1111', substr(b, i * 4 + 1, 4))::bigint // 5 + 1, 1)), '')) as packed
+    from (select o_orderkey, rpad(s, cast(ceil(length(s) / 8.0) * 8 as integer), '0') as b from (select o_orderkey, array_to_string(list_transform({DIGITS_SQL.format('o_orderkey')}, lambda t: lpad(bin(t), 5, '0')), '') as s from orders))"""
+)
+def pack_hex(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", codec.pack_hex(codec.encode_integer(F.col("o_orderkey"))).alias("packed"))
+
+
+@entry("select c_custkey, cast(round(c_acctbal * 100) as bigint) as cents from customer")
+def unpack_roundtrip(spark, sf_dir):
+    codes = codec.encode_integer(_cents("c_acctbal"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", codec.pack(codes).alias("b"), codec.pad_bits(codes).alias("pad"))
+    return rows.select("c_custkey", parse.value_vector(parse.parsed(codec.unpack(F.col("b"), F.col("pad"))))[0].alias("cents"))
+
+
+@entry("select n_nationkey, n_name as back from nation union all select cast(r_regionkey + 100 as integer) as n_nationkey, r_name as back from region")
+def word_roundtrip(spark, sf_dir):
+    both = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").union(table(spark, sf_dir, "region").selectExpr("cast(r_regionkey + 100 as int)", "r_name"))
+    return both.select("n_nationkey", parse.text_of(parse.parsed(codec.encode_word(F.col("n_name")))).alias("back"))
+
+
+@entry("select c_custkey, c_mktsegment as segment, cast(c_nationkey as varchar) as nation from customer")
+def label_project(spark, sf_dir):
+    label = lambda at, name: codec.encode_label(F.lit(at), F.lit(name))
+    record = F.concat(label(0, "segment"), codec.encode_word(F.col("c_mktsegment")), label(1, "nation"), codec.encode_integer(F.col("c_nationkey")), F.array(F.lit(28)))
+    return table(spark, sf_dir, "customer").select("c_custkey", parse.labelled(record).alias("m")).select("c_custkey", F.col("m")["segment"].alias("segment"), F.col("m")["nation"].alias("nation"))
+
+
+@entry("select c_custkey, c_mktsegment as segment, cast(c_nationkey as varchar) as nation from customer")
+def field_project(spark, sf_dir):
+    record = codec.encode_record(F.col("c_mktsegment"), F.col("c_nationkey"), kinds=["word", "int"])
+    return table(spark, sf_dir, "customer").select("c_custkey", parse.fields(parse.parsed(record), ["segment", "nation"]).alias("f")).select("c_custkey", "f.*")
+
+
+@entry("select n_nationkey, idx, v from (select n_nationkey, unnest([0, 1]) as idx, unnest([n_nationkey, n_regionkey])::bigint as v from nation)")
+def split_records(spark, sf_dir):
+    stream = F.concat(codec.encode_record(F.col("n_nationkey")), codec.encode_record(F.col("n_regionkey")))
+    ship(spark)
+    rows = parse.records_of(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("path"), stream.alias("tokens")))
+    return rows.select(F.col("path").cast("int").alias("n_nationkey"), F.col("record_idx").cast("int").alias("idx"), parse.value_vector(parse.parsed("tokens"))[0].alias("v"))
+
+
+@entry("select l_orderkey, l_linenumber, cast(floor((l_linenumber - 4) * 7 / 2.0) as bigint) + power(l_linenumber, 2)::bigint as v from lineitem")
+def expr_eval(spark, sf_dir):
+    line = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", arith.expression(["(", line, "-", 4, ")", "*", 7, "/", 2, "+", line, "^", 2]).alias("v"))
+
+
+@entry("select s_suppkey, cast(s_suppkey * 3 - 7 as varchar) as v from supplier")
+def expr_eval_streams(spark, sf_dir):
+    codes = codec.encode_expression(F.col("s_suppkey"), "*", 3, "-", 7)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", parse.evaluated(codes).alias("v"))
+
+
+@entry("select c_custkey, cast(cast(round(c_acctbal * 100) as bigint) * 10 + c_nationkey as bigint) as numerator, 3 as scale from customer")
+def decimal_add(spark, sf_dir):
+    out = arith.add(arith.scaled(_cents("c_acctbal"), F.lit(2)), arith.scaled(F.col("c_nationkey"), F.lit(3)))
+    return table(spark, sf_dir, "customer").select("c_custkey", out.alias("d")).select("c_custkey", F.col("d.numerator").cast("bigint").alias("numerator"), "d.scale")
+
+
+@entry("select c_custkey, cast(cast(round(c_acctbal * 100) as bigint) * c_nationkey as bigint) as numerator, 5 as scale from customer")
+def decimal_mul(spark, sf_dir):
+    out = arith.multiply(arith.scaled(_cents("c_acctbal"), F.lit(2)), arith.scaled(F.col("c_nationkey"), F.lit(3)))
+    return table(spark, sf_dir, "customer").select("c_custkey", out.alias("d")).select("c_custkey", F.col("d.numerator").cast("bigint").alias("numerator"), "d.scale")
+
+
+@entry("select n_nationkey, 0 as segment, cast(list_sum(d) % 32 as integer) as expected, true as passed from (select n_nationkey, " + DIGITS_SQL.format("n_nationkey") + " as d from nation)")
+def checksum_scan(spark, sf_dir):
+    parse.register(spark)
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", integrity.append_checksum(codec.encode_integer(F.col("n_nationkey"))).alias("t"))
+    rows.createOrReplaceTempView("lodestone_streams")
+    return spark.sql("select n_nationkey, s.segment, s.expected, s.passed from lodestone_streams, lateral scan_checksums(t) s")
+
+
+@entry("select n_nationkey, length(cast(n_nationkey as varchar)) + 1 as at from nation")
+def sync_point(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", integrity.next_sync_point(codec.encode_record(F.col("n_nationkey"))).cast("bigint").alias("at"))
+
+
+@entry("select n_nationkey, false as passed from nation")
+def bit_flip(spark, sf_dir):
+    codes = codec.encode_record(F.col("n_nationkey"), F.col("n_regionkey"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", integrity.verify_checksum(integrity.flip_bit(codes, 0, 2), integrity.checksum(codes))["passed"].alias("passed"))
+
+
+@entry("select n_nationkey // 10 as block, cast(sum(length(cast(n_nationkey as varchar)) + 2) + 2 as bigint) as n_tokens from nation group by 1")
+def periodic_checksums(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("record_idx"), codec.encode_record(F.col("n_nationkey")).alias("tokens"))
+    return integrity.periodic_checksums(rows, 10).select(F.col("block").cast("int").alias("block"), F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+# Policies and tenants.
+
+
+@entry("select o_orderkey, o_custkey from orders where o_custkey = 13")
+def owner_only(spark, sf_dir):
+    rules = policy.Policies().add("orders", "read", policy.owner_only)
+    return rules.view(table(spark, sf_dir, "orders"), "orders", "read", "o_custkey", 13).select("o_orderkey", "o_custkey")
+
+
+@entry("select o_orderkey, o_custkey from orders")
+def owner_or_admin(spark, sf_dir):
+    rules = policy.Policies().add("*", "*", policy.owner_or_admin).add("orders", "read", policy.authenticated_only)
+    return rules.view(table(spark, sf_dir, "orders"), "orders", "read", "o_custkey", policy.ADMIN).select("o_orderkey", "o_custkey")
+
+
+@entry("select o_orderkey from orders where o_custkey = 13 or o_custkey is null")
+def owner_vector(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.array(F.col("o_custkey"), F.col("o_orderkey")).alias("vec"))
+    return policy.owned(rows, "vec", 13).select("o_orderkey")
+
+
+GRANTS = """with s as (select user_id as record_id, arg_max(event_type, event_id) filter (event_type in ('click', 'error')) as g from events group by 1)"""
+
+
+@entry(GRANTS + " select o.record_id from (select distinct user_id as record_id from events) o left join s using (record_id) where coalesce(s.g = 'click', false) or o.record_id = 5")
+def grants(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    records = events.selectExpr("user_id as record_id").distinct()
+    owners = records.selectExpr("record_id", "-1L as pos", "'AUTH' as cmd", "record_id as arg")
+    given = events.where("event_type in ('click', 'error')").selectExpr("user_id as record_id", "event_id as pos", "if(event_type = 'click', 'GRANT_R', 'REVOKE') as cmd", "5L as arg")
+    return policy.readable(records, owners.union(given), 5)
+
+
+@entry("select c_custkey from customer where c_nationkey = 4 order by c_custkey limit 1000")
+def tenant_scope(spark, sf_dir):
+    return policy.tenant(table(spark, sf_dir, "customer").withColumn("tenant", F.col("c_nationkey").cast("string")), "4", most=1000, key="c_custkey").select("c_custkey")
+
+
+@entry("select c_custkey from customer where c_name not in (select c_name from customer where c_custkey % 2 = 0)")
+def new_accounts(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return policy.without_duplicates(customer, customer.where("c_custkey % 2 = 0"), "c_name").select("c_custkey")
+
+
+@entry("select n_nationkey, n_name from nation")
+def encrypt_roundtrip(spark, sf_dir):
+    from ..operators import crypto
+
+    ship(spark)
+    nation = table(spark, sf_dir, "nation")
+    sealed = nation.select("n_nationkey", crypto.encrypt_for_user(F.col("n_name").cast("binary"), F.col("n_nationkey"), 7, b"secret").alias("c"))
+    return sealed.select("n_nationkey", crypto.decrypt_for_user(F.col("c"), F.col("n_nationkey"), 7, b"secret").cast("string").alias("n_name"))
+
+
+# Change feeds and objects.
+
+
+@entry("select event_id, event_type from events where event_id > 500 and event_type in ('error', 'signup') order by event_id")
+def changes_since(spark, sf_dir):
+    log = table(spark, sf_dir, "events").selectExpr("event_id as seq", "user_id as record_id", "event_type as type")
+    return store.since(log, 500, types=["error", "signup"]).selectExpr("seq as event_id", "type as event_type")
+
+
+@entry("select event_id, case when event_type = 'purchase' then 'TXN_COMMIT' when event_type = 'view' then 'PUT' else 'UNKNOWN' end as type from events")
+def change_types(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "view", 1).otherwise(3).alias("flag"))
+    return feeds.typed(log).select("event_id", "type")
+
+
+@entry("select event_id from events where event_type = 'click' and user_id <> 5")
+def channel_messages(spark, sf_dir):
+    return feeds.channel(table(spark, sf_dir, "events").selectExpr("event_id", "event_type as channel", "user_id as sender"), "click", 5).select("event_id")
+
+
+@entry("select user_id, max(ts) as last_seen from events group by user_id having max(ts) >= (select max(ts) from events) - interval 3600 seconds")
+def presence_ttl(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts").alias("t")).first()["t"]
+    return feeds.presence(events, "user_id", "ts", F.lit(now).cast("timestamp_ntz"), 3600)
+
+
+@entry("select event_id, user_id, count(*) over (partition by user_id order by ts range between interval 60 seconds preceding and current row) as n_recent from events")
+def window_count(spark, sf_dir):
+    return feeds.recent_count(table(spark, sf_dir, "events"), "user_id", "ts", 60).select("event_id", "user_id", "n_recent")
+
+
+@entry()
+def rate_limit(spark, sf_dir):
+    ship(spark)
+    return feeds.rate_limit(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 3600.0)
+
+
+@entry("select event_id, user_id from events where event_id < 700")
+def replicate_halt(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id")
+    content = F.concat_ws("|", "event_id", "user_id")
+    log = events.withColumn("sha256", F.when(F.col("event_id") == 700, "0").otherwise(F.sha2(content, 256)))
+    return feeds.replicate(log, content, "event_id").select("event_id", "user_id")
+
+
+@entry("select event_id, user_id, event_type from events where event_type = 'purchase'")
+def stream_changes(spark, sf_dir):
+    """Runs the stream to the end of the folder and reads what its sink wrote."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path if _is_folder(spark, path) else f"{sf_dir}/events.parq[u]et")
+    out = feeds.subscribe(events.withColumnRenamed("event_type", "type"), types=["purchase"]).selectExpr("event_id", "user_id", "type as event_type")
+    sink, place = shared_dir(spark), shared_dir(spark)
+    out.writeStream.format("parquet").option("checkpointLocation", place).trigger(availableNow=True).start(sink).awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink)
+
+
+def _is_folder(spark, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
+@entry("select page_id, url, strlen(html) as size from pages where starts_with(url, 'http') order by url, page_id limit 100")
+def object_list(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").where(F.col("url").startswith("http"))
+    return pages.select("page_id", "url", F.octet_length("html").cast("bigint").alias("size")).orderBy("url", "page_id").limit(100)
+
+
+@entry("select sha256(html) as sha256, count(*) as n from pages group by 1")
+def object_dedup(spark, sf_dir):
+    held = objects.objects(table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content")), "b", 1)
+    return held.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"))
+
+
+@entry("select n_regionkey from nation where n_nationkey = 12")
+def attribute_lookup(spark, sf_dir):
+    return query.Table(table(spark, sf_dir, "nation"), "n_nationkey").get(12).select("n_regionkey")
+
+
+# What SQL gives beyond: grouping, windows, sets, outer joins.
+
+
+@entry("select l_returnflag, l_linestatus, sum(l_quantity) as sum_qty, avg(l_discount) as avg_disc, count(*) as n from lineitem group by l_returnflag, l_linestatus")
+def group_by(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.avg("l_discount").alias("avg_disc"), F.count(F.lit(1)).alias("n"))
+
+
+@entry("select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from orders")
+def window_rank(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("bigint").alias("rn"))
+
+
+@entry("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def anti_join(spark, sf_dir):
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@entry("select c_nationkey as k from customer except select s_nationkey as k from supplier where s_nationkey < 12")
+def set_difference(spark, sf_dir):
+    return table(spark, sf_dir, "customer").selectExpr("c_nationkey as k").subtract(table(spark, sf_dir, "supplier").where("s_nationkey < 12").selectExpr("s_nationkey as k"))
