@@ -23,7 +23,7 @@ def parse_filter(text: str) -> tuple[str, str, str] | None:
 
 
 def predicate(df: DataFrame, field: str, op: str, value: str) -> Column:
-    """One comparison. A missing field, an unknown operator or a bad number is false for all rows; so is null."""
+    """One comparison, as plain as the file scan can use it. A missing field, an unknown operator or a bad number is false for all rows; null is not true."""
     if field not in df.columns:
         return F.lit(False)
     numeric = isinstance(df.schema[field].dataType, NumericType)
@@ -35,8 +35,8 @@ def predicate(df: DataFrame, field: str, op: str, value: str) -> Column:
             number = float(value)
         except ValueError:
             return F.lit(False)
-        return F.coalesce(known[op](F.col(field), F.lit(int(number) if number.is_integer() and abs(number) < 2**53 else number)), F.lit(False))
-    return F.coalesce(known[op](F.col(field), value), F.lit(False))
+        return known[op](F.col(field), F.lit(int(number) if number.is_integer() and abs(number) < 2**53 else number))
+    return known[op](F.col(field), value)
 
 
 def where(df: DataFrame, filters: Sequence[str]) -> DataFrame:
