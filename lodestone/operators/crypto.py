@@ -75,3 +75,33 @@ def encrypt_with_password(content: Column, record_id: Column, salt: bytes, passw
 
 def decrypt_with_password(content: Column, record_id: Column, salt: bytes, password: str) -> Column:
     return _udf(lambda c, r: open_sealed(*record_keys(password_key(salt, password), r), c, tag_nonce=False))(content, record_id)
+
+
+def escrow_key(user_key: bytes, server_key: bytes) -> bytes:
+    """A user's key, sealed for the server."""
+    return seal(server_key, server_key, user_key)
+
+
+def recover_key(escrowed: bytes, server_key: bytes) -> bytes:
+    return open_sealed(server_key, server_key, escrowed)
+
+
+def read_as_server(records, grants, escrow, server_key: bytes):
+    """(record_id, content) of (record_id, user_id, content) records that were granted to the server, opened with the users' escrowed keys.
+
+    A record without grant, or of a user without escrowed key, is left out; a wrong server key raises.
+    """
+    granted = records.join(grants.select("record_id").distinct(), "record_id", "left_semi").join(escrow.select("user_id", "escrowed"), "user_id")
+
+    @F.pandas_udf(BinaryType())
+    def opened(content: pd.Series, record_id: pd.Series, escrowed: pd.Series) -> pd.Series:
+        return pd.Series([open_sealed(*record_keys(recover_key(bytes(e), server_key), int(r)), bytes(c), tag_nonce=False) for c, r, e in zip(content, record_id, escrowed, strict=True)])
+
+    return granted.select("record_id", opened("content", "record_id", "escrowed").alias("content"))
+
+
+def open_by_mode(mode: Column, content: Column, record_id: Column, user_id: int, salt: bytes, password: str, secret: bytes) -> Column:
+    """The content of one user's records: of mode ``zero`` by the password's keys, of mode ``managed`` by the application's."""
+    zero = F.when(mode == "zero", content)
+    managed = F.when(mode == "managed", content)
+    return F.coalesce(decrypt_with_password(zero, record_id, salt, password), decrypt_for_user(managed, record_id, user_id, secret))

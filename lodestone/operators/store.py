@@ -145,3 +145,32 @@ def since(log: DataFrame, after: int, record_id: int | None = None, types: list[
     if types is not None:
         out = out.where(F.col("type").isin(*types))
     return out.orderBy(seq)
+
+
+def json_codes(body: Column, fields: list[tuple[str, str]]) -> Column:
+    """The record of a JSON text: its fields in the order of ``fields`` (name and ``int`` or ``word``); missing ones are skipped, numbers cut to integers."""
+    from ..functions import codec
+
+    parts = []
+    for name, kind in fields:
+        text = F.get_json_object(body, f"$.{name}")
+        value = codec.encode_integer(text.cast("double").cast("bigint")) if kind == "int" else codec.encode_word(text)
+        parts.append(F.when(text.isNull(), F.array().cast("array<int>")).otherwise(value))
+    return F.concat(*parts, F.array(F.lit(28)))
+
+
+def update_if_match(records: DataFrame, writes: DataFrame, codes: str = "tokens") -> DataFrame:
+    """writes (record_id, tokens, if_match) with ``accepted``: no hash is asked for, no record is there, or the current one has that hash."""
+    from ..functions.integrity import content_hash
+
+    current = live(records).select("record_id", content_hash(F.col(codes)).alias("_hash"))
+    both = writes.join(current, "record_id", "left")
+    return both.withColumn("accepted", F.col("if_match").isNull() | F.col("_hash").isNull() | (F.col("if_match") == F.col("_hash"))).drop("_hash")
+
+
+def append(records: DataFrame, path: str, codes: str = "tokens") -> None:
+    """Appends records, each of which must end with RECORD, to a Parquet folder: one commit for the batch."""
+    ends = F.element_at(F.col(codes), -1) == 28
+    kind = records.schema[codes].dataType
+    checked = F.when(F.coalesce(ends, F.lit(False)), F.col(codes)).otherwise(F.raise_error(F.lit("a record must end with RECORD")).cast(kind))
+    records.withColumn(codes, checked).write.mode("append").parquet(path)

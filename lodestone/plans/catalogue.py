@@ -542,6 +542,69 @@ def encrypt_roundtrip(spark, sf_dir):
     return sealed.select("n_nationkey", crypto.decrypt_for_user(F.col("c"), F.col("n_nationkey"), 7, b"secret").cast("string").alias("n_name"))
 
 
+@entry("select n_nationkey, n_name from nation where n_nationkey % 3 = 0")
+def server_grants(spark, sf_dir):
+    from ..operators import crypto
+
+    ship(spark)
+    key, server = crypto.password_key(b"salt", "pw"), bytes(32)
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("record_id"), F.lit(7).alias("user_id"), "n_name")
+    sealed = nation.select("record_id", "user_id", crypto.encrypt_with_password(F.col("n_name").cast("binary"), F.col("record_id"), b"salt", "pw").alias("content"))
+    escrow = spark.createDataFrame([(7, crypto.escrow_key(key, server))], "user_id int, escrowed binary")
+    found = crypto.read_as_server(sealed, nation.where("record_id % 3 = 0"), escrow, server)
+    return found.select(F.col("record_id").alias("n_nationkey"), F.col("content").cast("string").alias("n_name"))
+
+
+@entry("select n_nationkey, n_name from nation")
+def two_modes(spark, sf_dir):
+    from ..operators import crypto
+
+    ship(spark)
+    nation = table(spark, sf_dir, "nation").withColumn("mode", F.expr("if(n_nationkey % 2 = 0, 'zero', 'managed')"))
+    plain, key = F.col("n_name").cast("binary"), F.col("n_nationkey")
+    sealed = F.when(F.col("mode") == "zero", crypto.encrypt_with_password(plain, key, b"s", "pw")).otherwise(crypto.encrypt_for_user(plain, key, 7, b"app"))
+    opened = crypto.open_by_mode(F.col("mode"), F.col("c"), key, 7, b"s", "pw", b"app")
+    return nation.withColumn("c", sealed).select("n_nationkey", opened.cast("string").alias("n_name"))
+
+
+@entry("select n_name from nation where n_nationkey = 4 union all select 'NEW' as n_name")
+def signup_login(spark, sf_dir):
+    from ..operators import accounts
+
+    ship(spark)
+    users = spark.createDataFrame([], "user_id bigint, email string, salt string, hash string, name string")
+    nation = table(spark, sf_dir, "nation").select(F.concat("n_nationkey", F.lit("@x")).alias("email"), F.lit("pw").alias("password"), F.col("n_name").alias("name"), F.lit("s").alias("salt"))
+    users = accounts.signup(users, nation)
+    users = accounts.signup(users, spark.createDataFrame([("4@x", "other", "IGNORED", "s"), ("new@x", "pw", "NEW", "s")], "email string, password string, name string, salt string"))
+    return accounts.login(users, "4@x", "pw").union(accounts.login(users, "new@x", "pw")).union(accounts.login(users, "3@x", "wrong")).select(F.col("name").alias("n_name"))
+
+
+@entry("select event_id, cast(cast(props::json->>'k' as bigint) as varchar) as k from events where (props::json->>'k') is not null")
+def json_records(spark, sf_dir):
+    events = table(spark, sf_dir, "events").where(F.get_json_object("props", "$.k").isNotNull())
+    codes = store.json_codes(F.col("props"), [("k", "int"), ("missing", "word")])
+    return events.select("event_id", parse.text_of(parse.parsed(codes)).alias("k"))
+
+
+@entry("select n_nationkey, n_nationkey % 2 = 0 as accepted from nation")
+def update_if_match(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("record_id"), F.lit(1).alias("version"), F.lit(False).alias("is_deleted"), codec.encode_record(F.col("n_nationkey")).alias("tokens"))
+    own = integrity.content_hash(F.col("tokens"))
+    writes = nation.select("record_id", F.when(F.col("record_id") % 2 == 0, own).otherwise(F.lit("stale")).alias("if_match"))
+    return store.update_if_match(nation, writes).select(F.col("record_id").alias("n_nationkey"), "accepted")
+
+
+@entry("select n_nationkey from nation")
+def grid_roundtrip(spark, sf_dir):
+    from ..sources import binary
+
+    path = shared_dir(spark)
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("record_idx"), codec.encode_record(F.col("n_nationkey"), F.col("n_name"), kinds=["int", "word"]).alias("tokens"))
+    binary.write_grid(rows, path)
+    back = binary.grid_rows(spark.read.parquet(path).select(F.col("part").cast("string").alias("path"), "content"))
+    return back.select(parse.value_vector(parse.parsed("tokens"))[0].cast("int").alias("n_nationkey"))
+
+
 # Change feeds and objects.
 
 

@@ -46,11 +46,7 @@ def _each(df: DataFrame, rows: Callable[[str, bytes], Iterator[tuple]], schema:
 def grid(spark: SparkSession, path: str) -> DataFrame:
     """(path, record_idx, bit_offset, tokens) of packed streams behind a four-byte pad count."""
 
-    def rows(name: str, content: bytes) -> Iterator[tuple]:
-        for r in split_records(unpack_bytes(content[4:], struct.unpack(">I", content[:4])[0])):
-            yield (name, *r)
-
-    return _each(files(spark, path), rows, "path string, record_idx bigint, bit_offset bigint, tokens array<int>")
+    return grid_rows(files(spark, path))
 
 
 def _addressed(name: str, table: bytes, data: bytes) -> Iterator[tuple]:
@@ -170,3 +166,25 @@ def addressed_bytes(records: list[tuple[int, bytes, int]]) -> tuple[bytes, bytes
         data += packed
     data[:12] = struct.pack(">IQ", DATA_MAGIC, len(data))
     return bytes(table), bytes(data)
+
+
+def write_grid(records: DataFrame, path: str, codes: str = "tokens", order: str = "record_idx") -> None:
+    """One packed stream for each partition range of the records, behind a pad count, as rows (part, content) of a Parquet folder.
+
+    grid_rows() reads them back. A stream is built by one task for its own range, so no task holds all records.
+    """
+    ranged = records.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
+    streams = ranged.groupBy("part").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(codes).alias("t")))).alias("r"))
+    whole = streams.select("part", F.flatten(F.transform("r", lambda e: e["t"])).alias("t"))
+    streams = whole.select("part", F.concat(F.unhex(F.lpad(F.hex(codec.pad_bits(F.col("t"))), 8, "0")), codec.pack(F.col("t"))).alias("content"))
+    streams.write.parquet(path)
+
+
+def grid_rows(df: DataFrame) -> DataFrame:
+    """(path, record_idx, bit_offset, tokens) of (path, content) rows that hold packed streams."""
+
+    def rows(name: str, content: bytes) -> Iterator[tuple]:
+        for r in split_records(unpack_bytes(content[4:], struct.unpack(">I", content[:4])[0])):
+            yield (name, *r)
+
+    return _each(df, rows, "path string, record_idx bigint, bit_offset bigint, tokens array<int>")

@@ -155,3 +155,14 @@ def replicate(log: DataFrame, content: Column, seq: str = "seq") -> DataFrame:
     from ..operators.store import before_damage
 
     return before_damage(log.withColumn("intact", F.sha2(content, 256) == F.col("sha256")), seq).drop("intact")
+
+
+def commit_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], place: str, seconds: float | None = None):
+    """Starts a query that hands every micro-batch to ``apply`` once: group commit, change callbacks, sinks. Without ``seconds`` it ends with the input."""
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", place)
+    return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def history_then_live(log: DataFrame, live: DataFrame, after: int, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """What a subscriber that knows ``after`` gets: the entries since, and the stream of later ones."""
+    return log.where(F.col(seq) > after).orderBy(seq), live.where(F.col(seq) > after)
