@@ -40,7 +40,27 @@ def shared_dir(spark: SparkSession) -> str:
         if base is None:
             base = tempfile.mkdtemp(prefix="lodestone-")
             spark.sparkContext._lodestone_dir = base
-    return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+    made(spark).append(path)
+    return path
+
+
+def made(spark: SparkSession) -> list[str]:
+    """Folders that this context has been given by shared_dir(), oldest first."""
+    context = spark.sparkContext
+    if not hasattr(context, "_lodestone_made"):
+        context._lodestone_made = []
+    return context._lodestone_made
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of shared_dir(), whatever file system they are on."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        if path in made(spark):
+            made(spark).remove(path)
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
