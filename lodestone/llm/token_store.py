@@ -35,108 +35,209 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from ..session import shared_dir, ship
 from . import kernel as K
-from . import pretokens
 from .sentencepieces import spans
 
-TABLE = 400_000
+TABLE = 1_000_000
 SPAN, CUT_BITS, MAX_CHUNK = 16, 9, 4096
 FLUSH_IDS = 3_000_000
-#: Words of these characters only are lower-cased and cut by the simple rule below; others go to the library whole.
-_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
-_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-_WHITE = re.compile(r"[ \t-\r]+")
+# Texts of white space, ASCII without the apostrophe and "<|", and Latin-1 letters are lower-cased and cut
+# into runs in numpy: letters, single digits, others. That is the tokenizer's own rule on such
+# texts. In other texts the words that are not of this kind go to the library whole.
+_PLAIN = bytes(c for c in range(256) if 9 <= c <= 13 or 32 <= c <= 126 and c != 39 or c >= 192 and c not in (215, 247))
+_RUN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\t-\r ]+")
+_WHITE = re.compile(r"[\t-\r ]+")
+_LETTER, _DIGIT, _OTHER, _GAP = 1, 2, 3, 0
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[K.SPACE] = _GAP
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _KIND[128:] = _LETTER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Bytes that no plain text holds; 195 leads the Latin-1 letters.
+_STRANGE = np.ones(256, bool)
+_STRANGE[[*range(9, 14), *range(32, 39), *range(40, 127), *range(128, 192), 195]] = False
+
+
+def _is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
+
+
+def plain_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(whether each text is plain, lower-cased bytes, starts and ends of runs, each text's first run and one more)."""
+    n, texts = len(data), len(offsets) - 1
+    if not n:
+        none = np.empty(0, np.int64)
+        return np.ones(texts, bool), data, none, none, np.zeros(texts + 1, np.int64)
+    led = np.zeros(n, bool)
+    led[1:] = data[:-1] == 195
+    tail = (data >= 128) & (data < 192)
+    strange = _STRANGE[data] | (tail & ~led) | (led & ((data == 151) | (data == 183)))
+    strange[1:] |= (data[1:] == 124) & (data[:-1] == 60)
+    at = np.searchsorted(np.flatnonzero(strange), offsets)
+    plain = at[1:] == at[:-1]
+    low = _LOWER[data]
+    low[led & (data < 159)] += 32
+    kind = _KIND[data]
+    first = np.zeros(n, bool)
+    first[offsets[:-1][offsets[:-1] < n]] = True
+    new = first.copy()
+    new[0] = True
+    new[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], n)
+    held = kind[begin] != _GAP
+    begin, end = begin[held], end[held]
+    return plain, low, begin, end, np.searchsorted(begin, offsets)
+
+
+class Slots:
+    """Numbers of 64-bit keys, by open addressing in numpy arrays."""
+
+    def __init__(self, most: int) -> None:
+        self.mask = np.int64((1 << (2 * most).bit_length()) - 1)
+        self.keys, self.numbers = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int32)
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(self.mask)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key (none is 0), or -1."""
+        at, out, open_ = self._first(keys), np.full(len(keys), -1, np.int32), np.arange(len(keys))
+        while len(open_):
+            there = self.keys[at[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.numbers[at[open_[hit]]]
+            open_ = open_[~hit & (there != 0)]
+            at[open_] = (at[open_] + 1) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct new keys."""
+        at, open_ = self._first(keys), np.arange(len(keys))
+        while len(open_):
+            free = self.keys[at[open_]] == 0
+            tried = open_[free]
+            self.keys[at[tried]] = keys[tried]
+            won = self.keys[at[tried]] == keys[tried]
+            self.numbers[at[tried[won]]] = numbers[tried[won]]
+            open_ = np.concatenate([open_[~free], tried[~won]])
+            at[open_] = (at[open_] + 1) & self.mask
 
 
 class WordEncoder:
-    """Ids of texts for a tokenizer whose tokens never span white space, by a table of words and their runs."""
+    """Ids of texts for a tokenizer whose tokens never span white space, by a table of runs (and odd words), by 64-bit hash."""
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
-        marks = [i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]
+        self.runs = Tokenizer(self.library.model)  # takes runs, one a line, without normalising them again
+        self.runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
-        self.ends[marks] = True
-        self.runs: dict[str, list[int]] = {}
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Slots(2 * TABLE)
         self.pool, self.size, self.at = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _learn_runs(self, runs: list[str]) -> None:
-        """Runs are encoded many at a time, one a line; the last id of each has the word-end mark."""
-        for i in range(0, len(runs), 1000):
-            some = runs[i : i + 1000]
-            ids = np.array(self.library.encode("\n".join(some), add_special_tokens=False).ids, np.int64)
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == len(some):
-                self.runs.update(zip(some, (p.tolist() for p in np.split(ids, last[:-1])), strict=True))
-            else:  # not as foreseen: one by one
-                self.runs.update((r, self.library.encode(r, add_special_tokens=False).ids) for r in some)
-
-    def learn(self, words: list[str]) -> None:
-        plain, lists = {}, {}
-        for w in words:
-            if _PLAIN.fullmatch(w) and "<|" not in w:
-                plain[w] = _RUNS.findall(w.lower())
-        new = {r for parts in plain.values() for r in parts}.difference(self.runs)
-        if len(new) + len(self.runs) > TABLE:
-            self.runs.clear()
-            new = {r for parts in plain.values() for r in parts}
-        if new:
-            self._learn_runs(list(new))
-        odd = [w for w in words if w not in plain]
-        for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False) if odd else (), strict=True):
-            lists[w] = e.ids
-        runs = self.runs
-        base = len(self.size)
-        flat: list[int] = []
-        sizes = []
-        for w in words:
-            before = len(flat)
-            if w in lists:
-                flat += lists[w]
-            else:
-                for r in plain[w]:
-                    flat += runs[r]
-            sizes.append(len(flat) - before)
-        self.known.update(zip(words, range(base, base + len(words)), strict=True))
-        self.pool = np.concatenate([self.pool, np.array(flat, np.uint32)])
-        self.size = np.concatenate([self.size, np.array(sizes, np.int64)])
+    @staticmethod
+    def keys(text: str) -> list[str]:
+        """Runs and odd words of any text."""
+        return [r for w in _WHITE.split(text) if w for r in (_RUN.findall(w.lower()) if _is_plain(w) else (w,))]
+
+    def _learn(self, new: list[str], odd: bool) -> None:
+        """Ids of keys, to the end of the pool. Runs go many at a time; the last id of each has the word-end mark."""
+        pools, sizes = [self.pool], [self.size]
+        if odd:
+            lists = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+            pools.append(np.array([x for part in lists for x in part], np.uint32))
+            sizes.append(np.array([len(x) for x in lists], np.int64))
+        else:
+            for i in range(0, len(new), 1000):
+                some = new[i : i + 1000]
+                ids = np.array(self.runs.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                size = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+                if len(size) != len(some):
+                    raise ValueError("a run is not one word of the tokenizer")
+                pools.append(ids)
+                sizes.append(size)
+        self.pool, self.size = np.concatenate(pools), np.concatenate(sizes)
         self.at = np.cumsum(self.size) - self.size
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids with the end id after each text, and offsets."""
-        parts = [t.split() if t.isascii() and not _ODD_WHITE.search(t) else [w for w in _WHITE.split(t) if w] for t in texts]
-        new = set().union(*parts).difference(self.known)
-        if len(new) + len(self.known) > TABLE:
+    def _numbers(self, low: np.ndarray, begin: np.ndarray, end: np.ndarray, odd: bool) -> np.ndarray:
+        """Numbers of the keys low[begin:end], learning new ones. Odd words have hashes of their own."""
+        hashes = K.span_hashes(low, begin, end)
+        hashes = (~hashes if odd else hashes) | np.uint64(1)
+        out = self.known.find(hashes)
+        lost = np.flatnonzero(out < 0)
+        if len(lost):
+            fresh, first, back = np.unique(hashes[lost], return_index=True, return_inverse=True)
+            raw, at = low.tobytes(), lost[first]
+            base = len(self.size)
+            self._learn([raw[a:z].decode() for a, z in zip(begin[at].tolist(), end[at].tolist(), strict=True)], odd)
+            numbers = np.arange(base, base + len(fresh), dtype=np.int32)
+            self.known.add(fresh, numbers)
+            out[lost] = numbers[back]
+        return out
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of UTF-8 texts with the end id after each, and offsets."""
+        texts = len(offsets) - 1
+        if len(self.size) > TABLE:
             self.forget()
-            new = set().union(*parts)
-        if new:
-            self.learn(list(new))
-        lengths = np.array([len(p) for p in parts], np.int64)
-        which = np.fromiter(map(self.known.__getitem__, (w for p in parts for w in p)), np.int64, int(lengths.sum()))
+        plain, low, begin, end, first = plain_runs(data, offsets)
+        count = np.where(plain, np.diff(first), 0)
+        if not plain.all():
+            own = np.repeat(plain, np.diff(first))
+            begin, end = begin[own], end[own]
+        which = self._numbers(low, begin, end, False)
+        if not plain.all():
+            raw = data.tobytes()
+            some = np.flatnonzero(~plain)
+            parts = [self.keys(raw[offsets[i] : offsets[i + 1]].decode()) for i in some.tolist()]
+            flat = [k for p in parts for k in p]
+            blobs = [k.encode() for k in flat]
+            sizes = np.array([len(x) for x in blobs], np.int64)
+            stop = np.cumsum(sizes)
+            joined = np.frombuffer(b"".join(blobs), np.uint8)
+            odd = np.array([not _is_plain(k) for k in flat], bool)
+            more = np.empty(len(flat), np.int32)
+            for kind in (False, True):
+                who = np.flatnonzero(odd == kind)
+                more[who] = self._numbers(joined, (stop - sizes)[who], stop[who], kind)
+            at = np.cumsum(count) - count  # where each text's keys lie in the two lists put together
+            lengths = np.array([len(p) for p in parts], np.int64)
+            at[some], count[some] = len(which) + np.cumsum(lengths) - lengths, lengths
+            which = spans(np.concatenate([which, more]), at, count)
         size = self.size[which]
-        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(lengths)])]
-        bare = spans(self.pool, self.at[which], size)
-        out = np.full(len(bare) + len(texts), end_id, np.uint32)
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
+        out = np.full(int(size.sum()) + texts, end_id, np.uint32)
         keep = np.ones(len(out), bool)
-        keep[ends[1:] + np.arange(len(texts))] = False
-        out[keep] = bare
-        return out, ends + np.arange(len(texts) + 1)
+        keep[ends[1:] + np.arange(texts)] = False
+        out[keep] = spans(self.pool, self.at[which], size)
+        return out, ends + np.arange(texts + 1)
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = K.utf8(pa.array(texts, pa.large_string()))
+        return self.encode_bytes(data, offsets, end_id)
 
 
-#: White space to str.split() beyond the six characters that separate words here.
-_ODD_WHITE = re.compile("[\x1c-\x1f]")
 _encoders: dict[str, WordEncoder] = {}
 
 
+#: A 64-bit value for each id (ids beyond share them).
+_CODES = K.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
 def cut(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Chunk ends of streams: where a hash of the last SPAN ids says so, at MAX_CHUNK, and at the stream's end."""
-    hashes = K.rolling(K.mix(ids.astype(np.uint64) + np.uint64(1)), SPAN)
+    hashes = K.rolling(_CODES[ids & np.uint32(len(_CODES) - 1)], SPAN)
     here = np.flatnonzero((hashes & np.uint64((1 << CUT_BITS) - 1)) == 0) + SPAN
     begin = ends[np.searchsorted(ends, here - 1, "right") - 1]
     here = np.union1d(here[here - begin >= SPAN], ends[1:])  # only windows inside one stream count
@@ -183,8 +284,9 @@ def _write(path: str, end_id: int, buckets: int):
             return pa.record_batch([pa.array([b for b, _ in blocks], pa.int32()), none, none, pa.array([x for _, x in blocks], pa.binary())], names=["bucket", "doc_id", "n_tokens", "block"])
 
         for batch in batches:
-            for i, j, texts in pretokens.texts(batch, 1, 1 << 20):
-                ids, ends = encoder.encode(texts, end_id)
+            data, offsets = K.utf8(batch.column(1))
+            for i, j in K.cuts(offsets, 1 << 20):
+                ids, ends = encoder.encode_bytes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end_id)
                 last = cut(ids, ends)
                 wide = ids.astype("<u4")
                 raw = wide.tobytes()
@@ -212,19 +314,17 @@ def _write(path: str, end_id: int, buckets: int):
 def _unique(rows: pa.Table) -> pa.Table:
     """Of one bucket: its recipes as they are, and one block with each of its chunks once."""
     known = np.asarray(rows["n_tokens"].is_valid())
-    recipes = rows.filter(pa.array(known))
-    kept: dict[bytes, np.ndarray] = {}
-    for block in rows.filter(pa.array(~known))["block"]:
-        raw, sizes, ids = K.unpack(block.as_py())
-        ends = np.cumsum(sizes.astype(np.int64))
-        for d, a, z in zip(_digests(raw), (ends - sizes).tolist(), ends.tolist(), strict=True):
-            if d not in kept:
-                kept[d] = ids[a:z]
-    recipes = recipes.select(["bucket", "doc_id", "n_tokens", "block"])
-    if not kept:
+    recipes = rows.filter(pa.array(known)).select(["bucket", "doc_id", "n_tokens", "block"])
+    blocks = [K.unpack(block.as_py()) for block in rows.filter(pa.array(~known))["block"]]
+    if not blocks:
         return recipes
-    names = sorted(kept)
-    block = K.pack(np.frombuffer(b"".join(names), np.uint8), K.narrow(np.array([len(kept[d]) for d in names])), K.narrow(np.concatenate([kept[d].astype(np.uint32) for d in names])))
+    names = np.concatenate([raw for raw, _, _ in blocks]).reshape(-1, 16)
+    size = np.concatenate([sizes.astype(np.int64) for _, sizes, _ in blocks])
+    ids = np.concatenate([ids for _, _, ids in blocks])
+    order = np.lexsort(np.ascontiguousarray(names).view(">u8").T[::-1])
+    new = np.append(True, (names[order[1:]] != names[order[:-1]]).any(axis=1))
+    order = order[new]
+    block = K.pack(names[order].reshape(-1), K.narrow(size[order]), K.narrow(spans(ids, (np.cumsum(size) - size)[order], size[order])))
     chunk = pa.table([pa.array([rows["bucket"][0].as_py()], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([block], pa.binary())], names=["bucket", "doc_id", "n_tokens", "block"])
     return pa.concat_tables([recipes.cast(chunk.schema), chunk])
 
