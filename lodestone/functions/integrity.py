@@ -38,7 +38,7 @@ def next_sync_point(codes: Column, start: Column | int = 0) -> Column:
 
 def flip_bit(codes: Column, position: Column | int, bit: Column | int) -> Column:
     """The stream with one bit of one token inverted (bit 0 is the first of five)."""
-    mask = F.expr(f"shiftleft(1, 4 - {bit})") if isinstance(bit, int) else F.shiftleft(F.lit(1), 4).bitwiseAND(0) + F.pow(2, 4 - bit).cast("int")
+    mask = F.lit(1 << (4 - bit)) if isinstance(bit, int) else F.pow(F.lit(2), 4 - bit).cast("int")
     return F.transform(codes, lambda t, i: F.when(i == position, t.bitwiseXOR(mask)).otherwise(t))
 
 

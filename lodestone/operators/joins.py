@@ -72,12 +72,32 @@ def _two_smallest(df: DataFrame, key: str, value: str) -> DataFrame:
     return first.join(rest, value, "left")
 
 
-def nearest_pair_of_vectors(df: DataFrame, key: str, columns: list[str], most_rows: int = 20_000) -> DataFrame:
-    """The two rows with the smallest Manhattan distance of several columns, in blocks; for a stated small set only."""
-    n = df.count()
-    if n > most_rows:
-        raise ValueError(f"{n} rows: a pairwise search is for at most {most_rows}")
-    a, b = df.alias("a"), df.alias("b")
-    distance = sum((F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) for c in columns), F.lit(0))
-    pairs = a.join(b, F.col(f"a.{key}") < F.col(f"b.{key}"))
-    return pairs.agg(F.min(F.struct(distance.alias("distance"), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))).alias("m")).select("m.*")
+def nearest_pair_of_vectors(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The two rows with the smallest Manhattan distance of several integer columns; ties by the smaller, then the larger key.
+
+    Neighbours in sorted order give an upper bound. If it is 0, equal vectors decide. Else rows are dealt
+    into cells as wide as the bound, and only rows of the same or of adjacent cells meet; a cell holds few rows,
+    because no two are equal and the bound shrinks as rows become denser.
+    """
+    rows = materialize(df.select(key, *columns).repartitionByRange(*[F.col(c) for c in columns]).withColumn("part", F.spark_partition_id()))
+    bound = None
+    for window in (Window.partitionBy("part").orderBy(*columns, key), Window.orderBy(*columns, key)):
+        if bound is None:  # the second time every partition holds one row at most
+            step = sum((F.abs(F.col(c) - F.lag(c).over(window)) for c in columns), F.lit(0))
+            bound = rows.select(step.alias("d")).agg(F.min("d").alias("d")).first()["d"]
+    found = "distance", "a", "b"
+    if bound is None:
+        return df.sparkSession.createDataFrame([], "distance bigint, a bigint, b bigint")
+    if bound == 0:
+        pair = _two_smallest(rows.withColumn("v", F.struct(*columns)), key, "v").where("k2 is not null")
+        return pair.agg(F.min(F.struct(F.lit(0).cast("bigint").alias("distance"), F.col("k1").alias("a"), F.col("k2").alias("b"))).alias("m")).select(*[f"m.{c}" for c in found])
+    cells = [F.floor(F.col(c) / bound).cast("bigint") for c in columns]
+    near = [F.explode(F.array(*[F.lit(s) for s in (-1, 0, 1)])).alias(f"s{i}") for i in range(len(columns))]
+    a = rows
+    for n in near:
+        a = a.select("*", n)
+    a = a.select(F.col(key).alias("a"), *[F.col(c).alias(f"a{i}") for i, c in enumerate(columns)], *[(x + F.col(f"s{i}")).alias(f"c{i}") for i, x in enumerate(cells)])
+    b = rows.select(F.col(key).alias("b"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(columns)], *[x.alias(f"c{i}") for i, x in enumerate(cells)])
+    distance = sum((F.abs(F.col(f"a{i}") - F.col(f"b{i}")) for i in range(len(columns))), F.lit(0)).cast("bigint")
+    met = a.join(b, [f"c{i}" for i in range(len(columns))]).where("a < b")
+    return met.agg(F.min(F.struct(distance.alias("distance"), "a", "b")).alias("m")).select(*[f"m.{c}" for c in found])

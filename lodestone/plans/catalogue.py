@@ -308,9 +308,12 @@ def nearest_pair(spark, sf_dir):
     return joins.nearest_pair(table(spark, sf_dir, "customer").select("c_custkey", _cents("c_acctbal").alias("x")), "c_custkey", "x")
 
 
-@entry("select distance, a, b from (select abs(x.p_size - y.p_size) + abs(cast(round(x.p_retailprice) as bigint) - cast(round(y.p_retailprice) as bigint)) as distance, x.p_partkey as a, y.p_partkey as b from part x join part y on x.p_partkey < y.p_partkey where y.p_partkey <= 500) order by 1, 2, 3 limit 1")
+PRICED = "(select p_partkey, p_size::bigint as s, cast(round(p_retailprice * 100) as bigint) as r from part)"
+
+
+@entry(f"select min(abs(x.s - y.s) + abs(x.r - y.r)) as distance, arg_min(x.p_partkey, (abs(x.s - y.s) + abs(x.r - y.r)) * 1e12 + x.p_partkey * 1e6 + y.p_partkey) as a, arg_min(y.p_partkey, (abs(x.s - y.s) + abs(x.r - y.r)) * 1e12 + x.p_partkey * 1e6 + y.p_partkey) as b from {PRICED} x join {PRICED} y on x.p_partkey < y.p_partkey")
 def nearest_pair_vectors(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey <= 500").select("p_partkey", F.col("p_size").cast("bigint").alias("s"), F.round("p_retailprice").cast("bigint").alias("r"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("s"), _cents("p_retailprice").alias("r"))
     return joins.nearest_pair_of_vectors(part, "p_partkey", ["s", "r"])
 
 

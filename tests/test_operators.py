@@ -111,6 +111,17 @@ def test_shards_and_pairs(spark):
     assert tuple(joins.nearest_pair(same, "id", "x").first()) == (0, 7, 8)
 
 
+def test_nearest_vectors(spark):
+    import random
+
+    rng = random.Random(3)
+    for n, top in ((2, 9), (40, 3), (60, 1000), (300, 100_000)):
+        rows = [(i, rng.randint(-top, top), rng.randint(0, top), rng.randint(0, top)) for i in rng.sample(range(1000), n)]
+        got = joins.nearest_pair_of_vectors(spark.createDataFrame(rows, "id bigint, x bigint, y bigint, z bigint"), "id", ["x", "y", "z"]).first()
+        assert tuple(got) == min((sum(abs(p - q) for p, q in zip(r[1:], s[1:], strict=True)), r[0], s[0]) for r in rows for s in rows if r[0] < s[0])
+    assert joins.nearest_pair_of_vectors(spark.createDataFrame([(1, 1)], "id bigint, x bigint"), "id", ["x"]).count() == 0
+
+
 def test_filters(spark, records):
     assert query.parse_filter("a:b:c:d") == ("a", "b", "c:d") and query.parse_filter("a:1") == ("a", "eq", "1") and query.parse_filter("a") is None
     assert ids(query.where(records, ["usd:gte:5000", "name:contains:L"])) == [0, 1_000_000]
