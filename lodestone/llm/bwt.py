@@ -24,7 +24,7 @@ class Column:
     def write(self, values: np.ndarray) -> None:
         self.file.seek(0)
         self.file.truncate()
-        self.file.write(values.tobytes())
+        self.file.write(memoryview(values))
         self.kind = values.dtype
 
     def read(self) -> np.ndarray:
@@ -32,19 +32,43 @@ class Column:
         return np.frombuffer(self.file.read(), self.kind)
 
 
+_twice: dict[type, np.ndarray] = {}
+
+
+def twice(n: int, kind: type) -> np.ndarray:
+    """0, 2, 4, ... (n of them)."""
+    if len(_twice.get(kind, ())) < n:
+        _twice[kind] = np.arange(0, 2 * max(n, 1 << 18), 2, dtype=kind)
+    return _twice[kind][:n]
+
+
+_LEVELS = 6
+_LEVEL = np.minimum(np.frexp(np.arange(1 << (_LEVELS + 1)))[1] - 1, _LEVELS).astype(np.int8)
+
+
 def _range_minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """min(values[first..last]) of each range, by doubling; one level is held at a time."""
-    out = np.empty(len(first), values.dtype)
-    length = last - first + 1
-    level = np.frexp(length.astype(np.float64))[1] - 1
-    table, k = values, 0
-    for top in range(int(level.max()) + 1 if len(level) else 0):
-        while k < top:
-            table = np.minimum(table[: -(1 << k)], table[1 << k :])
-            k += 1
-        ask = np.flatnonzero(level == top)
-        if len(ask):
-            out[ask] = np.minimum(table[first[ask]], table[last[ask] - (1 << top) + 1])
+    """min(values[first..last]) of each range: by doubling up to 64 values, beyond 128 also over minima of blocks of 64."""
+    out = values[last]
+    wide = (first != last).nonzero()[0]  # most ranges hold one value
+    if not len(wide):
+        return out
+    first, last = first[wide], last[wide]
+    size = last - first + 1
+    level = _LEVEL[np.minimum(size, len(_LEVEL) - 1)]
+    n, top = len(values), int(level.max())
+    table = np.empty((top + 1, n), values.dtype)
+    table[0] = values
+    for k in range(1, top + 1):
+        half = 1 << (k - 1)
+        np.minimum(table[k - 1, : n - 2 * half + 1], table[k - 1, half : n - half + 1], out=table[k, : n - 2 * half + 1])
+    flat, base = table.reshape(-1), level.astype(np.int64) * n
+    found = np.minimum(flat[base + first], flat[base + last + 1 - (1 << level.astype(np.int64))])
+    far = (size > 2 << _LEVELS).nonzero()[0]
+    if len(far):
+        block = 1 << _LEVELS
+        begin, end = -(-first[far] // block), (last[far] + 1) // block - 1  # whole blocks inside
+        found[far] = np.minimum(found[far], _range_minima(np.ascontiguousarray(table[_LEVELS, : n - block + 1 : block]), begin, end))
+    out[wide] = found
     return out
 
 
@@ -59,15 +83,17 @@ def build(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.n
     wide = len(data) and data.max() == 255
     kind, stop = (np.uint16, 65535) if wide else (np.uint8, 255)
     prefixes = np.uint8 if n == 0 or length.max() < 255 else np.uint32
+    end = begin + length
     bwt_file, lcp_file = Column(), Column()
+    narrow = kind is np.uint8 and int(np.sum(length)) + n < 1 << 23
+    kinds, shift = (np.uint32, np.uint32(24)) if narrow else (np.uint64, np.uint64(48))
+
+    def row_of(key: np.ndarray) -> np.ndarray:
+        return ((key & ((kinds(1) << shift) - kinds(1))) >> kinds(1)).astype(np.int64)
 
     def before(who: np.ndarray, k: int) -> np.ndarray:
         """The symbol before the suffix of length k."""
-        left = length[who] - k
-        out = np.full(len(who), stop, kind)
-        has = left > 0
-        out[has] = data[begin[who[has]] + left[has] - 1]
-        return out
+        return np.where(length[who] > k, data[end[who] - k - 1].astype(kind), kind(stop))
 
     alive = np.arange(n)
     bwt_file.write(before(alive, 0))
@@ -82,27 +108,30 @@ def build(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.n
             return bwt_file.read(), lcp_file.read()
         bwt, lcp = bwt_file.read(), lcp_file.read()
         size = len(bwt)
-        order = np.argsort(bwt, kind="stable")  # row n + r of the new column begins with bwt[order[r]]
-        rank = np.empty(size, np.int64)
-        rank[order] = np.arange(size)
-        r = rank[rows]
-        fresh = np.zeros(size + len(alive), bool)
-        rows = n + r
-        fresh[rows] = True
-        grown = np.empty(len(fresh), kind)
-        grown[~fresh] = bwt
+        # Row n + r of the new column begins with the r-th symbol of bwt in stable order: sort (symbol, row, whether new).
+        key = bwt.astype(kinds)
+        key <<= shift
+        key |= twice(size, kinds)
+        key[rows] |= kinds(1)
+        key.sort()
+        new = ((key & kinds(1)) != 0).nonzero()[0]
+        text_at = np.empty(size, np.int32)
+        text_at[rows] = alive
+        alive, rows = text_at[row_of(key[new])], new + n  # from here in row order
+        old = np.ones(size + len(new), bool)
+        old[rows] = False
+        grown = np.empty(len(old), kind)
+        grown[old] = bwt
         grown[rows] = before(alive, k)
-        prefix = np.empty(len(fresh), prefixes)
-        prefix[~fresh] = lcp
-        touched = fresh.copy()
-        touched[1:] |= fresh[:-1]  # a new row, or the row after one
-        touched = np.flatnonzero(touched)
-        at = touched - n
-        here, last = order[at], order[np.maximum(at - 1, 0)]
-        shared = (at > 0) & (bwt[here] == bwt[last])
-        value = np.zeros(len(touched), prefixes)
-        value[shared] = _range_minima(lcp, last[shared] + 1, here[shared]) + prefixes(1)
-        prefix[touched] = value
+        prefix = np.empty(len(old), prefixes)
+        prefix[old] = lcp
+        after = new + 1
+        at = np.concatenate([new, after[np.append(after[:-1] != new[1:], after[-1] < len(old) - n)]])  # new rows, and old rows after them
+        here, last = key[at], key[np.maximum(at - 1, 0)]
+        shared = ((at > 0) & ((here >> shift) == (last >> shift))).nonzero()[0]
+        value = np.zeros(len(at), prefixes)
+        value[shared] = _range_minima(lcp, row_of(last[shared]) + 1, row_of(here[shared])) + prefixes(1)
+        prefix[at + n] = value
         bwt_file.write(grown)
         lcp_file.write(prefix)
 
@@ -110,9 +139,8 @@ def build(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.n
 def suffix_rows(bwt: np.ndarray, length: np.ndarray):
     """For k = 1, 2, ...: (texts of at least k symbols, rows of their suffixes of length k), by walking the transform."""
     n = len(length)
-    order = np.argsort(bwt, kind="stable")
-    rank = np.empty(len(bwt), np.int64)
-    rank[order] = np.arange(len(bwt))
+    rank = np.empty(len(bwt), np.int32)
+    rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
     alive, rows, k = np.arange(n), np.arange(n), 0
     while True:
         k += 1

@@ -7,6 +7,7 @@ the same as over code points because no byte of a multi-byte character is white
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,9 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 _powers: dict[int, np.ndarray] = {}
+_libc = None
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -40,9 +42,9 @@ def powers(base: int, n: int) -> np.ndarray:
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: every input bit reaches every output bit."""
     h = h ^ (h >> U64(30))
-    h = h * U64(0xBF58476D1CE4E5B9)
+    h *= U64(0xBF58476D1CE4E5B9)
     h ^= h >> U64(27)
-    h = h * U64(0x94D049BB133111EB)
+    h *= U64(0x94D049BB133111EB)
     h ^= h >> U64(31)
     return h
 
@@ -94,8 +96,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """sum(values[s + i] * BASE**i) modulo 2**64 for each span; spans ascend, may overlap."""
+def _span_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """sum(code(data[s + i]) * BASE**i) modulo 2**64 for each span of bytes; spans ascend, may overlap. A block is widened at a time."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -104,7 +106,7 @@ def _span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         j = max(j, i + 1)
         e0 = int(ends[j - 1])
         total = np.zeros(e0 - s0 + 1, np.uint64)
-        np.cumsum(values[s0:e0] * powers(_BASE, e0 - s0), out=total[1:])
+        np.cumsum(BYTE_CODE[data[s0:e0]] * powers(_BASE, e0 - s0), out=total[1:])
         a = starts[i:j] - s0
         out[i:j] = (total[ends[i:j] - s0] - total[a]) * powers(_INVERSE, e0 - s0 + 1)[a]
         i = j
@@ -113,16 +115,24 @@ def _span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span (spans ascend in both ends)."""
-    return mix(_span_sums(BYTE_CODE[data], starts, ends) + (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+    return mix(_span_sums(data, starts, ends) + (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
 def rolling(values: np.ndarray, width: int) -> np.ndarray:
-    """Rabin-Karp hashes of every window of ``width`` values, modulo 2**64, mixed."""
+    """Rabin-Karp hashes of every window of ``width`` values, modulo 2**64, mixed; a block that fits the cache at a time."""
     n = len(values) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    starts = np.arange(n, dtype=np.int64)
-    return mix(_span_sums(values, starts, starts + width))
+    out, block = np.empty(n, np.uint64), 1 << 16
+    up, down = powers(_BASE, block + width), powers(_INVERSE, block)
+    total = np.zeros(block + width, np.uint64)
+    for i in range(0, n, block):
+        m = min(block, n - i)
+        np.cumsum(values[i : i + m + width - 1] * up[: m + width - 1], out=total[1 : m + width])
+        part = total[width : m + width] - total[:m]
+        part *= down[:m]
+        out[i : i + m] = mix(part)
+    return out
 
 
 def window_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +152,14 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
+def covered_by(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of n items lie in one of the ranges [begin, end); begins are distinct, and so are ends."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[begin] += 1
+    edge[end] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int32) > 0
+
+
 def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Smallest member of the component of each of n nodes, by hooking and pointer jumping."""
     root = np.arange(n)
@@ -160,10 +178,23 @@ def components(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return root
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays (of one dimension) as one compressed block."""
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can: workers stay alive between tasks."""
+    global _libc
+    if _libc is None:
+        try:
+            _libc = ctypes.CDLL("libc.so.6")
+            _libc.malloc_trim(0)
+        except (OSError, AttributeError):
+            _libc = False
+    elif _libc:
+        _libc.malloc_trim(0)
+
+
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """Arrays (of one dimension) as one compressed block; level 3 pays for texts, not for hashes."""
     head = np.array([len(arrays)] + [x for a in arrays for x in (ord(a.dtype.char), len(a))], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
 
 
 def unpack(block: bytes) -> list[np.ndarray]:

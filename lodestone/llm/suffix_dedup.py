@@ -29,15 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from . import bwt as B
 from . import kernel as K
-from .packs import bucket_bits, by_pack, documents_in, make_packs
+from .packs import bucket_bits, by_pack, carried, documents_in, make_packs
 from .substring_dedup import PER_BUCKET, SENT, from_planes, is_in, planes
 
 GRAM = 24
-BIN_BYTES, COLLECTION_BYTES = 3 << 20, 400_000
+BIN_BYTES, COLLECTION_BYTES = 3 << 20, 500_000
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -53,21 +54,24 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     """First window, number of windows, anchor hash and document of every segment."""
     gram = min(GRAM, width)
     out = []
-    for i, j in K.cuts(offsets, 1 << 20):
+    for i, j in K.cuts(offsets, 1 << 18):
         first = offsets[i : j + 1] - offsets[i]
         part = data[offsets[i] : offsets[j]]
-        at, doc = K.window_starts(first, width)
-        if not len(at):
+        if len(part) < width:
             continue
         hashes = K.rolling(K.BYTE_CODE[part], gram)
-        bits = np.uint64(max(1, int(len(hashes)).bit_length()))
+        bits = np.uint64(len(hashes).bit_length())
         tagged = ((hashes >> bits) << bits) | np.arange(len(hashes), dtype=np.uint64)
-        low = _window_minima(tagged, width - gram + 1)[at]
-        anchor = (low & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
-        new = np.empty(len(at), bool)
-        new[0], new[1:] = True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-        begin = np.flatnonzero(new)
-        out.append((at[begin] + offsets[i], np.diff(np.append(begin, len(at))), hashes[anchor[begin]], doc[begin] + i))
+        anchor = _window_minima(tagged, width - gram + 1) & np.uint64((1 << int(bits)) - 1)
+        inside = np.ones(len(anchor), bool)  # windows that lie in one document
+        short = np.maximum(first[1:, None] - np.arange(1, width), first[:-1, None]).reshape(-1)
+        inside[short[short < len(inside)]] = False
+        new = np.empty(len(anchor), bool)
+        new[0], new[1:] = True, (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1])
+        edge = np.flatnonzero(new)
+        keep = inside[edge]
+        begin, windows = edge[keep], np.diff(np.append(edge, len(anchor)))[keep]
+        out.append((begin + offsets[i], windows, hashes[anchor[begin].astype(np.int64)], np.searchsorted(first, begin, "right") - 1 + i))
     if not out:
         none = np.empty(0, np.int64)
         return none, none, none.astype(np.uint64), none
@@ -142,9 +146,9 @@ def _send_segments(width: int, bits: int, bins: int):
         ids, _, data, offsets = documents_in(block)
         begin, windows, keys, docs = segments(data, offsets, width)
         flagged = np.sort(np.concatenate([from_planes(K.unpack(a)[0]) for a in answers]))
-        content = _content(data, begin, windows, width)
         hit = is_in(_short(keys, bits), flagged)
-        begin, windows, keys, docs, content = begin[hit], windows[hit], keys[hit], docs[hit], content[hit]
+        begin, windows, keys, docs = begin[hit], windows[hit], keys[hit], docs[hit]
+        content = _content(data, begin, windows, width)
         order = np.argsort(content, kind="stable")
         runs = np.flatnonzero(np.concatenate([[True], content[order][1:] != content[order][:-1]]))
         last = np.append(runs[1:], len(order)) - 1
@@ -160,7 +164,7 @@ def _send_segments(width: int, bits: int, bins: int):
             f, z = first[part], last[part]
             table, slot = np.unique(np.concatenate([ids[docs[f]], ids[docs[z]]]), return_inverse=True)
             length = windows[f] + width - 1
-            rows.append((int(b), name, K.pack(K.narrow(np.diff(sub[part], prepend=0)), K.narrow(windows[f]), K.narrow(slot[: len(f)]), K.narrow(slot[len(f) :]), table, _gather(data, begin[f], length))))
+            rows.append((int(b), name, K.pack(K.narrow(np.diff(sub[part], prepend=0)), K.narrow(windows[f]), K.narrow(slot[: len(f)]), K.narrow(slot[len(f) :]), table, _gather(data, begin[f], length), level=3)))
         yield _arrow(rows, ["bin", "pack", "block"])
 
     return run
@@ -202,12 +206,12 @@ def _compare(width: int):
         content = _content(data, begin, windows, width)
         order = np.lexsort((content, subs))
         sizes = np.cumsum(length[order])
-        found = [[] for _ in names]
+        subs, found = subs[order], []
         at = 0
         while at < len(order):  # whole sub-bins, together of a fixed size at most, or one larger
             stop = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + COLLECTION_BYTES, "right"))
-            last = subs[order[min(max(stop, at + 1), len(order)) - 1]]
-            stop = int(np.searchsorted(subs[order], last, "left" if last > subs[order[at]] and stop < len(order) else "right"))
+            last = subs[min(max(stop, at + 1), len(order)) - 1]
+            stop = int(np.searchsorted(subs, last, "left" if last > subs[at] and stop < len(order) else "right"))
             take = order[at:stop]
             at = stop
             new = np.concatenate([[True], content[take][1:] != content[take][:-1]])
@@ -218,20 +222,21 @@ def _compare(width: int):
             count = windows[texts]
             base = np.cumsum(count) - count
             lowest, top = np.minimum.reduceat(minima, base), np.maximum.reduceat(minima, base)
-            tell = lowest[which] < high[take]  # some window has a smaller doc_id than some document here
-            for p in np.unique(packs[take[tell]]):
-                own = np.flatnonzero(tell & (packs[take] == p))
-                w = which[own]
-                plain = lowest[w] == top[w]
-                values = np.where(plain, 1, count[w])
-                flat = minima[np.arange(int(values.sum())) + np.repeat(base[w] - (np.cumsum(values) - values), values)]
-                found[p].append((content[take[own]], values, flat))
+            own = np.flatnonzero(lowest[which] < high[take])  # some window has a smaller doc_id than some document here
+            w = which[own]
+            values = np.where(lowest[w] == top[w], 1, count[w])
+            found.append((packs[take[own]], content[take[own]], values, _gather(minima, base[w], values)))
+        to, keys, values, flat = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.argsort(to, kind="stable")
+        flat = _gather(flat, (np.cumsum(values) - values)[by], values[by])
+        to, keys, values = to[by], keys[by], values[by]
+        edges, ends = np.searchsorted(to, np.arange(len(names) + 1)), np.concatenate([[0], np.cumsum(values)])
         out = []
-        for name, parts in zip(names, found, strict=True):
-            if parts:
-                keys, values, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
-                table, slot = np.unique(flat, return_inverse=True)
-                out.append((name, 1, K.pack(keys, K.narrow(values), K.narrow(slot), table)))
+        for i in np.flatnonzero(np.diff(edges)):
+            part = slice(edges[i], edges[i + 1])
+            table, slot = np.unique(flat[ends[edges[i]] : ends[edges[i + 1]]], return_inverse=True)
+            out.append((names[i], 1, K.pack(keys[part], K.narrow(values[part]), K.narrow(slot), table)))
+        K.trim()
         return pa.Table.from_batches([_arrow(out, ["pack", "kind", "block"])])
 
     return run
@@ -256,11 +261,15 @@ def _removed(answers: list[bytes], ids: np.ndarray, data: np.ndarray, offsets: n
     hit = is_in(content, keys)
     begin, windows, docs = begin[hit], windows[hit], docs[hit]
     which = np.searchsorted(keys, content[hit])
+    plain = values[which] == 1
+    gone = plain & (flat[base[which]] < ids[docs])
+    removed = K.covered_by(len(data), begin[gone], begin[gone] + windows[gone] + width - 1)
+    begin, windows, docs, which = begin[~plain], windows[~plain], docs[~plain], which[~plain]
     of = np.repeat(np.arange(len(begin)), windows)
     step = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    least = flat[base[which][of] + np.where(values[which][of] > 1, step, 0)]
-    gone = least < ids[docs][of]
-    return K.covered(len(data), (begin[of] + step)[gone], width)
+    gone = flat[base[which][of] + step] < ids[docs][of]
+    removed |= K.covered(len(data), (begin[of] + step)[gone], width)
+    return removed
 
 
 def _remove(width: int, with_text: bool):
@@ -281,18 +290,26 @@ def _remove(width: int, with_text: bool):
                 texts.append(kept.decode("utf-8", "ignore"))
         columns = [pa.array(ids, pa.int64(), mask=~known), pa.array(np.diff(offsets)), pa.array(np.diff(total)), pa.array(np.diff(spans)), pa.array(digests, pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        yield pa.record_batch(columns + [pa.array(texts, pa.string())] * with_text, names=names + ["kept_text"] * with_text)
+        if with_text:
+            columns.append(pa.array(texts, pa.string()))
+            names.append("kept_text")
+        rows = carried(block)
+        if rows is not None:
+            columns.append(rows.column(0).combine_chunks())
+            names.append("row")
+        yield pa.record_batch(columns, names=names)
 
     return run
 
 
-def suffix_array_dedup(docs: DataFrame, width: int = 50, with_text: bool = True) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, width: int = 50, with_text: bool = True, carry: Column | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text) of each document of (doc_id, text).
 
     A byte goes if a string of ``width`` bytes that covers it also starts in a document of a
-    smaller doc_id. Strings are judged on the input.
+    smaller doc_id. Strings are judged on the input. carry: a column of ``docs`` that comes back
+    as ``row``, so that results need not be joined to their rows.
     """
-    packs = make_packs(docs)
+    packs = make_packs(docs, *([] if carry is None else [carry.alias("row")]))
     bits = max(8, bucket_bits(packs, PER_BUCKET, 1 / 14))
     raw = packs.select(F.sum(F.length("block")).alias("n")).first()["n"] or 0
     bins = int(max(16, min(1 << 16, 2.6 * raw // BIN_BYTES)))
@@ -300,4 +317,7 @@ def suffix_array_dedup(docs: DataFrame, width: int = 50, with_text: bool = True)
     shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, "pack string, kind int, block binary")
     sent = by_pack(packs, shared, _send_segments(width, bits, bins), "bin int, pack string, block binary")
     answers = sent.groupBy("bin").applyInArrow(_compare(width), "pack string, kind int, block binary")
-    return by_pack(packs, answers, _remove(width, with_text), RESULT + ", kept_text string" * with_text)
+    schema = StructType.fromDDL(RESULT + ", kept_text string" * with_text)
+    if carry is not None:
+        schema = schema.add("row", docs.select(carry.alias("row")).schema["row"].dataType)
+    return by_pack(packs, answers, _remove(width, with_text), schema)
