@@ -640,7 +640,20 @@ def window_count(spark, sf_dir):
     return feeds.recent_count(table(spark, sf_dir, "events"), "user_id", "ts", 60).select("event_id", "user_id", "n_recent")
 
 
-@entry()
+RATE_SQL = """
+with recursive o as (select user_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+r as (
+    select user_id, rn, event_id, true as allowed, [us] as held from o where rn = 1
+    union all
+    select o.user_id, o.rn, o.event_id, len(list_filter(r.held, lambda h: h > o.us - 3600000000)) < 3 as allowed,
+        case when len(list_filter(r.held, lambda h: h > o.us - 3600000000)) < 3 then list_append(list_filter(r.held, lambda h: h > o.us - 3600000000), o.us) else list_filter(r.held, lambda h: h > o.us - 3600000000) end as held
+    from r join o on o.user_id = r.user_id and o.rn = r.rn + 1
+)
+select event_id, cast(user_id as varchar) as key, allowed from r
+"""
+
+
+@entry(RATE_SQL)
 def rate_limit(spark, sf_dir):
     ship(spark)
     return feeds.rate_limit(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 3600.0)
