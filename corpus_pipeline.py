@@ -9,6 +9,7 @@ and decontamination let them pass.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,14 +19,35 @@ from lodestone.llm.decontaminate import decontaminate
 from lodestone.llm.quality_rules import judge
 from lodestone.llm.simhash_dedup import simhash_near_dedup
 from lodestone.llm.suffix_dedup import suffix_array_dedup
-from lodestone.session import materialize, table
+from lodestone.session import made, materialize, remove, table
 
 
+_scratch: list[str] = []
+
+
+def _stage(f: Callable) -> Callable:
+    """A stage's own tables go when the next stage begins: by then its result has been written."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inputs = docs.inputFiles()
+        done = [p for p in _scratch if p in made(spark) and not any(p.rsplit("/", 1)[-1] in i for i in inputs)]
+        remove(spark, done)
+        before = set(made(spark))
+        out = f(spark, docs, sf_dir)
+        _scratch[:] = [p for p in made(spark) if p not in before]
+        return out
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return judge(docs).where("kept").select("row.*")
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
     found = simhash_near_dedup(docs.select("doc_id", "text"), distance=4, shingle=4)
@@ -33,24 +55,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
+@_stage
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 50 bytes that an earlier document has are cut out; n_chars follows the text."""
-    found = suffix_array_dedup(docs.select("doc_id", "text"), width=50)
-    changed = found.where("n_removed > 0 and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("kept_text").alias("_kept"))
-    changed = changed.dropDuplicates(["_id", "_hash"])
-    both = docs.join(changed, (docs["doc_id"] == changed["_id"]) & (F.xxhash64(docs["text"]) == changed["_hash"]), "left")
-    new = {"text": F.coalesce(F.col("_kept"), F.col("text"))}
+    """Strings of 50 bytes that an earlier document has are cut out; n_chars follows the text. Null texts stay null."""
+    row = F.struct(*[F.col(c).isNull().alias(c) if c == "text" else F.col(c) for c in docs.columns])  # of the text only whether it is null
+    found = suffix_array_dedup(docs, width=50, carry=row)
+    new = {"text": F.when(~F.col("row.text"), F.col("kept_text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return both.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
+@_stage
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     leaks = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each text, with what decoding them gives."""
     return sentencepieces.encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
@@ -72,7 +95,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table; each one's result is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        last, docs = docs, materialize(stage(spark, docs, sf_dir))
+        remove(spark, [p for p in made(spark) if any(p.rsplit("/", 1)[-1] in i for i in last.inputFiles())])
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
