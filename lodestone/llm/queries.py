@@ -13,6 +13,7 @@ from .decontaminate import decontaminate
 from .license_scan import TEMPLATES, license_scan
 from .language_id import language_id
 from . import quality_rules
+from .quality_sql import quality_sql
 from .simhash_dedup import simhash_near_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_array_dedup
@@ -50,7 +51,7 @@ def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry=("doc_id",))
-    return judged.select("row.doc_id", *quality_rules.COUNTS, "kept", "distance")
+    return judged.select("row.doc_id", *quality_rules.COUNTS, "kept")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +102,4 @@ from d left join sums using (doc_id)
 def oracle_sql() -> dict[str, str]:
     """Where SQL says the same, over the same whole tables."""
     quoted = ", ".join("('" + n.replace("'", "''") + "', '" + t.replace("'", "''") + "')" for n, t in TEMPLATES.items())
-    return {"op1_license_scan": LICENSE_SQL.format(templates=quoted), "op5_substring_dedup": WINDOW_SQL, "op6_suffix_array_dedup": BYTES_SQL}
+    return {"op1_license_scan": LICENSE_SQL.format(templates=quoted), "op5_substring_dedup": WINDOW_SQL, "op6_suffix_array_dedup": BYTES_SQL, "op8_quality_rules": quality_sql()}
