@@ -7,7 +7,8 @@
 2. Bins. Segments with such an anchor go to the bin of the anchor, one row for each distinct
    content of a pack with its smallest doc_id. All equal windows of the corpus meet in one bin.
 3. Construction. A bin cuts its segments into collections by anchor and builds the transform
-   and the longest common prefixes of each, one symbol of every segment a round (bwt.py). Rows
+   and the longest common prefixes of each, one symbol of every segment a round (bwt.py). An
+   anchor with one distinct segment needs no construction: all its windows have that segment's smallest doc_id. Rows
    with common prefixes of 50 bytes or more are equal windows; the smallest doc_id of such a run decides.
 4. Removal. Packs get back, for each of their segments, the smallest doc_id of its windows,
    mark the windows that a smaller doc_id has, and remove what those cover.
@@ -154,7 +155,7 @@ def _send_segments(width: int, bits: int, bins: int):
         last = np.append(runs[1:], len(order)) - 1
         first, last = order[runs], order[last]  # documents ascend: the smallest and the largest doc_id with the content
         place = K.mix(keys[first])
-        to, sub = (place % np.uint64(bins)).astype(np.int64), ((place // np.uint64(bins)) & np.uint64(0xFFFF)).astype(np.int64)
+        to, sub = (place % np.uint64(bins)).astype(np.int64), ((place // np.uint64(bins)) & np.uint64(0xFFFFF)).astype(np.int64)
         order = np.lexsort((sub, to))
         first, last, to, sub = first[order], last[order], to[order], sub[order]
         edges = np.searchsorted(to, np.arange(bins + 1))
@@ -205,8 +206,21 @@ def _compare(width: int):
         begin = np.cumsum(length) - length
         content = _content(data, begin, windows, width)
         order = np.lexsort((content, subs))
-        sizes = np.cumsum(length[order])
         subs, found = subs[order], []
+        # Where an anchor has one content only, no other text can hold its windows: nothing is to be compared.
+        group = np.concatenate([[True], subs[1:] != subs[:-1]])
+        new = np.concatenate([[True], content[order[1:]] != content[order[:-1]]]) | group
+        contents = np.add.reduceat(new.astype(np.int64), np.flatnonzero(group))
+        alone = np.repeat(contents == 1, np.diff(np.append(np.flatnonzero(group), len(order))))
+        own = np.flatnonzero(alone)
+        if len(own):
+            begins = np.flatnonzero(group[own])
+            least = np.repeat(np.minimum.reduceat(low[order[own]], begins), np.diff(np.append(begins, len(own))))
+            tell = least < high[order[own]]
+            take = order[own[tell]]
+            found.append((packs[take], content[take], np.ones(len(take), np.int64), least[tell]))
+        order, subs = order[~alone], subs[~alone]
+        sizes = np.cumsum(length[order])
         at = 0
         while at < len(order):  # whole sub-bins, together of a fixed size at most, or one larger
             stop = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + COLLECTION_BYTES, "right"))
@@ -226,6 +240,8 @@ def _compare(width: int):
             w = which[own]
             values = np.where(lowest[w] == top[w], 1, count[w])
             found.append((packs[take[own]], content[take[own]], values, _gather(minima, base[w], values)))
+        if not found:
+            return pa.Table.from_batches([_arrow([], ["pack", "kind", "block"])])
         to, keys, values, flat = (np.concatenate(x) for x in zip(*found, strict=True))
         by = np.argsort(to, kind="stable")
         flat = _gather(flat, (np.cumsum(values) - values)[by], values[by])
