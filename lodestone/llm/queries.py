@@ -8,11 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import sentencepieces
+from . import quality_rules, sentencepieces
 from .decontaminate import decontaminate
-from .license_scan import TEMPLATES, license_scan
 from .language_id import language_id
-from . import quality_rules
+from .license_scan import TEMPLATES, license_scan
 from .quality_sql import quality_sql
 from .simhash_dedup import simhash_near_dedup
 from .substring_dedup import substring_dedup
@@ -63,7 +62,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_simhash_dedup, op3_token_store, op4_decontamination, op5_substring_dedup, op6_suffix_array_dedup, op7_sentencepiece_codec, op8_quality_rules, op9_token_counts, op10_language_id)}
+    found = (
+        op1_license_scan, op2_simhash_dedup, op3_token_store, op4_decontamination, op5_substring_dedup,
+        op6_suffix_array_dedup, op7_sentencepiece_codec, op8_quality_rules, op9_token_counts, op10_language_id,
+    )
+    return {f.__name__: f for f in found}
 
 
 LICENSE_SQL = """
