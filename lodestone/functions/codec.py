@@ -53,18 +53,21 @@ def encode_word(text: Column, strict: bool = True) -> Column:
 
     A character outside the four alphabets raises, or gives null if not strict.
     """
+    # Each character with the one before it: a lambda that looked into the whole array would work the array out for every element.
     levels = _levels(text)
+    none = F.struct(F.lit(None).cast("int").alias("code"), F.lit(3).alias("level"))
+    pairs = F.arrays_zip(levels.alias("own"), F.concat(F.array(none), levels).alias("before"))
     depth = lambda e: F.when(e["level"] == 3, F.lit(0)).otherwise(e["level"])  # noqa: E731  # the level that stands open after a character
 
-    def emit(e: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(F.coalesce(depth(F.get(levels, i - 1)), F.lit(0)))
-        code = F.array(e["code"])
+    def emit(e: Column) -> Column:
+        own, before = e["own"], F.coalesce(depth(e["before"]), F.lit(0))
+        code = F.array(own["code"])
         digit = F.concat(_repeat(T.END, before), _codes(T.END), code, _codes(T.START))
-        down = F.concat(_repeat(T.END, before - e["level"]), _repeat(T.START, e["level"] - before), code)
-        return F.when(e["level"] == 3, digit).otherwise(down)
+        down = F.concat(_repeat(T.END, before - own["level"]), _repeat(T.START, own["level"] - before), code)
+        return F.when(own.isNull(), F.array().cast("array<int>")).when(own["level"] == 3, digit).otherwise(down)
 
-    last = F.coalesce(depth(F.get(levels, F.size(levels) - 1)), F.lit(0))
-    body = F.flatten(F.transform(levels, emit))
+    last = F.coalesce(depth(F.element_at(F.concat(F.array(none), levels), -1)), F.lit(0))
+    body = F.flatten(F.transform(pairs, emit))
     out = F.concat(_codes(T.START), body, _repeat(T.END, last), _codes(T.END))
     known = F.forall(levels, lambda e: e["level"].isNotNull())
     other = F.raise_error(F.concat(F.lit("cannot be encoded: "), text)).cast("array<int>") if strict else F.lit(None).cast("array<int>")
@@ -118,12 +121,16 @@ def bits(codes: Column, gap: str = "") -> Column:
     return F.array_join(F.transform(codes, lambda t: F.lpad(F.bin(t), 5, "0")), gap)
 
 
+def _pieces(text: Column, size: int) -> Column:
+    """A text cut into pieces of ``size`` characters."""
+    return F.filter(F.split(F.regexp_replace(text, f"({'.' * size})", "$1 "), " "), lambda p: p != "")
+
+
 def pack(codes: Column) -> Column:
     """The codes packed to bytes."""
-    text = bits(codes)
-    size = (F.ceil(F.length(text) / 8) * 2).cast("int")
-    nibbles = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.conv(F.rpad(F.substr(text, (i - 1) * 4 + 1, F.lit(4)), 4, "0"), 2, 16))
-    return F.when(size == 0, F.lit(b"")).otherwise(F.unhex(F.array_join(nibbles, "")))
+    whole = (F.ceil(F.size(codes) * 5 / 8) * 8).cast("int")
+    nibbles = F.transform(_pieces(F.rpad(bits(codes), whole, "0"), 4), lambda n: F.conv(n, 2, 16))
+    return F.unhex(F.array_join(nibbles, ""))
 
 
 def pad_bits(codes: Column) -> Column:
@@ -141,8 +148,7 @@ def unpack(content: Column, pad: Column | int = 0, count: Column | None = None)
     text = F.array_join(F.transform(nibbles, lambda h: F.lpad(F.conv(h, 16, 2), 4, "0")), "")
     n = F.floor((8 * F.octet_length(content) - pad) / 5).cast("int")
     n = n if count is None else F.least(n, count)
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.conv(F.substr(text, (i - 1) * 5 + 1, F.lit(5)), 2, 10).cast("int"))
-    return F.when(n <= 0, F.array().cast("array<int>")).otherwise(codes)
+    return F.transform(_pieces(F.substr(text, F.lit(1), F.greatest(n, F.lit(0)) * 5), 5), lambda b: F.conv(b, 2, 10).cast("int"))
 
 
 def unpack_hex(text: Column, pad: Column | int = 0) -> Column:
