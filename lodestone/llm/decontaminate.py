@@ -9,7 +9,8 @@
    singular vectors but the first few (common words), divided by the singular values, and compared by cosine with the
    items (in blocks of at most ``BLOCK`` items): each item with windows of the size that fits it, longer
    items in parts. Windows above the threshold that no neighbour exceeds are candidates.
-3. Verification. A candidate passage, with room on both sides, must hold enough words of the item in any order; then the
+3. Verification. A candidate passage, as long as the whole item and placed by the offset of the part that was met, with
+   room on both sides, must hold enough words of the item in any order; then the
    longest common subsequence of words must reach ``lcs`` of the item. If it does not reach
    ``sure``, the passage must also hold ``answer`` of the words of the item's answer, its last sentence, in order.
 
@@ -186,15 +187,16 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def _targets(items: list[Item], latent: Latent) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each window size: unit vectors of the item parts of that size, and their items."""
-    out: dict[int, tuple[list, list]] = {s: ([], []) for s in SIZES}
+def _targets(items: list[Item], latent: Latent) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each window size: unit vectors of the item parts of that size, their items, and their offsets in the items."""
+    out: dict[int, tuple[list, list, list]] = {s: ([], [], []) for s in SIZES}
     for n, item in enumerate(items):
         size = next((s for s in SIZES if len(item.words) <= s), SIZES[-1])
         for a in range(0, max(1, len(item.words) - size // 2), size // 2) if len(item.words) > size else (0,):
             out[size][0].append(latent.rows[_terms(item.words[a : a + size])].sum(axis=0))
             out[size][1].append(n)
-    return {s: (latent.units(np.array(v, np.float32)), np.array(n)) for s, (v, n) in out.items() if n}
+            out[size][2].append(a)
+    return {s: (latent.units(np.array(v, np.float32)), np.array(n), np.array(a)) for s, (v, n, a) in out.items() if n}
 
 
 def _peaks(scores: np.ndarray, text: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -208,6 +210,18 @@ def _peaks(scores: np.ndarray, text: np.ndarray, cosine: float) -> Iterator[tupl
         yield at[i : i + (1 << 13)], part[i : i + (1 << 13)]
 
 
+def _held(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, holds: np.ndarray) -> np.ndarray:
+    """How many words of each passage its item has, by some 2**20 words at a time."""
+    out, size = np.empty(len(n), np.int64), hi - lo
+    block = np.cumsum(size) >> 20
+    for part in np.split(np.arange(len(n)), np.flatnonzero(block[1:] != block[:-1]) + 1):
+        own = size[part]
+        begin = np.cumsum(own) - own
+        at = np.repeat(lo[part] - begin, own) + np.arange(int(own.sum()))
+        out[part] = np.add.reduceat(holds[np.repeat(n[part], own), place[at]].astype(np.int64), begin)
+    return out
+
+
 def _verify(found: dict, d: int, n: int, passage: np.ndarray, known: np.ndarray, lists: list, answers: list, score: float, at: int, lcs: float, sure: float, answer: float) -> None:
     """Keeps the best verified passage of document d for item n."""
     some = passage[known].tolist()
@@ -246,17 +260,16 @@ def _search(latent: Latent, items: list[Item], cosine: float, lcs: float, sure:
                 stop = begin[1:][text]
                 place = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
                 place = np.where(vocabulary[place] == words, place, len(vocabulary))
-                for size, (vectors, of) in targets.items():
+                for size, (vectors, of, offset) in targets.items():
                     ends = np.minimum(np.arange(len(starts)) + size // STEP, stop)
                     scores = latent.units(total[ends] - total[:-1]) @ vectors.T
                     for w, p in _peaks(scores, text, cosine):
                         n, d = of[p], text[w]
                         room = np.maximum(STEP, length[n] // 4)
-                        lo = np.maximum(first[d], starts[w] - room)
-                        hi = np.minimum(first[d + 1], starts[w] + size + room)
-                        at = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(int((hi - lo).sum()))
-                        known = holds[np.repeat(n, hi - lo), place[at]]
-                        have = np.add.reduceat(known.astype(np.int64), np.cumsum(hi - lo) - (hi - lo))
+                        whole = starts[w] - offset[p]  # where the item begins if the window is its part
+                        lo = np.maximum(first[d], whole - room)
+                        hi = np.minimum(first[d + 1], np.maximum(starts[w] + size, whole + length[n]) + room)
+                        have = _held(n, lo, hi, place, holds)
                         for c in np.flatnonzero(have >= lcs * length[n]).tolist():
                             _verify(found, i + int(d[c]), int(n[c]), words[lo[c] : hi[c]], holds[n[c], place[lo[c] : hi[c]]], lists, answers, float(scores[w[c], p[c]]), int(starts[w[c]] - first[d[c]]), lcs, sure, answer)
             cols = list(zip(*[(ids[d], items[n].item_id, *row) for (d, n), row in sorted(found.items())], strict=True)) or [()] * 6

@@ -170,6 +170,23 @@ def test_decontamination_recall_and_precision(spark):
     assert D.decontaminate(frame(spark, rows), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def test_decontamination_finds_long_items(spark):
+    rng = random.Random(12)
+    vocabulary = [a + b + c for a in WORDS[:40] for b in ("", "er", "tion", "ly") for c in ("", "s", "en")]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    bench, rows, truth = [], [], set()
+    for i, n in enumerate((280, 321, 400, 1000)):
+        item = text(n)
+        bench.append((i, " ".join(item) + "."))
+        for k in range(4):  # two verbatim, two with one word in eight replaced
+            words = [rng.choice(vocabulary) if k % 2 and rng.random() < 0.125 else x for x in item]
+            rows.append((10 * i + k, " ".join(text(rng.randint(0, 150)) + words + text(rng.randint(0, 150))), "en", "s", 0))
+            truth.add((10 * i + k, i))
+    rows += [(100 + k, " ".join(text(700)), "en", "s", 0) for k in range(20)]
+    got = {(r["doc_id"], r["item_id"]) for r in D.decontaminate(frame(spark, rows), spark.createDataFrame(bench, "item_id bigint, text string")).collect()}
+    assert got == truth
+
+
 def test_common_subsequence():
     rng = random.Random(0)
     for _ in range(200):
