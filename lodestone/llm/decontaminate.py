@@ -9,6 +9,8 @@
    singular vectors but the first few (common words), divided by the singular values, and compared by cosine with the
    items (in blocks of at most ``BLOCK`` items): each item with windows of the size that fits it, longer
    items in parts. Windows above the threshold that no neighbour exceeds are candidates.
+   Beside the threshold, whatever the cosine: a passage that reaches ``lcs`` lacks fewer words of the item than the item
+   has keys (its rarest words, one more than may be missing), so the places where a key occurs give all such passages.
 3. Verification. A candidate passage, as long as the whole item and placed by the offset of the part that was met, with
    room on both sides, must hold enough words of the item in any order; then the
    longest common subsequence of words must reach ``lcs`` of the item. If it does not reach
@@ -24,6 +26,7 @@ give no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -105,9 +108,10 @@ def _add(rows: pa.Table) -> pa.Table:
 
 @dataclass
 class Latent:
-    """Term weights: a window's vector is the sum of the rows of its words."""
+    """Term weights: a window's vector is the sum of the rows of its words. And how many passages have each term."""
 
     rows: np.ndarray
+    df: np.ndarray
 
     def run_sums(self, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Vectors of runs of up to STEP words."""
@@ -144,14 +148,14 @@ def fit(docs: DataFrame) -> Latent:
     values, vectors = np.linalg.eigh(gram)
     good = values > max(values.max(initial=0), 0) * 1e-10
     if not good.any():  # no passages
-        return Latent(np.zeros((TERMS, RANK), np.float32))
+        return Latent(np.zeros((TERMS, RANK), np.float32), df)
     factor = (idf[:, None] * y) @ (vectors[:, good] / np.sqrt(values[good]))
     u, s, _ = np.linalg.svd(factor, full_matrices=False)
     k = int((s > s[0] * 1e-6).sum())
     skip = SKIP if k > 2 * SKIP else 0
     rows = np.zeros((TERMS, RANK), np.float32)
     rows[:, : min(RANK, k - skip)] = (idf[:, None] * u[:, skip:k] / s[skip:k] * s[0])[:, :RANK]
-    return Latent(rows)
+    return Latent(rows, df)
 
 
 @dataclass
@@ -199,6 +203,35 @@ def _targets(items: list[Item], latent: Latent) -> dict[int, tuple[np.ndarray, n
     return {s: (latent.units(np.array(v, np.float32)), np.array(n), np.array(a)) for s, (v, n, a) in out.items() if n}
 
 
+def _keys(items: list[Item], df: np.ndarray, vocabulary: np.ndarray, lcs: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items and offsets of their keys by place in the vocabulary, and for each place its first key (one more at the end)."""
+    place, of, offset = [], [], []
+    for n, item in enumerate(items):
+        least = max(1, math.ceil(lcs * len(item.words) - 1e-9))
+        rarest = np.argsort(df[_terms(item.words)], kind="stable")[: len(item.words) - least + 1]
+        place.append(np.searchsorted(vocabulary, item.words[rarest]))
+        of.append(np.full(len(rarest), n))
+        offset.append(rarest)
+    place, of, offset = (np.concatenate(x) for x in (place, of, offset))
+    order = np.argsort(place, kind="stable")
+    return of[order], offset[order], np.searchsorted(place[order], np.arange(len(vocabulary) + 2))
+
+
+def _met(place: np.ndarray, first: np.ndarray, keys: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, item, where the item would begin) of all places where a key of an item occurs, each once, some 2**18 keys at a time."""
+    of, offset, begin = keys
+    count = np.diff(begin)[place]
+    at = np.flatnonzero(count)
+    block = np.cumsum(count[at]) >> 18
+    for part in np.split(at, np.flatnonzero(block[1:] != block[:-1]) + 1):
+        own = count[part]
+        key = np.repeat(begin[place[part]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+        where = np.repeat(part, own)
+        text = np.searchsorted(first, where, side="right") - 1
+        met = np.unique(np.stack([text, of[key], where - offset[key]], axis=1), axis=0)
+        yield met[:, 0], met[:, 1], met[:, 2]
+
+
 def _peaks(scores: np.ndarray, text: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(window, item part) arrays, some thousands at a time, where the score reaches the threshold and no neighbouring window of the text exceeds it."""
     at, part = np.nonzero(scores >= cosine)
@@ -245,6 +278,8 @@ def _search(latent: Latent, items: list[Item], cosine: float, lcs: float, sure:
         holds = np.zeros((len(items), len(vocabulary) + 1), bool)
         for n, item in enumerate(items):
             holds[n, np.searchsorted(vocabulary, item.words)] = True
+        keys = _keys(items, latent.df, vocabulary, lcs) if items else None
+        whole_units = latent.units(np.array([latent.rows[_terms(i.words)].sum(axis=0) for i in items], np.float32)) if items else None
         for batch in batches:
             ids = batch.column(0).to_pylist()
             data, offsets = K.utf8(batch.column(1))
@@ -272,6 +307,15 @@ def _search(latent: Latent, items: list[Item], cosine: float, lcs: float, sure:
                         have = _held(n, lo, hi, place, holds)
                         for c in np.flatnonzero(have >= lcs * length[n]).tolist():
                             _verify(found, i + int(d[c]), int(n[c]), words[lo[c] : hi[c]], holds[n[c], place[lo[c] : hi[c]]], lists, answers, float(scores[w[c], p[c]]), int(starts[w[c]] - first[d[c]]), lcs, sure, answer)
+                for d, n, whole in _met(place, first, keys):
+                    lo = np.maximum(first[d], whole - length[n] // 4)
+                    hi = np.minimum(first[d + 1], whole + length[n] + length[n] // 4)
+                    have = _held(n, lo, hi, place, holds)
+                    for c in np.flatnonzero(have >= lcs * length[n]).tolist():
+                        if found.get((i + int(d[c]), int(n[c])), (0, 0))[:2] >= (1, 1):
+                            continue
+                        score = float(latent.units(latent.rows[_terms(words[lo[c] : hi[c]])].sum(axis=0, keepdims=True))[0] @ whole_units[n[c]])
+                        _verify(found, i + int(d[c]), int(n[c]), words[lo[c] : hi[c]], holds[n[c], place[lo[c] : hi[c]]], lists, answers, score, int(max(whole[c], first[d[c]]) - first[d[c]]), lcs, sure, answer)
             cols = list(zip(*[(ids[d], items[n].item_id, *row) for (d, n), row in sorted(found.items())], strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "lcs_share", "answer_share", "cosine", "at_word"])

@@ -187,6 +187,27 @@ def test_decontamination_finds_long_items(spark):
     assert got == truth
 
 
+def test_decontamination_finds_short_items_whatever_their_cosine(spark):
+    rng = random.Random(21)
+    vocabulary = [a + b + c for a in WORDS for b in ("", "er", "tion", "ly") for c in ("", "s", "en", "ing")]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    bench, rows, truth = [], [], set()
+    for n in (4, 5, 6, 7, 8, 12, 17, 40):
+        for _ in range(12):
+            i, item = len(bench), text(n)
+            bench.append((i, " ".join(item)))
+            if n >= 8 and i % 2:  # one word in eight replaced
+                for k in range(3, n, 8):
+                    item[k] = rng.choice(vocabulary)
+            rows.append((i, " ".join(text(rng.randint(0, 150)) + item + text(rng.randint(0, 150))), "en", "s", 0))
+            truth.add((i, i))
+    benchmark = spark.createDataFrame(bench, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.decontaminate(frame(spark, rows), benchmark).collect()}
+    assert truth <= got and len(got) <= 1.05 * len(truth)
+    none = {(r["doc_id"], r["item_id"]) for r in D.decontaminate(frame(spark, rows), benchmark, cosine=2.0).collect()}
+    assert truth <= none
+
+
 def test_common_subsequence():
     rng = random.Random(0)
     for _ in range(200):
