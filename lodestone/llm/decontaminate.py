@@ -1,8 +1,7 @@
 """Benchmark decontamination: latent semantic retrieval, then common subsequences and answer checks.
 
 1. Fit. Passages of 64 words become term vectors over 2**14 hashed words. One pass over all
-   passages of the corpus counts the document frequencies, and for a sample drawn by a hash of their words (``SAMPLE``
-   passages are expected; the index basis is fitted on them) sums Y = A'A W for a random test
+   passages of the corpus counts the document frequencies and sums Y = A'A W for a random test
    matrix W; Y gives the leading right singular vectors of the TF-IDF matrix (a randomised SVD of
    its Gram matrix, single view). What a task sends has a fixed size.
 2. Search. Every window of 16, 32, 64 words, one at every eighth word, is projected on the
@@ -38,7 +37,6 @@ from ..session import ship
 from . import kernel as K
 
 TERMS, SKIP, RANK, TEST = 1 << 14, 8, 72, 80
-SAMPLE = 100_000
 PASSAGE, STEP, SIZES = 64, 8, (16, 32, 64)
 SLICES, BLOCK, LEAST_WORDS = 16, 2048, 4
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -68,36 +66,37 @@ def test_matrix() -> np.ndarray:
     return np.random.default_rng(11).standard_normal((TERMS, TEST)).astype(np.float32)
 
 
-def _sums(share: float):
-    limit = np.uint64(min(2**64 - 1, int(share * 2**64)))
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the passages of a task: Y and the document frequencies, in slices, and their number."""
+    w, y, df, passages = test_matrix(), np.zeros((TERMS, TEST)), np.zeros(TERMS), 0
+    for batch in batches:
+        data, offsets = K.utf8(batch.column(0))
+        for i, j in K.cuts(offsets, 1 << 18):
+            words, first = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            if not len(words):
+                continue
+            starts, _ = _runs(first, PASSAGE)
+            terms, bounds = _terms(words), np.append(starts, len(words))
+            passages += len(starts)
+            for p in range(0, len(starts), 1 << 10):  # a text may be long
+                begin = bounds[p : p + (1 << 10) + 1]
+                _add_passages(y, df, w, terms[begin[0] : begin[-1]], begin - begin[0])
+    size = TERMS // SLICES
+    for s in range(SLICES):
+        part = slice(s * size, (s + 1) * size)
+        yield pa.record_batch([pa.array([s], pa.int32()), pa.array([y[part].astype(np.float32).tobytes()], pa.binary()), pa.array([df[part].tobytes()], pa.binary()), pa.array([passages if s == 0 else 0], pa.int64())], names=["slice", "y", "df", "passages"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of the passages of a task: Y of those drawn and the document frequencies of all, in slices, and their number."""
-        w, y, df, passages = test_matrix(), np.zeros((TERMS, TEST), np.float32), np.zeros(TERMS), 0
-        for batch in batches:
-            data, offsets = K.utf8(batch.column(0))
-            for i, j in K.cuts(offsets, 1 << 18):
-                words, first = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if not len(words):
-                    continue
-                starts, _ = _runs(first, PASSAGE)
-                terms, size = _terms(words), np.diff(np.append(starts, len(words)))
-                passage = np.repeat(np.arange(len(starts), dtype=np.uint32), size)
-                pairs = passage << np.uint32(14) | terms
-                pairs.sort()
-                new = np.concatenate([[True], pairs[1:] != pairs[:-1]])
-                df += np.bincount(pairs[new] & np.uint32(TERMS - 1), minlength=TERMS)
-                passages += len(starts)
-                drawn = np.flatnonzero(K.mix(np.add.reduceat(words, starts)) <= limit)
-                for p in drawn.tolist():
-                    own = terms[starts[p] : starts[p] + size[p]]
-                    np.add.at(y, own, w[own].sum(axis=0))
-        size = TERMS // SLICES
-        for s in range(SLICES):
-            part = slice(s * size, (s + 1) * size)
-            yield pa.record_batch([pa.array([s], pa.int32()), pa.array([y[part].tobytes()], pa.binary()), pa.array([df[part].tobytes()], pa.binary()), pa.array([passages if s == 0 else 0], pa.int64())], names=["slice", "y", "df", "passages"])
 
-    return run
+def _add_passages(y: np.ndarray, df: np.ndarray, w: np.ndarray, terms: np.ndarray, bounds: np.ndarray) -> None:
+    """Adds passages, the words between ``bounds``, to y and df."""
+    passage = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint32), np.diff(bounds))
+    pairs = terms.astype(np.uint32) << np.uint32(10) | passage
+    pairs.sort()
+    term, passage = pairs >> np.uint32(10), pairs & np.uint32((1 << 10) - 1)
+    df += np.bincount(term[np.concatenate([[True], pairs[1:] != pairs[:-1]])], minlength=TERMS)
+    sums = np.add.reduceat(w[terms], bounds[:-1], axis=0)
+    heads = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+    y[term[heads]] += np.add.reduceat(sums[passage], heads, axis=0)
 
 
 def _add(rows: pa.Table) -> pa.Table:
@@ -131,9 +130,7 @@ class Latent:
 def fit(docs: DataFrame) -> Latent:
     """The latent space of all passages of (text)."""
     ship(docs.sparkSession)
-    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    share = min(1.0, SAMPLE / max(1.0, size / 6 / PASSAGE))
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sums(share), "slice int, y binary, df binary, passages bigint")
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sums, "slice int, y binary, df binary, passages bigint")
     summed = parts.groupBy("slice").applyInArrow(_add, "slice int, y binary, df binary, passages bigint").collect()  # 16 rows, 10 MB
     y, df, passages = np.zeros((TERMS, TEST)), np.zeros(TERMS), 0
     size = TERMS // SLICES

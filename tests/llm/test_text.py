@@ -208,6 +208,29 @@ def test_decontamination_finds_short_items_whatever_their_cosine(spark):
     assert truth <= none
 
 
+def test_latent_space_is_that_of_all_passages(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = [a + b + c for a in WORDS[:40] for b in ("", "er", "tion", "ly") for c in ("", "s", "en")]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in [0, 1, 63, 64, 65, 70_000, *[rng.randint(0, 300) for _ in range(60)]]]
+    docs = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    whole = D.fit(docs)
+    monkeypatch.setattr(D, "SAMPLE", 20, raising=False)  # what a corpus 50 times as large was cut to
+    again = D.fit(docs)
+    assert np.allclose(np.abs(whole.rows @ whole.rows.T), np.abs(again.rows @ again.rows.T), rtol=1e-2, atol=1e-2 * np.abs(whole.rows @ whole.rows.T).max())
+    a = []
+    for t in texts:
+        terms = D._terms(D.words_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0])
+        a += [np.bincount(terms[k : k + 64], minlength=D.TERMS) for k in range(0, len(terms), 64)]
+    a = np.array(a, np.float64)
+    assert np.array_equal(whole.df, (a > 0).sum(axis=0))
+    parts = docs.select("text").mapInArrow(D._sums, "slice int, y binary, df binary, passages bigint").collect()
+    y = np.zeros((D.SLICES, D.TERMS // D.SLICES, D.TEST))
+    for r in parts:
+        y[r["slice"]] += np.frombuffer(r["y"], np.float32).reshape(y.shape[1:])
+    want = a.T @ (a @ D.test_matrix())
+    assert np.allclose(y.reshape(want.shape), want, rtol=1e-3, atol=1e-4 * np.abs(want).max()) and sum(r["passages"] for r in parts) == len(a)
+
+
 def test_common_subsequence():
     rng = random.Random(0)
     for _ in range(200):
