@@ -9,13 +9,15 @@ bounded sample; one fifth of the sample sets the softmax temperature and the rej
 For prediction the embedding and the linear layer are multiplied out to one logit row for a
 bucket, so a whole text costs one table look-up and one sum for each gram and language.
 
-Training sample: up to 2 * ``per_language`` rows for each of the ``max_languages`` most frequent languages, drawn by a hash of doc_id; only
+Training sample: for every language there is, up to ``per_language`` rows, those with the smallest hash of doc_id, and no more
+than ``sample`` rows for all languages together (but 8 for each, however many there are); only
 rows with a language whose crc32(doc_id) modulo 5 is not 0. lang, source and doc_id are never features. All rows are
 predicted, in one pass without a shuffle.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 (so is any text if no
 row has a language); of equal scores the alphabetically first language wins; a null doc_id is not
-held out, never trained on, and predicted; repeated rows are predicted each; an empty table gives no rows.
+held out, never trained on, and predicted; repeated rows are predicted each; a text of any length is summed whole, in the
+memory that its batch takes; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import ship
 from . import kernel as K
@@ -120,7 +122,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, lan
         return x
 
     rounds = -(-len(order) // batch)
-    epochs = max(epochs, -(-LEAST_STEPS // max(1, rounds)))  # a small sample is read more often
+    epochs = max(epochs, -(-max(LEAST_STEPS, 8 * kinds) // max(1, rounds)))  # a small sample, and one of many classes, is read more often
     steps, done = max(1, epochs * rounds), 0
     for _ in range(epochs):
         rng.shuffle(order)
@@ -165,18 +167,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = 1000, max_languages: int = 256) -> Model:
-    """A model of the labelled rows of (doc_id, text, lang) that are not held out."""
-    ship(docs.sparkSession)
+def training_rows(docs: DataFrame, per_language: int, sample: int) -> DataFrame:
+    """(draw, lang, text) of the bounded sample: labelled rows of (doc_id, text, lang) that are not held out."""
     own = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    found = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not found:
-        return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
-    share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * per_language / r["count"])))])
+    counts = own.groupBy("lang").count().collect()  # one row for each class, as the model itself has
+    most = min(per_language, max(8, sample // max(1, len(counts))))
+    # Rows that can be among the first are told by their draw alone, so that few texts move; the ranking then bounds them.
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (1.5 * most + 50) / r["count"])))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30))
     drawn = own.select(draw.alias("draw"), "lang", "text").where(F.col("draw") < share[F.col("lang")] * (1 << 30))
-    drawn = drawn.mapInArrow(_features, "draw bigint, lang string, block binary").orderBy("draw", "lang", "block").limit(2 * per_language * len(found))
-    rows = drawn.collect()
+    ranked = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text"))))
+    return ranked.where(F.col("place") <= most).drop("place")
+
+
+def fit(docs: DataFrame, per_language: int = 1000, sample: int = 400_000) -> Model:
+    """A model of all languages of the labelled rows of (doc_id, text, lang) that are not held out."""
+    ship(docs.sparkSession)
+    rows = training_rows(docs, per_language, sample).mapInArrow(_features, "draw bigint, lang string, block binary").collect()
+    if not rows:
+        return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
+    rows.sort(key=lambda r: (r["draw"], r["lang"], bytes(r["block"])))
     languages = sorted({r["lang"] for r in rows})
     index = {name: i for i, name in enumerate(languages)}
     return train([tuple(K.unpack(bytes(r["block"]))) for r in rows], np.array([index[r["lang"]] for r in rows], np.int64), languages)
@@ -214,6 +224,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return plain.mapInArrow(_predict(model), "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
-def language_id(docs: DataFrame, per_language: int = 1000) -> DataFrame:
+def language_id(docs: DataFrame, per_language: int = 1000, sample: int = 400_000) -> DataFrame:
     """Fits on the labelled rows and predicts all rows of (doc_id, text, lang)."""
-    return predict(docs, fit(docs.select("doc_id", "text", "lang"), per_language))
+    return predict(docs, fit(docs.select("doc_id", "text", "lang"), per_language, sample))
