@@ -16,10 +16,13 @@
    ``sure``, the passage must also hold ``answer`` of the words of the item's answer, its last sentence, in order.
 
 Words are runs of letters and digits, ASCII case folded. At scale: two passes over the texts and no
-shuffle of them; the items are a stated query set, met in blocks of bounded size, never a join.
+shuffle of them; the items are a stated query set, never a join: one pass meets up to ``PASS`` of them, in blocks of ``BLOCK``,
+so what a pass sends to the tasks is bounded, and a larger benchmark takes more passes. The sums of the fit meet in a tree.
+A text of any length is met in slices of its windows.
 
-Defined cases: a null text or item has no words and matches nothing; items of under 4 words match nothing;
-repeated rows and items are matched each; a null doc_id or item_id is reported as null; empty tables
+Defined cases: a null text or item, and one without a word, matches nothing; an item of under 4 words has no vector worth
+comparing and matches where all its words stand one after another; of equal passages of a document the first is
+reported; repeated rows and items are matched each; a null doc_id or item_id is reported as null; empty tables
 give no rows; other columns are not read.
 """
 
@@ -33,12 +36,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import ship
+from ..session import materialize, ship
 from . import kernel as K
 
 TERMS, SKIP, RANK, TEST = 1 << 14, 8, 72, 80
 PASSAGE, STEP, SIZES = 64, 8, (16, 32, 64)
-SLICES, BLOCK, LEAST_WORDS = 16, 2048, 4
+SLICES, BLOCK, PASS, LEAST_WORDS = 16, 2048, 16 * 2048, 4
+#: Scores of windows and item parts that are held at a time.
+SCORES = 1 << 23
+FAN = 64
 _FOLD = np.arange(256, dtype=np.uint8)
 for _c in range(128):
     _FOLD[_c] = ord(chr(_c).lower()) if chr(_c).isalnum() else 32
@@ -100,9 +106,14 @@ def _add_passages(y: np.ndarray, df: np.ndarray, w: np.ndarray, terms: np.ndarra
 
 
 def _add(rows: pa.Table) -> pa.Table:
-    y = sum(np.frombuffer(b.as_py(), np.float32).astype(np.float64) for b in rows["y"])
-    df = sum(np.frombuffer(b.as_py(), np.float64) for b in rows["df"])
-    return pa.table([pa.array([rows["slice"][0].as_py()], pa.int32()), pa.array([y.astype(np.float64).tobytes()], pa.binary()), pa.array([df.tobytes()], pa.binary()), pa.array([int(np.sum(rows["passages"].to_numpy()))], pa.int64())], names=["slice", "y", "df", "passages"])
+    """The sums of some rows of one slice, one row after another. A task sends 32-bit sums, a group 64-bit ones."""
+    y, df = np.zeros(TERMS // SLICES * TEST), np.zeros(TERMS // SLICES)
+    for part, counts in zip(rows["y"], rows["df"], strict=True):
+        raw = part.as_buffer()
+        y += np.frombuffer(raw, np.float32 if raw.size == 4 * len(y) else np.float64)
+        df += np.frombuffer(counts.as_buffer(), np.float64)
+    own = [pa.array([rows[c][0].as_py()], pa.int32()) for c in ("slice", "group")]
+    return pa.table([own[0], pa.array([y.tobytes()], pa.binary()), pa.array([df.tobytes()], pa.binary()), pa.array([int(np.sum(rows["passages"].to_numpy()))], pa.int64()), own[1]], names=["slice", "y", "df", "passages", "group"])
 
 
 @dataclass
@@ -127,11 +138,24 @@ class Latent:
         return sums / np.maximum(norm, 1e-9)[:, None].astype(sums.dtype)
 
 
+def _tasks(docs: DataFrame) -> int:
+    """How many tasks read ``docs``, by Spark's own estimate of its size."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(max(1, size >> 27), 1 << 24)
+
+
 def fit(docs: DataFrame) -> Latent:
     """The latent space of all passages of (text)."""
     ship(docs.sparkSession)
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sums, "slice int, y binary, df binary, passages bigint")
-    summed = parts.groupBy("slice").applyInArrow(_add, "slice int, y binary, df binary, passages bigint").collect()  # 16 rows, 10 MB
+    kind = "slice int, y binary, df binary, passages bigint"
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_sums, kind)
+    parts, left = parts.withColumn("group", F.spark_partition_id()), _tasks(docs)
+    while True:  # a tree: FAN sums meet in a group
+        parts = parts.withColumn("group", F.floor(F.col("group") / FAN).cast("int")).groupBy("slice", "group").applyInArrow(_add, kind + ", group int")
+        left = -(-left // FAN)
+        if left <= FAN:
+            break
+    summed = parts.withColumn("group", F.lit(0)).groupBy("slice").applyInArrow(_add, kind + ", group int").collect()  # 16 rows, 10 MB
     y, df, passages = np.zeros((TERMS, TEST)), np.zeros(TERMS), 0
     size = TERMS // SLICES
     for r in summed:
@@ -171,7 +195,7 @@ def read_items(rows: list) -> list[Item]:
         sentences = [s for s in raw.replace(b"?", b".").replace(b"!", b".").split(b".") if words_of(np.frombuffer(s, np.uint8), np.array([0, len(s)]))[0].size]
         last = sentences[-1] if sentences else b""
         out.append(Item(r["item_id"], words, words_of(np.frombuffer(last, np.uint8), np.array([0, len(last)]))[0]))
-    return [i for i in out if len(i.words) >= LEAST_WORDS]
+    return [i for i in out if len(i.words)]
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -192,6 +216,8 @@ def _targets(items: list[Item], latent: Latent) -> dict[int, tuple[np.ndarray, n
     """For each window size: unit vectors of the item parts of that size, their items, and their offsets in the items."""
     out: dict[int, tuple[list, list, list]] = {s: ([], [], []) for s in SIZES}
     for n, item in enumerate(items):
+        if len(item.words) < LEAST_WORDS:
+            continue
         size = next((s for s in SIZES if len(item.words) <= s), SIZES[-1])
         for a in range(0, max(1, len(item.words) - size // 2), size // 2) if len(item.words) > size else (0,):
             out[size][0].append(latent.rows[_terms(item.words[a : a + size])].sum(axis=0))
@@ -229,15 +255,20 @@ def _met(place: np.ndarray, first: np.ndarray, keys: tuple[np.ndarray, np.ndarra
         yield met[:, 0], met[:, 1], met[:, 2]
 
 
-def _peaks(scores: np.ndarray, text: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(window, item part) arrays, some thousands at a time, where the score reaches the threshold and no neighbouring window of the text exceeds it."""
-    at, part = np.nonzero(scores >= cosine)
-    here = scores[at, part]
-    last, following = np.maximum(at - 1, 0), np.minimum(at + 1, len(text) - 1)
-    top = ((text[last] != text[at]) | (scores[last, part] <= here)) & ((text[following] != text[at]) | (scores[following, part] <= here))
-    at, part = at[top], part[top]
-    for i in range(0, len(at), 1 << 13):
-        yield at[i : i + (1 << 13)], part[i : i + (1 << 13)]
+def _peaks(sums: np.ndarray, ends: np.ndarray, vectors: np.ndarray, latent: Latent, text: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(window, item part, score) arrays, some thousands at a time, where the score reaches the threshold and no neighbouring window of the text exceeds it."""
+    n, size = len(ends), max(1, SCORES // len(vectors))
+    for a in range(0, n, size):
+        lo, hi = max(0, a - 1), min(n, a + size + 1)  # with a neighbour on both sides
+        scores = latent.units(sums[ends[lo:hi]] - sums[lo:hi]) @ vectors.T
+        at, part = np.nonzero(scores[a - lo : min(n, a + size) - lo] >= cosine)
+        at += a - lo
+        here, own = scores[at, part], text[lo:hi]
+        last, following = np.maximum(at - 1, 0), np.minimum(at + 1, len(own) - 1)
+        top = ((own[last] != own[at]) | (scores[last, part] <= here)) & ((own[following] != own[at]) | (scores[following, part] <= here))
+        at, part, here = at[top] + lo, part[top], here[top]
+        for i in range(0, len(at), 1 << 13):
+            yield at[i : i + (1 << 13)], part[i : i + (1 << 13)], here[i : i + (1 << 13)]
 
 
 def _held(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, holds: np.ndarray) -> np.ndarray:
@@ -266,54 +297,68 @@ def _verify(found: dict, d: int, n: int, passage: np.ndarray, known: np.ndarray,
         found[d, n] = row
 
 
-def _search(latent: Latent, items: list[Item], cosine: float, lcs: float, sure: float, answer: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        targets = _targets(items, latent)
-        lists, answers = [i.words.tolist() for i in items], [i.answer.tolist() for i in items]
-        length = np.array([len(x) for x in lists])
-        vocabulary = np.unique(np.concatenate([i.words for i in items])) if items else np.empty(0, np.uint64)
-        holds = np.zeros((len(items), len(vocabulary) + 1), bool)
+class _Block:
+    """Some items, ready to be met: targets, words, and which words each has."""
+
+    def __init__(self, latent: Latent, items: list[Item], lcs: float) -> None:
+        self.latent, self.items, self.lcs = latent, items, lcs
+        self.targets = _targets(items, latent)
+        self.lists, self.answers = [i.words.tolist() for i in items], [i.answer.tolist() for i in items]
+        self.length = np.array([len(x) for x in self.lists])
+        self.vocabulary = np.unique(np.concatenate([i.words for i in items]))
+        self.holds = np.zeros((len(items), len(self.vocabulary) + 1), bool)
         for n, item in enumerate(items):
-            holds[n, np.searchsorted(vocabulary, item.words)] = True
-        keys = _keys(items, latent.df, vocabulary, lcs) if items else None
-        whole_units = latent.units(np.array([latent.rows[_terms(i.words)].sum(axis=0) for i in items], np.float32)) if items else None
+            self.holds[n, np.searchsorted(self.vocabulary, item.words)] = True
+        self.keys = _keys(items, latent.df, self.vocabulary, lcs)
+        self.units = latent.units(np.array([latent.rows[_terms(i.words)].sum(axis=0) for i in items], np.float32))
+
+    def meet(self, found: dict, base: int, words: np.ndarray, first: np.ndarray, starts: np.ndarray, begin: np.ndarray, sums: np.ndarray, cosine: float, sure: float, answer: float) -> None:
+        """Adds to ``found`` the items that some texts, numbered from ``base``, hold."""
+        latent, lcs, length, holds, lists, answers = self.latent, self.lcs, self.length, self.holds, self.lists, self.answers
+        text = np.repeat(np.arange(len(first) - 1), np.diff(begin))
+        stop = begin[1:][text]
+        place = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        place = np.where(self.vocabulary[place] == words, place, len(self.vocabulary))
+        for size, (vectors, of, offset) in self.targets.items():
+            ends = np.minimum(np.arange(len(starts)) + size // STEP, stop)
+            for w, p, score in _peaks(sums, ends, vectors, latent, text, cosine):
+                n, d = of[p], text[w]
+                room = np.maximum(STEP, length[n] // 4)
+                whole = starts[w] - offset[p]  # where the item begins if the window is its part
+                lo = np.maximum(first[d], whole - room)
+                hi = np.minimum(first[d + 1], np.maximum(starts[w] + size, whole + length[n]) + room)
+                have = _held(n, lo, hi, place, holds)
+                for c in np.flatnonzero(have >= lcs * length[n]).tolist():
+                    _verify(found, base + int(d[c]), int(n[c]), words[lo[c] : hi[c]], holds[n[c], place[lo[c] : hi[c]]], lists, answers, float(score[c]), int(starts[w[c]] - first[d[c]]), lcs, sure, answer)
+        for d, n, whole in _met(place, first, self.keys):
+            lo = np.maximum(first[d], whole - length[n] // 4)
+            hi = np.minimum(first[d + 1], whole + length[n] + length[n] // 4)
+            have = _held(n, lo, hi, place, holds)
+            for c in np.flatnonzero(have >= lcs * length[n]).tolist():
+                if found.get((base + int(d[c]), int(n[c])), (0, 0))[:2] >= (1, 1):
+                    continue
+                score = float(latent.units(latent.rows[_terms(words[lo[c] : hi[c]])].sum(axis=0, keepdims=True))[0] @ self.units[n[c]])
+                _verify(found, base + int(d[c]), int(n[c]), words[lo[c] : hi[c]], holds[n[c], place[lo[c] : hi[c]]], lists, answers, score, int(max(whole[c], first[d[c]]) - first[d[c]]), lcs, sure, answer)
+
+
+def _search(latent: Latent, blocks: list[list[Item]], cosine: float, lcs: float, sure: float, answer: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = [_Block(latent, items, lcs) for items in blocks if items]
         for batch in batches:
             ids = batch.column(0).to_pylist()
             data, offsets = K.utf8(batch.column(1))
-            found: dict[tuple[int, int], tuple] = {}
+            found: list[dict[tuple[int, int], tuple]] = [{} for _ in ready]
             for i, j in K.cuts(offsets, 1 << 18):
                 words, first = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if not len(words) or not items:
+                if not len(words) or not ready:
                     continue
                 starts, begin = _runs(first, STEP)
-                total = np.zeros((len(starts) + 1, latent.rows.shape[1]), np.float32)
-                np.cumsum(latent.run_sums(_terms(words), starts), axis=0, out=total[1:])
-                text = np.repeat(np.arange(j - i), np.diff(begin))
-                stop = begin[1:][text]
-                place = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-                place = np.where(vocabulary[place] == words, place, len(vocabulary))
-                for size, (vectors, of, offset) in targets.items():
-                    ends = np.minimum(np.arange(len(starts)) + size // STEP, stop)
-                    scores = latent.units(total[ends] - total[:-1]) @ vectors.T
-                    for w, p in _peaks(scores, text, cosine):
-                        n, d = of[p], text[w]
-                        room = np.maximum(STEP, length[n] // 4)
-                        whole = starts[w] - offset[p]  # where the item begins if the window is its part
-                        lo = np.maximum(first[d], whole - room)
-                        hi = np.minimum(first[d + 1], np.maximum(starts[w] + size, whole + length[n]) + room)
-                        have = _held(n, lo, hi, place, holds)
-                        for c in np.flatnonzero(have >= lcs * length[n]).tolist():
-                            _verify(found, i + int(d[c]), int(n[c]), words[lo[c] : hi[c]], holds[n[c], place[lo[c] : hi[c]]], lists, answers, float(scores[w[c], p[c]]), int(starts[w[c]] - first[d[c]]), lcs, sure, answer)
-                for d, n, whole in _met(place, first, keys):
-                    lo = np.maximum(first[d], whole - length[n] // 4)
-                    hi = np.minimum(first[d + 1], whole + length[n] + length[n] // 4)
-                    have = _held(n, lo, hi, place, holds)
-                    for c in np.flatnonzero(have >= lcs * length[n]).tolist():
-                        if found.get((i + int(d[c]), int(n[c])), (0, 0))[:2] >= (1, 1):
-                            continue
-                        score = float(latent.units(latent.rows[_terms(words[lo[c] : hi[c]])].sum(axis=0, keepdims=True))[0] @ whole_units[n[c]])
-                        _verify(found, i + int(d[c]), int(n[c]), words[lo[c] : hi[c]], holds[n[c], place[lo[c] : hi[c]]], lists, answers, score, int(max(whole[c], first[d[c]]) - first[d[c]]), lcs, sure, answer)
-            cols = list(zip(*[(ids[d], items[n].item_id, *row) for (d, n), row in sorted(found.items())], strict=True)) or [()] * 6
+                sums = np.zeros((len(starts) + 1, latent.rows.shape[1]), np.float32)
+                np.cumsum(latent.run_sums(_terms(words), starts), axis=0, out=sums[1:])
+                for block, own in zip(ready, found, strict=True):
+                    block.meet(own, i, words, first, starts, begin, sums, cosine, sure, answer)
+            rows = [(ids[d], block.items[n].item_id, *row) for block, own in zip(ready, found, strict=True) for (d, n), row in sorted(own.items())]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "lcs_share", "answer_share", "cosine", "at_word"])
 
@@ -329,17 +374,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.35, l
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out, held = plain.mapInArrow(_nothing, RESULT).limit(0), []
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator()
-    blocks = []
     for r in rows:
         held.append(r)
-        if len(held) == BLOCK:
-            blocks.append(held)
-            held = []
-    blocks += [held] if held else []
-    found = [plain.mapInArrow(_search(latent, read_items(b), cosine, lcs, sure, answer), RESULT) for b in blocks]
-    for f in found:
-        out = f if f is found[0] else out.unionByName(f)
-    return out
+        if len(held) == PASS:  # a pass is run before the next items are drawn, so only its own are held
+            out, held = out.unionByName(materialize(_pass(plain, latent, held, cosine, lcs, sure, answer))), []
+    return out.unionByName(_pass(plain, latent, held, cosine, lcs, sure, answer)) if held else out
+
+
+def _pass(plain: DataFrame, latent: Latent, rows: list, cosine: float, lcs: float, sure: float, answer: float) -> DataFrame:
+    blocks = [read_items(rows[i : i + BLOCK]) for i in range(0, len(rows), BLOCK)]
+    return plain.mapInArrow(_search(latent, blocks, cosine, lcs, sure, answer), RESULT)
 
 
 def _nothing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

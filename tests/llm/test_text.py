@@ -116,6 +116,56 @@ def test_language_id(spark, sf):
     assert L.language_id(no_labels).first()["lang_pred"] == "und"
 
 
+def test_language_scores_are_those_of_a_plain_version(spark):
+    rows = corpus()
+    docs = frame(spark, rows)
+    model = L.fit(docs.select("doc_id", "text", "lang"), per_language=30)
+
+    def buckets(text):
+        folded = "".join(chr(b).lower() if chr(b).isalpha() and b < 128 else chr(b) if b > 127 else " " for b in (text or "").encode())
+        padded, out = " " + folded + " ", []
+        for size in (3, 4):
+            for i in range(len(padded) - size + 1):
+                gram = padded[i : i + size]
+                if " " not in gram[1 : size - 1]:
+                    h = 0
+                    for c in gram:
+                        h = (h * 0x01000193 & 0xFFFFFFFF) ^ ord(c)
+                    out.append((h * 0x9E3779B1 & 0xFFFFFFFF) >> 17)
+        return out
+
+    want = {}
+    for doc_id, text, *_ in rows:
+        if regex.search(r"\p{L}", text or ""):
+            b = buckets(text)
+            raw = (model.logits[:, b].sum(axis=1, dtype=np.float64) / max(1, len(b)) + model.bias) / model.temperature
+            p = np.exp(raw - raw.max()) / np.exp(raw - raw.max()).sum()
+            want[doc_id, text] = model.languages[int(p.argmax())], float(p.max())
+        else:
+            want[doc_id, text] = "und", 0.0
+    got = L.predict(docs, model).join(docs.select("doc_id", "text").distinct(), "doc_id").collect()
+    assert len(got) >= len(rows) - 1
+    for r in got:
+        name, score = want[r["doc_id"], r["text"]]
+        assert r["lang_pred"] == name and abs(r["score"] - score) < 1e-6
+
+
+def test_every_language_is_learned_and_the_sample_is_bounded(spark):
+    rng = random.Random(8)
+    rows, words = [], {}
+    for k in range(300):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 4)
+        words[f"l{k:03}"] = ["".join(rng.choice(letters) for _ in range(6)) for _ in range(6)]
+    for k, (name, own) in enumerate(words.items()):
+        rows += [(1000 * k + i, " ".join(rng.choice(own) for _ in range(40)), name, "s", 0) for i in range(10)]
+    rows += [(10**6 + i, "the of and " * 20, "l000", "s", 0) for i in range(500)] + [(10**7, "the of and " * 20, "l001", "s", 0)] * 300
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    drawn = Counter(r["lang"] for r in L.training_rows(docs, 1000, 300 * 9).collect())
+    assert len(drawn) == 300 and max(drawn.values()) <= 9
+    got = L.language_id(docs.where("doc_id < 1000000"), sample=300 * 9).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.9 * len(got) and len({r["lang_pred"] for r in got}) > 256
+
+
 def test_grams_stay_in_their_text():
     texts = [b"", b"Ab", b"ab cde", "é".encode(), b"123"]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
@@ -151,9 +201,9 @@ def test_decontamination_recall_and_precision(spark):
     benchmark = spark.createDataFrame([*bench, (900, None), (901, ""), (902, "of")], "item_id bigint, text string").selectExpr("*", "1 as words")
     got = {(r["doc_id"], r["item_id"]) for r in D.decontaminate(frame(spark, rows + corpus()), benchmark).collect()}
     brute = set()
-    items = D.read_items([{"item_id": i, "text": t} for i, t in bench])
-    for r in rows:
-        raw = r[1].encode()
+    items = D.read_items([{"item_id": i, "text": t} for i, t in [*bench, (902, "of")]])
+    for r in rows + corpus():
+        raw = (r[1] or "").encode()
         words = D.words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist()
         for item in items:
             m = len(item.words)
@@ -208,6 +258,41 @@ def test_decontamination_finds_short_items_whatever_their_cosine(spark):
     assert truth <= none
 
 
+def test_decontamination_finds_items_of_every_length(spark):
+    """Verbatim and paraphrased items of 1 to 2,000 words: recall of each class, and nothing else is found."""
+    rng = random.Random(33)
+    vocabulary = [a + b + c + d for a in WORDS for b in ("", "er", "tion", "ly") for c in ("", "s", "en", "ing") for d in ("", "o")]
+    rare = [f"q{i}x" for i in range(60)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    bench, rows, truth = [], [], {}
+    for n in (1, 2, 3, 4, 9, 30, 63, 64, 65, 129, 300, 321, 330, 800, 2000):
+        for k in range(4):
+            i, item = len(bench), [rare.pop() for _ in range(n)] if n < 4 else text(n)
+            bench.append((i, " ".join(item) + "."))
+            if n >= 9 and k % 2:  # one word in eight replaced
+                item = [rng.choice(vocabulary) if at % 8 == 5 else w for at, w in enumerate(item)]
+            rows.append((i, " ".join(text(rng.randint(0, 200)) + item + text(rng.randint(0, 200))), "en", "s", 0))
+            truth.setdefault((n, n >= 9 and k % 2), set()).add((i, i))
+            if 1 < n < 4:  # the words, but not one after another
+                rows.append((1000 + i, " ".join(text(20) + item[:1] + text(1) + item[1:] + text(20)), "en", "s", 0))
+    got = {(r["doc_id"], r["item_id"]) for r in D.decontaminate(frame(spark, rows), spark.createDataFrame(bench, "item_id bigint, text string")).collect()}
+    assert all(len(got & found) >= 0.9 * len(found) for found in truth.values()), {k: len(got & v) for k, v in truth.items()}
+    assert got <= set().union(*truth.values())
+
+
+def test_decontamination_passes_blocks_and_slices_change_nothing(spark, monkeypatch):
+    bench, rows, _ = planted(9, items=23, docs=40)
+    benchmark = spark.createDataFrame(bench, "item_id bigint, text string")
+    docs = frame(spark, [*rows, (500, " ".join(r[1] for r in rows), "en", "s", 0)])
+    whole = sorted(map(tuple, D.decontaminate(docs, benchmark).collect()))
+    for name, value in (("BLOCK", 4), ("PASS", 9), ("SCORES", 60), ("FAN", 2)):
+        monkeypatch.setattr(D, name, value)
+    monkeypatch.setattr(D, "_tasks", lambda docs: 50)
+    parts = sorted(map(tuple, D.decontaminate(docs, benchmark).collect()))
+    assert [r[:4] for r in whole] == [r[:4] for r in parts] and len(whole) > 20
+    assert np.allclose([r[4] for r in whole], [r[4] for r in parts], atol=1e-4)
+
+
 def test_latent_space_is_that_of_all_passages(spark, monkeypatch):
     rng = random.Random(5)
     vocabulary = [a + b + c for a in WORDS[:40] for b in ("", "er", "tion", "ly") for c in ("", "s", "en")]
