@@ -4,7 +4,8 @@ Base counts come from array functions on each whole text; a base rule rejects te
 with over half of their words in repeated 3-word windows. The rest is judged per language and
 source: four transformed statistics of each text form a vector, and a minimum-covariance-
 determinant estimate gives the centre and the scatter of the densest three quarters of the group.
-A text whose squared Mahalanobis distance exceeds the cutoff is rejected.
+A text whose squared Mahalanobis distance exceeds the cutoff is rejected. A group of under ``LEAST_GROUP`` passing texts is
+judged by the estimate of its whole language, or of all texts if the language has too few.
 
 The estimate starts twice, from medians with absolute deviations and from the plain mean with the plain covariance;
 each start takes concentration steps (keep the nearest three quarters, estimate anew), and the
@@ -16,8 +17,8 @@ At scale: texts are read once and never shuffled; the steps move sums for each g
 tables join by the size Spark measures at run time (broadcast below its threshold, else a skew-split join).
 
 Defined cases: a null text has no words and fails; a null language or source forms a group
-of its own; a group of fewer than 40 passing texts rejects none as outliers; repeated rows count each;
-an empty table gives no rows. Other columns, whatever their names, are carried in a struct and not read.
+of its own; if fewer than 40 texts pass in all, none is an outlier; repeated rows count each; a text of any length is judged
+whole (its words and 3-word hashes are one row's arrays); an empty table gives no rows. Other columns, whatever their names, are carried in a struct and not read.
 """
 
 from __future__ import annotations
@@ -32,8 +33,11 @@ SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 FEATURES = 4
 SHARE, STEPS, LEAST_GROUP = 0.75, 4, 40
-#: Rejects one in 10**9 texts of a group whose vectors are normal; statistics of texts have longer tails than that.
+#: The cutoff is the quantile that one in 10**9 normal vectors exceed, since statistics of texts have longer tails than normal
+#: ones. It lies in a gap: of 8,884 passing texts of sf0.1, 92 % have a distance below 15, the others one above 80.
 TAIL = 1e-9
+#: Stands for all languages or all sources; a label is empty or begins with "=".
+ANY = "*"
 #: Added to variances, so that statistics which hardly vary (no symbols, no repeats) cannot reject by a trifle.
 RIDGE = 0.02
 
@@ -62,7 +66,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         F.when(F.size("_words") > 3, grams).otherwise(F.array().cast("array<bigint>")).alias("_grams"),
     )
     names = [*names, "n_words", "n_lines", "n_dup_lines"]
-    ordered = F.array_sort(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    ordered = F.sort_array(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     again = F.size(F.array_distinct("_grams")) < F.size("_grams")
     out = out.select(*names, F.when(again, ordered).otherwise(F.expr("filter(array(struct(0L as g, 0 as i)), x -> false)")).alias("_ordered"))
     twice = F.expr("filter(_ordered, (e, k) -> coalesce(get(_ordered, k - 1).g = e.g, false) or coalesce(get(_ordered, k + 1).g = e.g, false))")
@@ -173,10 +177,25 @@ def _median_start(rows: DataFrame) -> DataFrame:
     return both.withColumn("log_det", F.lit(0.0))
 
 
-def shapes(vectors: DataFrame) -> DataFrame:
-    """The minimum-determinant shape of each (g_lang, g_source) of rows with x0, x1, ...; groups under LEAST_GROUP have none."""
-    sizes = vectors.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_GROUP).drop("n")
-    rows = vectors.join(sizes, ["g_lang", "g_source"], "left_semi").select("g_lang", "g_source", *X)
+def judges(vectors: DataFrame) -> DataFrame:
+    """For each (g_lang, g_source): the key of the shape that judges it (null if there are too few texts in all), and the keys its rows feed."""
+    sizes = materialize(vectors.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    langs = sizes.groupBy("g_lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    own, lang = F.col("n") >= LEAST_GROUP, F.col("n_lang") >= LEAST_GROUP
+    any_, enough = F.lit(ANY), F.lit(total >= LEAST_GROUP)
+    use_lang = F.when(own | lang, F.col("g_lang")).when(enough, any_)
+    use_source = F.when(own, F.col("g_source")).when(lang | enough, any_)
+    key = lambda a, b: F.struct(a.alias("g_lang"), b.alias("g_source"))
+    none = F.lit(None).cast("struct<g_lang:string,g_source:string>")
+    whole = langs.where(F.col("n_lang") < LEAST_GROUP).limit(1).count() > 0  # some language is judged by all texts
+    feeds = [F.when(own, key(F.col("g_lang"), F.col("g_source"))).otherwise(none), F.when(lang & (F.col("least") < LEAST_GROUP), key(F.col("g_lang"), any_)).otherwise(none), key(any_, any_) if whole and total >= LEAST_GROUP else none]
+    return sizes.join(langs, "g_lang").select("g_lang", "g_source", use_lang.alias("use_lang"), use_source.alias("use_source"), F.filter(F.array(*feeds), lambda k: k.isNotNull()).alias("feeds"))
+
+
+def shapes(vectors: DataFrame, judged: DataFrame) -> DataFrame:
+    """The minimum-determinant shape of each key that rows with x0, x1, ... feed, by judges()."""
+    rows = vectors.join(judged.select("g_lang", "g_source", "feeds"), ["g_lang", "g_source"]).select(F.explode("feeds").alias("k"), *X).select("k.*", *X)
     rows = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     columns = [*KEY, *[f"m_{x}" for x in X], *[f"l_{i}_{j}" for i, j in PAIRS], "log_det"]
     first = _median_start(rows.where("start = 0")).select(*columns).union(_factor(_moments(rows.where("start = 1")), 1.0).select(*columns))
@@ -197,8 +216,12 @@ def judge(docs: DataFrame, carry: tuple[str, ...] | None = None) -> DataFrame:
     counted = base_counts(docs).withColumns({"g_lang": label("lang"), "g_source": label("source")})
     row = F.struct(*[F.col(f"row.{c}").alias(c) for c in carry]).alias("row") if carry else F.col("row")
     held = materialize(counted.select(row, *COUNTS, "g_lang", "g_source", *[v.alias(x) for v, x in zip(_vector(), X, strict=True)]))
-    found = shapes(held.where("not base_failed").select("g_lang", "g_source", *X)).drop("log_det").withColumn("start", F.lit(0))
-    judged = _distance(held.withColumn("start", F.lit(0)), found)
+    vectors = held.where("not base_failed").select("g_lang", "g_source", *X)
+    who = judges(vectors)
+    found = shapes(vectors, who).drop("log_det").withColumn("start", F.lit(0))
+    by = who.select("g_lang", "g_source", "use_lang", "use_source")
+    mine = held.join(by, ["g_lang", "g_source"], "left").drop("g_lang", "g_source").withColumnsRenamed({"use_lang": "g_lang", "use_source": "g_source"})
+    judged = _distance(mine.withColumn("start", F.lit(0)), found)
     cutoff = chi2_quantile(1 - TAIL, FEATURES)
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
     return judged.select("row", *COUNTS, F.col("d2").alias("distance"), kept.alias("kept"))

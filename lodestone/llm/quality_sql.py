@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import FEATURES, LEAST_GROUP, PAIRS, RIDGE, SHARE, STEPS, SYMBOLS, TAIL, chi2_quantile, consistency
+from .quality_rules import ANY, FEATURES, LEAST_GROUP, PAIRS, RIDGE, SHARE, STEPS, SYMBOLS, TAIL, chi2_quantile, consistency
 
 KEYS = "g_lang, g_source, start"
 X = [f"x{i}" for i in range(FEATURES)]
@@ -18,8 +18,14 @@ counts as (select r, cast(len(w) as bigint) as n_words, cast(length(array_to_str
     cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(n, 0) as bigint) as n_repeat_words from split left join repeats using (r)),
 base as (select *, cast(length(text) - length(translate(text, '{SYMBOLS}', '')) as bigint) as n_symbols, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from docs join counts using (r)),
 vectors as (select r, g_lang, g_source, ln(n_words) as x0, 2 * ln(word_chars / n_words) as x1, 4 * sqrt(n_symbols / word_chars) as x2, n_repeat_words / n_words + n_dup_lines / greatest(n_lines, 1) as x3 from base where not base_failed),
-groups as (select g_lang, g_source from vectors group by all having count(*) >= {LEAST_GROUP}),
-starts as (select * from vectors join groups using (g_lang, g_source), (values (0), (1)) s(start))"""
+sizes as (select *, sum(n) over (partition by g_lang) as n_lang, sum(n) over () as total from (select g_lang, g_source, count(*) as n from vectors group by all)),
+uses as (select g_lang, g_source, case when n >= {LEAST_GROUP} or n_lang >= {LEAST_GROUP} then g_lang when total >= {LEAST_GROUP} then '{ANY}' end as use_lang,
+    case when n >= {LEAST_GROUP} then g_source when n_lang >= {LEAST_GROUP} or total >= {LEAST_GROUP} then '{ANY}' end as use_source from sizes),
+pools as (select distinct use_lang, use_source from uses where use_lang is not null),
+fed as (select p.*, {', '.join(X)} from vectors v join pools p on p.use_lang = v.g_lang and p.use_source = v.g_source
+    union all select p.*, {', '.join(X)} from vectors v join pools p on p.use_lang = v.g_lang and p.use_source = '{ANY}'
+    union all select p.*, {', '.join(X)} from vectors v join pools p on p.use_lang = '{ANY}'),
+starts as (select use_lang as g_lang, use_source as g_source, {', '.join(X)}, start from fed, (values (0), (1)) s(start))"""
 
 
 def _factor(source: str, scale: float) -> str:
@@ -68,7 +74,8 @@ def quality_sql() -> str:
     log_det = " + ".join(f"ln(l_{i}_{i})" for i in range(FEATURES))
     steps += [
         f"best as (select * from shape{STEPS} qualify row_number() over (partition by g_lang, g_source order by {log_det}, start) = 1)",
-        f"judged as ({_distance('starts', 'best')})",
+        f"mine as (select r, use_lang as g_lang, use_source as g_source, {', '.join(X)}, start from vectors v join uses using (g_lang, g_source) join (select g_lang as use_lang, g_source as use_source, start from best) b using (use_lang, use_source))",
+        f"judged as ({_distance('mine', 'best')})",
     ]
     cutoff = chi2_quantile(1 - TAIL, FEATURES)
     return f"""with {BASE}, {", ".join(steps)}

@@ -6,10 +6,10 @@ import corpus_pipeline as P
 import numpy as np
 import public_tokenizers
 from corpora import corpus, frame
-from lodestone.llm import decontaminate as D, sentencepieces
+from lodestone.llm import decontaminate as D, quality_rules as Q, sentencepieces
 from pyspark.sql import functions as F
 from test_dedup import bytes_brute, simhash_brute
-from test_text import base_brute
+from test_text import distances_brute
 
 
 def cut(raw, rows, i, width=50):
@@ -40,7 +40,8 @@ def leaks(text, items):
 
 def test_run_is_the_brute_force_pipeline(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
-    rows = [r for r in docs if not base_brute(r[1])[-1]]  # no group is large enough for outliers
+    cutoff = Q.chi2_quantile(1 - Q.TAIL, Q.FEATURES)
+    rows = [r for r, d in distances_brute(docs).items() if d is None or d <= cutoff]
     first = {(d, c) for d, _, c in simhash_brute(rows)}
     rows = [r for r in rows if (r[0], r[0]) in first]
     rows = [(r[0], cut(r[1].encode(), rows, i), *r[2:]) for i, r in enumerate(rows)]

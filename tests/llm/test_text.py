@@ -82,22 +82,44 @@ def mcd_brute(x):
     return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
 
 
+def vector(text):
+    n, chars, symbols, dup, rep, _ = base_brute(text)
+    lines = len([v for v in text.split("\n") if WORD.search(v)])
+    return [np.log(n), 2 * np.log(chars / n), 4 * np.sqrt(symbols / chars), rep / n + dup / max(lines, 1)]
+
+
+def distances_brute(rows):
+    """Distance of each passing (.., text, lang, source, ..) row: by its group, its language or all, the first with LEAST_GROUP rows; None without."""
+    passing = [r for r in rows if not base_brute(r[1])[-1]]
+    scopes = [lambda r: (r[2], r[3]), lambda r: r[2], lambda r: None]
+    out = {}
+    for scope in scopes:
+        groups = {}
+        for r in passing:
+            groups.setdefault(scope(r), []).append(r)
+        for members in groups.values():
+            if len(members) >= Q.LEAST_GROUP:
+                found = mcd_brute(np.array([vector(r[1]) for r in members]))
+                for r, d in zip(members, found, strict=True):
+                    out.setdefault(r, d)
+    return {r: out.get(r) for r in passing}
+
+
 def test_outliers_are_those_of_the_numpy_estimate(spark):
     rng = random.Random(6)
+    junk = lambda: " ".join(w + "###" for w in prose(rng, 100).split())
     rows = [(i, prose(rng, rng.randint(60, 400)), "en", "s1", 0) for i in range(150)]
-    rows += [(200 + i, " ".join(w + "###" for w in prose(rng, 100).split()), "en", "s1", 0) for i in range(8)]
-    rows += [(300 + i, prose(rng, 120), "fr", None, 0) for i in range(20)]  # too few to judge
+    rows += [(200 + i, junk(), "en", "s1", 0) for i in range(8)]
+    rows += [(300 + i, prose(rng, rng.randint(60, 300)), "en", f"small{i % 3}", 0) for i in range(30)] + [(350, junk(), "en", "small0", 0)]  # judged by the language
+    rows += [(400 + i, prose(rng, 120), "fr", None, 0) for i in range(20)] + [(450, junk(), "fr", None, 0)]  # judged by all
     found = {r["row"]["doc_id"]: r for r in Q.judge(frame(spark, rows)).collect()}
-    judged = [r for r in rows if r[2] == "en" and not found[r[0]]["base_failed"]]
-    x = []
-    for r in judged:
-        n, chars, symbols, dup, rep, _ = base_brute(r[1])
-        lines = len([v for v in r[1].split("\n") if WORD.search(v)])
-        x.append([np.log(n), 2 * np.log(chars / n), 4 * np.sqrt(symbols / chars), rep / n + dup / max(lines, 1)])
-    want = mcd_brute(np.array(x))
-    assert np.allclose([found[r[0]]["distance"] for r in judged], want, rtol=1e-6)
-    assert all(found[i]["kept"] for i in range(150)) and not any(found[200 + i]["kept"] for i in range(8))
-    assert all(found[300 + i]["kept"] and found[300 + i]["distance"] is None for i in range(20))
+    want = distances_brute(rows)
+    assert all(d is not None for d in want.values())
+    assert np.allclose([found[r[0]]["distance"] for r in want], list(want.values()), rtol=1e-6)
+    junk_ids = {*range(200, 208), 350, 450}
+    assert all(r["kept"] == (i not in junk_ids) for i, r in found.items())
+    few = [r for r in rows if r[0] >= 400]  # too few in all
+    assert all(r["kept"] and r["distance"] is None for r in Q.judge(frame(spark, few)).collect())
 
 
 def test_language_id(spark, sf):
