@@ -1,17 +1,20 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
-A text is the best-scoring sequence of the model's pieces (the unigram search over the
-model's own scores; of equal scores the longest last piece wins). Texts are cut into pre-tokens; new
-pre-tokens are grouped by length, and all words of one length advance together, one character a step.
-Every substring up to the longest piece is hashed, the hashes probe the sorted piece keys, and
-a maximum over the 16 possible last pieces stores the backpointers. Characters that no
-piece covers become byte pieces, so decode(encode(text)) is the text, always.
+Texts are cut into pre-tokens; new pre-tokens are grouped by length, and all words of one length advance together,
+one character a step. Every substring up to the longest piece is hashed, the hashes probe the sorted piece keys, and
+a maximum over the 16 possible last pieces stores the backpointers. What the maximum is taken of follows the model's kind:
 
-The bundled model is a BPE model. Its library merges greedily by the same scores; the search
-here finds the sequence with the best total instead, as the library does for a model of unigram kind.
+* Unigram: the best total of the pieces' scores (of equal ones the longest last piece).
+* BPE: a sequence is what the merges make of a text exactly if they leave each two neighbours of it apart, so
+  of the pieces that can come last, one follows the best sequence before it so; that is the maximum. Whether the merges
+  leave two pieces apart is worked out once for a pair, from the order in which their edges are merged.
+
+Both give the ids of the library. Characters that no piece covers become byte pieces, so decode(encode(text)) is
+the text, always.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; repeated rows are encoded
-each; a null doc_id stays null; an empty table gives no rows; null ids decode to an empty text.
+each; a null doc_id stays null; an empty table gives no rows; null ids decode to an empty text; a long text is a list of
+pre-tokens, and a long pre-token takes a step for each character.
 """
 
 from __future__ import annotations
@@ -23,12 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from sentencepiece import sentencepiece_model_pb2
 
 from ..session import ship
 from . import kernel as K
 from . import pretokens
 
-TABLE, BATCH_CHARS = 400_000, 120_000
+TABLE, BATCH_CHARS, PAIRS = 400_000, 120_000, 1 << 21
+NEVER = np.iinfo(np.int32).max
 _STEP = 0x9E3779B97F4A7C15 | 1
 UNKNOWN_PENALTY = 10.0
 
@@ -66,8 +71,89 @@ class Viterbi:
         self.piece_bytes = np.frombuffer(b"".join(blobs), np.uint8)
         self.piece_size = np.array([len(b) for b in blobs], np.int64)
         self.piece_at = np.cumsum(self.piece_size) - self.piece_size
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(model.serialized_model_proto())
+        self.merges = proto.trainer_spec.model_type == proto.trainer_spec.BPE
+        if self.merges:
+            self._read_merges([p for p, _ in sorted(normal.items(), key=lambda e: (-model.get_score(e[1]), e[1]))], normal)
         self.forget()
 
+    def _read_merges(self, pieces: list[str], ids: dict[str, int]) -> None:
+        """For each piece (by its order of merging): how its edges come about, and which pieces the merges can make at all.
+
+        ``edges[side]`` has for each id the ids that stand at its right (or left) end, characters first, and when each comes about.
+        """
+        order = {p: i for i, p in enumerate(pieces)}
+        if any(c not in ids for p in pieces for c in p):
+            raise ValueError("a character of a piece is no piece")
+        top = max(ids.values()) + 1
+        made: dict[str, tuple[str, str] | None] = {}
+        for piece in pieces:
+            parts, last = list(piece), None
+            while len(parts) > 1:
+                best, at = min((order.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+                if best == NEVER:
+                    break
+                last = parts[at], parts[at + 1]
+                parts[at : at + 2] = ["".join(last)]
+            if len(parts) == 1:
+                made[piece] = last
+        self.reached = np.zeros(top, bool)
+        self.reached[[ids[p] for p in made]] = True
+        self.when = np.full(top + 1, NEVER, np.int32)  # when a piece comes about; characters are there before all merges
+        self.raw, self.chars = np.zeros(top, np.uint64), np.zeros(top, np.int64)
+        longest = max(map(len, pieces))
+        self.edges = np.full((2, top, longest + 1), top, np.int32)  # filled up with a place that never comes about
+        for piece, i in ids.items():
+            codes = self._codes([piece])
+            self.raw[i], self.chars[i] = (codes * K.powers(_STEP, len(codes))).sum(dtype=np.uint64), len(piece)
+            self.when[i] = -1 if len(piece) == 1 else order[piece]
+        for side in (0, 1):
+            for piece in made:
+                chain, p = [ids[piece]], piece
+                while made[p]:
+                    p = made[p][1 - side]
+                    chain.append(ids[p])
+                self.edges[side, ids[piece], : len(chain)] = chain[::-1]
+
+    def _apart(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Whether the merges leave each pair of pieces (ids) apart: no two pieces that meet at their seam are merged there before one is merged away."""
+        out, open_ = np.zeros(len(first), bool), np.arange(len(first))
+        i, j = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        while len(open_):
+            own, other = first[open_], second[open_]
+            a, b = self.edges[0, own, i], self.edges[1, other, j]
+            next_a, next_b = self.when[self.edges[0, own, i + 1]], self.when[self.edges[1, other, j + 1]]
+            rank = self._probe(K.mix(self.raw[a] + self.raw[b] * K.powers(_STEP, 2 * self.longest)[self.chars[a]]))
+            seam = np.where(rank >= 0, self.when[self.ids[rank]], NEVER)
+            at = np.maximum(seam, np.maximum(self.when[a], self.when[b]))
+            merged = (seam < NEVER) & (at < next_a) & (at <= next_b)  # of two equal merges the left one comes first
+            ended = ~merged & (next_a == NEVER) & (next_b == NEVER)
+            out[open_[ended]] = True
+            left = next_a <= next_b
+            i, j = i + left, j + ~left
+            on = ~(merged | ended)
+            open_, i, j = open_[on], i[on], j[on]
+        return out
+
+    def _known_apart(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """_apart() by a table of the pairs met so far."""
+        keys = K.mix(first.astype(np.uint64) * np.uint64(1 << 32) + second.astype(np.uint64) + np.uint64(1))
+        found = self.pairs.find(keys)
+        lost = np.flatnonzero(found < 0)
+        if len(lost):
+            fresh, at, back = np.unique(keys[lost], return_index=True, return_inverse=True)
+            value = self._apart(first[lost[at]], second[lost[at]]).astype(np.int32)
+            if self.n_pairs + len(fresh) > PAIRS:
+                self.pairs, self.n_pairs = K.Slots(PAIRS), 0
+            for part in range(0, len(fresh), PAIRS):
+                if part:
+                    self.pairs = K.Slots(PAIRS)
+                self.pairs.add(fresh[part : part + PAIRS], value[part : part + PAIRS])
+            self.n_pairs += min(len(fresh), PAIRS)
+            found[lost] = value[back]
+        return found > 0
+
     @staticmethod
     def _codes(words: list[str]) -> np.ndarray:
         """A 64-bit value for each character. Pieces are held with a space for their space mark, so a mark in a text is unknown."""
@@ -77,6 +163,7 @@ class Viterbi:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.size, self.at = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pairs, self.n_pairs = K.Slots(PAIRS if self.merges else 1), 0
 
     def _probe(self, keys: np.ndarray) -> np.ndarray:
         """Rank of each key among the pieces, or -1."""
@@ -104,14 +191,7 @@ class Viterbi:
                 value, which = np.where(has, value, self.unknown), np.where(has, which, -1 - points)
             score[:, size - 1 :, w - size] = value  # by the last character; the longest piece first
             ids[:, size - 1 :, w - size] = which
-        best = np.full((b, n + w), -np.inf)
-        best[:, w - 1] = 0
-        back, every = np.empty((b, n), np.int16), np.arange(b)
-        for end in range(n):
-            candidates = best[:, end : end + w] + score[:, end]
-            choice = candidates.argmax(axis=1)
-            back[:, end] = choice
-            best[:, end + w] = candidates[every, choice]
+        back = self._backpointers(score, ids)
         out, count, left, t = np.zeros((b, n), np.int32), np.zeros(b, np.int64), np.full(b, n), 0
         while True:
             who = np.flatnonzero(left > 0)
@@ -124,6 +204,37 @@ class Viterbi:
             left[who] -= w - choice
         return out[np.arange(n) >= (n - count)[:, None]], count
 
+    def _backpointers(self, score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """For each place of each word which of the pieces that end there comes last; a score of -inf is no piece."""
+        b, n, w = score.shape
+        back, every = np.empty((b, n), np.int16), np.arange(b)
+        if not self.merges:
+            best = np.full((b, n + w), -np.inf)
+            best[:, w - 1] = 0
+            for end in range(n):
+                candidates = best[:, end : end + w] + score[:, end]
+                choice = candidates.argmax(axis=1)
+                back[:, end] = choice
+                best[:, end + w] = candidates[every, choice]
+            return back
+        last = np.full((b, n + w), -1, np.int64)  # the last piece of each beginning; none (-1) and unknown characters are met by any piece
+        is_piece = (score > -np.inf) & ((ids < 0) | self.reached[np.maximum(ids, 0)])
+        for end in range(n):
+            fits = is_piece[:, end].copy()
+            fits[:, : max(0, w - end - 1)] = False  # would begin before the word
+            row, col = np.nonzero(fits)
+            before, piece = last[row, end + col], ids[row, end, col].astype(np.int64)
+            asked = np.flatnonzero((before >= 0) & (piece >= 0))
+            ok = np.ones(len(row), bool)
+            ok[asked] = self._known_apart(before[asked], piece[asked])
+            fits[row, col] = ok
+            choice = fits.argmax(axis=1)
+            if not fits[every, choice].all():
+                raise ValueError("the model's merges do not follow the order of its pieces")
+            back[:, end] = choice
+            last[:, end + w] = ids[every, end, choice]
+        return back
+
     def _bytes_for_unknown(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not (ids < 0).any():
             return ids, count

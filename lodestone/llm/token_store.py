@@ -97,40 +97,6 @@ def plain_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return plain, low, begin, end, np.searchsorted(begin, offsets)
 
 
-class Slots:
-    """Numbers of 64-bit keys, by open addressing in numpy arrays."""
-
-    def __init__(self, most: int) -> None:
-        self.mask = np.int64((1 << (2 * most).bit_length()) - 1)
-        self.keys, self.numbers = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int32)
-
-    def _first(self, keys: np.ndarray) -> np.ndarray:
-        return (keys & np.uint64(self.mask)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key (none is 0), or -1."""
-        at, out, open_ = self._first(keys), np.full(len(keys), -1, np.int32), np.arange(len(keys))
-        while len(open_):
-            there = self.keys[at[open_]]
-            hit = there == keys[open_]
-            out[open_[hit]] = self.numbers[at[open_[hit]]]
-            open_ = open_[~hit & (there != 0)]
-            at[open_] = (at[open_] + 1) & self.mask
-        return out
-
-    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
-        """Distinct new keys."""
-        at, open_ = self._first(keys), np.arange(len(keys))
-        while len(open_):
-            free = self.keys[at[open_]] == 0
-            tried = open_[free]
-            self.keys[at[tried]] = keys[tried]
-            won = self.keys[at[tried]] == keys[tried]
-            self.numbers[at[tried[won]]] = numbers[tried[won]]
-            open_ = np.concatenate([open_[~free], tried[~won]])
-            at[open_] = (at[open_] + 1) & self.mask
-
-
 class WordEncoder:
     """Ids of texts for a tokenizer whose tokens never span white space, by a table of runs (and odd words), by 64-bit hash."""
 
@@ -143,7 +109,7 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = Slots(2 * TABLE)
+        self.known = K.Slots(2 * TABLE)
         self.pool, self.size, self.at = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     @staticmethod

@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet
 import pytest
 import sentencepiece
 from corpora import SCHEMA, corpus, frame, key
@@ -52,9 +54,9 @@ def test_viterbi_is_the_library_s_unigram_search(unigram):
         assert ids[ends[i] : ends[i + 1]].tolist() == library.encode(t), t
 
 
-def test_viterbi_is_brute_force():
-    v = sentencepieces.viterbi(PIECES)
-    model = pretokens.load(PIECES)
+def test_viterbi_is_brute_force(unigram):
+    v = sentencepieces.Viterbi(unigram)
+    model = pretokens.load(unigram)
     score = {model.id_to_piece(i).replace("▁", " "): model.get_score(i) for i in range(259, model.get_piece_size())}
     for word in ["hello", "teouheth", "abé", "thetheofthe", "a"]:
         text = " " + word
@@ -65,6 +67,25 @@ def test_viterbi_is_brute_force():
         assert sum(model.get_score(int(i)) for i in ids) == best[-1]
 
 
+def test_viterbi_is_the_library_s_merging(sf):
+    """The bundled BPE model: ids of all texts of the table, of joined pieces, of few letters, and of noise."""
+    library, ours = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepieces.viterbi(PIECES)
+    rng, pieces = random.Random(1), [library.id_to_piece(i).replace("▁", " ") for i in range(259, library.get_piece_size())]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))) for _ in range(20_000)]
+    texts += ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 25))) for _ in range(20_000)] + ["x" * 3000, "ab" * 1000, "a " * 500, "=" * 777]
+    texts += [t for t in noise(5000, 2) + [r[1] or "" for r in corpus()] + pa.parquet.read_table(f"{sf}/documents.parquet")["text"].to_pylist() if t and "▁" not in t]
+    ids, ends = ours.encode(texts)
+    for i, want in enumerate(library.encode(texts, num_threads=1)):
+        assert ids[ends[i] : ends[i + 1]].tolist() == want, texts[i]
+
+
+def test_pairs_beyond_the_table(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "PAIRS", 50)
+    ours, texts = sentencepieces.Viterbi(PIECES), noise(300, 5)
+    ids, _ = ours.encode(texts)
+    assert ids.tolist() == sentencepieces.viterbi(PIECES).encode(texts)[0].tolist()
+
+
 def test_round_trip(spark):
     rows = corpus() + [(10_000 + i, t, None, None, 0) for i, t in enumerate(noise(2000, 3))]
     both = sentencepieces.encode(frame(spark, rows), PIECES, digests=True)
