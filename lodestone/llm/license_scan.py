@@ -1,23 +1,23 @@
 """License scans, in DataFrame operations only: MinHash bands over text windows retrieve templates, exact shingles verify.
 
-Words are the lower-cased runs of letters and digits; a shingle is five of them. Templates
-of up to 14 words are met by windows of one shingle, one at each word: a window's minimum is the
-shingle's own hash, so a text that holds one shingle of the template is retrieved for certain.
-Longer templates are met by windows of 8 shingles (12 words), one at every fourth word, with
-``BANDS`` bands of one minimum each. On the template's side every word begins a
-window, so an unchanged passage meets an equal window (Jaccard 1, certain), and a window half
-of whose shingles were changed is retrieved with a probability of 1 - 0.5 ** BANDS, over 0.996;
-a passage has several windows.
-
-Retrieval is a filter inside each row: the band keys of all templates are literals of a hash
-set. Only rows with a hit go on; their windows meet the table of template keys (its size is that of the
-template list, which is a fixed argument, so it is broadcast), and the share of the template's
-shingles, as texts, in the passage around the window is compared with ``threshold``.
-
-At scale: one pass over the texts without a shuffle; a shuffle of the hits only, by (doc_id, license_id).
+Words are the lower-cased runs of letters and digits; a shingle is five of them.
+
+1. Shingles. A window can share a minimum with a template only if it holds one of the templates' shingles, so the
+   positions of those (by hash, one look-up each) are found first. Most texts have none and end here.
+2. Retrieval. Templates are cut into windows of ``WINDOW`` shingles, or of the largest power of two that fits a shorter template,
+   one at every word; texts into windows of the same sizes, one at every half window (over positions with a shingle). Each has
+   ``BANDS`` bands of one minimum, by hashes that are independent of each other. An equal window collides for certain; one that shares
+   half of its shingles (Jaccard 1/3) with a probability of 1 - (2/3) ** BANDS, over 0.998, and a passage has several windows.
+   A text that holds 4/5 of a long template has an unchanged window, since every changed word breaks five shingles.
+3. Verification. Of each template retrieved, the share of its distinct shingles, as texts, that the whole document holds is
+   compared with ``threshold``.
+
+At scale: one pass over the texts without a shuffle; a shuffle of the matches only, by (doc_id, license_id). The template list is an
+argument: its shingle hashes are one literal of 8 bytes each, its window keys a local table whose exact size decides whether Spark broadcasts it.
 
 Defined cases: a null text, and one of under five words, has no hit; repeated rows (equal doc_id) give one
-row, with the best share; a null doc_id is reported as null; an empty table gives no rows; other columns are not read.
+row, with the best share; rows with a null doc_id are reported each; a text of any length is scanned whole (its words and their hashes are
+one row's arrays); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +26,7 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-BANDS, WINDOW, STRIDE, SHINGLE, SHORT = 8, 8, 4, 5, 14
-SEEDS = [(0x9E3779B97F4A7C15 * (2 * j + 1)) % 2**63 for j in range(BANDS)]
+BANDS, WINDOW, SHINGLE = 16, 8, 5
 
 # Notices and passages of public licenses.
 TEMPLATES = {
@@ -57,6 +56,11 @@ def template_words(text: str) -> list[str]:
     return [w for w in re.split(r"[^\w]|_", text.lower()) if w]
 
 
+def window_size(shingles: int) -> int:
+    """Shingles in a window of a template of so many."""
+    return min(WINDOW, 1 << (shingles.bit_length() - 1))
+
+
 def _held(expression: str) -> str:
     """The expression as a value worked out once for a row: the optimizer moves no such column into lambdas or filters."""
     return f"if(spark_partition_id() >= 0, {expression}, null)"
@@ -66,57 +70,55 @@ def _hashes(words: str) -> str:
     return f"if(size({words}) < {SHINGLE}, cast(array() as array<bigint>), transform(sequence(0, greatest(size({words}), {SHINGLE}) - {SHINGLE}), i -> xxhash64({', '.join(f'get({words}, i + {k})' for k in range(SHINGLE))})))"
 
 
-def _with_minima(rows: DataFrame, names: list[str], stride: int) -> DataFrame:
-    """Columns m0, m1, ...: of each band (at, key) for every window of the column h."""
-    out = rows.select(*names, "h", *[F.expr(_held(f"transform(h, x -> x ^ {s}L)")).alias(f"h{j}") for j, s in enumerate(SEEDS)])
-    at = F.expr(f"if(size(h) >= {WINDOW}, sequence(0, size(h) - {WINDOW}, {stride}), cast(array() as array<int>))")
-    out = out.select("*", at.alias("_at"))
-    minima = [F.expr(_held(f"transform(_at, s -> struct(s as at, array_min(slice(h{j}, s + 1, {WINDOW})) as key))")).alias(f"m{j}") for j in range(BANDS)]
-    return out.select(*names, "h", *minima)
+def minima(window: str) -> str:
+    """The minimum of each band over an array of shingle hashes. A shingle's hash for band j is that of (shingle, j)."""
+    return f"array({', '.join(f'array_min(transform({window}, x -> xxhash64(x, {j})))' for j in range(BANDS))})"
+
+
+def _windows(rows: DataFrame, names: list[str], starts: str) -> DataFrame:
+    """(names, size, at, band, key) of the windows of h (of ``size`` shingles, or of all if there are fewer) at ``starts``."""
+    placed = rows.select(*names, "size", "h", F.explode(F.expr(starts)).alias("at"))
+    keyed = placed.select(*names, "size", "at", F.expr(minima("slice(h, at + 1, size)")).alias("m"))
+    return keyed.select(*names, "size", "at", F.posexplode("m").alias("band", "key"))
 
 
-def template_keys(spark, templates: dict[str, str]) -> tuple[DataFrame, list]:
-    """(band, key, license_id, offset, n, shingles) rows of all template windows; band -1 are the single shingles of short ones."""
-    rows = [(name, words, [" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]) for name, words in ((n, template_words(t)) for n, t in templates.items())]
-    if any(not shingles for _, _, shingles in rows):
+def template_keys(spark, templates: dict[str, str]) -> tuple[DataFrame, list[int]]:
+    """(size, band, key, license_id, shingles) rows of all template windows, and the hashes of all shingles."""
+    words = {name: template_words(text) for name, text in templates.items()}
+    if any(len(w) < SHINGLE for w in words.values()):
         raise ValueError("a template needs five words at least")
-    base = spark.createDataFrame(rows, "license_id string, w array<string>, shingles array<string>")
-    base = base.withColumn("h", F.expr(_hashes("w"))).withColumn("n", F.size("w"))
-    names = ["license_id", "n", "shingles"]
-    short = base.where(f"n <= {SHORT}").select(*names, F.posexplode("h").alias("at", "key")).withColumn("band", F.lit(-1))
-    long = _with_minima(base.where(f"n > {SHORT}"), names, 1)
-    keys = short.select("band", "key", *names, "at")
-    for j in range(BANDS):
-        keys = keys.union(long.select(F.lit(j).alias("band"), F.explode(f"m{j}").alias("m"), *names).select("band", "m.key", *names, "m.at"))
-    keys = keys.groupBy("band", "key", "license_id").agg(F.min("at").alias("offset"), F.first("n").alias("n"), F.first(F.array_distinct("shingles")).alias("shingles"))
-    found = keys.collect()  # as many rows as the template list has windows
-    return spark.createDataFrame(found, keys.schema), found
+    rows = [(n, w, sorted({" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}), window_size(len(w) - SHINGLE + 1)) for n, w in words.items()]
+    base = spark.createDataFrame(rows, "license_id string, w array<string>, shingles array<string>, size int").withColumn("h", F.expr(_hashes("w")))
+    keys = _windows(base, ["license_id", "shingles"], "sequence(0, greatest(size(h) - size, 0))").select("size", "band", "key", "license_id", "shingles").distinct()
+    hashes = {x for r in base.select("h").collect() for x in r["h"]}  # as many as the templates have shingles
+    return spark.createDataFrame(keys.collect(), keys.schema), sorted(hashes)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
     """doc_id, license_id, containment, at_word: the templates each document of (doc_id, text) holds to ``threshold`` or more.
 
-    containment is the share of the template's distinct shingles in the passage, at_word where that passage's window begins.
+    containment is the share of the template's distinct shingles that the document has, at_word where its first window that met the template begins.
     """
     spark = docs.sparkSession
-    table, found = template_keys(spark, templates or TEMPLATES)
-    of = lambda band: sorted({r["key"] for r in found if r["band"] == band})
-    words = F.expr(_held(r"filter(split(lower(coalesce(cast(text as string), '')), '[^\\p{L}\\p{N}]+'), w -> w <> '')"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words.alias("w"))
+    templates = TEMPLATES if templates is None else templates
+    if not templates:
+        return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit("").alias("license_id"), F.lit(0.0).alias("containment"), F.lit(0).cast("bigint").alias("at_word")).limit(0)
+    table, hashes = template_keys(spark, templates)
+    sizes = sorted({window_size(len(template_words(t)) - SHINGLE + 1) for t in templates.values()})
+    words = _held(r"filter(split(lower(coalesce(cast(text as string), '')), '[^\\p{L}\\p{N}]+'), w -> w <> '')")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.expr(words).alias("w"))
     rows = rows.select("doc_id", "w", F.expr(_held(_hashes("w"))).alias("h"))
-    hits = lambda source, band: F.expr(f"transform(filter({source}, e -> e.key in ({', '.join(f'{k}L' for k in of(band))})), e -> struct({band} as band, e.at as at, e.key as key))")
-    parts = [hits("transform(h, (x, i) -> struct(i as at, x as key))", -1)] if of(-1) else []
-    names = ["doc_id", "w"]
-    if any(r["band"] >= 0 for r in found):
-        rows = _with_minima(rows, names, STRIDE)
-        parts += [hits(f"m{j}", j) for j in range(BANDS)]
-    rows = rows.select(*names, F.when(F.spark_partition_id() >= 0, F.concat(*parts)).alias("hits"))
-    pairs = rows.select(*names, F.explode("hits").alias("e")).select(*names, "e.band", "e.at", "e.key").join(F.broadcast(table), ["band", "key"])
-    # The passage: where the whole template would lie if the window is the one at its offset, with as many words on both sides.
-    first = F.greatest(F.col("at") - F.col("offset") - F.col("n"), F.lit(0))
-    passage = F.slice(F.col("w"), first + 1, 3 * F.col("n"))
-    pairs = pairs.select("doc_id", "license_id", "at", "shingles", passage.alias("p"))
-    inside = F.expr(f"transform(sequence(0, greatest(size(p), {SHINGLE}) - {SHINGLE}), i -> concat_ws(' ', slice(p, i + 1, {SHINGLE})))")
-    pairs = pairs.withColumn("containment", F.size(F.array_intersect("shingles", inside)) / F.size("shingles")).where(F.col("containment") >= threshold)
-    best = pairs.groupBy("doc_id", "license_id").agg(F.max("containment").alias("containment"), F.min("at").cast("bigint").alias("at_word"))
+    known = f"array({', '.join(f'{x}L' for x in hashes)})"
+    met = rows.where(F.expr(f"arrays_overlap(h, {known})"))
+    at = f"filter(sequence(0, size(h) - 1), i -> get(h, i) in ({', '.join(f'{x}L' for x in hashes)}))"
+    met = met.select("doc_id", "w", "h", F.expr(_held(at)).alias("hits"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("nth"))
+    held = f"array_distinct(transform(hits, i -> concat_ws(' ', slice(w, i + 1, {SHINGLE}))))"
+    met = met.select("doc_id", "nth", "h", "hits", F.expr(_held(held)).alias("held"), F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size"))
+    # Windows begin at every half window, and the last one ends with the text; those that cover a hit are wanted.
+    step = "greatest(size div 2, 1)"
+    covering = f"sequence(greatest(0, (i - size + {step}) div {step}) * {step}, (i div {step}) * {step}, {step})"
+    starts = f"array_distinct(transform(flatten(transform(hits, i -> {covering})), s -> least(s, greatest(size(h) - size, 0))))"
+    found = _windows(met, ["doc_id", "nth", "held"], starts).join(table, ["size", "band", "key"])
+    pairs = found.withColumn("containment", F.size(F.array_intersect("shingles", "held")) / F.size("shingles")).where(F.col("containment") >= threshold)
+    best = pairs.groupBy("doc_id", "nth", "license_id").agg(F.max("containment").alias("containment"), F.min("at").cast("bigint").alias("at_word"))
     return best.select("doc_id", "license_id", "containment", "at_word")

@@ -36,6 +36,31 @@ def test_license_scan_finds_all_contained_templates(spark):
     assert C.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_license_parts_count_wherever_they_stand(spark):
+    rng = random.Random(2)
+    parts = C.TEMPLATES["MIT"].split()
+    halves = " ".join(parts[:30]) + " " + prose(rng, 600) + " " + " ".join(parts[26:])  # the seam's shingles are in the second part
+    rows = [(1, halves, "en", "s", 0), (None, C.TEMPLATES["ISC"], "en", "s", 0), (None, C.TEMPLATES["ISC"] + " x", "en", "s", 0), (2, prose(rng, 60_000) + " " + C.TEMPLATES["BSD"] + " " + prose(rng, 60_000), "en", "s", 0)]
+    got = sorted(((r["doc_id"], r["license_id"], r["containment"]) for r in C.license_scan(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, "MIT", 1.0), (None, "ISC", 1.0), (None, "ISC", 1.0), (2, "BSD", 1.0)], key=str)
+
+
+def test_license_bands_collide_with_the_stated_probability(spark):
+    """Windows that share 4 of 8 shingles: 1 - (2/3) ** BANDS; bands agree no more often than independent ones."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for _ in range(20_000):
+        x = rng.integers(-(2**63), 2**63, 12).tolist()
+        rows.append((x[:8], x[4:]))
+    both = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").selectExpr(f"{C.minima('a')} as a", f"{C.minima('b')} as b")
+    met = both.selectExpr("size(filter(zip_with(a, b, (x, y) -> x = y), e -> e)) as n").groupBy("n").count().collect()
+    counts = {r["n"]: r["count"] for r in met}
+    assert 1 - counts.get(0, 0) / 20_000 >= 0.997
+    mean = sum(n * c for n, c in counts.items()) / 20_000
+    variance = sum((n - mean) ** 2 * c for n, c in counts.items()) / 20_000
+    assert abs(mean - C.BANDS / 3) < 0.05 and abs(variance - C.BANDS * 2 / 9) < 0.15
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
