@@ -12,11 +12,12 @@
 6. Stars become components by star contraction over the cluster.
 
 At scale: after the texts are read once, a node costs about m rows of 16 bytes and its
-probes; the number of parts follows the number of nodes, so buckets stay small. A bin verifies a group of g distinct
-near fingerprints with g**2 popcounts but never sends more than g - 1 links.
+probes; the numbers of parts and bins follow the number of nodes, so bins stay small. A large group with one part value is
+searched from node to node, each against the nodes not yet linked, so g fingerprints that are near one another cost about g
+popcounts for each step of the search, not g**2; a bin never sends more than g - 1 links of a group.
 
 Defined cases: a null or word-less text has fingerprint zero and links like any other; a
-shorter text is one shingle; repeated rows stay rows of one component; a null doc_id gets the
+shorter text is one shingle; a long text is hashed in blocks of shingles; repeated rows stay rows of one component; a null doc_id gets the
 component of its fingerprint and never names one (null if no known doc_id is in it); an empty table gives no rows.
 """
 
@@ -35,7 +36,7 @@ from . import kernel as K
 from .graph import components
 
 SKETCH_BITS = 12
-PROBE_COST, PAIR_BLOCK = 20, 1 << 21
+PROBE_COST, PAIR_BLOCK, LARGE = 20, 1 << 21, 1024
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -190,13 +191,32 @@ def _to_bins(groups: list[list[int]], sketches: np.ndarray, n: int, distance: in
                 to = (K.mix(keys) % np.uint64(bins)).astype(np.int32)
                 order = np.argsort(to, kind="stable")
                 keys, owners, roles = keys[order], owners[order], roles[order]
-                edges = np.searchsorted(to[order], np.arange(bins + 1))
-                rows = [(b, K.pack(keys[s:e], owners[s:e], roles[s:e])) for b, (s, e) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if s < e]
+                own, begin = np.unique(to[order], return_index=True)
+                rows = [(b, K.pack(keys[s:e], owners[s:e], roles[s:e])) for b, s, e in zip(own.tolist(), begin.tolist(), [*begin[1:].tolist(), len(to)], strict=True)]
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bin", "block"])
 
     return run
 
 
+def _search_large(members: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of some distinct fingerprints: each is compared with those that no link has reached."""
+    left, u, v = members, [], []
+    while len(left):
+        open_, left = [left[:1]], left[1:]
+        while open_ and len(left):
+            frontier = np.concatenate(open_)
+            size = max(1, PAIR_BLOCK // len(left))
+            now, rest = frontier[:size], frontier[size:]
+            near = np.bitwise_count(now[:, None] ^ left[None, :]) <= distance
+            hit = near.any(axis=0)
+            u.append(now[near[:, hit].argmax(axis=0)])
+            v.append(left[hit])
+            open_ = [x for x in (rest, left[hit]) if len(x)]
+            left = left[~hit]
+    none = np.empty(0, np.uint64)
+    return np.concatenate([none, *u]), np.concatenate([none, *v])
+
+
 def _links(distance: int):
     def run(rows: pa.Table) -> pa.Table:
         blocks = [K.unpack(b.as_py()) for b in rows["block"]]
@@ -208,9 +228,13 @@ def _links(distance: int):
         ask_keys, ask_fps = keys[ask], owners[ask]
         nodes = np.unique(owners)
         lo, hi = np.searchsorted(data_keys, ask_keys, "left"), np.searchsorted(data_keys, ask_keys, "right")
-        size = hi - lo
+        root, size = np.arange(len(nodes)), hi - lo
+        for key in np.unique(ask_keys[size >= LARGE]):
+            a, b = _search_large(np.unique(owners[keys == key]), distance)
+            u, v, kids = np.searchsorted(nodes, a), np.searchsorted(nodes, b), np.flatnonzero(root != np.arange(len(nodes)))
+            root = K.components(len(nodes), np.concatenate([u, kids]), np.concatenate([v, root[kids]]))
+        size = np.where(size < LARGE, size, 0)
         ends = np.cumsum(size)
-        root = np.arange(len(nodes))
         at, total = 0, int(ends[-1]) if len(ends) else 0
         while at < total:  # blocks of pairs; a group larger than a block is met in slices
             stop = min(total, at + PAIR_BLOCK)
@@ -252,7 +276,7 @@ def near_links(nodes: DataFrame, distance: int = 4) -> DataFrame:
 
     for row in nodes.mapInArrow(sketch, "i bigint, v bigint, n bigint").groupBy("i", "v").agg(F.sum("n").alias("n")).collect():
         sketches[row["i"], row["v"]] = row["n"]  # at most parts * 4,096 rows
-    bins = int(max(8, min(4096, n * len(groups) * 4 // 500_000)))
+    bins = max(8, n * len(groups) * 4 // 500_000)
     sent = nodes.mapInArrow(_to_bins(groups, sketches, n, distance, bins), "bin int, block binary")
     return sent.groupBy("bin").applyInArrow(_links(distance), "u bigint, v bigint")
 

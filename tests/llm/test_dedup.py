@@ -126,7 +126,7 @@ def simhash_brute(rows, distance=4, shingle=4):
 
 
 def test_simhash(spark):
-    rows = [(r[0], (r[1] or "")[:2000] if r[1] is not None else None, *r[2:]) for r in corpus(5, 40)]
+    rows = corpus(5, 40)
     got = simhash_near_dedup(frame(spark, rows))
     assert Counter(map(tuple, got.collect())) == Counter(simhash_brute(rows))
 
@@ -148,6 +148,25 @@ def test_links_equal_brute_force_on_random_fingerprints(spark):
         assert len(pairs) == len(set(got.tolist())) == len(set(want.tolist()))
 
 
+def test_large_groups_are_searched_like_small_ones(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    ball = [int(c) ^ sum(1 << int(k) for k in rng.choice(20, int(rng.integers(0, 8)), replace=False)) for c in rng.integers(0, 2**63, 6, dtype=np.uint64) for _ in range(400)]
+    fps = np.unique(np.array([*ball, *rng.integers(0, 2**63, 500, dtype=np.uint64)], np.uint64))
+    u, v = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
+    want = K.components(len(fps), u, v)
+    a, b = S._search_large(fps, 4)
+    assert (np.bitwise_count(a ^ b) <= 4).all() and len(a) == len(fps) - len(np.unique(want))
+    assert K.components(len(fps), np.searchsorted(fps, a), np.searchsorted(fps, b)).tolist() == want.tolist()
+    monkeypatch.setattr(S, "LARGE", 3)
+    monkeypatch.setattr(S, "PAIR_BLOCK", 1000)
+    table = S._links(4)
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint")
+    monkeypatch.setattr(S, "_links", lambda distance: table)
+    index = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    links = S.near_links(nodes, 4).collect()
+    assert K.components(len(fps), np.array([index[r["u"]] for r in links]), np.array([index[r["v"]] for r in links])).tolist() == want.tolist()
+
+
 def test_thresholds_keep_the_pigeonhole():
     rng = np.random.default_rng(2)
     fps = rng.integers(0, 2**63, 500, dtype=np.uint64)
