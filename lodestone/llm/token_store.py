@@ -3,13 +3,13 @@
 Write: texts become ids; a rolling hash over the last ids cuts each document's stream where its low bits are zero, so equal
 passages give equal chunks. Chunks go to the bucket of their digest, where each is kept
 once; documents go along as recipes (their chunk digests). Recipes are then laid out in
-ascending doc_id order with their start in the whole stream, and each part of them gets a manifest.
+ascending doc_id order, a range of them in each part, and each part gets a manifest.
 
 Format (a folder)::
 
-    chunks/    bucket, block   digests (16 bytes each), sizes, ids of the unique chunks of a bucket
-    recipes/   part, doc_id, start, n_tokens, digests, root   ascending by part, doc_id
-    manifest/  part, first_doc, last_doc, n_docs, n_tokens, root
+    data/set=chunks/  bucket, block   digests (16 bytes each), sizes, ids of the unique chunks of a bucket
+    recipes/          part, doc_id, start (ids before it in its part), n_tokens, digests, root   ascending by part, doc_id
+    manifest/         part, before (ids of all parts before it), first_doc, last_doc, n_docs, n_tokens, root
 
 A document's root is the Merkle root of its chunk digests, a part's that of its documents' roots.
 
@@ -19,10 +19,12 @@ chunks (a CRC of a concatenation is a linear function of theirs), so ids are not
 time. Roots are worked out anew and compared with the manifests. ``load_ids`` rebuilds id lists.
 
 At scale: ids are shuffled once, compressed, before they are stored; hot chunks are
-collapsed by the task that cuts them. Parts and buckets grow in number with the corpus.
+collapsed by the task that cuts them. Parts and buckets grow in number with the corpus, without a limit, so their sizes stay.
+Recipes are range-partitioned once; any number of rows with one doc_id, or with none, is split over parts. A manifest is made of roots alone.
 
 Defined cases: a null or empty text holds the end id alone; rows that repeat a doc_id are stored each, by
-(doc_id, recipe); a null doc_id comes after all others; an empty table gives an empty store. Other columns are not read.
+(doc_id, recipe); a null doc_id comes after all others; a long text is cut into chunks of ``MAX_CHUNK`` ids at most, and its recipe has
+16 bytes for each; an empty table gives an empty store. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from ..session import shared_dir, ship
+from ..session import remove, shared_dir, ship
 from . import kernel as K
 from .sentencepieces import spans
 
@@ -295,13 +297,32 @@ def _unique(rows: pa.Table) -> pa.Table:
     return pa.concat_tables([recipes.cast(chunk.schema), chunk])
 
 
-def _root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+RECIPES = "part int, doc_id bigint, start bigint, n_tokens bigint, digests binary, root binary"
+MANIFEST = "part int, first_doc bigint, last_doc bigint, n_docs bigint, n_tokens bigint, root binary"
+
+
+def _roots(digests: pa.Array) -> pa.Array:
+    return pa.array([merkle([b[i : i + 16] for i in range(0, len(b), 16)]) for b in digests.to_pylist()], pa.binary())
+
+
+def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One part, in order: each document's start in it, and its root."""
+    before = 0
+    for batch in batches:
+        n = batch.column("n_tokens").to_numpy(zero_copy_only=False)
+        start = before + np.cumsum(n) - n
+        before += int(n.sum())
+        columns = [batch.column("part"), batch.column("doc_id"), pa.array(start, pa.int64()), batch.column("n_tokens"), batch.column("digests"), _roots(batch.column("digests"))]
+        yield pa.record_batch(columns, names=["part", "doc_id", "start", "n_tokens", "digests", "root"])
+
+
+def _roots_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.append_column("root", pa.array([merkle([b[i : i + 16] for i in range(0, len(b), 16)]) for b in batch.column("digests").to_pylist()], pa.binary()))
+        yield pa.record_batch([*[batch.column(c) for c in ("part", "doc_id", "start", "n_tokens")], _roots(batch.column("digests"))], names=["part", "doc_id", "start", "n_tokens", "root"])
 
 
 def _manifest(rows: pa.Table) -> pa.Table:
-    """Of one part: its manifest row, over documents in file order."""
+    """Of one part: its manifest row, over the roots of its documents in file order."""
     rows = rows.sort_by([("start", "ascending")])
     ids = rows["doc_id"]
     total = int(np.sum(rows["n_tokens"].to_numpy()))
@@ -309,44 +330,45 @@ def _manifest(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([rows["part"][0].as_py()], pa.int32()), pa.array([ids[0].as_py()], pa.int64()), pa.array([ids[-1].as_py()], pa.int64()), pa.array([len(rows)], pa.int64()), pa.array([total], pa.int64()), pa.array([root], pa.binary())], names=["part", "first_doc", "last_doc", "n_docs", "n_tokens", "root"])
 
 
-MANIFEST = "part int, first_doc bigint, last_doc bigint, n_docs bigint, n_tokens bigint, root binary"
-
-
 def write_store(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, docs_per_part: int = 20_000) -> None:
     """Writes the ids of (doc_id, text), the end id after each document, as a store in ``folder``."""
     spark = docs.sparkSession
     ship(spark)
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     raw = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(max(16, min(1 << 14, raw >> 22)))
-    sent = plain.mapInArrow(_write(tokenizer_path, end_id, buckets), SENT)
-    both = sent.groupBy("bucket").applyInArrow(_unique, SENT).withColumn("is_recipe", F.col("n_tokens").isNotNull())
-    staged = f"{folder}/staged"
-    both.write.partitionBy("is_recipe").option("compression", "uncompressed").parquet(staged)
-    found = spark.read.schema(SENT + ", is_recipe boolean").parquet(staged)
-    recipes = found.where("is_recipe").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("key"), "doc_id", "n_tokens", F.col("block").alias("digests"))
-    n = recipes.count()
-    parts = int(max(1, min(10_000, n // docs_per_part)))
-    bounds = recipes.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]), lambda b: b < F.col("key"))) if bounds else F.lit(0)
-    placed = recipes.withColumn("part", part.cast("int"))
-    order = [F.col("key"), F.col("digests")]
-    total = placed.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # at most 10,000 rows
-    before = total.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))
-    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    laid = placed.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(before), "part")
-    laid = laid.select("part", "doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "digests")
-    rooted = laid.mapInArrow(_root, "part int, doc_id bigint, start bigint, n_tokens bigint, digests binary, root binary")
-    rooted.repartitionByRange("part").sortWithinPartitions("part", "start").write.parquet(f"{folder}/recipes")
-    read_recipes(spark, folder).groupBy("part").applyInArrow(_manifest, MANIFEST).write.parquet(f"{folder}/manifest")
+    sent = plain.mapInArrow(_write(tokenizer_path, end_id, max(16, raw >> 22)), SENT)
+    both = sent.groupBy("bucket").applyInArrow(_unique, SENT).withColumn("set", F.when(F.col("n_tokens").isNull(), "chunks").otherwise("unordered"))
+    both.write.partitionBy("set").option("compression", "uncompressed").parquet(f"{folder}/data")
+    found = spark.read.schema(SENT + ", set string").parquet(f"{folder}/data").where("set = 'unordered'")
+    key = F.coalesce("doc_id", F.lit(2**63 - 1))
+    # Equal rows are told apart by their place in the files, so that a range bound can fall between them.
+    recipes = found.select(key.alias("key"), F.monotonically_increasing_id().alias("place"), "doc_id", "n_tokens", F.col("block").alias("digests"))
+    parts = max(1, found.count() // docs_per_part)
+    ranged = recipes.repartitionByRange(parts, "key", "digests", "place").sortWithinPartitions("key", "digests", "place")
+    laid = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "digests").mapInArrow(_lay, RECIPES)
+    laid.write.parquet(f"{folder}/recipes")
+    made = read_recipes(spark, folder).drop("digests").groupBy("part").applyInArrow(_manifest, MANIFEST)
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part, that is for 20,000 documents
+    made.withColumn("before", F.coalesce(F.sum("n_tokens").over(upto), F.lit(0))).write.parquet(f"{folder}/manifest")
+    remove(spark, [f"{folder}/data/set=unordered"])
 
 
 def read_recipes(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("part int, doc_id bigint, start bigint, n_tokens bigint, digests binary, root binary").parquet(f"{folder}/recipes")
+    return spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(MANIFEST + ", before bigint").parquet(f"{folder}/manifest")
+
+
+def _placed(spark: SparkSession, folder: str) -> DataFrame:
+    """Recipes with their start in the whole stream."""
+    before = read_manifest(spark, folder).select("part", "before")
+    return read_recipes(spark, folder).drop("root").join(before, "part", "left").withColumn("start", F.coalesce("before", F.lit(0)) + F.col("start")).drop("before")
 
 
 def _chunk_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(SENT + ", is_recipe boolean").parquet(f"{folder}/staged").where("not is_recipe").select("block")
+    return spark.read.schema(SENT + ", set string").parquet(f"{folder}/data").where("set = 'chunks'").select("block")
 
 
 def _check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,7 +438,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
     Chunks are checked against their digests, documents against their sizes, parts against the manifests; damage raises.
     """
-    recipes = read_recipes(spark, folder)
+    recipes = _placed(spark, folder)
     rows = F.expr("transform(sequence(0, length(digests) div 16 - 1), i -> struct(i as i, substring(digests, i * 16 + 1, 16) as digest))")
     used = recipes.select("start", F.explode(rows).alias("c")).select("start", "c.i", "c.digest")
     chunks = _chunk_blocks(spark, folder).mapInArrow(_check_chunks, "digest binary, n bigint, crc bigint")
@@ -424,9 +446,9 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     later = Window.partitionBy("start").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
     placed = found.select("start", "crc", "n", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("after"))
     sums = placed.mapInArrow(_shifted, "start bigint, crc bigint, n bigint").groupBy("start").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("n").alias("got"))
-    again = recipes.drop("root").mapInArrow(_root, "part int, doc_id bigint, start bigint, n_tokens bigint, digests binary, root binary")
+    again = read_recipes(spark, folder).mapInArrow(_roots_again, "part int, doc_id bigint, start bigint, n_tokens bigint, root binary")
     now = again.groupBy("part").applyInArrow(_manifest, MANIFEST)
-    then = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    then = read_manifest(spark, folder)
     ok = now.alias("a").join(then.alias("b"), "part", "full").select("part", F.coalesce(F.expr("a.root = b.root and a.n_tokens = b.n_tokens and a.n_docs = b.n_docs"), F.lit(False)).alias("intact"))
     out = recipes.join(sums, "start", "left").join(ok, "part", "left")
     sound = F.col("intact") & (F.col("got") == F.col("n_tokens"))
@@ -444,7 +466,7 @@ def load_ids(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.record_batch([pa.array(_digests(raw), pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))], names=["digest", "ids"])
 
     rows = F.expr("transform(sequence(0, length(digests) div 16 - 1), i -> struct(i as i, substring(digests, i * 16 + 1, 16) as digest))")
-    used = read_recipes(spark, folder).select("doc_id", "start", F.explode(rows).alias("c")).select("doc_id", "start", "c.i", "c.digest")
+    used = _placed(spark, folder).select("doc_id", "start", F.explode(rows).alias("c")).select("doc_id", "start", "c.i", "c.digest")
     parts = used.join(_chunk_blocks(spark, folder).mapInArrow(chunks, "digest binary, ids array<int>"), "digest")
     return parts.groupBy("doc_id", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda s: s["ids"])).alias("ids"))
 
