@@ -3,33 +3,57 @@
 Round k inserts, for every text of the collection at once, the symbol before its suffix of
 length k - 1, at the row its new suffix of length k takes. The transform and the common
 prefixes so far are read from the files of the last round and written to those of the next, in row order;
-only the row numbers of the texts' newest suffixes stay between rounds.
+only the row numbers of the texts' newest suffixes stay between rounds. Files lie in the folder that driver and executors share.
 """
 
 from __future__ import annotations
 
-import tempfile
+import os
+import uuid
 
 import numpy as np
-
-SPOOL = 32 << 20
+from pyarrow import fs
 
 
 class Column:
-    """One value for each row, in a sequential scratch file of the task (in memory while small)."""
-
-    def __init__(self) -> None:
-        self.file, self.kind = tempfile.SpooledTemporaryFile(max_size=SPOOL), np.dtype(np.uint8)
+    """One value for each row, in a file of the shared folder ``place`` that is written and read in order, whole."""
+
+    def __init__(self, place: str) -> None:
+        self.kind, self.file = np.dtype(np.uint8), None
+        if place.startswith("/") or place.startswith("file:"):
+            self.path = f"{place.removeprefix('file:')}/{uuid.uuid4().hex}"
+            os.makedirs(os.path.dirname(self.path), exist_ok=True)
+            self.file = open(self.path, "w+b", buffering=0)
+        else:
+            self.store, root = fs.FileSystem.from_uri(place)
+            self.path = f"{root}/{uuid.uuid4().hex}"
 
     def write(self, values: np.ndarray) -> None:
-        self.file.seek(0)
-        self.file.truncate()
-        self.file.write(memoryview(values))
         self.kind = values.dtype
+        if self.file:
+            self.file.seek(0)
+            view = memoryview(np.ascontiguousarray(values)).cast("B")
+            while len(view):
+                view = view[self.file.write(view) :]
+            self.file.truncate()
+            return
+        with self.store.open_output_stream(self.path) as out:
+            out.write(memoryview(values))
 
     def read(self) -> np.ndarray:
-        self.file.seek(0)
-        return np.frombuffer(self.file.read(), self.kind)
+        if self.file:
+            self.file.seek(0)
+            return np.frombuffer(self.file.read(), self.kind)
+        with self.store.open_input_stream(self.path) as got:
+            return np.frombuffer(got.read(), self.kind)
+
+    def close(self) -> None:
+        """The file goes. What a lost executor leaves goes with the folder."""
+        if self.file:
+            self.file.close()
+            os.unlink(self.path)
+        else:
+            self.store.delete_file(self.path)
 
 
 _twice: dict[type, np.ndarray] = {}
@@ -72,8 +96,8 @@ def _range_minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np
     return out
 
 
-def build(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bwt, lcp) of the collection data[begin[i] : begin[i] + length[i]], each text with its own end mark.
+def build(data: np.ndarray, begin: np.ndarray, length: np.ndarray, place: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bwt, lcp) of the collection data[begin[i] : begin[i] + length[i]], each text with its own end mark, by files in the folder ``place``.
 
     End marks sort before all symbols, in text order. Rows 0..n-1 are the end marks alone.
     In ``bwt`` the value 255 (65535 if the data hold 255) stands before whole texts.
@@ -84,7 +108,7 @@ def build(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.n
     kind, stop = (np.uint16, 65535) if wide else (np.uint8, 255)
     prefixes = np.uint8 if n == 0 or length.max() < 255 else np.uint32
     end = begin + length
-    bwt_file, lcp_file = Column(), Column()
+    bwt_file, lcp_file = Column(place), Column(place)
     narrow = kind is np.uint8 and int(np.sum(length)) + n < 1 << 23
     kinds, shift = (np.uint32, np.uint32(24)) if narrow else (np.uint64, np.uint64(48))
 
@@ -105,7 +129,10 @@ def build(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.n
         more = length[alive] >= k
         alive, rows = alive[more], rows[more]
         if not len(alive):
-            return bwt_file.read(), lcp_file.read()
+            done = bwt_file.read(), lcp_file.read()
+            bwt_file.close()
+            lcp_file.close()
+            return done
         bwt, lcp = bwt_file.read(), lcp_file.read()
         size = len(bwt)
         # Row n + r of the new column begins with the r-th symbol of bwt in stable order: sort (symbol, row, whether new).

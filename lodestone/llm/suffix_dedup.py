@@ -1,14 +1,15 @@
-"""Suffix-array dedup of byte strings, over a Burrows-Wheeler transform of the whole collection.
+"""Suffix-array dedup of byte strings, over Burrows-Wheeler transforms of collections of many texts.
 
 1. Anchors. In every 50-byte window the 24-byte gram of the smallest hash is its anchor;
    consecutive windows with one anchor form a segment of at most 76 bytes. Equal windows have equal
-   anchors, so a window can repeat only if its anchor does. Packs send their distinct anchors; a
-   bucket answers which of them more than one document has.
+   anchors, so a window can repeat only if its anchor does. Packs send their distinct anchors with the numbers of their segments; a
+   bucket answers which of them more than one document has, and which are hot.
 2. Bins. Segments with such an anchor go to the bin of the anchor, one row for each distinct
-   content of a pack with its smallest doc_id. All equal windows of the corpus meet in one bin.
+   content of a pack with its smallest doc_id. All equal windows of the corpus meet in one bin. Segments of a hot anchor (over
+   ``HOT`` of them, as at the edges of a passage that many documents share) go as single windows, dealt by their own hash,
+   so that no group grows with the corpus: equal windows are one row for each pack.
 3. Construction. A bin cuts its segments into collections by anchor and builds the transform
-   and the longest common prefixes of each, one symbol of every segment a round (bwt.py). An
-   anchor with one distinct segment needs no construction: all its windows have that segment's smallest doc_id. Rows
+   and the longest common prefixes of each, one symbol of every segment a round, through sequential files of the shared folder (bwt.py). Rows
    with common prefixes of 50 bytes or more are equal windows; the smallest doc_id of such a run decides.
 4. Removal. Packs get back, for each of their segments, the smallest doc_id of its windows,
    mark the windows that a smaller doc_id has, and remove what those cover.
@@ -20,7 +21,8 @@ on the bytes and on 64-bit content hashes of segments.
 
 Defined cases: a null text is empty; a document under 50 bytes keeps all; rows that repeat a doc_id
 do not remove one another's bytes; a null doc_id comes after all others; an empty table gives no rows.
-kept_text drops the pieces of characters that a removal cut. Other columns are not read.
+kept_text drops the pieces of characters that a removal cut; a long text is a pack of its own, held whole by a task (some 40 bytes a
+byte while its segments are found, 256 kB at a time). Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from ..session import shared_dir
 from . import bwt as B
 from . import kernel as K
 from .packs import bucket_bits, by_pack, carried, documents_in, make_packs
 from .substring_dedup import PER_BUCKET, SENT, from_planes, is_in, planes
 
 GRAM = 24
-BIN_BYTES, COLLECTION_BYTES = 3 << 20, 500_000
+BIN_BYTES, COLLECTION_BYTES, HOT = 3 << 20, 500_000, 4096
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -65,7 +68,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
         tagged = ((hashes >> bits) << bits) | np.arange(len(hashes), dtype=np.uint64)
         anchor = _window_minima(tagged, width - gram + 1) & np.uint64((1 << int(bits)) - 1)
         inside = np.ones(len(anchor), bool)  # windows that lie in one document
-        short = np.maximum(first[1:, None] - np.arange(1, width), first[:-1, None]).reshape(-1)
+        some = np.diff(first) > 0  # an empty text has no place of its own
+        short = np.maximum(first[1:, None][some] - np.arange(1, width), first[:-1, None][some]).reshape(-1)
         inside[short[short < len(inside)]] = False
         new = np.empty(len(anchor), bool)
         new[0], new[1:] = True, (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1])
@@ -101,33 +105,35 @@ def _send_anchors(width: int, bits: int):
                 keys, docs = keys[order], docs[order]
                 begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
                 end = np.append(begin[1:], len(keys)) - 1 if len(begin) else begin
-                many = (docs[begin] != docs[end]).astype(np.uint8)  # documents ascend in a run
+                # How many segments have the anchor, and 1 less if all are of one document (documents ascend in a run).
+                many = np.minimum(2 * (end + 1 - begin) - (docs[begin] == docs[end]), 2 * HOT + 2) if len(begin) else begin
                 keys = keys[begin]
                 edges = np.searchsorted(keys >> np.uint64(32), np.arange(2**bits + 1, dtype=np.uint64))
-                rows = [(int(b), name, K.pack(planes(keys[edges[b] : edges[b + 1]]), np.packbits(many[edges[b] : edges[b + 1]]))) for b in np.flatnonzero(np.diff(edges))]
+                rows = [(int(b), name, K.pack(planes(keys[edges[b] : edges[b + 1]]), K.narrow(many[edges[b] : edges[b + 1]]))) for b in np.flatnonzero(np.diff(edges))]
                 yield _arrow(rows, ["bucket", "pack", "block"])
 
     return run
 
 
 def _shared_anchors(rows: pa.Table) -> pa.Table:
-    """Of one bucket: to each pack those of its anchors that several documents have."""
+    """Of one bucket: to each pack those of its anchors that several documents have, and whether each is hot."""
     names, keys, many, packs = rows["pack"].to_pylist(), [], [], []
     for i, block in enumerate(rows["block"]):
         raw, flags = K.unpack(block.as_py())
         keys.append(from_planes(raw))
-        many.append(np.unpackbits(flags, count=len(keys[-1])).astype(bool))
+        many.append(flags.astype(np.int64))
         packs.append(np.full(len(keys[-1]), i, np.int32))
     keys, many, packs = np.concatenate(keys), np.concatenate(many), np.concatenate(packs)
     order = np.argsort(keys, kind="stable")
     keys, many, packs = keys[order], many[order], packs[order]
-    same = keys[1:] == keys[:-1]
-    many[1:] |= same
-    many[:-1] |= same
-    keys, packs = keys[many], packs[many]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    size = np.diff(np.append(begin, len(keys)))
+    several = np.repeat(size > 1, size) | (many % 2 == 0)
+    hot = np.repeat(np.add.reduceat((many + 1) // 2, begin) > HOT, size) if len(begin) else several
+    keys, packs, hot = keys[several], packs[several], hot[several]
     by = np.argsort(packs, kind="stable")
-    keys, edges = keys[by], np.searchsorted(packs[by], np.arange(len(names) + 1))
-    return pa.Table.from_batches([_arrow([(names[i], 1, K.pack(planes(keys[edges[i] : edges[i + 1]]))) for i in range(len(names)) if edges[i] < edges[i + 1]], ["pack", "kind", "block"])])
+    keys, hot, edges = keys[by], hot[by], np.searchsorted(packs[by], np.arange(len(names) + 1))
+    return pa.Table.from_batches([_arrow([(names[i], 1, K.pack(planes(keys[edges[i] : edges[i + 1]]), np.packbits(hot[edges[i] : edges[i + 1]]))) for i in range(len(names)) if edges[i] < edges[i + 1]], ["pack", "kind", "block"])])
 
 
 def _gather(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -140,28 +146,51 @@ def _content(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, width: in
     return K.span_hashes(data, begin, begin + windows + width - 1)
 
 
+def _content_of(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, width: int) -> np.ndarray:
+    """_content() of spans in any order."""
+    order = np.argsort(begin, kind="stable")
+    out = np.empty(len(begin), np.uint64)
+    out[order] = _content(data, begin[order], windows[order], width)
+    return out
+
+
+def _each_window(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all windows of some segments: the segment, and the place in it."""
+    of = np.repeat(np.arange(len(windows)), windows)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+
+
 def _send_segments(width: int, bits: int, bins: int):
     def run(name: str, block: bytes, answers: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not answers:
             return
         ids, _, data, offsets = documents_in(block)
         begin, windows, keys, docs = segments(data, offsets, width)
-        flagged = np.sort(np.concatenate([from_planes(K.unpack(a)[0]) for a in answers]))
-        hit = is_in(_short(keys, bits), flagged)
-        begin, windows, keys, docs = begin[hit], windows[hit], keys[hit], docs[hit]
-        content = _content(data, begin, windows, width)
-        order = np.argsort(content, kind="stable")
+        parts = [(from_planes(raw), flags) for raw, flags in map(K.unpack, answers)]
+        flagged, hot = np.concatenate([f for f, _ in parts]), np.concatenate([np.unpackbits(h, count=len(f)).astype(bool) for f, h in parts])
+        short = _short(keys, bits)
+        hit = is_in(short, np.sort(flagged))
+        begin, windows, keys, docs, short = begin[hit], windows[hit], keys[hit], docs[hit], short[hit]
+        many = is_in(short, np.sort(flagged[hot]))
+        if many.any():  # single windows, each with its own hash for a key, after the segments
+            of, step = _each_window(windows[many])
+            own, who = (begin[many][of] + step), docs[many][of]
+            single = np.ones(len(own), np.int64)
+            begin, windows, docs = np.concatenate([begin[~many], own]), np.concatenate([windows[~many], single]), np.concatenate([docs[~many], who])
+            keys = np.concatenate([keys[~many], ~_content(data, own, single, width)])
+        content = _content_of(data, begin, windows, width)
+        order = np.lexsort((docs, content))
         runs = np.flatnonzero(np.concatenate([[True], content[order][1:] != content[order][:-1]]))
         last = np.append(runs[1:], len(order)) - 1
-        first, last = order[runs], order[last]  # documents ascend: the smallest and the largest doc_id with the content
+        first, last = order[runs], order[last]  # the smallest and the largest doc_id with the content
         place = K.mix(keys[first])
         to, sub = (place % np.uint64(bins)).astype(np.int64), ((place // np.uint64(bins)) & np.uint64(0xFFFFF)).astype(np.int64)
         order = np.lexsort((sub, to))
         first, last, to, sub = first[order], last[order], to[order], sub[order]
-        edges = np.searchsorted(to, np.arange(bins + 1))
+        own, edges = np.unique(to, return_index=True)
         rows = []
-        for b in np.flatnonzero(np.diff(edges)):
-            part = slice(edges[b], edges[b + 1])
+        for b, at, end in zip(own.tolist(), edges.tolist(), [*edges[1:].tolist(), len(to)], strict=True):
+            part = slice(at, end)
             f, z = first[part], last[part]
             table, slot = np.unique(np.concatenate([ids[docs[f]], ids[docs[z]]]), return_inverse=True)
             length = windows[f] + width - 1
@@ -171,9 +200,9 @@ def _send_segments(width: int, bits: int, bins: int):
     return run
 
 
-def window_minima(data: np.ndarray, begin: np.ndarray, length: np.ndarray, docs: np.ndarray, width: int) -> np.ndarray:
+def window_minima(data: np.ndarray, begin: np.ndarray, length: np.ndarray, docs: np.ndarray, width: int, place: str) -> np.ndarray:
     """For each window of each text, texts in order: the smallest of ``docs`` over all texts that hold it."""
-    transform, prefixes = B.build(data, begin, length)
+    transform, prefixes = B.build(data, begin, length, place)
     run = np.cumsum(prefixes < width)
     least = np.full(int(run[-1]) + 1 if len(run) else 1, np.iinfo(np.int64).max)
     rows = [(k, who, run[at]) for k, who, at in B.suffix_rows(transform, length) if k >= width]
@@ -187,7 +216,7 @@ def window_minima(data: np.ndarray, begin: np.ndarray, length: np.ndarray, docs:
     return out
 
 
-def _compare(width: int):
+def _compare(width: int, place: str):
     def run(rows: pa.Table) -> pa.Table:
         names = rows["pack"].to_pylist()
         subs, windows, low, high, packs, texts = [], [], [], [], [], []
@@ -207,19 +236,6 @@ def _compare(width: int):
         content = _content(data, begin, windows, width)
         order = np.lexsort((content, subs))
         subs, found = subs[order], []
-        # Where an anchor has one content only, no other text can hold its windows: nothing is to be compared.
-        group = np.concatenate([[True], subs[1:] != subs[:-1]])
-        new = np.concatenate([[True], content[order[1:]] != content[order[:-1]]]) | group
-        contents = np.add.reduceat(new.astype(np.int64), np.flatnonzero(group))
-        alone = np.repeat(contents == 1, np.diff(np.append(np.flatnonzero(group), len(order))))
-        own = np.flatnonzero(alone)
-        if len(own):
-            begins = np.flatnonzero(group[own])
-            least = np.repeat(np.minimum.reduceat(low[order[own]], begins), np.diff(np.append(begins, len(own))))
-            tell = least < high[order[own]]
-            take = order[own[tell]]
-            found.append((packs[take], content[take], np.ones(len(take), np.int64), least[tell]))
-        order, subs = order[~alone], subs[~alone]
         sizes = np.cumsum(length[order])
         at = 0
         while at < len(order):  # whole sub-bins, together of a fixed size at most, or one larger
@@ -232,7 +248,7 @@ def _compare(width: int):
             which = np.cumsum(new) - 1
             texts = take[new]
             least = np.minimum.reduceat(low[take], np.flatnonzero(new))
-            minima = window_minima(data, begin[texts], length[texts], least, width)
+            minima = window_minima(data, begin[texts], length[texts], least, width, place)
             count = windows[texts]
             base = np.cumsum(count) - count
             lowest, top = np.minimum.reduceat(minima, base), np.maximum.reduceat(minima, base)
@@ -275,16 +291,29 @@ def _removed(answers: list[bytes], ids: np.ndarray, data: np.ndarray, offsets: n
     begin, windows, _, docs = segments(data, offsets, width)
     content = _content(data, begin, windows, width)
     hit = is_in(content, keys)
-    begin, windows, docs = begin[hit], windows[hit], docs[hit]
     which = np.searchsorted(keys, content[hit])
     plain = values[which] == 1
-    gone = plain & (flat[base[which]] < ids[docs])
-    removed = K.covered_by(len(data), begin[gone], begin[gone] + windows[gone] + width - 1)
-    begin, windows, docs, which = begin[~plain], windows[~plain], docs[~plain], which[~plain]
-    of = np.repeat(np.arange(len(begin)), windows)
-    step = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    gone = flat[base[which][of] + step] < ids[docs][of]
-    removed |= K.covered(len(data), (begin[of] + step)[gone], width)
+    gone = plain & (flat[base[which]] < ids[docs[hit]])
+    removed = K.covered_by(len(data), begin[hit][gone], begin[hit][gone] + windows[hit][gone] + width - 1)
+    own, who, which = begin[hit][~plain], docs[hit][~plain], which[~plain]
+    of, step = _each_window(windows[hit][~plain])
+    gone = flat[base[which][of] + step] < ids[who][of]
+    removed |= K.covered(len(data), (own[of] + step)[gone], width)
+    # Windows that were sent alone, for a hot anchor: their segments are not among the answers.
+    rest, count = begin[~hit], windows[~hit]
+    long = count > 1
+    if not long.any():
+        return removed
+    lone = keys[values == 1]
+    for a in range(0, int(long.sum()), 1 << 16):
+        some, n, d = rest[long][a : a + (1 << 16)], count[long][a : a + (1 << 16)], docs[~hit][long][a : a + (1 << 16)]
+        of, step = _each_window(n)
+        at = some[of] + step
+        content = _content(data, at, np.ones(len(at), np.int64), width)
+        met = is_in(content, lone)
+        which = np.searchsorted(keys, content[met])
+        gone = flat[base[which]] < ids[d[of[met]]]
+        removed |= K.covered(len(data), at[met][gone], width)
     return removed
 
 
@@ -328,11 +357,11 @@ def suffix_array_dedup(docs: DataFrame, width: int = 50, with_text: bool = True,
     packs = make_packs(docs, *([] if carry is None else [carry.alias("row")]))
     bits = max(8, bucket_bits(packs, PER_BUCKET, 1 / 14))
     raw = packs.select(F.sum(F.length("block")).alias("n")).first()["n"] or 0
-    bins = int(max(16, min(1 << 16, 2.6 * raw // BIN_BYTES)))
+    bins = int(max(16, 2.6 * raw // BIN_BYTES))
     anchors = packs.mapInArrow(_send_anchors(width, bits), SENT)
     shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, "pack string, kind int, block binary")
     sent = by_pack(packs, shared, _send_segments(width, bits, bins), "bin int, pack string, block binary")
-    answers = sent.groupBy("bin").applyInArrow(_compare(width), "pack string, kind int, block binary")
+    answers = sent.groupBy("bin").applyInArrow(_compare(width, shared_dir(docs.sparkSession)), "pack string, kind int, block binary")
     schema = StructType.fromDDL(RESULT + ", kept_text string" * with_text)
     if carry is not None:
         schema = schema.add("row", docs.select(carry.alias("row")).schema["row"].dataType)

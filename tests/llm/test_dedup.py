@@ -5,10 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from corpora import SCHEMA, corpus, frame
-from lodestone.llm import bwt, graph, kernel as K, simhash_dedup as S
+from lodestone.llm import bwt, graph, kernel as K, simhash_dedup as S, suffix_dedup as Z
 from lodestone.llm.simhash_dedup import simhash_near_dedup
 from lodestone.llm.substring_dedup import substring_dedup
 from lodestone.llm.suffix_dedup import suffix_array_dedup, window_minima
@@ -60,14 +61,14 @@ def bytes_brute(rows, width):
     return out
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3, 4, 6])
 def test_substring_dedup(spark, seed):
     rows = corpus(seed)
     got = substring_dedup(frame(spark, rows), 20)
     assert Counter(tuple(r)[:4] for r in got.collect()) == Counter(windows_brute(rows, 20))
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3, 4, 6])
 def test_suffix_array_dedup(spark, seed):
     rows = corpus(seed)
     got = suffix_array_dedup(frame(spark, rows), 50)
@@ -79,7 +80,42 @@ def test_empty_tables(spark):
     assert substring_dedup(none).count() == suffix_array_dedup(none).count() == simhash_near_dedup(none).count() == 0
 
 
-def test_bwt_of_random_collections():
+def test_hot_anchors_go_as_single_windows(spark, monkeypatch):
+    """A passage with another text around it in each document, among the odd rows, with every shared anchor hot, or some."""
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(chr(c) for c in rng.integers(97, 123, n))
+    passage, rows = text(300), corpus(6, 30)
+    rows += [(1000 + i, text(40 + i) + passage[i % 7 :] + text(30), "en", "s", 0) for i in range(60)]
+    want = Counter(bytes_brute(rows, 50))
+    shared = Z._shared_anchors
+
+    def hotter(rows):  # by value, with the constant below
+        Z.HOT = 40
+        return shared(rows)
+
+    for hot in (4096, 40):
+        monkeypatch.setattr(Z, "HOT", hot)
+        if hot == 40:
+            monkeypatch.setattr(Z, "_shared_anchors", hotter)
+        assert Counter(tuple(r)[:5] for r in suffix_array_dedup(frame(spark, rows), 50).collect()) == want
+    keys = np.array([5, 9], np.uint64)
+    block = lambda counts: K.pack(Z.planes(keys), K.narrow(np.array(counts)))
+    answer = shared(pa.table({"bucket": pa.array([0, 0], pa.int32()), "pack": ["a", "b"], "block": [block([1, 61]), block([1, 60])]}))
+    raw, flags = K.unpack(answer["block"][0].as_py())
+    assert Z.from_planes(raw).tolist() == [5, 9] and np.unpackbits(flags, count=2).tolist() == [0, 1]
+
+
+def test_columns_are_files_of_any_store(tmp_path):
+    for place in (str(tmp_path), f"file:{tmp_path}"):
+        column = bwt.Column(place)
+        for values in (np.arange(9, dtype=np.uint8), np.arange(3, dtype=np.uint32), np.empty(0, np.uint16)):
+            column.write(values)
+            assert np.array_equal(column.read(), values) and column.read().dtype == values.dtype
+        column.close()
+        assert not list(tmp_path.iterdir())
+
+
+def test_bwt_of_random_collections(tmp_path):
     rng = np.random.default_rng(0)
     for trial in range(30):
         texts = [bytes(rng.integers(97, 99 + trial % 4, int(rng.integers(1, 40)), dtype=np.uint8)) for _ in range(int(rng.integers(1, 40)))]
@@ -87,7 +123,7 @@ def test_bwt_of_random_collections():
             texts = [b"\xff\xff", b"\xff", b"a\xff"]
         length = np.array([len(t) for t in texts])
         data, begin = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(length) - length
-        got, lcp = bwt.build(data, begin, length)
+        got, lcp = bwt.build(data, begin, length, str(tmp_path))
         order = sorted((t[len(t) - k :], i, k) for i, t in enumerate(texts) for k in range(len(t) + 1))
         stop = 65535 if got.dtype == np.uint16 else 255
         want = [texts[i][len(texts[i]) - k - 1] if k < len(texts[i]) else stop for _, i, k in order]
@@ -101,7 +137,7 @@ def test_bwt_of_random_collections():
                 least[t[i : i + 5]] = min(least.get(t[i : i + 5], 99), d)
         long = length >= 5
         if long.any():
-            flat = window_minima(data, begin[long], length[long], docs[long], 5)
+            flat = window_minima(data, begin[long], length[long], docs[long], 5, str(tmp_path))
             assert flat.tolist() == [least[t[i : i + 5]] for t in texts if len(t) >= 5 for i in range(len(t) - 4)]
 
 
