@@ -13,7 +13,7 @@ Words are the lower-cased runs of letters and digits; a shingle is five of them.
    compared with ``threshold``.
 
 At scale: one pass over the texts without a shuffle; a shuffle of the matches only, by (doc_id, license_id). The template list is an
-argument: its shingle hashes are one literal of 8 bytes each, its window keys a local table whose exact size decides whether Spark broadcasts it.
+argument: its shingle hashes are one literal of 8 bytes each; its window keys and its shingles are broadcast only if the list is small (``BROADCAST_KEYS``).
 
 Defined cases: a null text, and one of under five words, has no hit; repeated rows (equal doc_id) give one
 row, with the best share; rows with a null doc_id are reported each; a text of any length is scanned whole (its words and their hashes are
@@ -26,7 +26,7 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-BANDS, WINDOW, SHINGLE = 16, 8, 5
+BANDS, WINDOW, SHINGLE, BROADCAST_KEYS = 16, 8, 5, 200_000
 
 # Notices and passages of public licenses.
 TEMPLATES = {
@@ -82,16 +82,17 @@ def _windows(rows: DataFrame, names: list[str], starts: str) -> DataFrame:
     return keyed.select(*names, "size", "at", F.posexplode("m").alias("band", "key"))
 
 
-def template_keys(spark, templates: dict[str, str]) -> tuple[DataFrame, list[int]]:
-    """(size, band, key, license_id, shingles) rows of all template windows, and the hashes of all shingles."""
+def template_keys(spark, templates: dict[str, str]) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(size, band, key, license_id) rows of all template windows, (license_id, shingles) rows, and the hashes of all shingles."""
     words = {name: template_words(text) for name, text in templates.items()}
     if any(len(w) < SHINGLE for w in words.values()):
         raise ValueError("a template needs five words at least")
     rows = [(n, w, sorted({" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}), window_size(len(w) - SHINGLE + 1)) for n, w in words.items()]
     base = spark.createDataFrame(rows, "license_id string, w array<string>, shingles array<string>, size int").withColumn("h", F.expr(_hashes("w")))
-    keys = _windows(base, ["license_id", "shingles"], "sequence(0, greatest(size(h) - size, 0))").select("size", "band", "key", "license_id", "shingles").distinct()
-    hashes = {x for r in base.select("h").collect() for x in r["h"]}  # as many as the templates have shingles
-    return spark.createDataFrame(keys.collect(), keys.schema), sorted(hashes)
+    keys = _windows(base, ["license_id"], "sequence(0, greatest(size(h) - size, 0))").select("size", "band", "key", "license_id").distinct()
+    held, hashes = keys.collect(), {x for r in base.select("h").collect() for x in r["h"]}  # as many as the templates have windows and shingles
+    small = F.broadcast if len(held) <= BROADCAST_KEYS else lambda df: df
+    return small(spark.createDataFrame(held, keys.schema)), small(base.select("license_id", "shingles")), sorted(hashes)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -103,7 +104,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     templates = TEMPLATES if templates is None else templates
     if not templates:
         return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit("").alias("license_id"), F.lit(0.0).alias("containment"), F.lit(0).cast("bigint").alias("at_word")).limit(0)
-    table, hashes = template_keys(spark, templates)
+    table, shingles, hashes = template_keys(spark, templates)
     sizes = sorted({window_size(len(template_words(t)) - SHINGLE + 1) for t in templates.values()})
     words = _held(r"filter(split(lower(coalesce(cast(text as string), '')), '[^\\p{L}\\p{N}]+'), w -> w <> '')")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.expr(words).alias("w"))
@@ -119,6 +120,6 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     covering = f"sequence(greatest(0, (i - size + {step}) div {step}) * {step}, (i div {step}) * {step}, {step})"
     starts = f"array_distinct(transform(flatten(transform(hits, i -> {covering})), s -> least(s, greatest(size(h) - size, 0))))"
     found = _windows(met, ["doc_id", "nth", "held"], starts).join(table, ["size", "band", "key"])
-    pairs = found.withColumn("containment", F.size(F.array_intersect("shingles", "held")) / F.size("shingles")).where(F.col("containment") >= threshold)
+    pairs = found.select("doc_id", "nth", "held", "at", "license_id").join(shingles, "license_id").withColumn("containment", F.size(F.array_intersect("shingles", "held")) / F.size("shingles")).where(F.col("containment") >= threshold)
     best = pairs.groupBy("doc_id", "nth", "license_id").agg(F.max("containment").alias("containment"), F.min("at").cast("bigint").alias("at_word"))
     return best.select("doc_id", "license_id", "containment", "at_word")
