@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize, ship
+from ..session import materialize, ship, size_estimate
 from . import kernel as K
 
 TERMS, SKIP, RANK, TEST = 1 << 14, 8, 72, 80
@@ -140,8 +140,7 @@ class Latent:
 
 def _tasks(docs: DataFrame) -> int:
     """How many tasks read ``docs``, by Spark's own estimate of its size."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(max(1, size >> 27), 1 << 24)
+    return max(1, size_estimate(docs) >> 27)
 
 
 def fit(docs: DataFrame) -> Latent:
