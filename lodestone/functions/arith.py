@@ -3,32 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 BIG = "decimal(38,0)"
 
 
-def floor_div(a: Column, b: Column) -> Column:
-    """Integer division that rounds down; a zero divisor raises."""
-    a, b = a.cast("bigint"), b.cast("bigint")
-    checked = F.when(b == 0, F.raise_error(F.lit("division by zero")).cast("bigint")).otherwise(b)
-    return _exact_quotient(a - _floor_mod(a, checked), checked)
+LONG = "bigint"
 
 
-def _floor_mod(a: Column, b: Column) -> Column:
-    rest = a % b
-    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
+def floor_div(a: Column, b: Column, kind: str = LONG) -> Column:
+    """Integer division that rounds down; a zero divisor raises. DECIMAL quotients of over 32 digits are null."""
+    a, b = a.cast(kind), b.cast(kind)
+    checked = F.when(b == 0, F.raise_error(F.lit("division by zero")).cast(kind)).otherwise(b)
+    rest = a % checked
+    rest = F.when((rest != 0) & ((rest < 0) != (checked < 0)), rest + checked).otherwise(rest)
+    if kind == LONG:
+        return ((a - rest).cast("decimal(20,0)") / checked.cast("decimal(19,0)")).cast(kind)
+    return F.try_divide((a - rest).cast(BIG), checked).cast(kind)
 
 
-def _exact_quotient(a: Column, b: Column) -> Column:
-    """a / b where b divides a: exact in DECIMAL."""
-    return (a.cast("decimal(20,0)") / b.cast("decimal(19,0)")).cast("bigint")
-
-
-def power(a: Column, b: Column) -> Column:
-    """a to the power of a non-negative integer, exact below 2**53; a negative exponent raises."""
-    return F.when(b < 0, F.raise_error(F.lit("negative exponent")).cast("bigint")).otherwise(F.pow(a, b).cast("bigint"))
+def power(a: Column, b: Column, kind: str = LONG) -> Column:
+    """a to the power of a non-negative integer, exact by multiplication in DECIMAL; null if it does not fit; a negative exponent raises."""
+    times = F.when(b < 0, F.raise_error(F.lit("negative exponent")).cast("int")).otherwise(F.when(b > 128, 128 + b % 2).otherwise(b).cast("int"))  # beyond, only 0, 1 and -1 have a power that fits
+    product = F.aggregate(F.array_repeat(a.cast(BIG), times), F.lit(1).cast(BIG), lambda p, x: F.try_multiply(p, x).cast(BIG))
+    return product.try_cast(kind)
 
 
 #: Precedence and whether the operator groups to the right.
@@ -63,15 +63,21 @@ def postfix(items: Sequence) -> list:
     return out
 
 
-def expression(items: Sequence[int | str | Column]) -> Column:
-    """An infix expression of integers, columns and ``+ - * / ^ = ( )`` as one Column, compiled for code generation."""
+def expression(items: Sequence[int | str | Column], wide: bool = False) -> Column:
+    """An infix expression of integers, columns and ``+ - * / ^ = ( )`` as one Column, compiled for code generation.
+
+    Numbers have 64 bits, or 38 digits if ``wide`` or if a constant needs it. A result or a step that does not fit raises; null operands give null.
+    """
+    given = [i for i in items if isinstance(i, Column)]
+    wide = wide or any(isinstance(i, int) and not -(2**63) <= i < 2**63 for i in items)
+    kind = BIG if wide else LONG
     apply = {
-        "+": lambda a, b: a + b,
-        "-": lambda a, b: a - b,
-        "*": lambda a, b: a * b,
-        "/": floor_div,
-        "^": power,
-        "=": lambda a, b: (a == b).cast("bigint"),
+        "+": lambda a, b: F.try_add(a, b).cast(kind),
+        "-": lambda a, b: F.try_subtract(a, b).cast(kind),
+        "*": lambda a, b: F.try_multiply(a, b).cast(kind),
+        "/": lambda a, b: floor_div(a, b, kind),
+        "^": lambda a, b: power(a, b, kind),
+        "=": lambda a, b: (a == b).cast("int").cast(kind),
     }
     stack: list[Column] = []
     for item in postfix(items):
@@ -81,10 +87,13 @@ def expression(items: Sequence[int | str | Column]) -> Column:
             b, a = stack.pop(), stack.pop()
             stack.append(apply[item](a, b))
         else:
-            stack.append(item.cast("bigint") if isinstance(item, Column) else F.lit(item).cast("bigint"))
+            stack.append(item.cast(kind) if isinstance(item, Column) else F.lit(str(item)).cast(kind))
     if len(stack) > 1:
         raise ValueError("operands without an operator")
-    return stack[0] if stack else F.lit(0).cast("bigint")
+    if not stack:
+        return F.lit(0).cast(kind)
+    known = reduce(lambda a, b: a & b, (g.isNotNull() for g in given), F.lit(True))
+    return F.coalesce(stack[0], F.when(known, F.raise_error(F.lit("a number is too large")).cast(kind)))
 
 
 def evaluate(items: Sequence[int | str]) -> int:

@@ -1,11 +1,14 @@
 """Encode, pack and inspect token streams as Column expressions: no Python runs on the executors.
 
-A token stream is an ``array<tinyint>``-like array of int codes, packed five bits each, most
-significant bit first, zero padded to whole bytes.
+A token stream is an ``array<int>`` of codes, packed five bits each, most significant bit first, zero padded to whole
+bytes. Eight tokens are one number of 40 bits, so packing shifts and adds; five bytes are unpacked by shifts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from . import tokens as T
@@ -19,12 +22,21 @@ def _repeat(value: int, times: Column) -> Column:
     return F.array_repeat(F.lit(value), F.greatest(times, F.lit(0)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once. An expression used twice would be inlined, and inside a lambda worked out for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _characters(text: Column) -> Column:
+    """The characters of a text; none of an empty one."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+
 def encode_integer(value: Column) -> Column:
     """Signed-digit codes of an integer (BIGINT or DECIMAL(38,0)) and END; null stays null."""
-    text = F.regexp_replace(value.cast("string"), "^-", "")
-    digits = F.filter(F.split(text, ""), lambda c: c != "")
+    digits = F.split(F.translate(value.cast("string"), "-", ""), "")
     sign = F.when(value < 0, F.lit(16)).otherwise(F.lit(0))
-    return F.concat(F.transform(digits, lambda c: c.cast("int") + F.when(c == "0", F.lit(0)).otherwise(sign)), _codes(T.END))
+    return F.concat(F.transform(digits, lambda c: F.when(c == "0", F.lit(0)).otherwise(c.cast("int") + sign)), _codes(T.END))
 
 
 def encode_digits(digits: Column, end: bool = True) -> Column:
@@ -33,19 +45,8 @@ def encode_digits(digits: Column, end: bool = True) -> Column:
     return F.concat(body, _codes(T.END)) if end else body
 
 
-
-def _levels(text: Column) -> Column:
-    """For each character: (code, level) with level 0 upper, 1 lower, 2 punctuation, 3 digit, null unknown."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-
-    def level(c: Column) -> Column:
-        out = F.struct(F.lit(None).cast("int").alias("code"), F.lit(None).cast("int").alias("level"))
-        for n, alphabet in reversed(list(enumerate((T.UPPER, T.LOWER, T.PUNCTUATION, T.DIGITS)))):
-            at = F.instr(F.lit(alphabet), c) - 1
-            out = F.when(at >= 0, F.struct(at.cast("int").alias("code"), F.lit(n).alias("level"))).otherwise(out)
-        return out
-
-    return F.transform(chars, level)
+_LETTERS = T.UPPER + T.LOWER + T.PUNCTUATION + T.DIGITS
+_SIZE = len(T.UPPER)  # the first three alphabets have as many characters
 
 
 def encode_word(text: Column, strict: bool = True) -> Column:
@@ -53,25 +54,28 @@ def encode_word(text: Column, strict: bool = True) -> Column:
 
     A character outside the four alphabets raises, or gives null if not strict.
     """
-    # Each character with the one before it: a lambda that looked into the whole array would work the array out for every element.
-    levels = _levels(text)
-    none = F.struct(F.lit(None).cast("int").alias("code"), F.lit(3).alias("level"))
-    pairs = F.arrays_zip(levels.alias("own"), F.concat(F.array(none), levels).alias("before"))
-    depth = lambda e: F.when(e["level"] == 3, F.lit(0)).otherwise(e["level"])  # noqa: E731  # the level that stands open after a character
-
-    def emit(e: Column) -> Column:
-        own, before = e["own"], F.coalesce(depth(e["before"]), F.lit(0))
-        code = F.array(own["code"])
+    # A character is its place in the four alphabets: level * size + code; level 0 upper, 1 lower, 2 punctuation, 3 digit.
+    places = F.transform(_characters(text), lambda c: F.instr(F.lit(_LETTERS), c) - 1)
+    level = lambda p: F.least(F.floor(p / _SIZE), F.lit(3)).cast("int")
+    depth = lambda p: F.when(p >= 3 * _SIZE, F.lit(0)).otherwise(F.floor(p / _SIZE).cast("int"))  # noqa: E731  # the level that stands open after a character
+
+    def emit(own: Column, last: Column) -> Column:
+        code, before = F.array((own - level(own) * _SIZE).cast("int")), depth(last)
         digit = F.concat(_repeat(T.END, before), _codes(T.END), code, _codes(T.START))
-        down = F.concat(_repeat(T.END, before - own["level"]), _repeat(T.START, own["level"] - before), code)
-        return F.when(own.isNull(), F.array().cast("array<int>")).when(own["level"] == 3, digit).otherwise(down)
+        down = F.concat(_repeat(T.END, before - level(own)), _repeat(T.START, level(own) - before), code)
+        return F.when(own >= 3 * _SIZE, digit).otherwise(down)
 
-    last = F.coalesce(depth(F.element_at(F.concat(F.array(none), levels), -1)), F.lit(0))
-    body = F.flatten(F.transform(pairs, emit))
-    out = F.concat(_codes(T.START), body, _repeat(T.END, last), _codes(T.END))
-    known = F.forall(levels, lambda e: e["level"].isNotNull())
-    other = F.raise_error(F.concat(F.lit("cannot be encoded: "), text)).cast("array<int>") if strict else F.lit(None).cast("array<int>")
-    return F.when(text.isNull(), F.lit(None).cast("array<int>")).when(known, out).otherwise(other)
+    def word(own: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))))
+        body = F.flatten(F.zip_with(own, F.slice(before, F.lit(1), F.size(own)), emit))
+        last = F.when(F.size(own) == 0, F.lit(0)).otherwise(depth(F.element_at(own, F.greatest(F.size(own), F.lit(1)))))
+        known = F.coalesce(F.array_min(own), F.lit(0)) >= 0
+        return F.when(known, F.concat(_codes(T.START), F.when(known, body), _repeat(T.END, last), _codes(T.END)))
+
+    out = let(places, word)
+    if strict:
+        out = F.coalesce(out, F.when(text.isNotNull(), F.raise_error(F.concat(F.lit("cannot be encoded: "), text)).cast("array<int>")))
+    return F.when(text.isNotNull(), out)
 
 
 def encode_operator(symbol: str) -> Column:
@@ -121,16 +125,18 @@ def bits(codes: Column, gap: str = "") -> Column:
     return F.array_join(F.transform(codes, lambda t: F.lpad(F.bin(t), 5, "0")), gap)
 
 
-def _pieces(text: Column, size: int) -> Column:
-    """A text cut into pieces of ``size`` characters."""
-    return F.filter(F.split(F.regexp_replace(text, f"({'.' * size})", "$1 "), " "), lambda p: p != "")
-
-
 def pack(codes: Column) -> Column:
     """The codes packed to bytes."""
-    whole = (F.ceil(F.size(codes) * 5 / 8) * 8).cast("int")
-    nibbles = F.transform(_pieces(F.rpad(bits(codes), whole, "0"), 4), lambda n: F.conv(n, 2, 16))
-    return F.unhex(F.array_join(nibbles, ""))
+
+    def eight(c: Column, at: Column) -> Column:
+        terms = [F.shiftleft(F.coalesce(F.get(c, at + k), F.lit(0)).cast("bigint"), 35 - 5 * k) for k in range(8)]
+        return F.lpad(F.hex(reduce(lambda x, y: x + y, terms)), 10, "0")
+
+    def whole(c: Column) -> Column:
+        digits = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 1, F.lit(0)), F.lit(8)), lambda at: eight(c, at)), "")
+        return F.unhex(F.substr(digits, F.lit(1), (F.floor((F.size(c) * 5 + 7) / 8) * 2).cast("int")))
+
+    return let(codes, whole)
 
 
 def pad_bits(codes: Column) -> Column:
@@ -144,11 +150,17 @@ def pack_hex(codes: Column) -> Column:
 
 def unpack(content: Column, pad: Column | int = 0, count: Column | None = None) -> Column:
     """The codes in packed bytes, without the padding; at most ``count`` of them."""
-    nibbles = F.filter(F.split(F.hex(content), ""), lambda c: c != "")
-    text = F.array_join(F.transform(nibbles, lambda h: F.lpad(F.conv(h, 16, 2), 4, "0")), "")
-    n = F.floor((8 * F.octet_length(content) - pad) / 5).cast("int")
-    n = n if count is None else F.least(n, count)
-    return F.transform(_pieces(F.substr(text, F.lit(1), F.greatest(n, F.lit(0)) * 5), 5), lambda b: F.conv(b, 2, 10).cast("int"))
+    def eight(number: Column) -> Column:
+        return F.array(*[F.shiftright(number, 35 - 5 * k).bitwiseAND(F.lit(31)).cast("int") for k in range(8)])
+
+    def whole(raw: Column) -> Column:
+        n = F.greatest(F.floor((8 * F.octet_length(raw) - pad) / 5).cast("int"), F.lit(0))
+        n = n if count is None else F.least(n, count)
+        groups = F.sequence(F.lit(0), F.greatest(F.floor((F.octet_length(raw) - 1) / 5), F.lit(0)).cast("int"))
+        number = lambda g: F.conv(F.rpad(F.hex(F.substr(raw, g * 5 + 1, F.lit(5))), 10, "0"), 16, 10).cast("bigint")
+        return F.when(raw.isNotNull(), F.slice(F.flatten(F.transform(F.transform(groups, number), eight)), F.lit(1), n))
+
+    return let(content, whole)
 
 
 def unpack_hex(text: Column, pad: Column | int = 0) -> Column:

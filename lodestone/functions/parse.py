@@ -1,4 +1,4 @@
-"""The five-context reader of token streams, as a plain function, an Arrow UDF and table functions.
+"""The five-context reader of token streams, as a plain function, as Arrow UDFs that read a batch at once, and as table functions.
 
 A parsed value is (kind, text, value, symbol): kind ``number`` (value), ``word`` (text),
 ``operator`` (symbol), ``command`` (symbol) or ``record``. Neighbouring words are one word, empty
@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from decimal import Decimal
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DecimalType, MapType, StringType, StructField, StructType
 
@@ -124,30 +125,147 @@ def by_labels(parsed: list[tuple]) -> dict[str, str]:
     return {n: values.get(p, "") for p, n in names.items()}
 
 
-def _rows(codes) -> list[dict] | None:
-    if codes is None:
-        return None
-    return [{"kind": k, "text": t, "value": None if v is None else Decimal(v), "symbol": s} for k, t, v, s in parse(codes)]
-
-
-@F.pandas_udf(PARSED)
-def parsed(codes: pd.Series) -> pd.Series:
-    """array of parsed values of each stream (Arrow batches)."""
-    return codes.map(_rows, na_action="ignore")
-
-
-@F.pandas_udf(MapType(StringType(), StringType()))
-def labelled(codes: pd.Series) -> pd.Series:
+KINDS = ("number", "word", "operator", "command", "record")
+_LETTER = np.array([[0] * 32] + [[ord(a[c]) if c < len(a) else 0 for c in range(32)] for a in _ALPHABETS[1:]], np.uint8)
+_DIGIT = np.array([d if (d := _digit(c)) is not None else 0 for c in range(32)], np.int64)
+_IS_DIGIT = np.array([_digit(c) is not None for c in range(32)])
+_TEN = 10 ** np.arange(19, dtype=np.int64)
+
+
+def controls(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which codes of some streams (``first``: where each begins, and the end) are a checksum's payload, and which CHECKSUMs are not."""
+    mark = codes == T.CHECKSUM
+    new = mark.copy()  # where a run of CHECKSUMs begins: every other one of a run is the payload of the one before
+    new[1:] &= ~mark[:-1]
+    begins = first[:-1][first[:-1] < len(codes)]
+    new[begins] = mark[begins]
+    run = np.maximum.accumulate(np.where(new, np.arange(len(codes)), 0)) if len(codes) else np.empty(0, np.int64)
+    control = mark & ((np.arange(len(codes)) - run) % 2 == 0)
+    payload = np.zeros(len(codes), bool)
+    payload[1:] = control[:-1]
+    payload[begins] = False
+    return payload, control
+
+
+def read_streams(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, pa.StructArray]:
+    """parse() of many streams at once: where each stream's values begin (and the end), and all values."""
+    if len(codes) and (codes.min() < 0 or codes.max() > 31):
+        raise ValueError("a code has five bits")
+    payload, check = controls(codes, first)
+    if payload.any():
+        stays = ~payload
+        codes, check = codes[stays], check[stays]
+        first = np.concatenate([[0], np.cumsum(stays)])[first]
+    n, at = len(codes), np.arange(len(codes))
+    record = codes == T.RECORD
+    up, down = codes == T.START, codes == T.END
+    # The depth before each code: a walk that stops at 0, and begins anew with every stream and after RECORD and CHECKSUM.
+    fresh = np.zeros(n + 1, bool)
+    fresh[first] = True
+    fresh[1:] |= record | check
+    part = np.cumsum(fresh[:-1])
+    walk = np.cumsum(up.astype(np.int64) - down) - part * (4 * n + 4)  # later parts lie below earlier ones
+    begin = np.maximum.accumulate(np.where(fresh[:-1], at, 0))
+    zero = (walk - (up.astype(np.int64) - down))[begin] if n else walk
+    low = np.minimum(np.minimum.accumulate(walk), zero)
+    after = walk - low
+    depth = np.where(fresh[:-1], 0, np.concatenate([[0], after[:-1]])) if n else walk
+    high = after > 4
+    if high.any():  # deeper than any context: the walk also stops at 4, code by code
+        for p in np.unique(part[high]):
+            lo, hi = np.searchsorted(part, [p, p + 1])
+            d = 0
+            for i in range(lo, hi):
+                depth[i] = d
+                d = min(d + 1, 4) if up[i] else max(d - 1, 0) if down[i] else d
+    stop = record | check | up | down
+    plain = ~stop & (depth == 0)
+    digit, letter, command = plain & _IS_DIGIT[codes], ~stop & (depth > 0) & (depth < 4), ~stop & (depth == 4)
+    if (codes[command] >= len(T.COMMANDS)).any():
+        raise ValueError(f"code {codes[command].max()} is no command")
+    operator = plain & ~digit
+    stream = np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+    def runs(member: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members, and which of them begin a run: runs end at a break or with the stream."""
+        who = np.flatnonzero(member)
+        key = np.cumsum(breaks)[who] + stream[who] * (n + 1)
+        return who, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(who) else who
+
+    numbers, number_at = runs(digit, stop | operator)
+    letters, word_at = runs(letter, plain | command | record)
+    starts = [numbers[number_at], letters[word_at], np.flatnonzero(operator), np.flatnonzero(command), np.flatnonzero(record)]
+    order = np.argsort(np.concatenate(starts), kind="stable")
+    kind = np.repeat(np.arange(5), [len(x) for x in starts])
+    counts = np.searchsorted(np.concatenate(starts)[order], first)
+
+    size = np.diff(np.append(number_at, len(numbers)))
+    place = np.repeat(number_at + size, size) - np.arange(len(numbers)) - 1  # of each digit, from the last
+    small = np.add.reduceat(_DIGIT[codes[numbers]] * _TEN[np.minimum(place, 18)], number_at) if len(numbers) else np.empty(0, np.int64)
+    value = pa.array(small, pa.int64()).cast(pa.decimal128(38, 0))
+    long = np.flatnonzero(size > 18)
+    if len(long):
+        exact = value.to_pylist()
+        for i in long.tolist():
+            total = 0
+            for d in _DIGIT[codes[numbers[number_at[i] : number_at[i] + size[i]]]].tolist():
+                total = total * 10 + d
+            exact[i] = Decimal(total)
+        value = pa.array(exact, pa.decimal128(38, 0))
+    edges = np.append(word_at, len(letters)).astype(np.int32)
+    text = pa.StringArray.from_buffers(len(word_at), pa.py_buffer(edges), pa.py_buffer(_LETTER[depth[letters], codes[letters]].tobytes()))
+    symbols = pa.array([_SYMBOLS[c] for c in codes[operator].tolist()] + [T.COMMANDS[c] for c in codes[command].tolist()], pa.string())
+
+    def column(values: pa.Array, before: int) -> pa.Array:
+        """The values of the kinds from ``before`` on, in stream order, null for the others."""
+        index = order - before
+        return values.take(pa.array(index, mask=(index < 0) | (index >= len(values))))
+
+    columns = [pa.array(KINDS).take(pa.array(kind[order])), column(text, len(size)), column(value, 0), column(symbols, len(size) + len(word_at))]
+    return counts, pa.StructArray.from_arrays(columns, ["kind", "text", "value", "symbol"])
+
+
+def _flat(streams: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a list column, and where each stream begins (and the end); a null stream is empty."""
+    sizes = streams.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return streams.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _batch(streams: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, pa.StructArray]:
+    streams = streams.combine_chunks() if isinstance(streams, pa.ChunkedArray) else streams
+    return streams, *read_streams(*_flat(streams))
+
+
+def _each(streams: pa.Array) -> Iterator[list[tuple] | None]:
+    """The values of each stream as parse() gives them; None for a null one."""
+    streams, first, values = _batch(streams)
+    flat = list(zip(*[values.field(i).to_pylist() for i in range(4)], strict=True))
+    for known, a, z in zip(streams.is_valid().to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+        yield [(k, t, None if v is None else int(v), s) for k, t, v, s in flat[a:z]] if known else None
+
+
+@F.arrow_udf(PARSED)
+def parsed(codes: pa.Array) -> pa.Array:
+    """array of parsed values of each stream: a batch is read at once, in numpy."""
+    streams, first, values = _batch(codes)
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), values, mask=streams.is_null())
+
+
+@F.arrow_udf(MapType(StringType(), StringType()))
+def labelled(codes: pa.Array) -> pa.Array:
     """Label names and texts of each stream."""
-    return codes.map(lambda c: by_labels(parse(c)), na_action="ignore")
+    return pa.array([None if v is None else list(by_labels(v).items()) for v in _each(codes)], pa.map_(pa.string(), pa.string()))
 
 
-@F.pandas_udf(StringType())
-def evaluated(codes: pd.Series) -> pd.Series:
-    """Value, as text, of each stream that holds an infix expression."""
+@F.arrow_udf(StringType())
+def evaluated(codes: pa.Array) -> pa.Array:
+    """Value, as text, of each stream that holds an infix expression. Of ``number S number``, a number with a scale, the first counts: a scale is an annotation."""
     from .arith import evaluate
 
-    return codes.map(lambda c: str(evaluate([int(v) if k == "number" else s for k, _, v, s in parse(c) if k in ("number", "operator")])), na_action="ignore")
+    def items(values: list[tuple]) -> list:
+        return [s if k == "operator" else v for k, _, v, s in resolve_scales(values) if k in ("number", "operator", "scaled")]
+
+    return pa.array([None if v is None else str(evaluate(items(v))) for v in _each(codes)], pa.string())
 
 
 def text_of(values: Column) -> Column:
@@ -186,21 +304,52 @@ def split_records(codes: list[int]) -> Iterator[tuple[int, int, list[int]]]:
 
 def unpack_bytes(content: bytes, pad: int = 0) -> list[int]:
     """Codes of packed bytes: eight of them in every five bytes."""
-    count = (8 * len(content) - pad) // 5
-    number = int.from_bytes(content, "big")
-    total = 8 * len(content)
-    return [(number >> (total - 5 * (i + 1))) & 31 for i in range(count)] if len(content) <= 4096 else [c for a in range(0, len(content), 4000) for c in unpack_bytes(content[a : a + 4000], pad if a + 4000 >= len(content) else 0)]
+    count = max(0, (8 * len(content) - pad) // 5)
+    bits = np.unpackbits(np.frombuffer(content, np.uint8))[: 5 * count].reshape(-1, 5)
+    return (bits @ np.array([16, 8, 4, 2, 1], np.uint8)).tolist()
 
 
 def records_of(blobs: DataFrame) -> DataFrame:
-    """(path, record_idx, bit_offset, tokens) of (path, tokens) rows."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(p, *r) for p, c in zip(pdf["path"], pdf["tokens"], strict=True) for r in split_records([int(x) for x in c])]
-            yield pd.DataFrame(rows, columns=["path", "record_idx", "bit_offset", "tokens"])
-
-    return blobs.select("path", "tokens").mapInPandas(run, "path string, record_idx bigint, bit_offset bigint, tokens array<int>")
+    """(path, record_idx, bit_offset, tokens) of (path, tokens) rows; a batch of streams is cut at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, first = _flat(batch.column(1))
+            payload, _ = controls(codes, first)
+            ends = np.flatnonzero((codes == T.RECORD) & ~payload) + 1
+            count = np.diff(np.searchsorted(ends, first, "right"))
+            before = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            stream = np.repeat(np.arange(len(count)), count)
+            begin = np.maximum(before, first[stream])
+            index = np.arange(len(ends)) - np.repeat(np.cumsum(count) - count, count)
+            size = ends - begin
+            kept = codes[np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(kept, pa.int32()))
+            yield pa.record_batch([batch.column(0).take(pa.array(stream)), pa.array(index, pa.int64()), pa.array((begin - first[stream]) * 5, pa.int64()), lists], names=["path", "record_idx", "bit_offset", "tokens"])
+
+    return blobs.select("path", F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(run, "path string, record_idx bigint, bit_offset bigint, tokens array<int>")
+
+
+def checksums_of(blobs: DataFrame) -> DataFrame:
+    """(path, segment, expected, computed, passed) of the checksums in (path, tokens) rows; one without payload has expected -1 and fails."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, first = _flat(batch.column(1))
+            payload, control = controls(codes, first)
+            at = np.flatnonzero(control)
+            stream = np.searchsorted(first, at, "right") - 1
+            has = (at + 1 < len(codes)) & (at + 1 < first[stream + 1])
+            total = np.concatenate([[0], np.cumsum(codes)])
+            same = np.concatenate([[False], stream[1:] == stream[:-1]]) if len(at) else np.empty(0, bool)
+            begin = np.where(same, np.roll(at, 1) + 2, first[stream])
+            segment = np.arange(len(at)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(at)))) if len(at) else at
+            expected = np.where(has, codes[np.minimum(at + 1, len(codes) - 1)], -1) if len(at) else at
+            computed = (total[at] - total[begin]) % 32
+            columns = [pa.array(x, pa.int32()) for x in (segment, expected, computed)]
+            yield pa.record_batch([batch.column(0).take(pa.array(stream)), *columns, pa.array(has & (expected == computed))], names=["path", "segment", "expected", "computed", "passed"])
+
+    return blobs.select("path", F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(run, "path string, segment int, expected int, computed int, passed boolean")
 
 
 @F.udtf(returnType="segment int, expected int, computed int, passed boolean")

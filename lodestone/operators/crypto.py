@@ -13,20 +13,24 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import BinaryType
 
 
+# Fixed values of the format: rounds of the key derivations, the mark of a record's key, and the labels of its two uses.
+APPLICATION_ROUNDS, PASSWORD_ROUNDS, RECORD_MARK, CONTENT_USE, TAG_USE = 100_000, 200_000, b"\x01", b"enc", b"mac"
+
+
 @lru_cache(maxsize=1024)
 def application_key(user_id: int, secret: bytes) -> bytes:
-    return hashlib.pbkdf2_hmac("sha256", secret, str(user_id).encode(), 100_000, 32)
+    return hashlib.pbkdf2_hmac("sha256", secret, str(user_id).encode(), APPLICATION_ROUNDS, 32)
 
 
 @lru_cache(maxsize=1024)
 def password_key(salt: bytes, password: str) -> bytes:
-    return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, 200_000, 32)
+    return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, PASSWORD_ROUNDS, 32)
 
 
 def record_keys(user_key: bytes, record_id: int) -> tuple[bytes, bytes]:
     """The keys of one record: for its content and for its tag."""
-    own = hmac.digest(user_key, struct.pack(">Q", record_id) + b"\x01", "sha256")
-    return hmac.digest(own, b"enc", "sha256"), hmac.digest(own, b"mac", "sha256")
+    own = hmac.digest(user_key, struct.pack(">Q", record_id) + RECORD_MARK, "sha256")
+    return hmac.digest(own, CONTENT_USE, "sha256"), hmac.digest(own, TAG_USE, "sha256")
 
 
 def _stream(key: bytes, nonce: bytes, size: int) -> bytes:
@@ -51,17 +55,19 @@ def open_sealed(content_key: bytes, tag_key: bytes, sealed: bytes, tag_nonce: bo
     return _xor(body, _stream(content_key, nonce, len(body)))
 
 
-def _udf(one):
+def _udf(one, random: bool = False):
+    """random: sealing draws a nonce, so that two evaluations differ and Spark may not make two of one."""
+
     @F.pandas_udf(BinaryType())
     def run(content: pd.Series, record_id: pd.Series) -> pd.Series:
         return pd.Series([None if c is None else one(bytes(c), int(r)) for c, r in zip(content, record_id, strict=True)])
 
-    return run
+    return run.asNondeterministic() if random else run
 
 
 def encrypt_for_user(content: Column, record_id: Column, user_id: int, secret: bytes) -> Column:
     """With one key for each user of an application."""
-    return _udf(lambda c, r: seal(application_key(user_id, secret), application_key(user_id, secret), c))(content, record_id)
+    return _udf(lambda c, r: seal(application_key(user_id, secret), application_key(user_id, secret), c), random=True)(content, record_id)
 
 
 def decrypt_for_user(content: Column, record_id: Column, user_id: int, secret: bytes) -> Column:
@@ -70,7 +76,7 @@ def decrypt_for_user(content: Column, record_id: Column, user_id: int, secret: b
 
 def encrypt_with_password(content: Column, record_id: Column, salt: bytes, password: str) -> Column:
     """With keys of each record, from the user's password."""
-    return _udf(lambda c, r: seal(*record_keys(password_key(salt, password), r), c, tag_nonce=False))(content, record_id)
+    return _udf(lambda c, r: seal(*record_keys(password_key(salt, password), r), c, tag_nonce=False), random=True)(content, record_id)
 
 
 def decrypt_with_password(content: Column, record_id: Column, salt: bytes, password: str) -> Column:

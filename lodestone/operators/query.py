@@ -18,7 +18,7 @@ TEXT = {"eq": lambda c, v: F.lower(c) == v.lower(), "contains": lambda c, v: F.c
 
 def parse_filter(text: str) -> tuple[str, str, str] | None:
     """``field:op:value``, or ``field:value`` for equality; other forms are no filter."""
-    parts = text.split(":", 2)
+    parts = text.split(":")
     return tuple(parts) if len(parts) == 3 else (parts[0], "eq", parts[1]) if len(parts) == 2 else None
 
 

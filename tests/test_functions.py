@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from lodestone.functions import arith, codec, geometry, integrity, parse, tokens as T
@@ -210,3 +211,86 @@ def test_metric_laws(spark):
     m = lambda x, y: geometry.manhattan(F.col(x), F.col(y))
     for r in df.select(m("a", "b").alias("ab"), m("b", "a").alias("ba"), m("b", "c").alias("bc"), m("a", "c").alias("ac"), m("a", "a").alias("aa")).collect():
         assert r["ab"] == r["ba"] >= 0 == r["aa"] and r["ac"] <= r["ab"] + r["bc"]
+
+
+def streams(seed, n=400):
+    """Random streams that parse() reads: all codes, deep nesting, runs of checksums, long numbers."""
+    rng, out = random.Random(seed), [[], [30, 30, 5], [29], [29, 29], [29, 29, 29, 28], [31] * 7 + [0] + [30] * 4 + [3, 30, 28], [9] * 38 + [30], [25] * 19 + [30, 1]]
+    while len(out) < n:
+        kinds = rng.choice([range(32), (28, 29, 30, 31, 1, 2, 17), (30, 31, 0, 5), (29, 28, 3), tuple(range(26)) + (30,) * 6 + (31,) * 4])
+        codes = [rng.choice(kinds) for _ in range(rng.randint(0, 40))]
+        try:
+            if all(v is None or abs(v) < 10**38 for _, _, v, _ in parse.parse(codes)):
+                out.append(codes)
+        except ValueError:
+            pass
+    return out
+
+
+def test_batches_are_read_like_single_streams(spark):
+    ship(spark)
+    given = streams(11)
+    first = np.concatenate([[0], np.cumsum([len(c) for c in given])])
+    begin, values = parse.read_streams(np.array([x for c in given for x in c], np.int64), first)
+    flat = [(v["kind"], v["text"], None if v["value"] is None else int(v["value"]), v["symbol"]) for v in values.to_pylist()]
+    for i, c in enumerate(given):
+        assert flat[begin[i] : begin[i + 1]] == parse.parse(c), c
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(given)] + [(-1, None)], "i int, c array<int>").repartition(3)
+    for r in rows.select("i", "c", parse.parsed("c").alias("p")).collect():
+        assert (r["p"] is None) if r["i"] < 0 else [(x["kind"], x["text"], None if x["value"] is None else int(x["value"]), x["symbol"]) for x in r["p"]] == parse.parse(r["c"])
+    for bad in ([31, 31, 31, 31, 9], [32], [-1]):
+        with pytest.raises(ValueError):
+            parse.read_streams(np.array(bad), np.array([0, len(bad)]))
+
+
+def test_records_and_checksums_of_batches(spark):
+    parse.register(spark)
+    given = streams(12)
+    rows = spark.createDataFrame([(str(i), c) for i, c in enumerate(given)], "path string, tokens array<int>").repartition(3)
+    got = sorted((int(r["path"]), r["record_idx"], r["bit_offset"], r["tokens"]) for r in parse.records_of(rows).collect())
+    assert got == [(i, *r) for i, c in enumerate(given) for r in parse.split_records(c)]
+    rows.createOrReplaceTempView("given_streams")
+    one_by_one = spark.sql("select path, s.* from given_streams, lateral scan_checksums(tokens) s")
+    assert sorted(map(tuple, parse.checksums_of(rows).collect())) == sorted(map(tuple, one_by_one.collect())) != []
+
+
+def test_packing_of_any_codes(spark):
+    given = [c for c in streams(13, 200)] + [[i % 32 for i in range(n)] for n in range(20)]
+    rows = spark.createDataFrame([(c,) for c in given] + [(None,)], "c array<int>").withColumn("b", codec.pack(F.col("c")))
+    for r in rows.select("c", "b", codec.unpack(F.col("b"), codec.pad_bits(F.col("c"))).alias("u"), codec.unpack(F.col("b"), 0, F.lit(3)).alias("three")).collect():
+        if r["c"] is None:
+            assert r["b"] is r["u"] is None
+            continue
+        number, pad = int("".join(f"{c:05b}" for c in r["c"]) or "0", 2), -5 * len(r["c"]) % 8
+        assert bytes(r["b"]) == (number << pad).to_bytes((5 * len(r["c"]) + 7) // 8, "big") and r["u"] == r["c"] and r["three"][: len(r["c"])] == r["c"][:3]
+
+
+def test_encoders_need_no_alias(spark):
+    ship(spark)
+    word = codec.encode_word(F.lit("Ann"))
+    assert [p["text"] for p in one(spark, parse.parsed(word))[0]] == ["Ann"]
+    assert one(spark, parse.evaluated(codec.encode_expression(2, "+", 3)))[0] == "5"
+    assert one(spark, parse.labelled(F.concat(codec.encode_label(F.lit(0), F.lit("a")), word)))[0] == {"a": "Ann"}
+
+
+POWERS = [(3, 35), (3, 39), (-7, 20), (0, 0), (0, 500), (1, 10**6), (-1, 10**6 + 1), (2, 62), (-2, 63), (10, 18)]
+
+
+def test_exact_arithmetic(spark):
+    rows = spark.createDataFrame(POWERS, "a bigint, b bigint")
+    for r in rows.select("a", "b", arith.expression([F.col("a"), "^", F.col("b")]).alias("v")).collect():
+        assert r["v"] == r["a"] ** r["b"]
+    wide = one(spark, arith.expression([10**30, "+", 1]), arith.expression([3, "^", 79], wide=True), arith.expression([-(10**31) - 1, "/", 10]), arith.expression([12345678901234567890, "*", 10**18]))
+    assert [int(v) for v in wide] == [10**30 + 1, 3**79, (-(10**31) - 1) // 10, 12345678901234567890 * 10**18]
+    for items, more in (([3, "^", 41], False), ([2**62, "+", 2**62], False), ([2, "^", 200], True), ([10**37, "*", 11], False), ([-(2**63), "-", 1], False)):
+        with pytest.raises(Exception, match="too large"):
+            one(spark, arith.expression(items, wide=more))
+    assert rows.select(arith.expression([F.lit(None).cast("bigint"), "+", F.col("a")])).first()[0] is None
+
+
+def test_scales_are_annotations_in_streams(spark):
+    ship(spark)
+    got = one(spark, *[parse.evaluated(codec.encode_expression(*e)) for e in ([-123, "S", 2], [5, "S", 2, "+", 7, "S", 1], ["(", 5, "S", 2, "+", 1, ")", "*", 4])])
+    assert list(got) == ["-123", "12", "24"]
+    with pytest.raises(Exception, match="negative scale"):
+        one(spark, parse.evaluated(codec.encode_expression(5, "S", -2)))
