@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -238,12 +239,13 @@ class Viterbi:
     def _bytes_for_unknown(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not (ids < 0).any():
             return ids, count
-        flat, more, word = [], [], np.repeat(np.arange(len(count)), count)
-        for i in ids.tolist():
-            raw = [i] if i >= 0 else [self.byte_id[c] for c in chr(-1 - i).encode("utf-8", "surrogatepass")]
-            flat += raw
-            more.append(len(raw))
-        return np.array(flat, np.int32), np.bincount(word, weights=more, minlength=len(count)).astype(np.int64)
+        lost = np.flatnonzero(ids < 0)
+        raw = [np.array([self.byte_id[c] for c in chr(-1 - i).encode("utf-8", "surrogatepass")], np.int32) for i in ids[lost].tolist()]
+        more = np.ones(len(ids), np.int64)
+        more[lost] = [len(r) for r in raw]
+        word, out = np.repeat(np.arange(len(count)), count), np.repeat(ids, more)
+        out[np.repeat(ids < 0, more)] = np.concatenate(raw)
+        return out, np.bincount(word, weights=more, minlength=len(count)).astype(np.int64)
 
     def learn(self, words: list[str]) -> None:
         """Adds the ids of new pre-token keys."""
@@ -272,7 +274,7 @@ class Viterbi:
         if new:
             self.learn(list(new))
         lengths = np.array([len(p) for p in parts], np.int64)
-        which = np.fromiter((self.known[k] for p in parts for k in p), np.int64, int(lengths.sum()))
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(lengths.sum()))
         size = self.size[which]
         ids = spans(self.pool, self.at[which], size)
         ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(lengths)])]
