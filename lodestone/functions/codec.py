@@ -1,13 +1,12 @@
 """Encode, pack and inspect token streams as Column expressions: no Python runs on the executors.
 
 A token stream is an ``array<int>`` of codes, packed five bits each, most significant bit first, zero padded to whole
-bytes. Eight tokens are one number of 40 bits, so packing shifts and adds; five bytes are unpacked by shifts.
+bytes. A code is a digit to base 32, so eight tokens, a number of 40 bits, change to ten hexadecimal digits and back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -23,7 +22,10 @@ def _repeat(value: int, times: Column) -> Column:
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value worked out once. An expression used twice would be inlined, and inside a lambda worked out for every element."""
+    """body(value) with the value worked out once. An expression used twice would be inlined, and inside a lambda worked out for every element.
+
+    No lambda inside the body may use the value: Spark does not take a Python UDF over such an expression out of a projection.
+    """
     return F.transform(F.array(value), body)[0]
 
 
@@ -125,18 +127,15 @@ def bits(codes: Column, gap: str = "") -> Column:
     return F.array_join(F.transform(codes, lambda t: F.lpad(F.bin(t), 5, "0")), gap)
 
 
-def pack(codes: Column) -> Column:
-    """The codes packed to bytes."""
-
-    def eight(c: Column, at: Column) -> Column:
-        terms = [F.shiftleft(F.coalesce(F.get(c, at + k), F.lit(0)).cast("bigint"), 35 - 5 * k) for k in range(8)]
-        return F.lpad(F.hex(reduce(lambda x, y: x + y, terms)), 10, "0")
+_DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"  # a code is a digit to base 32
 
-    def whole(c: Column) -> Column:
-        digits = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 1, F.lit(0)), F.lit(8)), lambda at: eight(c, at)), "")
-        return F.unhex(F.substr(digits, F.lit(1), (F.floor((F.size(c) * 5 + 7) / 8) * 2).cast("int")))
 
-    return let(codes, whole)
+def pack(codes: Column) -> Column:
+    """The codes packed to bytes."""
+    text = F.array_join(F.transform(codes, lambda t: F.substr(F.lit(_DIGITS32), t + 1, F.lit(1))), "")
+    eights = F.regexp_extract_all(F.concat(text, F.lit("0" * 7)), F.lit(".{8}"), F.lit(0))  # a rest of under eight zeros is dropped
+    hexed = F.array_join(F.transform(eights, lambda e: F.lpad(F.conv(e, 32, 16), 10, "0")), "")
+    return F.unhex(F.substr(hexed, F.lit(1), (F.floor((F.size(codes) * 5 + 7) / 8) * 2).cast("int")))
 
 
 def pad_bits(codes: Column) -> Column:
@@ -150,17 +149,12 @@ def pack_hex(codes: Column) -> Column:
 
 def unpack(content: Column, pad: Column | int = 0, count: Column | None = None) -> Column:
     """The codes in packed bytes, without the padding; at most ``count`` of them."""
-    def eight(number: Column) -> Column:
-        return F.array(*[F.shiftright(number, 35 - 5 * k).bitwiseAND(F.lit(31)).cast("int") for k in range(8)])
-
-    def whole(raw: Column) -> Column:
-        n = F.greatest(F.floor((8 * F.octet_length(raw) - pad) / 5).cast("int"), F.lit(0))
-        n = n if count is None else F.least(n, count)
-        groups = F.sequence(F.lit(0), F.greatest(F.floor((F.octet_length(raw) - 1) / 5), F.lit(0)).cast("int"))
-        number = lambda g: F.conv(F.rpad(F.hex(F.substr(raw, g * 5 + 1, F.lit(5))), 10, "0"), 16, 10).cast("bigint")
-        return F.when(raw.isNotNull(), F.slice(F.flatten(F.transform(F.transform(groups, number), eight)), F.lit(1), n))
-
-    return let(content, whole)
+    n = F.floor((8 * F.octet_length(content) - pad) / 5).cast("int")
+    n = F.when(n < 0, F.lit(0)).otherwise(n)
+    n = n if count is None else F.when(n < count, n).otherwise(count)
+    fives = F.regexp_extract_all(F.concat(F.hex(content), F.lit("0" * 9)), F.lit(".{10}"), F.lit(0))
+    text = F.array_join(F.transform(fives, lambda e: F.lpad(F.conv(e, 16, 32), 8, "0")), "")
+    return F.slice(F.transform(F.split(text, ""), lambda d: F.instr(F.lit(_DIGITS32), d) - 1), F.lit(1), n)
 
 
 def unpack_hex(text: Column, pad: Column | int = 0) -> Column:
