@@ -34,11 +34,19 @@ def _characters(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
+_DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"  # a code is a digit to base 32
+_NEGATIVE = _DIGITS32[17:26]  # the codes of the digits -1 to -9
+
+
+def _from_digits32(text: Column) -> Column:
+    """The codes that the characters of a text stand for."""
+    return F.transform(_characters(text), lambda c: F.instr(F.lit(_DIGITS32), c) - 1)
+
+
 def encode_integer(value: Column) -> Column:
     """Signed-digit codes of an integer (BIGINT or DECIMAL(38,0)) and END; null stays null."""
-    digits = F.split(F.translate(value.cast("string"), "-", ""), "")
-    sign = F.when(value < 0, F.lit(16)).otherwise(F.lit(0))
-    return F.concat(F.transform(digits, lambda c: F.when(c == "0", F.lit(0)).otherwise(c.cast("int") + sign)), _codes(T.END))
+    text = value.cast("string")
+    return _from_digits32(F.concat(F.when(value < 0, F.translate(text, "123456789-", _NEGATIVE)).otherwise(text), F.lit(_DIGITS32[T.END])))
 
 
 def encode_digits(digits: Column, end: bool = True) -> Column:
@@ -118,8 +126,8 @@ def encode_label(position: Column, label: Column) -> Column:
 
 def encode_bytes(content: Column) -> Column:
     """Each byte as a number."""
-    digits = F.filter(F.split(F.regexp_replace(F.hex(content), "(..)", "$1 "), " "), lambda h: h != "")
-    return F.flatten(F.transform(digits, lambda h: encode_integer(F.conv(h, 16, 10).cast("int"))))
+    pairs = F.regexp_extract_all(F.hex(content), F.lit(".{2}"), F.lit(0))
+    return _from_digits32(F.array_join(F.transform(pairs, lambda h: F.concat(F.conv(h, 16, 10), F.lit(_DIGITS32[T.END]))), ""))
 
 
 def bits(codes: Column, gap: str = "") -> Column:
@@ -127,9 +135,6 @@ def bits(codes: Column, gap: str = "") -> Column:
     return F.array_join(F.transform(codes, lambda t: F.lpad(F.bin(t), 5, "0")), gap)
 
 
-_DIGITS32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"  # a code is a digit to base 32
-
-
 def pack(codes: Column) -> Column:
     """The codes packed to bytes."""
     text = F.array_join(F.transform(codes, lambda t: F.substr(F.lit(_DIGITS32), t + 1, F.lit(1))), "")
@@ -154,7 +159,7 @@ def unpack(content: Column, pad: Column | int = 0, count: Column | None = None)
     n = n if count is None else F.when(n < count, n).otherwise(count)
     fives = F.regexp_extract_all(F.concat(F.hex(content), F.lit("0" * 9)), F.lit(".{10}"), F.lit(0))
     text = F.array_join(F.transform(fives, lambda e: F.lpad(F.conv(e, 16, 32), 8, "0")), "")
-    return F.slice(F.transform(F.split(text, ""), lambda d: F.instr(F.lit(_DIGITS32), d) - 1), F.lit(1), n)
+    return F.slice(_from_digits32(text), F.lit(1), n)
 
 
 def unpack_hex(text: Column, pad: Column | int = 0) -> Column:

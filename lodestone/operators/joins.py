@@ -5,26 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry
-from ..session import materialize
+from ..session import materialize, size_estimate
 
 #: A side is broadcast only if Spark's own size estimate, from the files, is below this.
 BROADCAST_BYTES = 8 << 20
 
 
-def size_estimate(df: DataFrame) -> int:
-    """Bytes by the optimizer's statistics."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def merge_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Inner join as struct pairs (left, right), by sort-merge; a skewed key is split by adaptive execution."""
+def merge_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, ordered: bool = False) -> DataFrame:
+    """Inner join as struct pairs (left, right), by sort-merge; a skewed key is split by adaptive execution. ordered: by key, over all partitions."""
     joined = left.hint("merge").join(right, left[left_key] == right[right_key])
+    joined = joined.orderBy(left[left_key]) if ordered else joined
     return joined.select(F.struct(*[left[c] for c in left.columns]).alias("left"), F.struct(*[right[c] for c in right.columns]).alias("right"))
 
 
 def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Inner join that broadcasts ``left`` if its estimated size is small, else leaves the choice to Spark."""
-    side = F.broadcast(left) if size_estimate(left) <= BROADCAST_BYTES else left
+    side = F.broadcast(left) if 0 < size_estimate(left) <= BROADCAST_BYTES else left
     return right.join(side, left[left_key] == right[right_key])
 
 

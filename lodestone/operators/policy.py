@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.codec import encode_integer
+
 ADMIN = 1
 
 
@@ -50,6 +52,37 @@ class Policies:
         return df.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("not permitted")).cast("boolean")))
 
 
+    def writes(self, existing: DataFrame, writes: DataFrame, table: str, owner: str, user: int, key: str = "record_id") -> DataFrame:
+        """writes with ``action`` (``write`` where ``existing`` has a live row of the key, else ``create``) and ``permitted`` by the existing owner."""
+        held = existing.select(key, F.col(owner).alias("_owner"), F.lit(True).alias("_there"))
+        both = writes.join(held, key, "left")
+        there = F.coalesce(F.col("_there"), F.lit(False))
+        by = {a: self.condition(table, a, F.col("_owner"), user) for a in ("write", "create")}
+        both = both.withColumns({"action": F.when(there, "write").otherwise("create"), "permitted": F.when(there, by["write"]).otherwise(by["create"])})
+        return both.drop("_owner", "_there")
+
+
+def with_owner(codes: Column, user: int | Column) -> Column:
+    """A record's codes behind its owner, who is the value at position 0."""
+    return F.concat(encode_integer(user if isinstance(user, Column) else F.lit(user)), codes)
+
+
+def write_as(existing: DataFrame, writes: DataFrame, user: int, bypass: bool = False, key: str = "record_id", vector: str = "vec", codes: str = "tokens") -> DataFrame:
+    """writes (key, tokens) with the user as owner in front, and ``accepted``: the record has no owner yet, or the user is its owner.
+
+    existing: live rows (key, vec), the owner at position 0 of the vector.
+    """
+    held = existing.select(key, F.get(vector, F.lit(0)).alias("_owner"))
+    both = writes.join(held, key, "left").withColumn(codes, with_owner(F.col(codes), user))
+    return both.withColumn("accepted", F.lit(bypass) | F.col("_owner").isNull() | (F.col("_owner") == user)).drop("_owner")
+
+
+def delete_as(existing: DataFrame, ids: DataFrame, user: int, bypass: bool = False, key: str = "record_id", vector: str = "vec") -> DataFrame:
+    """ids with ``accepted``, by the rule of write_as(); a record that is not there has nobody to forbid it."""
+    held = existing.select(key, F.get(vector, F.lit(0)).alias("_owner"))
+    return ids.select(key).join(held, key, "left").select(key, (F.lit(bypass) | F.col("_owner").isNull() | (F.col("_owner") == user)).alias("accepted"))
+
+
 def owned(df: DataFrame, vector: str, user: int, position: int = 0) -> DataFrame:
     """Rows whose owner, the value at a position of the vector (else the first), is the user; rows without owner are open."""
     owner = F.coalesce(F.get(vector, F.lit(position)), F.get(vector, F.lit(0)))
@@ -71,9 +104,9 @@ def readable(records: DataFrame, commands: DataFrame, user: int) -> DataFrame:
 
 
 def tenant(df: DataFrame, name: str, column: str = "tenant", most: int | None = None, key: str | None = None) -> DataFrame:
-    """One tenant's rows (a partition filter if the table is partitioned by tenant)."""
+    """One tenant's rows (a partition filter if the table is partitioned by tenant); the first ``most`` by ``key``, else by all columns."""
     rows = df.where(F.col(column) == name)
-    return rows if most is None else rows.orderBy(key or column).limit(most)
+    return rows if most is None else rows.orderBy(*([key] if key else [c for c in df.columns if c != column])).limit(most)
 
 
 def without_duplicates(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:

@@ -136,3 +136,23 @@ class Table:
 
     def max(self, field: str) -> DataFrame:
         return self._one("max", field)
+
+    def _with(self, df: DataFrame) -> Table:
+        return Table(df, self.key, self.filters)
+
+    def insert(self, rows: DataFrame) -> Table:
+        """The table with new rows; one whose key is there already is left out."""
+        return self._with(self.df.unionByName(rows.join(self.df.select(self.key), self.key, "left_anti"), allowMissingColumns=True))
+
+    def update(self, key, if_match: str | None = None, **values) -> Table:
+        """The table with other values in the row of a key; with ``if_match``, only if the row still has that hash()."""
+        hit = F.col(self.key) == key if if_match is None else (F.col(self.key) == key) & (self.hash() == if_match)
+        hit = F.coalesce(hit, F.lit(False))
+        return self._with(self.df.select(*[F.when(hit, F.lit(values[c]).cast(self.df.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in self.df.columns]))
+
+    def delete(self, key) -> Table:
+        return self._with(self.df.where(~F.coalesce(F.col(self.key) == key, F.lit(False))))
+
+    def hash(self) -> Column:
+        """First 16 hex digits of the SHA-256 of a row as JSON."""
+        return F.substring(F.sha2(F.to_json(F.struct(*self.df.columns)), 256), 1, 16)

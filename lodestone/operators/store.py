@@ -52,9 +52,39 @@ def occupied(records: DataFrame) -> DataFrame:
 
 
 def stats(records: DataFrame, codes: str | None = None) -> DataFrame:
-    """total, allocated, tombstones, data_bits of the latest versions."""
-    bits = F.sum(F.size(codes) * 5) if codes else F.lit(None).cast("bigint")
-    return latest(records).agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("is_deleted")).alias("allocated"), F.count_if("is_deleted").alias("tombstones"), bits.alias("data_bits"))
+    """total, allocated, tombstones, data_bits and data_bytes (of live rows), and free: ids below the largest that were never written."""
+    bits = F.coalesce(F.sum(F.when(~F.col("is_deleted"), F.size(codes) * 5)), F.lit(0)).cast("bigint") if codes else F.lit(None).cast("bigint")
+    counts = [F.count(F.lit(1)).alias("total"), F.count_if(~F.col("is_deleted")).alias("allocated"), F.count_if("is_deleted").alias("tombstones"), bits.alias("data_bits")]
+    out = latest(records).agg(*counts, (F.coalesce(F.max("record_id") + 1, F.lit(0)) - F.count(F.lit(1))).cast("bigint").alias("free"))
+    return out.withColumn("data_bytes", F.ceil(F.col("data_bits") / 8))
+
+
+class Cached:
+    """Live rows held in memory; a write appends its versions and drops what was held, so a read never sees an older state."""
+
+    def __init__(self, records: DataFrame) -> None:
+        self.records, self.held = records, None
+
+    def live(self) -> DataFrame:
+        if self.held is None:
+            self.held = live(self.records).persist()
+        return self.held
+
+    def read(self, record_id) -> DataFrame:
+        return self.live().where(F.col("record_id") == record_id)
+
+    def write(self, writes: DataFrame) -> None:
+        self.invalidate()
+        self.records = upsert(self.records, writes)
+
+    def delete(self, ids: DataFrame, version: int) -> None:
+        self.invalidate()
+        self.records = delete(self.records, ids, version)
+
+    def invalidate(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
+            self.held = None
 
 
 def compact(records: DataFrame, path: str) -> DataFrame:

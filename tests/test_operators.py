@@ -123,7 +123,7 @@ def test_nearest_vectors(spark):
 
 
 def test_filters(spark, records):
-    assert query.parse_filter("a:b:c:d") == ("a", "b", "c:d") and query.parse_filter("a:1") == ("a", "eq", "1") and query.parse_filter("a") is None
+    assert query.parse_filter("a:b:c:d") is None and query.parse_filter("a:b:c") == ("a", "b", "c") and query.parse_filter("a:1") == ("a", "eq", "1") and query.parse_filter("a") is None
     assert ids(query.where(records, ["usd:gte:5000", "name:contains:L"])) == [0, 1_000_000]
     assert query.where(records, ["bad"]).count() == 4 and query.where(records, ["usd:contains:5"]).count() == 0
     assert query.search(records, "record_id", "usd", "7500").count() == 1 and query.search(records, "record_id", "name", "LI").count() == 2
