@@ -239,9 +239,15 @@ def occupied_rows(spark, sf_dir):
     return store.occupied(_versions(spark, sf_dir))
 
 
-@entry(f"select count(*) as total, count(*) filter (not is_deleted) as allocated, count(*) filter (is_deleted) as tombstones from {LATEST}")
+BITS = "5 * (length(cast(record_id as varchar)) + 2)"
+
+
+@entry(
+    f"""select count(*) as total, count(*) filter (not is_deleted) as allocated, count(*) filter (is_deleted) as tombstones, cast(coalesce(sum({BITS}) filter (not is_deleted), 0) as bigint) as data_bits,
+    cast(max(record_id) + 1 - count(*) as bigint) as free, cast(ceil(coalesce(sum({BITS}) filter (not is_deleted), 0) / 8.0) as bigint) as data_bytes from {LATEST}"""
+)
 def store_stats(spark, sf_dir):
-    return store.stats(_versions(spark, sf_dir)).drop("data_bits")
+    return store.stats(_versions(spark, sf_dir).withColumn("tokens", codec.encode_record(F.col("record_id"))), "tokens")
 
 
 @entry("select o_orderkey, o_totalprice from orders where o_totalprice > 100000 order by o_orderkey limit 1")
@@ -333,22 +339,22 @@ def manhattan_radius(spark, sf_dir):
     return rows.where(geometry.within(["q", "l_linenumber"], [20, 3], 4)).select("l_orderkey", "l_linenumber", geometry.manhattan_columns(["q", "l_linenumber"], [20, 3]).cast("bigint").alias("distance"))
 
 
-EMBEDDED = "(select vec_id, list_sum(list_transform(list_slice(embedding, 1, 8), lambda x: abs(cast(round(x * 1000) as bigint) - 100)))::bigint as distance from embeddings)"
+EMBEDDED = "(select vec_id, list_sum(list_transform(embedding, lambda x: abs(cast(round(x * 1000) as bigint) - 100)))::bigint as distance from embeddings)"
 
 
 def _embedded(spark, sf_dir) -> DataFrame:
-    vec = F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("double") * 1000).cast("bigint"))
+    vec = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("bigint"))
     return table(spark, sf_dir, "embeddings").select("vec_id", vec.alias("vec"))
 
 
 @entry(f"select vec_id, distance from {EMBEDDED} order by distance, vec_id")
 def manhattan_rank(spark, sf_dir):
-    return query.nearest(_embedded(spark, sf_dir), geometry.manhattan(F.col("vec"), geometry.vector([100] * 8)), "vec_id").select("vec_id", "distance")
+    return query.nearest(_embedded(spark, sf_dir), geometry.manhattan(F.col("vec"), geometry.vector([100] * 64)), "vec_id").select("vec_id", "distance")
 
 
 @entry(f"select vec_id, distance from {EMBEDDED} order by distance, vec_id limit 5")
 def manhattan_topk(spark, sf_dir):
-    return query.nearest(_embedded(spark, sf_dir), geometry.manhattan(F.col("vec"), geometry.vector([100] * 8)), "vec_id", 5).select("vec_id", "distance")
+    return query.nearest(_embedded(spark, sf_dir), geometry.manhattan(F.col("vec"), geometry.vector([100] * 64)), "vec_id", 5).select("vec_id", "distance")
 
 
 # Indexes.
@@ -434,12 +440,12 @@ def field_project(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", parse.fields(parse.parsed(record), ["segment", "nation"]).alias("f")).select("c_custkey", "f.*")
 
 
-@entry("select n_nationkey, idx, v from (select n_nationkey, unnest([0, 1]) as idx, unnest([n_nationkey, n_regionkey])::bigint as v from nation)")
+@entry("select o_orderkey, idx, v from (select o_orderkey, unnest([0, 1]) as idx, unnest([o_orderkey, o_custkey])::bigint as v from orders)")
 def split_records(spark, sf_dir):
-    stream = F.concat(codec.encode_record(F.col("n_nationkey")), codec.encode_record(F.col("n_regionkey")))
+    stream = F.concat(codec.encode_record(F.col("o_orderkey")), codec.encode_record(F.col("o_custkey")))
     ship(spark)
-    rows = parse.records_of(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("path"), stream.alias("tokens")))
-    return rows.select(F.col("path").cast("int").alias("n_nationkey"), F.col("record_idx").cast("int").alias("idx"), parse.value_vector(parse.parsed("tokens"))[0].alias("v"))
+    rows = parse.records_of(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), stream.alias("tokens")))
+    return rows.select(F.col("path").cast("bigint").alias("o_orderkey"), F.col("record_idx").cast("int").alias("idx"), parse.value_vector(parse.parsed("tokens"))[0].alias("v"))
 
 
 @entry("select l_orderkey, l_linenumber, cast(floor((l_linenumber - 4) * 7 / 2.0) as bigint) + power(l_linenumber, 2)::bigint as v from lineitem")
@@ -466,29 +472,117 @@ def decimal_mul(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", out.alias("d")).select("c_custkey", F.col("d.numerator").cast("bigint").alias("numerator"), "d.scale")
 
 
-@entry("select n_nationkey, 0 as segment, cast(list_sum(d) % 32 as integer) as expected, true as passed from (select n_nationkey, " + DIGITS_SQL.format("n_nationkey") + " as d from nation)")
+TWO_SUMS = "(select o_orderkey, list_sum(" + DIGITS_SQL.format("o_orderkey") + ") % 32 as a, list_sum(" + DIGITS_SQL.format("o_custkey") + ") % 32 as b from orders)"
+
+
+@entry(f"select cast(o_orderkey as varchar) as path, unnest([0, 1]) as segment, cast(unnest([a, b]) as integer) as expected, true as passed from {TWO_SUMS}")
 def checksum_scan(spark, sf_dir):
+    ship(spark)
+    two = F.concat(*[integrity.append_checksum(codec.encode_integer(F.col(c))) for c in ("o_orderkey", "o_custkey")])
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), two.alias("tokens"))
+    return parse.checksums_of(rows).select("path", "segment", "expected", "passed")
+
+
+@entry("select n_nationkey, 0 as segment, cast(list_sum(d) % 32 as integer) as expected, true as passed from (select n_nationkey, " + DIGITS_SQL.format("n_nationkey") + " as d from nation)")
+def checksum_scan_sql(spark, sf_dir):
     parse.register(spark)
     rows = table(spark, sf_dir, "nation").select("n_nationkey", integrity.append_checksum(codec.encode_integer(F.col("n_nationkey"))).alias("t"))
     rows.createOrReplaceTempView("lodestone_streams")
     return spark.sql("select n_nationkey, s.segment, s.expected, s.passed from lodestone_streams, lateral scan_checksums(t) s")
 
 
-@entry("select n_nationkey, length(cast(n_nationkey as varchar)) + 1 as at from nation")
+@entry("select o_orderkey, length(cast(o_orderkey as varchar)) + 1 as at from orders")
 def sync_point(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", integrity.next_sync_point(codec.encode_record(F.col("n_nationkey"))).cast("bigint").alias("at"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", integrity.next_sync_point(codec.encode_record(F.col("o_orderkey"))).cast("bigint").alias("at"))
 
 
-@entry("select n_nationkey, false as passed from nation")
+@entry("select o_orderkey, false as passed from orders")
 def bit_flip(spark, sf_dir):
-    codes = codec.encode_record(F.col("n_nationkey"), F.col("n_regionkey"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", integrity.verify_checksum(integrity.flip_bit(codes, 0, 2), integrity.checksum(codes))["passed"].alias("passed"))
+    codes = codec.encode_record(F.col("o_orderkey"), F.col("o_custkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", integrity.verify_checksum(integrity.flip_bit(codes, 0, 2), integrity.checksum(codes))["passed"].alias("passed"))
+
 
+@entry("select o_orderkey, true as passed from orders")
+def checksum_verify(spark, sf_dir):
+    codes = codec.encode_record(F.col("o_orderkey"), F.col("o_custkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", integrity.verify_checksum(codes, integrity.checksum(codes))["passed"].alias("passed"))
 
-@entry("select n_nationkey // 10 as block, cast(sum(length(cast(n_nationkey as varchar)) + 2) + 2 as bigint) as n_tokens from nation group by 1")
+
+@entry("select o_orderkey // 10 as block, cast(sum(length(cast(o_orderkey as varchar)) + 2) + 2 as bigint) as n_tokens from orders group by 1")
 def periodic_checksums(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("record_idx"), codec.encode_record(F.col("n_nationkey")).alias("tokens"))
-    return integrity.periodic_checksums(rows, 10).select(F.col("block").cast("int").alias("block"), F.size("tokens").cast("bigint").alias("n_tokens"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_idx"), codec.encode_record(F.col("o_orderkey")).alias("tokens"))
+    return integrity.periodic_checksums(rows, 10).select(F.col("block").cast("bigint").alias("block"), F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+@entry("select l_orderkey, l_linenumber, cast(list_reduce(list_transform(range(l_linenumber * 5), lambda i: 3::hugeint), lambda a, b: a * b) as bigint) as v from lineitem")
+def expr_pow_exact(spark, sf_dir):
+    line = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", arith.expression([3, "^", "(", line, "*", 5, ")"]).alias("v"))
+
+
+@entry("select o_orderkey, cast(1000000000000000000000::hugeint * (o_orderkey + 1) - o_custkey as varchar) as v from orders")
+def expr_wide(spark, sf_dir):
+    wide = arith.expression([10**21, "*", "(", F.col("o_orderkey"), "+", 1, ")", "-", F.col("o_custkey")])
+    return table(spark, sf_dir, "orders").select("o_orderkey", wide.cast("string").alias("v"))
+
+
+@entry("select s_suppkey, cast(s_suppkey + 70 * 3 as varchar) as v from supplier")
+def scaled_eval(spark, sf_dir):
+    codes = codec.encode_expression(F.col("s_suppkey"), "S", 2, "+", 70, "S", 1, "*", 3)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", parse.evaluated(codes).alias("v"))
+
+
+@entry("select c_custkey, cast(trunc(c_acctbal * 100 + case when c_acctbal < 0 then -0.000001 else 0.000001 end) as bigint) / 100.0 as v from customer")
+def decimal_from_double(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(arith.as_double(arith.from_double(F.round("c_acctbal", 2))), 2).alias("v"))
+
+
+# Streams of several values.
+
+
+@entry("select c_custkey, array_to_string(list_transform([c_nationkey % 10, case when c_nationkey % 10 = 0 then 0 else 16 + c_nationkey % 10 end, 30], lambda t: lpad(bin(t), 5, '0')), ' ') as bits from customer")
+def encode_signed_digits(spark, sf_dir):
+    digit = F.col("c_nationkey") % 10
+    return table(spark, sf_dir, "customer").select("c_custkey", codec.bits(codec.encode_digits(F.array(digit, -digit)), " ").alias("bits"))
+
+
+COMMAND_CODES = [31] * 4 + [0] + [30] * 4  # AUTH among the commands
+
+
+@entry(f"select c_custkey, array_to_string(list_transform(list_concat({COMMAND_CODES}, list_concat({DIGITS_SQL.format('c_custkey')}, [30])), lambda t: lpad(bin(t), 5, '0')), '') as bits from customer")
+def encode_command(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", codec.bits(codec.encode_command("AUTH", F.col("c_custkey"))).alias("bits"))
+
+
+@entry("select p_partkey, array_to_string(list_transform(string_split(p_name, ''), lambda c: cast(ascii(c) as varchar)), ' ') as bytes from part")
+def bytes_as_numbers(spark, sf_dir):
+    ship(spark)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(parse.value_vector(parse.parsed(codec.encode_bytes(F.col("p_name").cast("binary")))).cast("array<string>"), " ").alias("bytes"))
+
+
+@entry("select o_orderkey, cast(substr(cast(o_custkey as varchar), 1, 1) as integer) as first_code from orders")
+def read_at_offset(spark, sf_dir):
+    codes = codec.encode_record(F.col("o_orderkey"), F.col("o_custkey"))
+    offset = 5 * (F.length(F.col("o_orderkey").cast("string")) + 1)
+    return table(spark, sf_dir, "orders").select("o_orderkey", codec.read_at(codes, offset, F.lit(1))[0].alias("first_code"))
+
+
+@entry("select c_custkey, unnest([0, 1]) as pos, unnest(['number', 'word']) as kind, unnest([null, c_mktsegment]) as text, unnest([cast(c_nationkey as varchar), null]) as value from customer")
+def chain_parse(spark, sf_dir):
+    ship(spark)
+    codes = F.concat(codec.encode_integer(F.col("c_nationkey")), codec.encode_word(F.col("c_mktsegment")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(parse.parsed(codes)).alias("pos", "p"))
+    return rows.select("c_custkey", "pos", "p.kind", "p.text", F.col("p.value").cast("string").alias("value"))
+
+
+@entry("select c_custkey, cast(c_nationkey as varchar) || c_mktsegment as text from customer")
+def insert_kinds(spark, sf_dir):
+    """Numbers, words and records are appended to a folder in one commit and read back."""
+    ship(spark)
+    path = shared_dir(spark)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", codec.encode_record(F.col("c_nationkey"), F.col("c_mktsegment"), kinds=["int", "word"]).alias("tokens"))
+    store.append(rows, path)
+    return spark.read.parquet(path).select("c_custkey", parse.text_of(parse.parsed("tokens")).alias("text"))
 
 
 # Policies and tenants.
@@ -535,39 +629,133 @@ def new_accounts(spark, sf_dir):
     return policy.without_duplicates(customer, customer.where("c_custkey % 2 = 0"), "c_name").select("c_custkey")
 
 
-@entry("select n_nationkey, n_name from nation")
+@entry("select o_orderkey, o_orderpriority from orders")
 def encrypt_roundtrip(spark, sf_dir):
     from ..operators import crypto
 
     ship(spark)
-    nation = table(spark, sf_dir, "nation")
-    sealed = nation.select("n_nationkey", crypto.encrypt_for_user(F.col("n_name").cast("binary"), F.col("n_nationkey"), 7, b"secret").alias("c"))
-    return sealed.select("n_nationkey", crypto.decrypt_for_user(F.col("c"), F.col("n_nationkey"), 7, b"secret").cast("string").alias("n_name"))
+    orders = table(spark, sf_dir, "orders")
+    sealed = orders.select("o_orderkey", crypto.encrypt_for_user(F.col("o_orderpriority").cast("binary"), F.col("o_orderkey"), 7, b"secret").alias("c"))
+    return sealed.select("o_orderkey", crypto.decrypt_for_user(F.col("c"), F.col("o_orderkey"), 7, b"secret").cast("string").alias("o_orderpriority"))
 
 
-@entry("select n_nationkey, n_name from nation where n_nationkey % 3 = 0")
+@entry("select o_orderkey, o_orderpriority from orders where o_orderkey % 3 = 0")
 def server_grants(spark, sf_dir):
     from ..operators import crypto
 
     ship(spark)
     key, server = crypto.password_key(b"salt", "pw"), bytes(32)
-    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("record_id"), F.lit(7).alias("user_id"), "n_name")
-    sealed = nation.select("record_id", "user_id", crypto.encrypt_with_password(F.col("n_name").cast("binary"), F.col("record_id"), b"salt", "pw").alias("content"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.lit(7).alias("user_id"), "o_orderpriority")
+    sealed = orders.select("record_id", "user_id", crypto.encrypt_with_password(F.col("o_orderpriority").cast("binary"), F.col("record_id"), b"salt", "pw").alias("content"))
     escrow = spark.createDataFrame([(7, crypto.escrow_key(key, server))], "user_id int, escrowed binary")
-    found = crypto.read_as_server(sealed, nation.where("record_id % 3 = 0"), escrow, server)
-    return found.select(F.col("record_id").alias("n_nationkey"), F.col("content").cast("string").alias("n_name"))
+    found = crypto.read_as_server(sealed, orders.where("record_id % 3 = 0"), escrow, server)
+    return found.select(F.col("record_id").alias("o_orderkey"), F.col("content").cast("string").alias("o_orderpriority"))
 
 
-@entry("select n_nationkey, n_name from nation")
+@entry("select o_orderkey, o_orderpriority from orders")
 def two_modes(spark, sf_dir):
     from ..operators import crypto
 
     ship(spark)
-    nation = table(spark, sf_dir, "nation").withColumn("mode", F.expr("if(n_nationkey % 2 = 0, 'zero', 'managed')"))
-    plain, key = F.col("n_name").cast("binary"), F.col("n_nationkey")
+    orders = table(spark, sf_dir, "orders").withColumn("mode", F.expr("if(o_orderkey % 2 = 0, 'zero', 'managed')"))
+    plain, key = F.col("o_orderpriority").cast("binary"), F.col("o_orderkey")
     sealed = F.when(F.col("mode") == "zero", crypto.encrypt_with_password(plain, key, b"s", "pw")).otherwise(crypto.encrypt_for_user(plain, key, 7, b"app"))
     opened = crypto.open_by_mode(F.col("mode"), F.col("c"), key, 7, b"s", "pw", b"app")
-    return nation.withColumn("c", sealed).select("n_nationkey", opened.cast("string").alias("n_name"))
+    return orders.withColumn("c", sealed).select("o_orderkey", opened.cast("string").alias("o_orderpriority"))
+
+
+# Checked writes, fluent writes, transactions, memory.
+
+
+@entry("select o_orderkey as record_id, case when o_orderkey % 2 = 0 then 'write' else 'create' end as action, o_orderkey % 2 = 1 or o_custkey = 13 as permitted from orders")
+def policy_writes(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), "o_custkey")
+    rules = policy.Policies().add("orders", "write", policy.owner_only).add("orders", "create", policy.authenticated_only)
+    return rules.writes(orders.where("record_id % 2 = 0"), orders.select("record_id"), "orders", "o_custkey", 13)
+
+
+@entry("select o_orderkey as record_id, o_orderkey % 2 = 1 or o_custkey = 13 as accepted, cast(13 as bigint) as owner, o_custkey as v from orders")
+def owner_writes(spark, sf_dir):
+    ship(spark)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.array("o_custkey").alias("vec"), codec.encode_record(F.col("o_custkey")).alias("tokens"))
+    done = policy.write_as(orders.where("record_id % 2 = 0"), orders.select("record_id", "tokens"), 13)
+    values = parse.value_vector(parse.parsed("tokens"))
+    return done.select("record_id", "accepted", values.alias("v")).select("record_id", "accepted", F.col("v")[0].alias("owner"), F.col("v")[1].alias("v"))
+
+
+@entry("select o_orderkey as record_id, o_custkey = 13 as accepted from orders")
+def owner_deletes(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.array("o_custkey").alias("vec"))
+    return policy.delete_as(orders, orders.select("record_id"), 13)
+
+
+@entry("select o_orderkey from orders")
+def admin_bypass(spark, sf_dir):
+    rules = policy.Policies().add("orders", "read", policy.owner_only)
+    return rules.view(table(spark, sf_dir, "orders"), "orders", "read", "o_custkey", 13, bypass=True).select("o_orderkey")
+
+
+@entry("select c_custkey, case when c_custkey = 4 then 'CHANGED' else c_name end as c_name from customer where c_custkey <> 5 union all select -1 as c_custkey, 'NEW' as c_name")
+def fluent_writes(spark, sf_dir):
+    customer = query.Table(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    new = spark.createDataFrame([(-1, "NEW"), (7, "there already")], "c_custkey bigint, c_name string")
+    right = customer.get(4).select(customer.hash().alias("h")).first()["h"]
+    changed = customer.insert(new).update(4, if_match=right, c_name="CHANGED").update(6, if_match="stale", c_name="LOST")
+    return changed.delete(5).rows()
+
+
+@entry(
+    """with t as (select o_orderkey as record_id, o_custkey as v from orders),
+    s as (select record_id, 0 as v from t where record_id % 10 = 1 union all select record_id + 1 as record_id, 1 as v from t where record_id % 10 = 1)
+    select record_id, cast(v as bigint) as v from s union all select record_id, v from t where record_id % 7 <> 0 and record_id not in (select record_id from s)"""
+)
+def txn_store(spark, sf_dir):
+    """One transaction writes, one deletes and swaps, one is rolled back and one is never ended."""
+    from ..operators.transactions import TransactionalStore
+
+    ship(spark)
+    held = TransactionalStore(spark, shared_dir(spark))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), codec.encode_record(F.col("o_custkey")).alias("tokens"))
+    held.begin().put(rows).commit()
+    pairs = rows.where("record_id % 10 = 1").select(F.col("record_id").alias("from_id"), (F.col("record_id") + 1).alias("to_id"), codec.encode_record(F.lit(0)).alias("from_tokens"), codec.encode_record(F.lit(1)).alias("to_tokens"))
+    held.begin().delete(rows.where("record_id % 7 = 0")).swap(pairs).commit()
+    nines = rows.withColumn("tokens", codec.encode_record(F.lit(9)))
+    held.begin().put(nines).rollback()
+    held.begin().put(nines)
+    return held.state().select("record_id", parse.value_vector(parse.parsed("tokens"))[0].alias("v"))
+
+
+@entry(f"select record_id, cast(case when record_id % 2 = 0 then 0 else cents end as bigint) as cents from {LATEST} where not is_deleted")
+def cached_reads(spark, sf_dir):
+    """The live rows are held in memory; a write drops them, and the next read sees it."""
+    held = store.Cached(_versions(spark, sf_dir))
+    held.live().count()
+    even = held.live().where("record_id % 2 = 0").selectExpr("record_id", "9000000000L as version", "'reset' as event_type", "0L as cents")
+    held.write(even)
+    return held.live().select("record_id", "cents")
+
+
+@entry("select o_orderkey, o_custkey from orders where o_orderkey % 2 = 0 union all select o_orderkey, o_custkey from orders where o_orderkey % 2 = 1")
+def union_partitions(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey as record_id", "o_custkey", "1L as version", "false as is_deleted")
+    return store.live(store.upsert(orders.where("record_id % 2 = 0"), orders.where("record_id % 2 = 1"))).selectExpr("record_id as o_orderkey", "o_custkey")
+
+
+@entry("select o_custkey, o_orderkey from orders where o_custkey = 20")
+def btree_get(spark, sf_dir):
+    return index.get(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", 20)
+
+
+@entry("select o_custkey, o_orderkey from orders where o_custkey >= 20 and o_custkey < 35 and o_orderkey % 2 = 0")
+def btree_soft_delete(spark, sf_dir):
+    entries = table(spark, sf_dir, "orders").selectExpr("o_custkey", "if(o_orderkey % 2 = 0, o_orderkey, -1) as o_orderkey")
+    return index.range_scan(entries, "o_custkey", "o_orderkey", 20, 35)
+
+
+@entry("select c_custkey, c_name, o_orderkey from customer join orders on c_custkey = o_custkey order by c_custkey")
+def merge_join_ordered(spark, sf_dir):
+    customer, orders = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return joins.merge_join(customer, orders, "c_custkey", "o_custkey", ordered=True).select("left.c_custkey", "left.c_name", "right.o_orderkey")
 
 
 @entry("select n_name from nation where n_nationkey = 4 union all select 'NEW' as n_name")
@@ -582,30 +770,60 @@ def signup_login(spark, sf_dir):
     return accounts.login(users, "4@x", "pw").union(accounts.login(users, "new@x", "pw")).union(accounts.login(users, "3@x", "wrong")).select(F.col("name").alias("n_name"))
 
 
-@entry("select event_id, cast(cast(props::json->>'k' as bigint) as varchar) as k from events where (props::json->>'k') is not null")
+@entry("select event_id, event_type || cast(user_id as varchar) || coalesce(cast(cast(props::json->>'k' as bigint) as varchar), '') as text from events")
 def json_records(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where(F.get_json_object("props", "$.k").isNotNull())
-    codes = store.json_codes(F.col("props"), [("k", "int"), ("missing", "word")])
-    return events.select("event_id", parse.text_of(parse.parsed(codes)).alias("k"))
+    """A word, a number, a number of a nested text, and a field that is not there."""
+    ship(spark)
+    events = table(spark, sf_dir, "events")
+    body = F.to_json(F.struct("event_type", "user_id", F.get_json_object("props", "$.k").alias("k")))
+    codes = store.json_codes(body, [("event_type", "word"), ("user_id", "int"), ("k", "int"), ("missing", "word")])
+    return events.select("event_id", parse.text_of(parse.parsed(codes)).alias("text"))
 
 
-@entry("select n_nationkey, n_nationkey % 2 = 0 as accepted from nation")
+@entry("select o_orderkey, o_orderkey % 2 = 0 as accepted from orders")
 def update_if_match(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("record_id"), F.lit(1).alias("version"), F.lit(False).alias("is_deleted"), codec.encode_record(F.col("n_nationkey")).alias("tokens"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.lit(1).alias("version"), F.lit(False).alias("is_deleted"), codec.encode_record(F.col("o_orderkey")).alias("tokens"))
     own = integrity.content_hash(F.col("tokens"))
-    writes = nation.select("record_id", F.when(F.col("record_id") % 2 == 0, own).otherwise(F.lit("stale")).alias("if_match"))
-    return store.update_if_match(nation, writes).select(F.col("record_id").alias("n_nationkey"), "accepted")
+    writes = orders.select("record_id", F.when(F.col("record_id") % 2 == 0, own).otherwise(F.lit("stale")).alias("if_match"))
+    return store.update_if_match(orders, writes).select(F.col("record_id").alias("o_orderkey"), "accepted")
 
 
-@entry("select n_nationkey from nation")
+@entry("select o_orderkey, o_orderpriority as priority from orders")
 def grid_roundtrip(spark, sf_dir):
     from ..sources import binary
 
+    ship(spark)
     path = shared_dir(spark)
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("record_idx"), codec.encode_record(F.col("n_nationkey"), F.col("n_name"), kinds=["int", "word"]).alias("tokens"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_idx"), codec.encode_record(F.col("o_orderkey"), F.col("o_orderpriority"), kinds=["int", "word"]).alias("tokens"))
     binary.write_grid(rows, path)
-    back = binary.grid_rows(spark.read.parquet(path).select(F.col("part").cast("string").alias("path"), "content"))
-    return back.select(parse.value_vector(parse.parsed("tokens"))[0].cast("int").alias("n_nationkey"))
+    back = binary.grid_rows(spark.read.parquet(path).select(F.col("part").cast("string").alias("path"), "content")).select(parse.parsed("tokens").alias("p"))
+    return back.select(F.col("p")[0]["value"].cast("bigint").alias("o_orderkey"), parse.text_of(F.slice("p", 2, 100)).alias("priority"))
+
+
+@entry("select o_orderkey as record_id, case when o_orderkey % 5 = 0 then 2 else 1 end as flag, case when o_orderkey % 5 = 0 then 0 else o_custkey + 1 end as v from orders")
+def positioned_roundtrip(spark, sf_dir):
+    """Fixed-stride files: written, some slots deleted by a later version, read back."""
+    from ..sources import binary
+
+    ship(spark)
+    path = shared_dir(spark)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.lit(1).alias("version"), codec.encode_record(F.col("o_custkey") + 1).alias("tokens"))
+    gone = rows.where("record_id % 5 = 0").select("record_id", F.lit(2).alias("version"), F.array(*[F.lit(c) for c in binary.DELETED]).alias("tokens"))
+    binary.write_positioned(rows.unionByName(gone), path, stride_bits=128)
+    back = binary.positioned_rows(spark.read.parquet(path).withColumn("path", F.col("part").cast("string")))
+    return back.select("record_id", "flag", parse.value_vector(parse.parsed("tokens"))[0].alias("v"))
+
+
+@entry("select translate(cast(page_id as varchar), '0123456789', 'abcdefghij') || '.html' as name, cast(strlen(html) as bigint) as size, sha256(html) as sha256 from pages")
+def archive_roundtrip(spark, sf_dir):
+    from ..sources import binary
+
+    ship(spark)
+    path = shared_dir(spark)
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("idx"), F.concat(F.translate(F.col("page_id").cast("string"), "0123456789", "abcdefghij"), F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("content"))
+    binary.write_archives(pages, path, each=16)
+    back = binary.archive_rows(spark.read.parquet(path).select(F.col("part").cast("string").alias("path"), "content"))
+    return back.select("name", "size", F.sha2("content", 256).alias("sha256"))
 
 
 # Change feeds and objects.
@@ -635,6 +853,13 @@ def presence_ttl(spark, sf_dir):
     return feeds.presence(events, "user_id", "ts", F.lit(now).cast("timestamp_ntz"), 3600)
 
 
+@entry("select user_id, max(ts) as last_seen, arg_max(event_type, ts) as channel from events group by user_id having max(ts) >= (select max(ts) from events) - interval 36000 seconds and arg_max(event_type, ts) = 'click'")
+def presence_channel(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts").alias("t")).first()["t"]
+    return feeds.presence(events, "user_id", "ts", F.lit(now).cast("timestamp_ntz"), 36000, channel="event_type", name="click")
+
+
 @entry("select event_id, user_id, count(*) over (partition by user_id order by ts range between interval 60 seconds preceding and current row) as n_recent from events")
 def window_count(spark, sf_dir):
     return feeds.recent_count(table(spark, sf_dir, "events"), "user_id", "ts", 60).select("event_id", "user_id", "n_recent")
@@ -659,6 +884,14 @@ def rate_limit(spark, sf_dir):
     return feeds.rate_limit(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 3600.0)
 
 
+@entry()
+def rate_limit_dual(spark, sf_dir):
+    """The address's limit, then the user's; the address is the event's hour, which several users share."""
+    ship(spark)
+    events = table(spark, sf_dir, "events").withColumn("address", F.date_format("ts", "yyyy-MM-dd HH"))
+    return feeds.rate_limit_dual(events, "address", "user_id", "ts", "event_id", ip_most=8, user_most=3, seconds=3600.0)
+
+
 @entry("select event_id, user_id from events where event_id < 700")
 def replicate_halt(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id")
@@ -679,22 +912,84 @@ def stream_changes(spark, sf_dir):
     return spark.read.schema(out.schema).parquet(sink)
 
 
+@entry("select event_id, user_id from events where event_id > 500")
+def follow_changes(spark, sf_dir):
+    """A subscriber that knows event 500: history and live by one stream, run to the end of the folder."""
+    folder, sink, place = (shared_dir(spark) for _ in range(3))
+    log = table(spark, sf_dir, "events").select("event_id", "user_id")
+    log.where("event_id % 2 = 0").write.parquet(folder)
+    log.where("event_id % 2 = 1").write.mode("append").parquet(folder)
+    live = feeds.follow(spark, folder, log.schema, 500, "event_id")
+    live.writeStream.format("parquet").option("checkpointLocation", place).trigger(availableNow=True).start(sink).awaitTermination()
+    return spark.read.schema(log.schema).parquet(sink)
+
+
+@entry("select event_id, h.hook from events e join (values ('a', 'error'), ('b', '*')) h(hook, type) on h.type = '*' or h.type = e.event_type")
+def webhook_matches(spark, sf_dir):
+    hooks = spark.createDataFrame([("a", "events", "error"), ("b", "events", "*"), ("c", "other", "*")], "hook string, hook_table string, hook_type string")
+    events = table(spark, sf_dir, "events").select("event_id", F.lit("events").alias("table_name"), F.col("event_type").alias("type"))
+    return feeds.webhook_matches(events, hooks).select("event_id", "hook")
+
+
+@entry("select event_id from events where event_type = 'error'")
+def dead_letters(spark, sf_dir):
+    """Errors are never delivered; the others are, some at the second try."""
+    ship(spark)
+    seen = set()
+
+    def send(row: dict) -> bool:
+        again = row["event_id"] in seen
+        seen.add(row["event_id"])
+        return row["event_type"] != "error" and (again or row["event_id"] % 2 == 0)
+
+    return feeds.deliver(table(spark, sf_dir, "events").select("event_id", "event_type"), send, lambda seconds: None).select("event_id")
+
+
+@entry("select event_id from events where ts > (select max(ts) from events) - interval 86400 seconds")
+def live_sessions(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts").alias("t")).first()["t"]
+    rows = events.select("event_id", (F.col("ts") + F.expr("interval 86400 seconds")).alias("expires_at"))
+    return feeds.sessions(rows, "expires_at", F.lit(now).cast("timestamp_ntz")).select("event_id")
+
+
+@entry("select event_id, user_id from events")
+def group_commit(spark, sf_dir):
+    """Micro-batches of a stream are each handed over and written once."""
+    folder, sink, place = (shared_dir(spark) for _ in range(3))
+    log = table(spark, sf_dir, "events").select("event_id", "user_id")
+    log.write.parquet(folder)
+    feeds.commit_batches(feeds.tail(spark, folder, log.schema), lambda df, n: df.write.mode("append").parquet(sink), place).awaitTermination()
+    return spark.read.schema(log.schema).parquet(sink)
+
+
 def _is_folder(spark, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
 
 
-@entry("select page_id, url, strlen(html) as size from pages where starts_with(url, 'http') order by url, page_id limit 100")
+@entry("select 'b' as bucket, url as path, cast(strlen(html) as bigint) as size, sha256(html) as sha256, cast(1 as bigint) as owner from pages where starts_with(url, 'https') order by url limit 100")
 def object_list(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where(F.col("url").startswith("http"))
-    return pages.select("page_id", "url", F.octet_length("html").cast("bigint").alias("size")).orderBy("url", "page_id").limit(100)
+    return objects.listing(_objects(spark, sf_dir), "b", "https", 100)
+
+
+def _objects(spark, sf_dir) -> DataFrame:
+    return objects.objects(table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content")), "b", 1)
+
+
+@entry("select url as path, case when page_id % 3 = 0 then sha256('new') else sha256(html) end as sha256, cast(case when page_id % 3 = 0 then 2 else 1 end as bigint) as owner from pages where page_id <> 5")
+def object_writes(spark, sf_dir):
+    """Uploads replace objects of the same path; one object is removed."""
+    pages = table(spark, sf_dir, "pages")
+    new = objects.objects(pages.where("page_id % 3 = 0").select(F.col("url").alias("path"), F.lit("new").cast("binary").alias("content")), "b", 2)
+    gone = pages.where("page_id = 5").first()["url"]
+    return objects.remove(objects.upload(_objects(spark, sf_dir), new), "b", gone).select("path", "sha256", "owner")
 
 
 @entry("select sha256(html) as sha256, count(*) as n from pages group by 1")
 def object_dedup(spark, sf_dir):
-    held = objects.objects(table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content")), "b", 1)
-    return held.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"))
+    return _objects(spark, sf_dir).groupBy("sha256").agg(F.count(F.lit(1)).alias("n"))
 
 
 @entry("select n_regionkey from nation where n_nationkey = 12")
