@@ -33,7 +33,7 @@ from ..session import ship
 from . import kernel as K
 from . import pretokens
 
-TABLE, BATCH_CHARS, PAIRS = 400_000, 120_000, 1 << 21
+TABLE, BATCH_CHARS, PAIRS = 400_000, 120_000, 1 << 19
 NEVER = np.iinfo(np.int32).max
 _STEP = 0x9E3779B97F4A7C15 | 1
 UNKNOWN_PENALTY = 10.0
@@ -75,6 +75,7 @@ class Viterbi:
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model.serialized_model_proto())
         self.merges = proto.trainer_spec.model_type == proto.trainer_spec.BPE
+        self.pairs, self.n_pairs = K.Slots(PAIRS if self.merges else 1), 0
         if self.merges:
             self._read_merges([p for p, _ in sorted(normal.items(), key=lambda e: (-model.get_score(e[1]), e[1]))], normal)
         self.forget()
@@ -164,7 +165,6 @@ class Viterbi:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.size, self.at = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.pairs, self.n_pairs = K.Slots(PAIRS if self.merges else 1), 0
 
     def _probe(self, keys: np.ndarray) -> np.ndarray:
         """Rank of each key among the pieces, or -1."""
