@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import made, materialize, remove
 
 
 def _round(links: DataFrame) -> DataFrame:
@@ -24,12 +24,15 @@ def _round(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the (u, v) links but the roots; the root is the smallest node."""
+    spark = links.sparkSession
     links = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 40))))
     seen = links.agg(mark.alias("s")).first()["s"]
     while True:
+        last = made(spark)[-1]
         links = materialize(_round(links))
         now = links.agg(mark.alias("s")).first()["s"]
+        remove(spark, [last])  # what the round before wrote
         if now == seen:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
