@@ -91,7 +91,7 @@ def bucket_bits(packs: DataFrame, per_bucket: int, each: float) -> int:
     """So many bits of a key that a bucket holds about ``per_bucket`` keys; each: keys for a byte of text."""
     raw = packs.select(F.sum(F.length("block")).alias("n")).first()["n"] or 0
     keys = raw * 2.6 * each
-    return int(min(20, max(6, np.ceil(np.log2(max(1.0, keys / per_bucket))))))
+    return int(min(32, max(6, np.ceil(np.log2(max(1.0, keys / per_bucket))))))
 
 
 def by_pack(packs: DataFrame, answers: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:

@@ -25,9 +25,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialize
+from ..session import made, materialize, remove
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -146,8 +146,6 @@ def _nearest(rows: DataFrame) -> DataFrame:
     """Rows up to the logarithmic distance bin that completes SHARE of their group."""
     binned = rows.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * 64).cast("bigint"))
     counts = binned.groupBy(*KEY, "bin").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-
     group = Window.partitionBy(*KEY)
     run = counts.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
     cut = run.where(F.col("upto") >= F.ceil(F.col("total") * SHARE)).groupBy(*KEY).agg(F.min("bin").alias("cut"))
@@ -156,8 +154,6 @@ def _nearest(rows: DataFrame) -> DataFrame:
 
 def _median_start(rows: DataFrame) -> DataFrame:
     """Shapes with the medians as centre and the absolute deviations from them as independent scales."""
-    from pyspark.sql import Window
-
     def medians(value: str, of: DataFrame) -> DataFrame:
         counts = of.withColumn("bin", F.floor(F.col(value) * 256).cast("bigint")).groupBy(*KEY, "f", "bin").agg(F.count(F.lit(1)).alias("n"))
         group = Window.partitionBy(*KEY, "f")
@@ -199,10 +195,11 @@ def shapes(vectors: DataFrame, judged: DataFrame) -> DataFrame:
     rows = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     columns = [*KEY, *[f"m_{x}" for x in X], *[f"l_{i}_{j}" for i, j in PAIRS], "log_det"]
     first = _median_start(rows.where("start = 0")).select(*columns).union(_factor(_moments(rows.where("start = 1")), 1.0).select(*columns))
-    shape = materialize(first)
+    shape, spark = materialize(first), vectors.sparkSession
     for step in range(STEPS):
-        last = step == STEPS - 1
+        last, before = step == STEPS - 1, made(spark)[-1]
         shape = materialize(_factor(_moments(_nearest(_distance(rows, shape).drop("log_det"))), consistency() if last else 1.0).select(*columns))
+        remove(spark, [before])
     best = shape.groupBy("g_lang", "g_source").agg(F.min(F.struct("log_det", "start")).alias("b")).select("g_lang", "g_source", F.col("b.start").alias("start"))
     return shape.join(best, KEY, "left_semi")
 

@@ -62,7 +62,7 @@ def _fingerprints(shingle: int):
         for batch in batches:
             data, offsets = K.utf8(batch.column(1))
             found = [fingerprint(data[offsets[i] : offsets[i + 1]].tobytes(), shingle) for i in range(batch.num_rows)]
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64)), batch.column(2)], names=["doc_id", "fp", "mark"])
 
     return run
 
@@ -281,13 +281,13 @@ def near_links(nodes: DataFrame, distance: int = 4) -> DataFrame:
     return sent.groupBy("bin").applyInArrow(_links(distance), "u bigint, v bigint")
 
 
-def simhash_near_dedup(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of each row of (doc_id, text)."""
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fps = materialize(plain.mapInArrow(_fingerprints(shingle), "doc_id bigint, fp bigint"))
+def simhash_near_dedup(docs: DataFrame, distance: int = 4, shingle: int = 4, mark: bool = False) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of each row of (doc_id, text). mark: also the xxhash64 of its text."""
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("mark"))
+    fps = materialize(plain.mapInArrow(_fingerprints(shingle), "doc_id bigint, fp bigint, mark bigint"))
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(near_links(nodes, distance))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     table = placed.join(names, "root").select("fp", "component_id")
-    return fps.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(["mark"] if mark else []))

@@ -13,7 +13,7 @@ reaches its bucket once for each pack. Buckets grow in number with the corpus. T
 windows are confused with a probability of 2**-64.
 
 Defined cases: a null text has no words; a document of fewer words than ``width`` keeps
-all; rows that repeat a doc_id do not remove one another's words (windows repeated inside one row are still
+all; a long text is a pack of its own, held whole by a task; rows that repeat a doc_id do not remove one another's words (windows repeated inside one row are still
 removed); a null doc_id comes after all others; an empty table gives no rows. Other columns are not read.
 """
 
@@ -83,10 +83,10 @@ def _send(width: int, bits: int):
                 keys = keys[order]
                 begin = _groups(keys)
                 keys, low = keys[begin], docs[order[begin]]
-                edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
+                own, at = np.unique(keys >> np.uint64(64 - bits), return_index=True)
                 rows = []
-                for b in np.flatnonzero(np.diff(edges)):
-                    part = slice(edges[b], edges[b + 1])
+                for b, a, z in zip(own.tolist(), at.tolist(), [*at[1:].tolist(), len(keys)][: len(own)], strict=True):
+                    part = slice(a, z)
                     table, slot = np.unique(ids[low[part]], return_inverse=True)
                     rows.append((int(b), name, K.pack(planes(keys[part]), K.narrow(slot), table)))
                 if rows:

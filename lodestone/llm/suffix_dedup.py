@@ -108,8 +108,8 @@ def _send_anchors(width: int, bits: int):
                 # How many segments have the anchor, and 1 less if all are of one document (documents ascend in a run).
                 many = np.minimum(2 * (end + 1 - begin) - (docs[begin] == docs[end]), 2 * HOT + 2) if len(begin) else begin
                 keys = keys[begin]
-                edges = np.searchsorted(keys >> np.uint64(32), np.arange(2**bits + 1, dtype=np.uint64))
-                rows = [(int(b), name, K.pack(planes(keys[edges[b] : edges[b + 1]]), K.narrow(many[edges[b] : edges[b + 1]]))) for b in np.flatnonzero(np.diff(edges))]
+                own, at = np.unique(keys >> np.uint64(32), return_index=True)
+                rows = [(int(b), name, K.pack(planes(keys[a:z]), K.narrow(many[a:z]))) for b, a, z in zip(own.tolist(), at.tolist(), [*at[1:].tolist(), len(keys)][: len(own)], strict=True)]
                 yield _arrow(rows, ["bucket", "pack", "block"])
 
     return run

@@ -73,3 +73,12 @@ def test_stages_keep_the_columns_and_odd_rows(spark, sf):
     want = {(r[0], r[2]) for r in bytes_brute([tuple(r)[:2] for r in docs.collect()], 50) if r[2]}
     changed = {r["doc_id"] for r in found.join(docs.select("doc_id", F.col("text").alias("t")).distinct(), "doc_id").where("text <> t").collect()}
     assert changed <= {d for d, _ in want}
+
+
+def test_rows_that_share_a_doc_id_go_each_by_its_own_text(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(80))
+    rows = [(1, text(1), "en", "s", 1), (2, text(1), "en", "s", 1), (2, text(2), "en", "s", 1), (3, text(3) + " " + item, "en", "s", 1), (3, text(4), "en", "s", 1), (None, text(5) + " " + item, "en", "s", 1)]
+    docs = frame(spark, rows)
+    assert sorted((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs.where("doc_id < 3"), sf).collect()) == [(1, text(1)), (2, text(2))]
+    assert sorted((r["doc_id"], r["text"]) for r in P.benchmark_leaks(spark, docs, sf).collect()) == [(1, text(1)), (2, text(1)), (2, text(2)), (3, text(4))]
