@@ -1,9 +1,10 @@
 """A corpus pipeline: five stages over the table ``documents``, each one operator of lodestone.llm.
 
 Every stage takes what its predecessor kept, written as Parquet and read again; all but the last
-return the columns of ``documents``. A doc_id names a document: rows that repeat one stay or go together in
-the stages that drop documents. Rows with a null doc_id cannot be named, so near-duplicate removal
-and decontamination let them pass.
+return the columns of ``documents``. Rows that repeat a doc_id are told apart by their texts: equal rows stay or go together,
+others each by their own. Near-duplicate removal lets rows with a null doc_id pass, since they are no document's copy by name; a null text
+has no words, so the first stage rejects it, and a later one that meets one keeps it null. A long text passes every stage whole. An
+empty table gives an empty table with the columns of ``documents``, and the last stage no rows.
 """
 
 from __future__ import annotations
@@ -50,9 +51,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    found = simhash_near_dedup(docs.select("doc_id", "text"), distance=4, shingle=4)
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    found = simhash_near_dedup(docs.select("doc_id", "text"), distance=4, shingle=4, mark=True)
+    others = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(others, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left_anti").select(docs.columns)
 
 
 @_stage
@@ -69,8 +70,9 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 @_stage
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    leaks = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    key = F.xxhash64("doc_id", "text")  # names a row, and rows equal to it
+    leaks = decontaminate(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_key")).distinct()
+    return docs.join(leaks, key == F.col("_key"), "left_anti").select(docs.columns)
 
 
 @_stage
