@@ -13,7 +13,7 @@ from decimal import Decimal
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DecimalType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DecimalType, IntegerType, MapType, StringType, StructField, StructType
 
 from . import tokens as T
 
@@ -268,6 +268,16 @@ def evaluated(codes: pa.Array) -> pa.Array:
     return pa.array([None if v is None else str(evaluate(items(v))) for v in _each(codes)], pa.string())
 
 
+SCALED = ArrayType(StructType([StructField("numerator", DecimalType(38, 0)), StructField("scale", IntegerType())]))
+
+
+@F.arrow_udf(SCALED)
+def scaled_values(codes: pa.Array) -> pa.Array:
+    """The numbers of each stream with their scales (``number S number``; 0 without one), for arith.add() and the like."""
+    rows = [None if v is None else [(Decimal(n), int(s or 0)) for k, _, n, s in resolve_scales(v) if k in ("number", "scaled")] for v in _each(codes)]
+    return pa.array([r if r is None else [{"numerator": n, "scale": s} for n, s in r] for r in rows], pa.list_(pa.struct([("numerator", pa.decimal128(38, 0)), ("scale", pa.int32())])))
+
+
 def text_of(values: Column) -> Column:
     """all_text() of parsed values, without Python."""
     return F.array_join(F.transform(values, lambda p: F.coalesce(p["text"], p["value"].cast("string"))), "")

@@ -34,3 +34,30 @@ def infer_fields(df: DataFrame, labels: str) -> list[tuple[str, str]]:
     long = df.select(F.explode(labels).alias("name", "value"))
     kinds = long.groupBy("name").agg(F.every(F.col("value").rlike("^-?[0-9]{1,18}$")).alias("number")).orderBy("name")
     return [(r["name"], "BIGINT" if r["number"] else "STRING") for r in kinds.collect()]  # as many rows as fields
+
+
+def index_labels(df: DataFrame, rid: str, labels: str, path: str) -> None:
+    """An index of all fields of a map column, as a folder for each field, its entries sorted by value: what lookup() and between() read.
+
+    A changed record is indexed again by appending its entries with a larger ``version`` column, if the rows have one.
+    """
+    version = F.col("version") if "version" in df.columns else F.lit(0)
+    entries = df.select(F.col(rid).alias("record_id"), version.cast("bigint").alias("version"), F.explode(labels).alias("field", "value"))
+    entries = entries.withColumn("number", F.col("value").try_cast("bigint"))
+    entries.repartitionByRange("field", "value").sortWithinPartitions("field", "value").write.mode("append").partitionBy("field").parquet(path)
+
+
+def _entries(spark, path: str, field: str) -> DataFrame:
+    """The field's latest entry of each record."""
+    own = spark.read.schema("record_id bigint, version bigint, value string, number bigint, field string").parquet(path).where(F.col("field") == field)
+    return own.groupBy("record_id").agg(F.max_by(F.struct("value", "number"), "version").alias("e")).select("record_id", "e.*")
+
+
+def lookup(spark, path: str, field: str, value: str) -> DataFrame:
+    """record_id of the records whose field has a value now."""
+    return _entries(spark, path, field).where(F.col("value") == value).select("record_id")
+
+
+def between(spark, path: str, field: str, start: int, end: int) -> DataFrame:
+    """record_id and number of the records whose field is a number in [start, end) now, in order."""
+    return _entries(spark, path, field).where((F.col("number") >= start) & (F.col("number") < end)).select("record_id", "number").orderBy("number", "record_id")

@@ -189,6 +189,32 @@ def json_codes(body: Column, fields: list[tuple[str, str]]) -> Column:
     return F.concat(*parts, F.array(F.lit(28)))
 
 
+def create_json(records: DataFrame, bodies: DataFrame, fields: list[tuple[str, str]], version: int, body: str = "body") -> DataFrame:
+    """records with a new one for each JSON text: its ``_id`` if it has one, else the next free ids, in the order of the texts.
+
+    records: record_id, version, is_deleted, tokens. Texts without ids are numbered by blocks of their hash, so no task orders them all.
+    """
+    top = records.agg(F.max("record_id")).first()[0]
+    own = bodies.select(F.col(body).alias("_body"), F.get_json_object(F.col(body), "$._id").cast("bigint").alias("record_id"))
+    given = own.agg(F.max("record_id")).first()[0]
+    base = max(-1 if top is None else top, -1 if given is None else given)
+    blocks = own.where("record_id is null").withColumn("_b", F.pmod(F.xxhash64("_body"), F.lit(1024)))
+    counts = blocks.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))  # at most 1,024 rows
+    before = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("_body"))
+    free = blocks.join(before, "_b").select("_body", (F.lit(base) + F.col("_before") + place).cast("bigint").alias("record_id"))
+    new = own.where("record_id is not null").select("_body", "record_id").union(free)
+    rows = new.select("record_id", F.lit(version).cast(records.schema["version"].dataType).alias("version"), F.lit(False).alias("is_deleted"), json_codes(F.col("_body"), fields).alias("tokens"))
+    return records.unionByName(rows)
+
+
+def update_json(records: DataFrame, writes: DataFrame, fields: list[tuple[str, str]], version: int, body: str = "body") -> DataFrame:
+    """records with a version for each accepted write (record_id, body, if_match) by update_if_match()."""
+    accepted = update_if_match(records, writes).where("accepted")
+    rows = accepted.select("record_id", F.lit(version).cast(records.schema["version"].dataType).alias("version"), F.lit(False).alias("is_deleted"), json_codes(F.col(body), fields).alias("tokens"))
+    return records.unionByName(rows)
+
+
 def update_if_match(records: DataFrame, writes: DataFrame, codes: str = "tokens") -> DataFrame:
     """writes (record_id, tokens, if_match) with ``accepted``: no hash is asked for, no record is there, or the current one has that hash."""
     from ..functions.integrity import content_hash

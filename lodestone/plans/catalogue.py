@@ -780,6 +780,57 @@ def json_records(spark, sf_dir):
     return events.select("event_id", parse.text_of(parse.parsed(codes)).alias("text"))
 
 
+@entry(
+    """with t as (select c_custkey as record_id, c_mktsegment || cast(c_nationkey as varchar) as text from customer where c_custkey % 2 = 0)
+    select case when record_id % 3 = 0 then 'NEW' || cast(record_id as varchar) else text end as text from t where record_id % 5 <> 0
+    union all select c_mktsegment || cast(c_nationkey as varchar) as text from customer where c_custkey % 2 = 1"""
+)
+def json_writes(spark, sf_dir):
+    """JSON texts are created with their own ids and with free ones, some are updated if they match, some deleted."""
+    ship(spark)
+    fields = [("name", "word"), ("n", "int")]
+    customer = table(spark, sf_dir, "customer")
+    text = F.to_json(F.struct(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).alias("_id"), F.col("c_mktsegment").alias("name"), F.col("c_nationkey").alias("n")))
+    none = spark.createDataFrame([], "record_id bigint, version bigint, is_deleted boolean, tokens array<int>")
+    held = store.create_json(none, customer.select(text.alias("body")), fields, 1)
+    even = customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("record_id"))
+    own = store.live(held).select("record_id", integrity.content_hash(F.col("tokens")).alias("h"))
+    body = F.to_json(F.struct(F.lit("NEW").alias("name"), F.col("record_id").alias("n")))
+    writes = even.join(own, "record_id").select("record_id", body.alias("body"), F.when(F.col("record_id") % 3 == 0, F.col("h")).otherwise("stale").alias("if_match"))
+    held = store.update_json(held, writes, fields, 2)
+    held = store.delete(held, even.where("record_id % 5 = 0"), 3)
+    return store.live(held).select(parse.text_of(parse.parsed("tokens")).alias("text"))
+
+
+@entry("select s_suppkey, cast(s_suppkey * 10 + 7 as bigint) as numerator, 3 as scale from supplier")
+def scaled_columns(spark, sf_dir):
+    """The numbers of streams with their scales, added as decimals."""
+    ship(spark)
+    codes = codec.encode_expression(F.col("s_suppkey"), "S", 2, "+", 7, "S", 3)
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", parse.scaled_values(codes).alias("v"))
+    return rows.select("s_suppkey", arith.add(F.col("v")[0], F.col("v")[1]).alias("d")).select("s_suppkey", F.col("d.numerator").cast("bigint").alias("numerator"), "d.scale")
+
+
+def _labels(spark, sf_dir) -> DataFrame:
+    customer = table(spark, sf_dir, "customer")
+    return customer.select("c_custkey", F.create_map(F.lit("segment"), "c_mktsegment", F.lit("nation"), F.col("c_nationkey").cast("string")).alias("labels"))
+
+
+@entry("select c_custkey as record_id from customer where c_mktsegment = 'BUILDING' and c_custkey <> 8 union all select c_custkey as record_id from customer where c_nationkey >= 3 and c_nationkey < 9 order by 1")
+def auto_index(spark, sf_dir):
+    """All labelled fields are indexed; a later version of a record replaces its entries."""
+    path, rows = shared_dir(spark), _labels(spark, sf_dir)
+    index.index_labels(rows.withColumn("version", F.lit(1)), "c_custkey", "labels", path)
+    moved = rows.where("c_custkey = 8").select("c_custkey", F.create_map(F.lit("segment"), F.lit("MOVED")).alias("labels"), F.lit(2).alias("version"))
+    index.index_labels(moved, "c_custkey", "labels", path)
+    return index.lookup(spark, path, "segment", "BUILDING").union(index.between(spark, path, "nation", 3, 9).select("record_id"))
+
+
+@entry("select 'nation' as field, 'BIGINT' as kind union all select 'segment' as field, 'STRING' as kind")
+def inferred_fields(spark, sf_dir):
+    return spark.createDataFrame(index.infer_fields(_labels(spark, sf_dir), "labels"), "field string, kind string")
+
+
 @entry("select o_orderkey, o_orderkey % 2 = 0 as accepted from orders")
 def update_if_match(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.lit(1).alias("version"), F.lit(False).alias("is_deleted"), codec.encode_record(F.col("o_orderkey")).alias("tokens"))

@@ -5,8 +5,8 @@ import struct
 from datetime import datetime, timedelta
 
 import pytest
-from lodestone.functions import codec, parse
-from lodestone.operators import joins, policy, query, store
+from lodestone.functions import clients, codec, parse
+from lodestone.operators import index, joins, policy, query, store
 from lodestone.operators.transactions import TransactionalStore
 from lodestone.session import ship
 from lodestone.sources import binary
@@ -193,3 +193,42 @@ def test_ordered_join(spark):
     left, right = spark.range(200).selectExpr("id as a").repartition(7), spark.range(0, 400, 2).selectExpr("id as b").repartition(5)
     got = [r["left"]["a"] for r in joins.merge_join(left, right, "a", "b", ordered=True).collect()]
     assert got == list(range(0, 200, 2))
+
+
+def test_json_writes(spark):
+    ship(spark)
+    fields = [("name", "word"), ("n", "int")]
+    none = spark.createDataFrame([], "record_id bigint, version bigint, is_deleted boolean, tokens array<int>")
+    bodies = spark.createDataFrame([('{"_id": 7, "name": "Ann"}',), ('{"name": "Bob", "n": 2}',), ('{"n": 3}',)], "body string")
+    held = store.create_json(none, bodies, fields, 1)
+    text = lambda df: {r["record_id"]: r["t"] for r in store.live(df).select("record_id", parse.text_of(parse.parsed("tokens")).alias("t")).collect()}
+    got = text(held)
+    assert got[7] == "Ann" and sorted(got) == [7, 8, 9] and sorted([got[8], got[9]]) == ["3", "Bob2"]
+    writes = spark.createDataFrame([(7, '{"name": "Cy"}', "stale"), (8, '{"name": "Di"}', None)], "record_id bigint, body string, if_match string")
+    held = store.delete(store.update_json(held, writes, fields, 2), spark.createDataFrame([(9,)], "record_id bigint"), 3)
+    assert text(held) == {7: "Ann", 8: "Di"}
+
+
+def test_label_indexes(spark, tmp_path):
+    rows = spark.createDataFrame([(1, {"a": "x", "n": "5"}, 1), (2, {"a": "y", "n": "17"}, 1)], "id bigint, labels map<string,string>, version int")
+    index.index_labels(rows, "id", "labels", str(tmp_path / "i"))
+    index.index_labels(spark.createDataFrame([(1, {"a": "y"}, 2)], rows.schema), "id", "labels", str(tmp_path / "i"))
+    assert sorted(r[0] for r in index.lookup(spark, str(tmp_path / "i"), "a", "y").collect()) == [1, 2] and index.lookup(spark, str(tmp_path / "i"), "a", "x").count() == 0
+    assert [tuple(r) for r in index.between(spark, str(tmp_path / "i"), "n", 5, 17).collect()] == [(1, 5)]
+
+
+def test_scales_of_streams(spark):
+    ship(spark)
+    codes = codec.encode_expression(-1234, "S", 3, "+", 5)
+    got = spark.range(1).select(parse.scaled_values(codes)).first()[0]
+    assert [(int(v["numerator"]), v["scale"]) for v in got] == [(-1234, 3), (5, 0)]
+
+
+def test_clients(spark):
+    df = spark.createDataFrame([], "id bigint not null, name string, tags array<string>, m map<string,double>, ok boolean, class string")
+    scope = {}
+    exec(clients.python_client(df.schema, "my-table"), scope)
+    row = scope["MyTable"](id=1)
+    assert row.id == 1 and row.name is None and not hasattr(row, "class")
+    text = clients.typescript_client(df.schema, "my-table")
+    assert 'export interface MyTable {' in text and '"tags"?: string[];' in text and '"m"?: Record<string, number>;' in text and '"id": number;' in text
