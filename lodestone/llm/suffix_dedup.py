@@ -42,7 +42,7 @@ from .packs import bucket_bits, by_pack, carried, documents_in, make_packs
 from .substring_dedup import PER_BUCKET, SENT, from_planes, is_in, planes
 
 GRAM = 24
-BIN_BYTES, COLLECTION_BYTES, HOT = 3 << 20, 500_000, 4096
+BIN_BYTES, COLLECTION_BYTES, HOT = 3 << 20, 500_000, 1 << 15
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -172,29 +172,34 @@ def _send_segments(width: int, bits: int, bins: int):
         hit = is_in(short, np.sort(flagged))
         begin, windows, keys, docs, short = begin[hit], windows[hit], keys[hit], docs[hit], short[hit]
         many = is_in(short, np.sort(flagged[hot]))
-        if many.any():  # single windows, each with its own hash for a key, after the segments
-            of, step = _each_window(windows[many])
-            own, who = (begin[many][of] + step), docs[many][of]
-            single = np.ones(len(own), np.int64)
-            begin, windows, docs = np.concatenate([begin[~many], own]), np.concatenate([windows[~many], single]), np.concatenate([docs[~many], who])
-            keys = np.concatenate([keys[~many], ~_content(data, own, single, width)])
-        content = _content_of(data, begin, windows, width)
+        content = _content(data, begin, windows, width)
         order = np.lexsort((docs, content))
         runs = np.flatnonzero(np.concatenate([[True], content[order][1:] != content[order][:-1]]))
-        last = np.append(runs[1:], len(order)) - 1
-        first, last = order[runs], order[last]  # the smallest and the largest doc_id with the content
-        place = K.mix(keys[first])
+        one, last = order[runs], order[np.append(runs[1:], len(order)) - 1]
+        begin, windows, keys, many = begin[one], windows[one], keys[one], many[one]
+        low, high, anchors = docs[one], docs[last], np.zeros(len(one), np.uint64)  # the smallest and the largest doc_id with the content
+        if many.any():  # single windows, each with its own hash for a key, after the segments
+            of, step = _each_window(windows[many])
+            own = begin[many][of] + step
+            content = _content_of(data, own, np.ones(len(own), np.int64), width)
+            order = np.argsort(content, kind="stable")
+            runs = np.flatnonzero(np.concatenate([[True], content[order][1:] != content[order][:-1]]))
+            pick = order[runs]
+            low = np.concatenate([low[~many], np.minimum.reduceat(low[many][of][order], runs)])
+            high = np.concatenate([high[~many], np.maximum.reduceat(high[many][of][order], runs)])
+            anchors = np.concatenate([anchors[~many], keys[many][of][pick]])
+            begin, windows, keys = np.concatenate([begin[~many], own[pick]]), np.concatenate([windows[~many], np.ones(len(pick), np.int64)]), np.concatenate([keys[~many], ~content[pick]])
+        place = K.mix(keys)
         to, sub = (place % np.uint64(bins)).astype(np.int64), ((place // np.uint64(bins)) & np.uint64(0xFFFFF)).astype(np.int64)
         order = np.lexsort((sub, to))
-        first, last, to, sub = first[order], last[order], to[order], sub[order]
+        begin, windows, low, high, anchors, to, sub = (x[order] for x in (begin, windows, low, high, anchors, to, sub))
         own, edges = np.unique(to, return_index=True)
         rows = []
-        for b, at, end in zip(own.tolist(), edges.tolist(), [*edges[1:].tolist(), len(to)], strict=True):
+        for b, at, end in zip(own.tolist(), edges.tolist(), [*edges[1:].tolist(), len(to)][: len(own)], strict=True):
             part = slice(at, end)
-            f, z = first[part], last[part]
-            table, slot = np.unique(np.concatenate([ids[docs[f]], ids[docs[z]]]), return_inverse=True)
-            length = windows[f] + width - 1
-            rows.append((int(b), name, K.pack(K.narrow(np.diff(sub[part], prepend=0)), K.narrow(windows[f]), K.narrow(slot[: len(f)]), K.narrow(slot[len(f) :]), table, _gather(data, begin[f], length), level=3)))
+            table, slot = np.unique(np.concatenate([ids[low[part]], ids[high[part]]]), return_inverse=True)
+            n = end - at
+            rows.append((int(b), name, K.pack(K.narrow(np.diff(sub[part], prepend=0)), K.narrow(windows[part]), K.narrow(slot[:n]), K.narrow(slot[n:]), table, _gather(data, begin[part], windows[part] + width - 1), anchors[part], level=3)))
         yield _arrow(rows, ["bin", "pack", "block"])
 
     return run
@@ -219,9 +224,10 @@ def window_minima(data: np.ndarray, begin: np.ndarray, length: np.ndarray, docs:
 def _compare(width: int, place: str):
     def run(rows: pa.Table) -> pa.Table:
         names = rows["pack"].to_pylist()
-        subs, windows, low, high, packs, texts = [], [], [], [], [], []
+        subs, windows, low, high, packs, texts, hot = [], [], [], [], [], [], []
         for i, block in enumerate(rows["block"]):
-            sub, window, lo, hi, table, data = K.unpack(block.as_py())
+            sub, window, lo, hi, table, data, anchor = K.unpack(block.as_py())
+            hot.append(anchor)
             subs.append(np.cumsum(sub, dtype=np.int64))
             windows.append(window.astype(np.int64))
             low.append(table[lo])
@@ -229,7 +235,7 @@ def _compare(width: int, place: str):
             packs.append(np.full(len(sub), i, np.int32))
             texts.append(data)
         subs, windows, low, high, packs = (np.concatenate(x) for x in (subs, windows, low, high, packs))
-        data = np.concatenate(texts)
+        data, hot = np.concatenate(texts), np.concatenate(hot)
         del texts
         length = windows + width - 1
         begin = np.cumsum(length) - length
@@ -255,19 +261,19 @@ def _compare(width: int, place: str):
             own = np.flatnonzero(lowest[which] < high[take])  # some window has a smaller doc_id than some document here
             w = which[own]
             values = np.where(lowest[w] == top[w], 1, count[w])
-            found.append((packs[take[own]], content[take[own]], values, _gather(minima, base[w], values)))
+            found.append((packs[take[own]], content[take[own]], values, hot[take[own]], _gather(minima, base[w], values)))
         if not found:
             return pa.Table.from_batches([_arrow([], ["pack", "kind", "block"])])
-        to, keys, values, flat = (np.concatenate(x) for x in zip(*found, strict=True))
+        to, keys, values, hot, flat = (np.concatenate(x) for x in zip(*found, strict=True))
         by = np.argsort(to, kind="stable")
         flat = _gather(flat, (np.cumsum(values) - values)[by], values[by])
-        to, keys, values = to[by], keys[by], values[by]
+        to, keys, values, hot = to[by], keys[by], values[by], hot[by]
         edges, ends = np.searchsorted(to, np.arange(len(names) + 1)), np.concatenate([[0], np.cumsum(values)])
         out = []
         for i in np.flatnonzero(np.diff(edges)):
             part = slice(edges[i], edges[i + 1])
             table, slot = np.unique(flat[ends[edges[i]] : ends[edges[i + 1]]], return_inverse=True)
-            out.append((names[i], 1, K.pack(keys[part], K.narrow(values[part]), K.narrow(slot), table)))
+            out.append((names[i], 1, K.pack(keys[part], K.narrow(values[part]), K.narrow(slot), table, np.setdiff1d(hot[part], [0]))))
         K.trim()
         return pa.Table.from_batches([_arrow(out, ["pack", "kind", "block"])])
 
@@ -288,32 +294,23 @@ def _removed(answers: list[bytes], ids: np.ndarray, data: np.ndarray, offsets: n
     base = np.cumsum(values) - values
     order = np.argsort(keys)
     keys, values, base = keys[order], values[order], base[order]
-    begin, windows, _, docs = segments(data, offsets, width)
-    content = _content(data, begin, windows, width)
+    begin, windows, anchors, docs = segments(data, offsets, width)
+    alone = is_in(anchors, np.unique(np.concatenate([p[4] for p in parts])))  # hot: their windows were sent one by one
+    if alone.any():
+        of, step = _each_window(windows[alone])
+        begin, docs = np.concatenate([begin[~alone], begin[alone][of] + step]), np.concatenate([docs[~alone], docs[alone][of]])
+        windows = np.concatenate([windows[~alone], np.ones(len(of), np.int64)])
+    content = _content_of(data, begin, windows, width)
     hit = is_in(content, keys)
+    begin, windows, docs = begin[hit], windows[hit], docs[hit]
     which = np.searchsorted(keys, content[hit])
     plain = values[which] == 1
-    gone = plain & (flat[base[which]] < ids[docs[hit]])
-    removed = K.covered_by(len(data), begin[hit][gone], begin[hit][gone] + windows[hit][gone] + width - 1)
-    own, who, which = begin[hit][~plain], docs[hit][~plain], which[~plain]
-    of, step = _each_window(windows[hit][~plain])
-    gone = flat[base[which][of] + step] < ids[who][of]
-    removed |= K.covered(len(data), (own[of] + step)[gone], width)
-    # Windows that were sent alone, for a hot anchor: their segments are not among the answers.
-    rest, count = begin[~hit], windows[~hit]
-    long = count > 1
-    if not long.any():
-        return removed
-    lone = keys[values == 1]
-    for a in range(0, int(long.sum()), 1 << 16):
-        some, n, d = rest[long][a : a + (1 << 16)], count[long][a : a + (1 << 16)], docs[~hit][long][a : a + (1 << 16)]
-        of, step = _each_window(n)
-        at = some[of] + step
-        content = _content(data, at, np.ones(len(at), np.int64), width)
-        met = is_in(content, lone)
-        which = np.searchsorted(keys, content[met])
-        gone = flat[base[which]] < ids[d[of[met]]]
-        removed |= K.covered(len(data), at[met][gone], width)
+    gone = plain & (flat[base[which]] < ids[docs])
+    removed = K.covered_by(len(data), begin[gone], begin[gone] + windows[gone] + width - 1)
+    begin, windows, docs, which = begin[~plain], windows[~plain], docs[~plain], which[~plain]
+    of, step = _each_window(windows)
+    gone = flat[base[which][of] + step] < ids[docs][of]
+    removed |= K.covered(len(data), (begin[of] + step)[gone], width)
     return removed
 
 
