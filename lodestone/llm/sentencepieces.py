@@ -35,6 +35,7 @@ from . import pretokens
 
 TABLE, BATCH_CHARS, PAIRS = 400_000, 120_000, 1 << 19
 NEVER = np.iinfo(np.int32).max
+_PLACES = np.uint64((1 << 19) - 1)
 _STEP = 0x9E3779B97F4A7C15 | 1
 UNKNOWN_PENALTY = 10.0
 
@@ -67,8 +68,10 @@ class Viterbi:
         self.keys, self.ids, self.scores = keys[order], ids[order], scores[order]
         if len(self.keys) > 1 and (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one key")
-        self.near = np.zeros(1 << 20, bool)
-        self.near[(self.keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        # A table by low bits: the rank of a key there (-1: none), and whether several keys share the place.
+        at = (self.keys & _PLACES).astype(np.int64)
+        self.place, self.crowded = np.full(int(_PLACES) + 1, -1, np.int32), np.bincount(at, minlength=int(_PLACES) + 1) > 1
+        self.place[at] = np.arange(len(at))
         self.piece_bytes = np.frombuffer(b"".join(blobs), np.uint8)
         self.piece_size = np.array([len(b) for b in blobs], np.int64)
         self.piece_at = np.cumsum(self.piece_size) - self.piece_size
@@ -168,11 +171,17 @@ class Viterbi:
 
     def _probe(self, keys: np.ndarray) -> np.ndarray:
         """Rank of each key among the pieces, or -1."""
-        found = np.full(keys.shape, -1, np.int32)
-        maybe = np.nonzero(self.near[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        asked = keys[maybe]
-        at = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-        found[maybe] = np.where(self.keys[at] == asked, at, -1)
+        at = (keys & _PLACES).astype(np.int64)
+        found = self.place[at]
+        wrong = (found >= 0) & (self.keys[found] != keys)
+        if wrong.any():
+            who = np.nonzero(wrong)
+            again = self.crowded[at[who]]
+            found[who] = -1
+            who = tuple(w[again] for w in who)
+            asked = keys[who]
+            rank = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+            found[who] = np.where(self.keys[rank] == asked, rank, -1)
         return found
 
     def _search(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +318,7 @@ def _encode(path: str, digests: bool, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = viterbi(path)
         for batch in batches:
-            for i, j, texts in pretokens.texts(batch, 1, 1 << 20):
+            for i, j, texts in pretokens.texts(batch, 1, 3 << 20):
                 ids, ends = model.encode(texts)
                 names, columns = ["doc_id"], [batch.column(0).slice(i, j - i)]
                 if digests:
