@@ -7,7 +7,8 @@
 3. Sums. A pack joins the counts to its documents' frequencies and sums.
 
 At scale: what moves is each pack's distinct pre-tokens once, a count for each, and the frequencies. A pre-token of all
-documents reaches its bucket once for each pack. Buckets grow in number with the corpus.
+documents reaches its bucket once for each pack. Buckets grow in number with the corpus, and beyond ``PACKS`` packs each
+is split by pack, so that no group grows: a pre-token is then counted once for so many packs (some 30 GB).
 
 Defined cases: a null or empty text has no tokens; repeated rows are counted each; a null
 doc_id stays null; a long text is a pack of its own; an empty table gives no rows. Other columns are not read.
@@ -29,7 +30,7 @@ from . import kernel as K
 from . import pretokens
 from .packs import PACK_BYTES, by_pack
 
-BUCKET_BYTES, BATCH = 16 << 20, 50_000
+BUCKET_BYTES, BATCH, PACKS = 16 << 20, 50_000, 4096
 SENT = "pack string, kind int, bucket int, block binary"
 _models: dict = {}
 
@@ -160,5 +161,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = max(16, (plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
     sent = materialize(plain.mapInArrow(_frequencies(buckets), SENT), "kind")
-    counted = sent.where("kind = 1").select("pack", "bucket", "block").groupBy("bucket").applyInArrow(_count(model_path), "pack string, kind int, block binary")
+    salts = 1 + sent.where("kind = 0").count() // PACKS
+    words = sent.where("kind = 1").select("pack", "bucket", "block", F.pmod(F.xxhash64("pack"), F.lit(salts)).alias("salt"))
+    counted = words.groupBy("bucket", "salt").applyInArrow(_count(model_path), "pack string, kind int, block binary")
     return by_pack(sent.where("kind = 0").select("pack", "kind", "block"), counted, _sum(limit), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -10,7 +10,7 @@ import pyarrow.parquet
 import pytest
 import sentencepiece
 from corpora import SCHEMA, corpus, frame, key
-from lodestone.llm import pretokens, sentencepieces, token_store as T
+from lodestone.llm import pretokens, sentencepieces, token_counts as counts, token_store as T
 from lodestone.llm.token_counts import token_counts
 from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
@@ -33,6 +33,14 @@ def test_counts_are_the_library_s(spark):
     assert token_counts(spark.createDataFrame([], SCHEMA), PIECES).count() == 0
 
 
+def test_counts_over_many_packs(spark, monkeypatch):
+    rows = corpus()
+    want = sorted(map(tuple, token_counts(frame(spark, rows), PIECES, 50).collect()), key=str)
+    for name, value in (("PACKS", 2), ("BATCH", 7), ("PACK_BYTES", 3000), ("BUCKET_BYTES", 900)):
+        monkeypatch.setattr(counts, name, value)
+    assert sorted(map(tuple, token_counts(frame(spark, rows), PIECES, 50).collect()), key=str) == want
+
+
 @pytest.fixture(scope="module")
 def unigram(tmp_path_factory):
     """The model with its pieces declared a unigram model, so that the library searches as we do."""
