@@ -664,6 +664,25 @@ def two_modes(spark, sf_dir):
     return orders.withColumn("c", sealed).select("o_orderkey", opened.cast("string").alias("o_orderpriority"))
 
 
+@entry("select event_id as seq, user_id as record_id, true as intact, cast(round(value * 100) as bigint) as v from events")
+def wal_roundtrip(spark, sf_dir):
+    """Write-ahead logs in the binary layout: written, read back and checked entry by entry."""
+    from ..sources import binary
+
+    ship(spark)
+    path = shared_dir(spark)
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("record_id"), codec.encode_record(_cents("value")).alias("tokens"))
+    binary.write_log(log, path, each=500)
+    back = binary.log_rows(spark.read.parquet(path).select(F.col("part").cast("string").alias("path"), "content"))
+    return back.select("seq", "record_id", "intact", parse.value_vector(parse.parsed("tokens"))[0].alias("v"))
+
+
+@entry("select url as path, sha256(html) as sha256 from pages where page_id = 7")
+def object_download(spark, sf_dir):
+    name = table(spark, sf_dir, "pages").where("page_id = 7").first()["url"]
+    return objects.download(_objects(spark, sf_dir), "b", name, user=1).select("path", F.sha2("content", 256).alias("sha256"))
+
+
 # Checked writes, fluent writes, transactions, memory.
 
 

@@ -198,7 +198,28 @@ def _entries(name: str, content: bytes) -> Iterator[tuple]:
 
 def log(spark: SparkSession, path: str) -> DataFrame:
     """Entries of write-ahead logs, each with whether its content has its hash."""
-    return _each(files(spark, path), _entries, LOG)
+    return log_rows(files(spark, path))
+
+
+def log_rows(df: DataFrame) -> DataFrame:
+    """The entries in (path, content) rows that hold write-ahead logs."""
+    return _each(df, _entries, LOG)
+
+
+def write_log(entries: DataFrame, path: str, each: int = 10_000) -> None:
+    """(seq, record_id, tokens) rows as write-ahead logs of the layout with record ids: rows (part, content) of a Parquet folder, ``each``
+    sequence numbers in one. An entry holds the byte offset of the one before it in its log (-1 for the first). log_rows() reads them back."""
+    rows = entries.select(F.floor(F.col("seq") / each).alias("part"), "seq", "record_id", F.size("tokens").alias("n"), codec.pack(F.col("tokens")).alias("packed"))
+
+    def assemble(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out, last = bytearray(), -1
+        for seq, rid, n, packed in pdf.sort_values("seq")[["seq", "record_id", "n", "packed"]].itertuples(index=False):
+            body = struct.pack(LOG_MAGICS[b"GPWL"], int.from_bytes(b"GPWL", "big"), int(seq), int(rid), int(n)) + struct.pack(">i", last) + bytes(packed) + struct.pack(">I", -5 * int(n) % 8)
+            last = len(out)
+            out += body + hashlib.sha256(body).digest()
+        return pd.DataFrame({"part": [int(key[0])], "content": [bytes(out)]})
+
+    rows.groupBy("part").applyInPandas(assemble, "part bigint, content binary").write.parquet(path)
 
 
 def archive(spark: SparkSession, path: str) -> DataFrame:
