@@ -21,8 +21,8 @@ on the bytes and on 64-bit content hashes of segments.
 
 Defined cases: a null text is empty; a document under 50 bytes keeps all; rows that repeat a doc_id
 do not remove one another's bytes; a null doc_id comes after all others; an empty table gives no rows.
-kept_text drops the pieces of characters that a removal cut; a long text is a pack of its own, held whole by a task (some 40 bytes a
-byte while its segments are found, 256 kB at a time). Other columns are not read.
+kept_text drops the pieces of characters that a removal cut; a long text is a pack of its own, held whole by a task, and its
+segments are found in slices of 256 kB. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ from .substring_dedup import PER_BUCKET, SENT, from_planes, is_in, planes
 
 GRAM = 24
 BIN_BYTES, COLLECTION_BYTES, HOT = 3 << 20, 500_000, 1 << 15
+SLICE, PLACE_BITS = 1 << 18, 20
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -54,17 +55,27 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - have)], values[width - have :]) if have < width else values
 
 
+def _slices(offsets: np.ndarray, width: int) -> Iterator[tuple[int, int, int, int]]:
+    """(i, j, lo, hi): bytes lo..hi of documents i..j; a document longer than a slice is cut, each slice with the windows that begin in it."""
+    for i, j in K.cuts(offsets, SLICE):
+        lo, end = int(offsets[i]), int(offsets[j])
+        while end - lo > SLICE + width - 1:
+            yield i, j, lo, lo + SLICE + width - 1
+            lo += SLICE
+        yield i, j, lo, end
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows, anchor hash and document of every segment."""
     gram = min(GRAM, width)
     out = []
-    for i, j in K.cuts(offsets, 1 << 18):
-        first = offsets[i : j + 1] - offsets[i]
-        part = data[offsets[i] : offsets[j]]
+    for i, j, lo, hi in _slices(offsets, width):
+        first = np.clip(offsets[i : j + 1], lo, hi) - lo
+        part = data[lo:hi]
         if len(part) < width:
             continue
         hashes = K.rolling(K.BYTE_CODE[part], gram)
-        bits = np.uint64(len(hashes).bit_length())
+        bits = np.uint64(PLACE_BITS)  # the same everywhere, so that equal windows have equal anchors: of equal hashes the first one
         tagged = ((hashes >> bits) << bits) | np.arange(len(hashes), dtype=np.uint64)
         anchor = _window_minima(tagged, width - gram + 1) & np.uint64((1 << int(bits)) - 1)
         inside = np.ones(len(anchor), bool)  # windows that lie in one document
@@ -76,7 +87,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
         edge = np.flatnonzero(new)
         keep = inside[edge]
         begin, windows = edge[keep], np.diff(np.append(edge, len(anchor)))[keep]
-        out.append((begin + offsets[i], windows, hashes[anchor[begin].astype(np.int64)], np.searchsorted(first, begin, "right") - 1 + i))
+        out.append((begin + lo, windows, hashes[anchor[begin].astype(np.int64)], np.searchsorted(first, begin, "right") - 1 + i))
     if not out:
         none = np.empty(0, np.int64)
         return none, none, none.astype(np.uint64), none

@@ -105,6 +105,22 @@ def test_hot_anchors_go_as_single_windows(spark, monkeypatch):
     assert Z.from_planes(raw).tolist() == [5, 9] and np.unpackbits(flags, count=2).tolist() == [0, 1]
 
 
+def test_slices_change_no_window(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.integers(97, 101, n, dtype=np.uint8)) for n in (0, 49, 50, 51, 2000, 0, 349, 1000, 7)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+    def windows():
+        begin, count, keys, docs = Z.segments(data, offsets, 50)
+        return sorted((int(b) + k, int(key), int(d)) for b, n, key, d in zip(begin, count, keys, docs) for k in range(n))
+
+    whole = windows()
+    assert [(w, d) for w, _, d in whole] == [(int(offsets[d]) + k, d) for d, t in enumerate(texts) for k in range(len(t) - 49)]
+    for size in (1, 64, 300):
+        monkeypatch.setattr(Z, "SLICE", size)
+        assert windows() == whole
+
+
 def test_columns_are_files_of_any_store(tmp_path):
     for place in (str(tmp_path), f"file:{tmp_path}"):
         column = bwt.Column(place)
