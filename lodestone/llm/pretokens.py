@@ -14,7 +14,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 
 _STRETCH = re.compile(r"\n[^ \n]*| +[^ \n]*")
@@ -45,12 +47,10 @@ def stretch(key: str) -> str:
 
 
 def texts(batch: pa.RecordBatch, column: int, size: int = 1 << 21) -> Iterator[tuple[int, int, list[str]]]:
-    """(first row, end row, texts) of parts of a batch with about ``size`` characters; null texts are empty."""
-    values, i = batch.column(column).to_pylist(), 0
+    """(first row, end row, texts) of parts of a batch with about ``size`` bytes; null texts are empty. Only a part's texts are Python strings at a time."""
+    values, i = batch.column(column), 0
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     while i < len(values):
-        j, held = i, 0
-        while j < len(values) and (j == i or held < size):
-            held += len(values[j] or "")
-            j += 1
-        yield i, j, [v or "" for v in values[i:j]]
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, "right")))
+        yield i, j, [v or "" for v in values.slice(i, j - i).to_pylist()]
         i = j

@@ -318,7 +318,7 @@ def _encode(path: str, digests: bool, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = viterbi(path)
         for batch in batches:
-            for i, j, texts in pretokens.texts(batch, 1, 3 << 20):
+            for i, j, texts in pretokens.texts(batch, 1, 2 << 20):
                 ids, ends = model.encode(texts)
                 names, columns = ["doc_id"], [batch.column(0).slice(i, j - i)]
                 if digests:
@@ -338,6 +338,7 @@ def _encode(path: str, digests: bool, with_ids: bool):
                     names.append("ids")
                     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.record_batch(columns, names=names)
+        K.trim()
 
     return run
 
