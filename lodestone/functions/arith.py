@@ -24,8 +24,16 @@ def floor_div(a: Column, b: Column, kind: str = LONG) -> Column:
     return F.try_divide((a - rest).cast(BIG), checked).cast(kind)
 
 
+TOO_LARGE = "a number is too large"
+
+
 def power(a: Column, b: Column, kind: str = LONG) -> Column:
-    """a to the power of a non-negative integer, exact by multiplication in DECIMAL; null if it does not fit; a negative exponent raises."""
+    """a to the power of a non-negative integer, exact; a negative exponent raises, and so does a power that does not fit."""
+    return F.coalesce(_power(a, b, kind), F.when(a.isNotNull() & b.isNotNull(), F.raise_error(F.lit(TOO_LARGE)).cast(kind)))
+
+
+def _power(a: Column, b: Column, kind: str) -> Column:
+    """power() by multiplication in DECIMAL; null if it does not fit."""
     times = F.when(b < 0, F.raise_error(F.lit("negative exponent")).cast("int")).otherwise(F.when(b > 128, 128 + b % 2).otherwise(b).cast("int"))  # beyond, only 0, 1 and -1 have a power that fits
     product = F.aggregate(F.array_repeat(a.cast(BIG), times), F.lit(1).cast(BIG), lambda p, x: F.try_multiply(p, x).cast(BIG))
     return product.try_cast(kind)
@@ -76,7 +84,7 @@ def expression(items: Sequence[int | str | Column], wide: bool = False) -> Colum
         "-": lambda a, b: F.try_subtract(a, b).cast(kind),
         "*": lambda a, b: F.try_multiply(a, b).cast(kind),
         "/": lambda a, b: floor_div(a, b, kind),
-        "^": lambda a, b: power(a, b, kind),
+        "^": lambda a, b: _power(a, b, kind),
         "=": lambda a, b: (a == b).cast("int").cast(kind),
     }
     stack: list[Column] = []
@@ -93,7 +101,7 @@ def expression(items: Sequence[int | str | Column], wide: bool = False) -> Colum
     if not stack:
         return F.lit(0).cast(kind)
     known = reduce(lambda a, b: a & b, (g.isNotNull() for g in given), F.lit(True))
-    return F.coalesce(stack[0], F.when(known, F.raise_error(F.lit("a number is too large")).cast(kind)))
+    return F.coalesce(stack[0], F.when(known, F.raise_error(F.lit(TOO_LARGE)).cast(kind)))
 
 
 def evaluate(items: Sequence[int | str]) -> int:

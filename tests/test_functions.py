@@ -286,6 +286,9 @@ def test_exact_arithmetic(spark):
         with pytest.raises(Exception, match="too large"):
             one(spark, arith.expression(items, wide=more))
     assert rows.select(arith.expression([F.lit(None).cast("bigint"), "+", F.col("a")])).first()[0] is None
+    assert one(spark, arith.power(F.lit(3), F.lit(35)))[0] == 3**35
+    with pytest.raises(Exception, match="too large"):
+        one(spark, arith.power(F.lit(3), F.lit(41)))
 
 
 def test_scales_are_annotations_in_streams(spark):
