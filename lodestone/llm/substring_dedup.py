@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from . import kernel as K
 from .packs import bucket_bits, by_pack, documents_in, make_packs
 
-PER_BUCKET = 400_000
+PER_BUCKET, SLICE = 400_000, 4 << 20
 SENT = "bucket int, pack string, block binary"
 
 
@@ -46,10 +46,30 @@ def from_planes(raw: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and, for each document, the number of its first one (one more at the end). A long document is met in slices that end before white space."""
+    if len(data) <= SLICE:
+        starts, ends, first = K.word_spans(data, offsets)
+        return K.span_hashes(data, starts, ends), first
+    out, counts = [], []
+    for d in range(len(offsets) - 1):
+        a, end, n = int(offsets[d]), int(offsets[d + 1]), 0
+        while a < end:
+            z = min(a + SLICE, end)
+            while z < end and not K.SPACE[data[z]]:
+                gap = np.flatnonzero(K.SPACE[data[z : z + SLICE]])
+                z = z + int(gap[0]) if len(gap) else min(z + SLICE, end)
+            starts, ends, _ = K.word_spans(data[a:z], np.array([0, z - a]))
+            out.append(K.span_hashes(data[a:z], starts, ends))
+            n, a = n + len(starts), z
+        counts.append(n)
+    return np.concatenate(out), np.concatenate([[0], np.cumsum(counts)])
+
+
 def window_keys(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, document and first word of every window, and the first words of the documents."""
-    starts, ends, first = K.word_spans(data, offsets)
-    keys = K.rolling(K.span_hashes(data, starts, ends), width)
+    words, first = word_hashes(data, offsets)
+    keys = K.rolling(words, width)
     at, doc = K.window_starts(first, width)
     return keys[at], doc, at, first
 

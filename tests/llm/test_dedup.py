@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from corpora import SCHEMA, corpus, frame
-from lodestone.llm import bwt, graph, kernel as K, simhash_dedup as S, suffix_dedup as Z
+from lodestone.llm import bwt, graph, kernel as K, simhash_dedup as S, substring_dedup as X, suffix_dedup as Z
 from lodestone.llm.simhash_dedup import simhash_near_dedup
 from lodestone.llm.substring_dedup import substring_dedup
 from lodestone.llm.suffix_dedup import suffix_array_dedup, window_minima
@@ -105,6 +105,18 @@ def test_hot_anchors_go_as_single_windows(spark, monkeypatch):
     assert Z.from_planes(raw).tolist() == [5, 9] and np.unpackbits(flags, count=2).tolist() == [0, 1]
 
 
+def test_slices_change_no_word(monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [bytes(rng.choice(np.frombuffer(b"abc \n\t", np.uint8), n)) for n in (0, 5, 300, 0, 2000)] + [b"x" * 500, b" " * 90, b"a" + b" " * 200 + b"b"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = X.word_hashes(data, offsets)
+    assert np.diff(whole[1]).tolist() == [len(t.split()) for t in texts]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(X, "SLICE", size)
+        for a, b in zip(X.word_hashes(data, offsets), whole, strict=True):
+            assert np.array_equal(a, b)
+
+
 def test_slices_change_no_window(monkeypatch):
     rng = np.random.default_rng(8)
     texts = [bytes(rng.integers(97, 101, n, dtype=np.uint8)) for n in (0, 49, 50, 51, 2000, 0, 349, 1000, 7)]
