@@ -46,6 +46,17 @@ def from_planes(raw: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
+def _slices(data: np.ndarray, a: int, end: int) -> Iterator[tuple[int, int]]:
+    """Slices of bytes a..end that end before white space."""
+    while a < end:
+        z = min(a + SLICE, end)
+        while z < end and not K.SPACE[data[z]]:
+            gap = np.flatnonzero(K.SPACE[data[z : z + SLICE]])
+            z = z + int(gap[0]) if len(gap) else min(z + SLICE, end)
+        yield a, z
+        a = z
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and, for each document, the number of its first one (one more at the end). A long document is met in slices that end before white space."""
     if len(data) <= SLICE:
@@ -53,15 +64,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         return K.span_hashes(data, starts, ends), first
     out, counts = [], []
     for d in range(len(offsets) - 1):
-        a, end, n = int(offsets[d]), int(offsets[d + 1]), 0
-        while a < end:
-            z = min(a + SLICE, end)
-            while z < end and not K.SPACE[data[z]]:
-                gap = np.flatnonzero(K.SPACE[data[z : z + SLICE]])
-                z = z + int(gap[0]) if len(gap) else min(z + SLICE, end)
+        n = 0
+        for a, z in _slices(data, int(offsets[d]), int(offsets[d + 1])):
             starts, ends, _ = K.word_spans(data[a:z], np.array([0, z - a]))
             out.append(K.span_hashes(data[a:z], starts, ends))
-            n, a = n + len(starts), z
+            n += len(starts)
         counts.append(n)
     return np.concatenate(out), np.concatenate([[0], np.cumsum(counts)])
 
@@ -173,14 +180,17 @@ def _remove(width: int, with_text: bool):
         again = same & np.concatenate([[False], row[1:] == row[:-1]]) if len(order) else same
         gone[order[earlier | again]] = True
         removed = K.covered(int(first[-1]), ats[gone], width)
-        raw = data.tobytes()
         count = np.concatenate([[0], np.cumsum(removed)])[first]
         digests, texts = [], []
         for d in range(len(ids)):
-            words = raw[offsets[d] : offsets[d + 1]].split()
-            if count[d + 1] > count[d]:
-                words = compress(words, (~removed[first[d] : first[d + 1]]).tolist())
-            kept = b" ".join(words)
+            kept, at = [], int(first[d])
+            for a, z in _slices(data, int(offsets[d]), int(offsets[d + 1])):
+                words = data[a:z].tobytes().split()
+                gone, at = removed[at : at + len(words)], at + len(words)
+                words = list(compress(words, (~gone).tolist())) if count[d + 1] > count[d] else words
+                if words:
+                    kept.append(b" ".join(words))
+            kept = b" ".join(kept)
             digests.append(hashlib.sha256(kept).hexdigest())
             if with_text:
                 texts.append(kept.decode("utf-8", "replace"))

@@ -110,11 +110,14 @@ def test_slices_change_no_word(monkeypatch):
     texts = [bytes(rng.choice(np.frombuffer(b"abc \n\t", np.uint8), n)) for n in (0, 5, 300, 0, 2000)] + [b"x" * 500, b" " * 90, b"a" + b" " * 200 + b"b"]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     whole = X.word_hashes(data, offsets)
+    block = K.pack(np.arange(len(texts)), np.ones(len(texts), np.uint8), K.narrow(np.diff(offsets)), data, np.empty(0, np.uint8))
+    kept = [b.to_pydict() for b in X._remove(3, True)("p", block, [])]
     assert np.diff(whole[1]).tolist() == [len(t.split()) for t in texts]
     for size in (1, 7, 64):
         monkeypatch.setattr(X, "SLICE", size)
         for a, b in zip(X.word_hashes(data, offsets), whole, strict=True):
             assert np.array_equal(a, b)
+        assert [b.to_pydict() for b in X._remove(3, True)("p", block, [])] == kept
 
 
 def test_slices_change_no_window(monkeypatch):
