@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import made, materialize, remove
 
-SPACES = " \t\n\x0b\x0c\r"
+SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 FEATURES = 4
 SHARE, STEPS, LEAST_GROUP = 0.75, 4, 40
@@ -47,25 +47,25 @@ def base_counts(docs: DataFrame) -> DataFrame:
     names = ["row"]
     docs = docs.select(F.struct(*docs.columns).alias("row"))
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    words = F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")  # without a regular expression over the text
+    words = F.array_remove(F.split(text, SPACES), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.select(
         *names,
-        F.length(F.translate(text, SPACES, "")).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"),  # translate() makes an object of each character
         lines.alias("_lines"),
         words.alias("_words"),
     )
-    names = [*names, "word_chars", "n_symbols"]
+    names = [*names, "n_symbols"]
     grams = F.expr("transform(sequence(0, greatest(size(_words), 3) - 3), i -> xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2)))")
     out = out.select(
         *names,
+        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         F.size("_words").cast("bigint").alias("n_words"),
         F.size("_lines").cast("bigint").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         F.when(F.size("_words") > 3, grams).otherwise(F.array().cast("array<bigint>")).alias("_grams"),
     )
-    names = [*names, "n_words", "n_lines", "n_dup_lines"]
+    names = [*names, "word_chars", "n_words", "n_lines", "n_dup_lines"]
     ordered = F.sort_array(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
     again = F.size(F.array_distinct("_grams")) < F.size("_grams")
     out = out.select(*names, F.when(again, ordered).otherwise(F.expr("filter(array(struct(0L as g, 0 as i)), x -> false)")).alias("_ordered"))
