@@ -343,7 +343,7 @@ EMBEDDED = "(select vec_id, list_sum(list_transform(embedding, lambda x: abs(cas
 
 
 def _embedded(spark, sf_dir) -> DataFrame:
-    vec = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("bigint"))
+    vec = F.transform("embedding", lambda x: F.round(x * F.lit(1000).cast("float")).cast("bigint"))  # floats stay floats, as in the SQL
     return table(spark, sf_dir, "embeddings").select("vec_id", vec.alias("vec"))
 
 
