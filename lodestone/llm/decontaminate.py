@@ -45,6 +45,8 @@ SLICES, BLOCK, PASS, LEAST_WORDS = 16, 2048, 16 * 2048, 4
 #: Scores of windows and item parts that are held at a time.
 SCORES = 1 << 23
 FAN = 64
+#: Passages that are added at a time, as bits; terms that occur more often in them go through dense matrices, some at a time.
+PASSAGE_BITS, RARE, DENSE = 11, 32, 256
 _FOLD = np.arange(256, dtype=np.uint8)
 for _c in range(128):
     _FOLD[_c] = ord(chr(_c).lower()) if chr(_c).isalnum() else 32
@@ -77,15 +79,15 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     w, y, df, passages = test_matrix(), np.zeros((TERMS, TEST)), np.zeros(TERMS), 0
     for batch in batches:
         data, offsets = K.utf8(batch.column(0))
-        for i, j in K.cuts(offsets, 1 << 18):
+        for i, j in K.cuts(offsets, 1 << 19):
             words, first = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             if not len(words):
                 continue
             starts, _ = _runs(first, PASSAGE)
             terms, bounds = _terms(words), np.append(starts, len(words))
             passages += len(starts)
-            for p in range(0, len(starts), 1 << 10):  # a text may be long
-                begin = bounds[p : p + (1 << 10) + 1]
+            for p in range(0, len(starts), 1 << PASSAGE_BITS):  # a text may be long
+                begin = bounds[p : p + (1 << PASSAGE_BITS) + 1]
                 _add_passages(y, df, w, terms[begin[0] : begin[-1]], begin - begin[0])
     size = TERMS // SLICES
     for s in range(SLICES):
@@ -95,14 +97,35 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _add_passages(y: np.ndarray, df: np.ndarray, w: np.ndarray, terms: np.ndarray, bounds: np.ndarray) -> None:
     """Adds passages, the words between ``bounds``, to y and df."""
-    passage = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint32), np.diff(bounds))
-    pairs = terms.astype(np.uint32) << np.uint32(10) | passage
+    size = np.diff(bounds)
+    sums = _sums_of_runs(w, terms, bounds[:-1], size)
+    pairs = terms.astype(np.uint32) << np.uint32(PASSAGE_BITS) | np.repeat(np.arange(len(size), dtype=np.uint32), size)
     pairs.sort()
-    term, passage = pairs >> np.uint32(10), pairs & np.uint32((1 << 10) - 1)
+    term, passage = pairs >> np.uint32(PASSAGE_BITS), pairs & np.uint32((1 << PASSAGE_BITS) - 1)
     df += np.bincount(term[np.concatenate([[True], pairs[1:] != pairs[:-1]])], minlength=TERMS)
-    sums = np.add.reduceat(w[terms], bounds[:-1], axis=0)
     heads = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-    y[term[heads]] += np.add.reduceat(sums[passage], heads, axis=0)
+    count = np.diff(np.append(heads, len(term)))
+    rare = count <= RARE
+    y[term[heads[rare]]] += _sums_of_runs(sums, passage, heads[rare], count[rare])
+    often, head, count = passage[np.repeat(~rare, count)], heads[~rare], count[~rare]
+    begin = np.concatenate([[0], np.cumsum(count)])
+    for a in range(0, len(head), DENSE):  # frequent terms: a dense matrix of how often each passage has each
+        part = count[a : a + DENSE]
+        cells = np.repeat(np.arange(len(part)) * len(size), part) + often[begin[a] : begin[a + len(part)]]
+        y[term[head[a : a + DENSE]]] += np.bincount(cells, minlength=len(part) * len(size)).reshape(len(part), -1).astype(np.float32) @ sums
+
+
+def _sums_of_runs(rows: np.ndarray, picks: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each run of ``picks``, none empty, the sum of the rows it picks: one place of all runs at a time, longest runs first."""
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    out = rows.take(picks[begin], axis=0)
+    longer = np.searchsorted(-size, -np.arange(1, size.max(initial=1)))  # how many runs have a further place
+    for i, n in enumerate(longer.tolist(), 1):
+        out[:n] += rows.take(picks[begin[:n] + i], axis=0)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out.take(back, axis=0)
 
 
 def _add(rows: pa.Table) -> pa.Table:
@@ -125,13 +148,7 @@ class Latent:
 
     def run_sums(self, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Vectors of runs of up to STEP words."""
-        rows = np.concatenate([self.rows, np.zeros((1, self.rows.shape[1]), np.float32)])
-        size = np.diff(np.append(starts, len(terms)))
-        padded = np.append(terms.astype(np.int64), TERMS)
-        out = rows[padded[starts]]
-        for i in range(1, STEP):
-            out += rows[padded[np.where(i < size, starts + i, len(terms))]]
-        return out
+        return _sums_of_runs(self.rows, terms, starts, np.diff(np.append(starts, len(terms))))
 
     def units(self, sums: np.ndarray) -> np.ndarray:
         norm = np.sqrt(np.einsum("ij,ij->i", sums, sums))
@@ -260,7 +277,7 @@ def _peaks(sums: np.ndarray, ends: np.ndarray, vectors: np.ndarray, latent: Late
     for a in range(0, n, size):
         lo, hi = max(0, a - 1), min(n, a + size + 1)  # with a neighbour on both sides
         scores = latent.units(sums[ends[lo:hi]] - sums[lo:hi]) @ vectors.T
-        at, part = np.nonzero(scores[a - lo : min(n, a + size) - lo] >= cosine)
+        at, part = np.divmod(np.flatnonzero(scores[a - lo : min(n, a + size) - lo] >= cosine), len(vectors))
         at += a - lo
         here, own = scores[at, part], text[lo:hi]
         last, following = np.maximum(at - 1, 0), np.minimum(at + 1, len(own) - 1)
@@ -270,21 +287,32 @@ def _peaks(sums: np.ndarray, ends: np.ndarray, vectors: np.ndarray, latent: Late
             yield at[i : i + (1 << 13)], part[i : i + (1 << 13)], here[i : i + (1 << 13)]
 
 
-def _held(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, holds: np.ndarray) -> np.ndarray:
-    """How many words of each passage its item has, by some 2**20 words at a time."""
-    out, size = np.empty(len(n), np.int64), hi - lo
-    block = np.cumsum(size) >> 20
-    for part in np.split(np.arange(len(n)), np.flatnonzero(block[1:] != block[:-1]) + 1):
+def _held(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray, block: _Block) -> np.ndarray:
+    """How many words of each passage, none empty, its item has, each at most as often as the item: no common subsequence is longer."""
+    out, size, width = np.zeros(len(n), np.int64), hi - lo, len(block.vocabulary)
+    group = np.cumsum(size) >> 20  # some 2**20 words at a time
+    for part in np.split(np.arange(len(n)), np.flatnonzero(group[1:] != group[:-1]) + 1):
         own = size[part]
         begin = np.cumsum(own) - own
         at = np.repeat(lo[part] - begin, own) + np.arange(int(own.sum()))
-        out[part] = np.add.reduceat(holds[np.repeat(n[part], own), place[at]].astype(np.int64), begin)
+        pair = np.repeat(n[part] * width, own) + place[at]
+        known = block.holds.reshape(-1).take(pair)
+        near = np.flatnonzero(np.add.reduceat(known, begin, dtype=np.int32) >= block.lcs * block.length[n[part]] - 1e-9)
+        if not len(near):
+            continue
+        at = np.flatnonzero(known & np.repeat(np.isin(np.arange(len(part)), near), own))
+        passage, pair = np.repeat(np.arange(len(part)), own)[at], pair[at]
+        order = np.lexsort((pair, passage))
+        passage, pair = passage[order], pair[order]
+        heads = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (passage[1:] != passage[:-1])]))
+        count = np.diff(np.append(heads, len(pair)))
+        most = block.times[np.searchsorted(block.pairs, pair[heads])]
+        out[part] = np.bincount(passage[heads], np.minimum(count, most), minlength=len(part))
     return out
 
 
-def _verify(found: dict, d: int, n: int, passage: np.ndarray, known: np.ndarray, lists: list, answers: list, score: float, at: int, lcs: float, sure: float, answer: float) -> None:
-    """Keeps the best verified passage of document d for item n."""
-    some = passage[known].tolist()
+def _verify(found: dict, d: int, n: int, some: list[int], lists: list, answers: list, score: float, at: int, lcs: float, sure: float, answer: float) -> None:
+    """Keeps the best verified passage of document d, the words of it that item n has, for item n."""
     share = common_subsequence(lists[n], some) / len(lists[n])
     if share < lcs:
         return
@@ -305,9 +333,10 @@ class _Block:
         self.lists, self.answers = [i.words.tolist() for i in items], [i.answer.tolist() for i in items]
         self.length = np.array([len(x) for x in self.lists])
         self.vocabulary = np.unique(np.concatenate([i.words for i in items]))
-        self.holds = np.zeros((len(items), len(self.vocabulary) + 1), bool)
-        for n, item in enumerate(items):
-            self.holds[n, np.searchsorted(self.vocabulary, item.words)] = True
+        self.holds = np.zeros((len(items), len(self.vocabulary)), bool)
+        pairs = np.concatenate([n * len(self.vocabulary) + np.searchsorted(self.vocabulary, item.words) for n, item in enumerate(items)])
+        self.pairs, self.times = np.unique(pairs, return_counts=True)  # of items and their words, and how often each has each
+        self.holds.reshape(-1)[self.pairs] = True
         self.keys = _keys(items, latent.df, self.vocabulary, lcs)
         self.units = latent.units(np.array([latent.rows[_terms(i.words)].sum(axis=0) for i in items], np.float32))
 
@@ -317,7 +346,18 @@ class _Block:
         text = np.repeat(np.arange(len(first) - 1), np.diff(begin))
         stop = begin[1:][text]
         place = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        place = np.where(self.vocabulary[place] == words, place, len(self.vocabulary))
+        shared = self.vocabulary[place] == words  # words that some item has; passages are judged by these alone
+        inside, some = place[shared], words[shared]
+        before = np.concatenate([[0], np.cumsum(shared)])
+        place = np.where(shared, place, len(self.vocabulary))
+
+        def near(n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+            """Passages that hold enough words of their item, and these words."""
+            lo, hi = before[lo], before[hi]
+            likely = np.flatnonzero((hi - lo >= lcs * length[n] - 1e-9) & (hi > lo))
+            for c in likely[_held(n[likely], lo[likely], hi[likely], inside, self) / length[n[likely]] >= lcs].tolist():
+                yield c, some[lo[c] : hi[c]][holds[n[c], inside[lo[c] : hi[c]]]].tolist()
+
         for size, (vectors, of, offset) in self.targets.items():
             ends = np.minimum(np.arange(len(starts)) + size // STEP, stop)
             for w, p, score in _peaks(sums, ends, vectors, latent, text, cosine):
@@ -326,18 +366,16 @@ class _Block:
                 whole = starts[w] - offset[p]  # where the item begins if the window is its part
                 lo = np.maximum(first[d], whole - room)
                 hi = np.minimum(first[d + 1], np.maximum(starts[w] + size, whole + length[n]) + room)
-                have = _held(n, lo, hi, place, holds)
-                for c in np.flatnonzero(have >= lcs * length[n]).tolist():
-                    _verify(found, base + int(d[c]), int(n[c]), words[lo[c] : hi[c]], holds[n[c], place[lo[c] : hi[c]]], lists, answers, float(score[c]), int(starts[w[c]] - first[d[c]]), lcs, sure, answer)
+                for c, known in near(n, lo, hi):
+                    _verify(found, base + int(d[c]), int(n[c]), known, lists, answers, float(score[c]), int(starts[w[c]] - first[d[c]]), lcs, sure, answer)
         for d, n, whole in _met(place, first, self.keys):
             lo = np.maximum(first[d], whole - length[n] // 4)
             hi = np.minimum(first[d + 1], whole + length[n] + length[n] // 4)
-            have = _held(n, lo, hi, place, holds)
-            for c in np.flatnonzero(have >= lcs * length[n]).tolist():
+            for c, known in near(n, lo, hi):
                 if found.get((base + int(d[c]), int(n[c])), (0, 0))[:2] >= (1, 1):
                     continue
                 score = float(latent.units(latent.rows[_terms(words[lo[c] : hi[c]])].sum(axis=0, keepdims=True))[0] @ self.units[n[c]])
-                _verify(found, base + int(d[c]), int(n[c]), words[lo[c] : hi[c]], holds[n[c], place[lo[c] : hi[c]]], lists, answers, score, int(max(whole[c], first[d[c]]) - first[d[c]]), lcs, sure, answer)
+                _verify(found, base + int(d[c]), int(n[c]), known, lists, answers, score, int(max(whole[c], first[d[c]]) - first[d[c]]), lcs, sure, answer)
 
 
 def _search(latent: Latent, blocks: list[list[Item]], cosine: float, lcs: float, sure: float, answer: float):

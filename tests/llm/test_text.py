@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import regex
 from corpora import SCHEMA, WORDS, corpus, frame, prose
 from lodestone.llm import decontaminate as D, language_id as L, license_scan as C, quality_rules as Q
@@ -340,6 +341,34 @@ def test_decontamination_passes_blocks_and_slices_change_nothing(spark, monkeypa
     assert np.allclose([r[4] for r in whole], [r[4] for r in parts], atol=1e-4)
 
 
+def test_decontamination_orders_words_only_of_passages_that_may_reach_the_share(monkeypatch):
+    """A repeated word counts as often as the item has it: passages full of one common word are not aligned."""
+    rng = random.Random(8)
+    item = [f"q{i}x" for i in range(19)] + ["the"]
+    texts = [" ".join(["the"] * 300), " ".join(rng.choice(["the", "q3x"]) for _ in range(300)), " ".join([*WORDS[:30], *item, *WORDS[:30]])]
+    aligned, whole = [], D.common_subsequence
+    monkeypatch.setattr(D, "common_subsequence", lambda a, b: aligned.append(b) or whole(a, b))
+    latent = D.Latent(np.random.default_rng(1).standard_normal((D.TERMS, D.RANK)).astype(np.float32), np.ones(D.TERMS))
+    items = D.read_items([{"item_id": 5, "text": " ".join(item)}])
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array(texts)], names=["doc_id", "text"])
+    rows = [r for out in D._search(latent, [items], 0.35, 0.7, 0.9, 0.5)(iter([batch])) for r in out.to_pylist()]
+    assert [(r["doc_id"], r["item_id"], r["lcs_share"]) for r in rows] == [(3, 5, 1.0)]
+    assert aligned and all(len(set(b)) >= 14 for b in aligned)
+
+
+def test_passages_add_up_whatever_their_length_and_the_frequency_of_their_terms(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(D, "DENSE", 3)
+    size = np.concatenate([rng.integers(1, 65, 300), np.full(50, 64)])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    terms = np.where(rng.random(bounds[-1]) < 0.5, rng.integers(0, 20, bounds[-1]), rng.integers(0, D.TERMS, bounds[-1])).astype(np.uint16)
+    a = np.array([np.bincount(terms[i:j], minlength=D.TERMS) for i, j in zip(bounds[:-1], bounds[1:], strict=True)])
+    assert (a.sum(axis=0) > D.RARE).any() and (a > 1).any()
+    y, df, w = np.zeros((D.TERMS, D.TEST)), np.zeros(D.TERMS), D.test_matrix()
+    D._add_passages(y, df, w, terms, bounds)
+    assert (df == (a > 0).sum(axis=0)).all() and np.allclose(y, a.T @ (a @ w.astype(np.float64)), rtol=1e-4, atol=1e-2)
+
+
 def test_latent_space_is_that_of_all_passages(spark, monkeypatch):
     rng = random.Random(5)
     vocabulary = [a + b + c for a in WORDS[:40] for b in ("", "er", "tion", "ly") for c in ("", "s", "en")]
